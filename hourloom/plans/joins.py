@@ -1,0 +1,27 @@
+"""Join helpers: broadcast only behind a size check.
+
+Per-series parameter tables have one row per series (or per series and
+feature).  Their size grows with the number of series, not with rows, but it
+is still unbounded, so the broadcast hint is given only after counting.  Above
+the bound the plain equi-join runs as a shuffle join and AQE's skew-join
+splitting handles a hot series.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows a per-series side may have and still be broadcast (a few MB of
+# numeric columns at this row count).
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
+               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Equi-join ``big`` with a per-key side, broadcasting it when its counted
+    size is within ``max_rows``."""
+    small = small.cache()  # counted once, then reused by the join
+    n = small.count()
+    side = F.broadcast(small) if n <= max_rows else small
+    return big.join(side, on=on, how=how)
