@@ -27,12 +27,14 @@ def split_label(label_pos, train_end, val_end):
 def make_windows(scaled: DataFrame, window: int = 8, horizon: int = 1,
                  chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """``scaled`` is the output of ``apply_params``.  Returns
-    ``(series_id, idx, target_ts, split, seq ARRAY<ARRAY<DOUBLE>>, y_raw,
-    y_scaled)`` for every complete window."""
+    ``(series_id, idx, target_ts, split, seq ARRAY<ARRAY<DOUBLE>>, hist
+    ARRAY<DOUBLE>, y_raw, y_scaled)`` for every complete window; ``hist`` is
+    the raw (unscaled) target history, oldest first."""
 
     def build(w: WindowSpec):
         frame = w.rowsBetween(-(window - 1), 0)
         return [F.collect_list("x").over(frame).alias("seq"),
+                F.collect_list("target").over(frame).alias("hist"),
                 F.count("target").over(frame).alias("_hist"),
                 F.lead("target", horizon).over(w).alias("y_raw"),
                 F.lead("y_scaled", horizon).over(w).alias("_y_next"),
@@ -43,7 +45,7 @@ def make_windows(scaled: DataFrame, window: int = 8, horizon: int = 1,
     out = out.where((F.col("idx") >= window - 1) & (F.col("_hist") == window) & F.col("y_raw").isNotNull())
     return out.select(SERIES, "idx", "target_ts",
                       split_label(F.col("idx") + horizon, F.col("train_end"), F.col("val_end")).alias("split"),
-                      "seq", "y_raw", F.col("_y_next").alias("y_scaled"))
+                      "seq", "hist", "y_raw", F.col("_y_next").alias("y_scaled"))
 
 
 def flat_features(seq_col: str = "seq"):

@@ -19,8 +19,12 @@ R = 6
 
 
 def rnd(c: Column | str, name: str | None = None) -> Column:
+    """6-decimal rounding as half-even on x * 1e6 (plain IEEE operations, so
+    the SQL oracle reproduces it bit for bit; ``F.round`` rounds the decimal
+    string HALF_UP and differs on ties)."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.round(col, R).alias(name or (c if isinstance(c, str) else "value"))
+    scale = float(10 ** R)
+    return (F.rint(col * F.lit(scale)) / F.lit(scale) + F.lit(0.0)).alias(name or (c if isinstance(c, str) else "value"))
 
 
 @dataclass(frozen=True)
@@ -150,4 +154,6 @@ def registered_queries() -> dict:
         q[f"window_counts_{tag}"] = q_window_counts(src)
         q[f"quality_{tag}"] = q_quality(src)
     q["windows_events_all"] = q_windows(EVENTS_ALL)
+    from .evalqueries import registered as eval_registered
+    q.update(eval_registered())
     return q

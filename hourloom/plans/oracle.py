@@ -9,6 +9,34 @@ from __future__ import annotations
 
 from .catalog import SeriesSource
 
+RE_R6 = "R6("
+
+
+def r6(x: str) -> str:
+    """6-decimal rounding written with plain IEEE operations (half-even on
+    x * 1e6) so Spark and DuckDB give bit-identical values, ties included."""
+    return f"(round_even(({x}) * 1000000.0::DOUBLE, 0) / 1000000.0::DOUBLE + 0.0)"
+
+
+def expand_r6(sql: str) -> str:
+    """Replace each ``R6(expr, 6)`` marker with ``r6(expr)``."""
+    out, i = [], 0
+    while True:
+        j = sql.find(RE_R6, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:j])
+        k, depth = j + len(RE_R6), 1
+        start = k
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        inner = sql[start:k - 1]
+        expr = inner.rsplit(",", 1)[0]
+        out.append(r6(expand_r6(expr)))
+        i = k
+
 STEP_FN = {"hour": ("to_hours", 3600), "day": ("to_days", 86400)}
 
 
@@ -108,7 +136,7 @@ wins AS (
 
 
 def hourly_sql(src: SeriesSource) -> str:
-    cols = ", ".join(f"0.0 + round({c}, 6) AS {c}" for c in [src.target, *src.predictors])
+    cols = ", ".join(f"R6({c}, 6) AS {c}" for c in [src.target, *src.predictors])
     return (f"WITH {prepared_ctes(src)}\nSELECT series_id, idx, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, {cols} "
             f"FROM hourly")
 
@@ -138,20 +166,20 @@ def feature_params_sql(src: SeriesSource) -> str:
     parts = []
     for i, name in enumerate(names):
         scale = f"CASE WHEN q{i}[3] - q{i}[1] = 0 THEN 1.0 ELSE q{i}[3] - q{i}[1] END"
-        parts.append(f"SELECT series_id, '{name}' AS feature, CAST({i} AS INTEGER) AS ord, 0.0 + round(m{i}, 6) AS fill_median, "
-                     f"0.0 + round(q{i}[2], 6) AS center, 0.0 + round({scale}, 6) AS scale FROM params")
+        parts.append(f"SELECT series_id, '{name}' AS feature, CAST({i} AS INTEGER) AS ord, R6(m{i}, 6) AS fill_median, "
+                     f"R6(q{i}[2], 6) AS center, R6({scale}, 6) AS scale FROM params")
     return f"WITH {prepared_ctes(src)}\n" + "\nUNION ALL\n".join(parts)
 
 
 def target_params_sql(src: SeriesSource) -> str:
-    return f"WITH {prepared_ctes(src)}\nSELECT series_id, 0.0 + round(y_mean, 6) AS y_mean, 0.0 + round(y_std, 6) AS y_std FROM params"
+    return f"WITH {prepared_ctes(src)}\nSELECT series_id, R6(y_mean, 6) AS y_mean, R6(y_std, 6) AS y_std FROM params"
 
 
 def windows_sql(src: SeriesSource) -> str:
     return f"""WITH {prepared_ctes(src)}
 SELECT series_id, strftime(target_ts, '%Y-%m-%d %H:%M:%S') AS target_ts, split,
-       0.0 + round(y_raw, 6) AS y_raw, 0.0 + round(y_scaled, 6) AS y_scaled, 0.0 + round(seq_sum, 6) AS seq_sum,
-       0.0 + round(seq_first, 6) AS seq_first, 0.0 + round(seq_last, 6) AS seq_last, CAST(seq_len AS INTEGER) AS seq_len
+       R6(y_raw, 6) AS y_raw, R6(y_scaled, 6) AS y_scaled, R6(seq_sum, 6) AS seq_sum,
+       R6(seq_first, 6) AS seq_first, R6(seq_last, 6) AS seq_last, CAST(seq_len AS INTEGER) AS seq_len
 FROM wins"""
 
 
@@ -191,4 +219,6 @@ def registered_sql() -> dict:
         s[f"window_counts_{tag}"] = window_counts_sql(src)
         s[f"quality_{tag}"] = quality_sql(src)
     s["windows_events_all"] = windows_sql(EVENTS_ALL)
-    return s
+    from .evaloracle import registered as eval_registered
+    s.update(eval_registered())
+    return {k: expand_r6(v) for k, v in s.items()}

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Shared defaults for the local session used by tests and the bench.
 LOCAL_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
