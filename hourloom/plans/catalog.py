@@ -156,4 +156,6 @@ def registered_queries() -> dict:
     q["windows_events_all"] = q_windows(EVENTS_ALL)
     from .evalqueries import registered as eval_registered
     q.update(eval_registered())
+    from .ingestqueries import registered as ingest_registered
+    q.update(ingest_registered())
     return q

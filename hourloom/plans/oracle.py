@@ -221,4 +221,6 @@ def registered_sql() -> dict:
     s["windows_events_all"] = windows_sql(EVENTS_ALL)
     from .evaloracle import registered as eval_registered
     s.update(eval_registered())
+    from .ingestqueries import registered_sql as ingest_sql
+    s.update(ingest_sql())
     return {k: expand_r6(v) for k, v in s.items()}

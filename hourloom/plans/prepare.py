@@ -96,11 +96,12 @@ def prepare(obs: DataFrame, target: str, predictors: list[str], step: str | int
             align: str = "exact", window: int = 8, horizon: int = 1, train_fraction: float = 0.70,
             validation_fraction: float = 0.15, ffill_limit: int = 3, gates: Gates | None = None,
             on_fail: str = "report", chunk_rows: int = DEFAULT_CHUNK_ROWS, persist: str = "write",
-            current_name: str = feat.CURRENT_NAME) -> Prepared:
+            current_name: str = feat.CURRENT_NAME, feature_order: list[str] | None = None) -> Prepared:
     """E3.  ``on_fail``: ``report`` (keep every series, quality table only),
     ``exclude`` (drop failing series from the windows) or ``raise``."""
     gates = gates or Gates()
-    value_cols = [target] + [p for p in predictors if p != target]
+    # feature order: file order with the target in place (ingest), else target first
+    value_cols = list(feature_order) if feature_order else [target] + [p for p in predictors if p != target]
     hourly, bounds = reg.regularize(obs, target, predictors, step, align, ffill_limit, chunk_rows)
     hourly = _persist(hourly, persist, "hourly")
     bounds = bounds.cache()
