@@ -49,7 +49,10 @@ def ingest(raw: DataFrame, series_col: str | None = None, timestamp_col: str | N
     raw = raw.toDF(*[c.strip() for c in raw.columns])
     if strict and raw.isEmpty():
         raise ValueError("The table contains no rows.")
-    data_cols = [c for c in raw.columns if c != (series_col or SERIES)]
+    key = series_col or SERIES
+    # columns that only exist in other header groups of a union are all NULL here
+    filled = raw.agg(*[F.count(qc(c)).alias(f"_n{i}") for i, c in enumerate(raw.columns)]).collect()[0]
+    data_cols = [c for i, c in enumerate(raw.columns) if c != key and filled[f"_n{i}"] > 0]
     ts_col = timestamp_col or find_timestamp_column(data_cols)
     target = target_col or find_target_column(data_cols)
     keyed = raw.select((qc(series_col).cast("string") if series_col else F.lit("all")).alias(SERIES),
