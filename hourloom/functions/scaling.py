@@ -50,7 +50,7 @@ def objective(r2) -> Column:
 
 def quantize_raw(x, scale, zero_point) -> Column:
     """Unclipped affine code rint(x / scale + zp) (half-to-even, as NumPy)."""
-    return F.rint(_c(x) / _c(scale) + _c(zero_point))
+    return F.rint(F.try_divide(_c(x), _c(scale)) + _c(zero_point))
 
 
 def clip_int8(q) -> Column:

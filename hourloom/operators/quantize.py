@@ -64,7 +64,9 @@ def calibrate(df: DataFrame, values: Column, key_cols: list[str] | None = None,
     mn = F.least(F.col("_lo"), F.lit(0.0))
     mx = F.greatest(F.col("_hi"), F.lit(0.0))
     scale = (mx - mn) / F.lit(255.0)
-    zp = F.least(F.greatest(F.rint(F.lit(float(INT8_MIN)) - mn / scale), F.lit(float(INT8_MIN))), F.lit(float(INT8_MAX)))
+    # an all-zero (or empty) range gives scale 0: zero point NULL, scale_ok false
+    zp = F.when(scale > 0, F.least(F.greatest(F.rint(F.lit(float(INT8_MIN)) - F.try_divide(mn, scale)),
+                                              F.lit(float(INT8_MIN))), F.lit(float(INT8_MAX))))
     out = agg.select(*key_cols, scale.alias(f"{prefix}scale"), zp.alias(f"{prefix}zero_point"))
     return out.withColumn(f"{prefix}scale_ok", F.col(f"{prefix}scale") > 0)
 

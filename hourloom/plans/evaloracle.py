@@ -47,12 +47,12 @@ samp AS (SELECT tw.series_id, tw.idx, tw.pos FROM tw SEMI JOIN ps ON tw.series_i
 sampw AS (SELECT wx.* FROM wx SEMI JOIN samp ON wx.series_id = samp.series_id AND wx.idx = samp.idx),
 cin AS (
   SELECT (greatest(max(hmax), 0.0) - least(min(hmin), 0.0)) / 255.0 AS s, least(min(hmin), 0.0) AS lo FROM sampw),
-cin2 AS (SELECT s, least(greatest(round_even(-128.0 - lo / s, 0), -128.0), 127.0) AS z FROM cin),
+cin2 AS (SELECT s, CASE WHEN s > 0 THEN least(greatest(round_even(-128.0 - lo / s, 0), -128.0), 127.0) END AS z FROM cin),
 sfc AS (
   SELECT last_val AS p, 'last' AS model FROM sampw UNION ALL SELECT ma{MAX_LAG} AS p, 'window_mean' AS model FROM sampw),
 cout AS (
   SELECT model, (greatest(max(p), 0.0) - least(min(p), 0.0)) / 255.0 AS s, least(min(p), 0.0) AS lo FROM sfc GROUP BY model),
-cout2 AS (SELECT model, s, least(greatest(round_even(-128.0 - lo / s, 0), -128.0), 127.0) AS z FROM cout),
+cout2 AS (SELECT model, s, CASE WHEN s > 0 THEN least(greatest(round_even(-128.0 - lo / s, 0), -128.0), 127.0) END AS z FROM cout),
 qrow AS (
   SELECT sc.series_id, sc.idx,
          (least(greatest(round_even(sc.target / c.s + c.z, 0), -128.0), 127.0) - c.z) * c.s AS dq,
