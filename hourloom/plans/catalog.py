@@ -158,4 +158,6 @@ def registered_queries() -> dict:
     q.update(eval_registered())
     from .ingestqueries import registered as ingest_registered
     q.update(ingest_registered())
+    from .studyqueries import registered as study_registered
+    q.update(study_registered())
     return q

@@ -223,4 +223,6 @@ def registered_sql() -> dict:
     s.update(eval_registered())
     from .ingestqueries import registered_sql as ingest_sql
     s.update(ingest_sql())
+    from .studyqueries import registered_sql as study_sql
+    s.update(study_sql())
     return {k: expand_r6(v) for k, v in s.items()}

@@ -210,7 +210,7 @@ def _int8_rows(model, windows, params, cfg, seed, fp_m, spec, space, size_kb, ep
     try:
         scored, cal = int8_scores(model, windows, params, cfg.representative_samples)
         m = _metrics(scored)
-        sat = {r["split"]: r for r in qz.saturation_rates(scored, ["split"]).collect()}
+        sat = {r["split"]: r.asDict() for r in qz.saturation_rates(scored, ["split"]).collect()}
         v, t = m.get("val", {}), m.get("test", {})
         drop = (fp_m.get("test", {}).get("R2") - t.get("R2")) if t.get("R2") is not None and fp_m.get("test", {}).get("R2") is not None else None
         row = _row(cfg, model=name, teacher=teacher, seed=seed, precision="INT8", validation_R2=v.get("R2"),
