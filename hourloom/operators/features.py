@@ -22,6 +22,7 @@ from ..functions.calendar import CALENDAR_FEATURES, calendar_columns
 from ..functions.numeric import nonfinite_to_null
 from ..functions.scaling import nonzero_scale
 from ..plans.joins import join_small
+from .quantiles import group_quantiles
 
 SERIES = "series_id"
 CURRENT_NAME = "PM2.5_current"
@@ -67,28 +68,31 @@ def feature_frame(hourly: DataFrame, layout: FeatureLayout) -> DataFrame:
                          *[f.alias(f"_f{i}") for i, f in enumerate(feats)])
 
 
-def fit_params(feats: DataFrame, splits: DataFrame, layout: FeatureLayout) -> DataFrame:
+def fit_params(feats: DataFrame, splits: DataFrame, layout: FeatureLayout, quantiles: str = "auto") -> DataFrame:
     """A3 + A4 + A5 on training rows; one row per series:
     ``(series_id, n, train_end, val_end, fill_medians, centers, scales,
-    y_mean, y_std, train_targets)``."""
+    y_mean, y_std, train_targets)``.  ``quantiles``: see
+    ``operators.quantiles.group_quantiles`` (``auto`` switches to the
+    bracketed exact mode when a series' training span is long)."""
     names = layout.names
+    k = len(names)
     train = join_small(feats, splits, [SERIES]).where(F.col("idx") < F.col("train_end"))
+    longest = splits.agg(F.max("train_end")).collect()[0][0] or 0
     # A3: medians of the raw features (NULLs skipped); a NULL median is 0.0
-    med = train.groupBy(SERIES).agg(
-        *[F.coalesce(F.percentile(F.col(f"_f{i}"), 0.5), F.lit(0.0)).alias(f"_m{i}") for i in range(len(names))],
-        F.avg("target").alias("y_mean"),
-        F.stddev_pop("target").alias("_y_std"),
-        F.count("target").alias("train_targets"))
+    med_q = group_quantiles(train, [SERIES], [F.col(f"_f{i}") for i in range(k)], [0.5], quantiles, longest)
+    med = med_q.select(SERIES, *[F.coalesce(F.col(f"_q{i}")[0], F.lit(0.0)).alias(f"_m{i}") for i in range(k)])
+    # A5: target scaler on finite training targets (unfilled)
+    tgt = train.groupBy(SERIES).agg(F.avg("target").alias("y_mean"), F.stddev_pop("target").alias("_y_std"),
+                                    F.count("target").alias("train_targets"))
     # A4: robust fit on the median-filled training rows
-    filled = join_small(train, med.select(SERIES, *[f"_m{i}" for i in range(len(names))]), [SERIES])
-    rob = filled.groupBy(SERIES).agg(
-        *[F.percentile(F.coalesce(F.col(f"_f{i}"), F.col(f"_m{i}")), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q{i}")
-          for i in range(len(names))])
-    out = (splits.join(med, SERIES).join(rob, SERIES)
+    filled = join_small(train, med, [SERIES])
+    rob = group_quantiles(filled, [SERIES], [F.coalesce(F.col(f"_f{i}"), F.col(f"_m{i}")) for i in range(k)],
+                          [0.25, 0.5, 0.75], quantiles, longest)
+    out = (splits.join(med, SERIES).join(tgt, SERIES).join(rob, SERIES)
            .select(SERIES, "n", "train_end", "val_end",
-                   F.array(*[F.col(f"_m{i}") for i in range(len(names))]).alias("fill_medians"),
-                   F.array(*[F.col(f"_q{i}")[1] for i in range(len(names))]).alias("centers"),
-                   F.array(*[nonzero_scale(F.col(f"_q{i}")[2] - F.col(f"_q{i}")[0]) for i in range(len(names))]).alias("scales"),
+                   F.array(*[F.col(f"_m{i}") for i in range(k)]).alias("fill_medians"),
+                   F.array(*[F.col(f"_q{i}")[1] for i in range(k)]).alias("centers"),
+                   F.array(*[nonzero_scale(F.col(f"_q{i}")[2] - F.col(f"_q{i}")[0]) for i in range(k)]).alias("scales"),
                    "y_mean", nonzero_scale("_y_std").alias("y_std"), "train_targets"))
     return out
 

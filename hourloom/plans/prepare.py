@@ -96,7 +96,8 @@ def prepare(obs: DataFrame, target: str, predictors: list[str], step: str | int
             align: str = "exact", window: int = 8, horizon: int = 1, train_fraction: float = 0.70,
             validation_fraction: float = 0.15, ffill_limit: int = 3, gates: Gates | None = None,
             on_fail: str = "report", chunk_rows: int = DEFAULT_CHUNK_ROWS, persist: str = "write",
-            current_name: str = feat.CURRENT_NAME, feature_order: list[str] | None = None) -> Prepared:
+            current_name: str = feat.CURRENT_NAME, feature_order: list[str] | None = None,
+            quantiles: str = "auto") -> Prepared:
     """E3.  ``on_fail``: ``report`` (keep every series, quality table only),
     ``exclude`` (drop failing series from the windows) or ``raise``."""
     gates = gates or Gates()
@@ -108,7 +109,7 @@ def prepare(obs: DataFrame, target: str, predictors: list[str], step: str | int
     layout = feat.feature_layout(value_cols, target, current_name)
     feats = feat.feature_frame(hourly, layout)
     splits = feat.split_points(bounds, train_fraction, validation_fraction)
-    params = _persist(feat.fit_params(feats, splits, layout), persist, "params")
+    params = _persist(feat.fit_params(feats, splits, layout, quantiles), persist, "params")
     scaled = feat.apply_params(feats, params, layout)
     windows = _persist(win.make_windows(scaled, window, horizon, chunk_rows), persist, "windows")
     audit = reg.audit(hourly, bounds, target, step)
