@@ -8,6 +8,8 @@ candidate) is projected back row by row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,36 @@ GENERIC_DAY_FIRST = GENERIC_COMMON + ["d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/
 MIN_SUCCESS_RATE = 0.80
 
 
+# pattern letter runs -> the digits they accept
+_TOKENS = [("yyyy", r"\d{4}"), ("SSSSSS", r"\d{1,6}"), ("MM", r"\d{2}"), ("dd", r"\d{2}"), ("HH", r"\d{2}"),
+           ("mm", r"\d{2}"), ("ss", r"\d{2}"), ("M", r"\d{1,2}"), ("d", r"\d{1,2}"), ("H", r"\d{1,2}")]
+
+
+def shape_regex(fmt: str) -> str:
+    """A regular expression accepting exactly the strings shaped like ``fmt``
+    (digit counts and separators); used to skip parse attempts that must fail."""
+    out, i = ["^"], 0
+    while i < len(fmt):
+        if fmt[i] == "'":
+            j = fmt.index("'", i + 1)
+            out.append(re.escape(fmt[i + 1:j]))
+            i = j + 1
+            continue
+        for tok, rx in _TOKENS:
+            if fmt.startswith(tok, i):
+                out.append(rx)
+                i += len(tok)
+                break
+        else:
+            out.append(re.escape(fmt[i]))
+            i += 1
+    return "".join(out) + "$"
+
+
 def _parse(text: Column, fmt: str) -> Column:
-    return F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
+    """One candidate; the cheap shape test avoids the parser (and its
+    internal exception) on text that cannot match."""
+    return F.when(text.rlike(shape_regex(fmt)), F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz"))
 
 
 def candidate_columns(text: Column | str) -> list[Column]:
@@ -50,17 +80,17 @@ def best_of_n_parse(df: DataFrame, text_col: str, series_col: str = "series_id",
     winning candidate index and its success rate (gate: >= 0.80).
     """
     cands = candidate_columns(text_col)
-    names = [f"_cand{i}" for i in range(len(cands))]
-    wide = df.select("*", *[c.alias(n) for c, n in zip(cands, names)])
-    rates = wide.groupBy(series_col).agg(
-        *[F.avg(F.col(n).isNotNull().cast("double")).alias(f"_rate{i}") for i, n in enumerate(names)])
-    rate_cols = [F.col(f"_rate{i}") for i in range(len(names))]
+    rates = df.groupBy(series_col).agg(
+        *[F.avg(c.isNotNull().cast("double")).alias(f"_rate{i}") for i, c in enumerate(cands)])
+    rate_cols = [F.col(f"_rate{i}") for i in range(len(cands))]
     best = F.greatest(*rate_cols)
     # first candidate whose rate equals the max -> ties go to the earliest
     winner = F.coalesce(*[F.when(rc == best, F.lit(i)) for i, rc in enumerate(rate_cols)])
     report = rates.select(series_col, winner.alias("format_index"), best.alias("parse_rate"),
                           (best >= F.lit(MIN_SUCCESS_RATE)).alias("parse_passed"))
-    chosen = join_small(wide, report.select(series_col, "format_index"), [series_col])
-    pick = F.coalesce(*[F.when(F.col("format_index") == i, F.col(n)) for i, n in enumerate(names)])
-    rows = chosen.withColumn(out_col, pick).drop(*names, "format_index")
+    chosen = join_small(df, report.select(series_col, "format_index"), [series_col])
+    # only the winning candidate is evaluated per row (CASE evaluates one branch)
+    fresh = candidate_columns(text_col)
+    pick = F.coalesce(*[F.when(F.col("format_index") == i, c) for i, c in enumerate(fresh)])
+    rows = chosen.withColumn(out_col, pick).drop("format_index")
     return rows, report
