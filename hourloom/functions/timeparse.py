@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.joins import join_small
+from .timecols import from_micros
 
 # The four explicit formats of the reference, in its order
 # (month-first, day-first, ISO with seconds, ISO without seconds).
@@ -58,9 +59,12 @@ def shape_regex(fmt: str) -> str:
 
 
 def _parse(text: Column, fmt: str) -> Column:
-    """One candidate; the cheap shape test avoids the parser (and its
-    internal exception) on text that cannot match."""
-    return F.when(text.rlike(shape_regex(fmt)), F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz"))
+    """One candidate -> TIMESTAMP_NTZ, independent of the session time zone
+    (the text is read as UTC wall clock, so daylight-saving gaps cannot move
+    it).  The cheap shape test avoids the parser (and its internal exception)
+    on text that cannot match."""
+    instant = F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(fmt + " Z"))
+    return F.when(text.rlike(shape_regex(fmt)), from_micros(F.unix_micros(instant)))
 
 
 def candidate_columns(text: Column | str) -> list[Column]:
