@@ -17,6 +17,7 @@ from ..functions.cols import qc
 from ..functions.names import find_target_column, find_timestamp_column
 from ..functions.numeric import clean_numeric
 from ..functions.timeparse import MIN_SUCCESS_RATE, best_of_n_parse
+from ..session import materialize
 
 SERIES = "series_id"
 MIN_NUMERIC_FRACTION = 0.25
@@ -43,15 +44,23 @@ def numeric_fractions(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def ingest(raw: DataFrame, series_col: str | None = None, timestamp_col: str | None = None,
            target_col: str | None = None, min_numeric_fraction: float = MIN_NUMERIC_FRACTION,
-           min_parse_rate: float = MIN_SUCCESS_RATE, strict: bool = True) -> Ingested:
+           min_parse_rate: float = MIN_SUCCESS_RATE, strict: bool = True, persist: str = "write") -> Ingested:
     """``raw``: string columns as read (see ``sources.csv``); ``series_col``
-    names the series key column (default: one series ``all``)."""
+    names the series key column (default: one series ``all``).
+
+    ``persist="write"`` lands the raw strings once as parquet in the
+    checkpoint folder: the later passes (column counts, parse rates, numeric
+    fractions, projection) then read pruned columns instead of re-parsing
+    the text files."""
     raw = raw.toDF(*[c.strip() for c in raw.columns])
-    if strict and raw.isEmpty():
-        raise ValueError("The table contains no rows.")
+    if persist == "write":
+        raw = materialize(raw, "raw")
     key = series_col or SERIES
     # columns that only exist in other header groups of a union are all NULL here
-    filled = raw.agg(*[F.count(qc(c)).alias(f"_n{i}") for i, c in enumerate(raw.columns)]).collect()[0]
+    filled = raw.agg(F.count(F.lit(1)).alias("_rows"),
+                     *[F.count(qc(c)).alias(f"_n{i}") for i, c in enumerate(raw.columns)]).collect()[0]
+    if strict and filled["_rows"] == 0:
+        raise ValueError("The table contains no rows.")
     data_cols = [c for i, c in enumerate(raw.columns) if c != key and filled[f"_n{i}"] > 0]
     ts_col = timestamp_col or find_timestamp_column(data_cols)
     target = target_col or find_target_column(data_cols)

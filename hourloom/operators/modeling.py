@@ -167,7 +167,7 @@ def evaluate_trials(kind: str, trials: DataFrame, windows: DataFrame, params: Da
             hist = history(model)
             row.update(validation_R2=m["R2"], validation_MAE_ugm3=m["MAE_ugm3"],
                        validation_RMSE_ugm3=m["RMSE_ugm3"], params=param_count(model),
-                       epochs_completed=len(hist) if hist else int(getattr(model, "getNumTrees", 1) or 1),
+                       epochs_completed=len(hist) or 1,
                        status="success", error="")
         except Exception as e:  # noqa: BLE001 - failure isolation per trial
             row.update(validation_R2=None, validation_MAE_ugm3=None, validation_RMSE_ugm3=None, params=None,
