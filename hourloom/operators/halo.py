@@ -20,10 +20,15 @@ DEFAULT_CHUNK_ROWS = 8760  # one year of hours
 
 
 def chunked_window(df: DataFrame, key_cols: list[str], order_col: str, before: int, after: int,
-                   build: Callable[[WindowSpec], list[Column]],
+                   build: Callable[[WindowSpec], list[Column]] | list[Callable[[WindowSpec], list[Column]]],
                    chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Add the columns returned by ``build(window_spec)``; ``order_col`` must be
-    a dense LONG position (0, 1, 2, ... per key), such as the grid ``idx``."""
+    a dense LONG position (0, 1, 2, ... per key), such as the grid ``idx``.
+
+    ``build`` may be a list of stages: each stage may use the previous
+    stage's columns, and all stages share one exchange and one sort (stacked
+    Window operators on the same partitioning).  ``before`` must then cover
+    the sum of the stages' look-backs."""
     if before >= chunk_rows or after >= chunk_rows:
         raise ValueError("halo must be shorter than a chunk")
     c = F.lit(chunk_rows)
@@ -36,5 +41,7 @@ def chunked_window(df: DataFrame, key_cols: list[str], order_col: str, before: i
     ))
     expanded = df.withColumn("_home", home).withColumn("_part", F.explode(parts))
     spec = Window.partitionBy(*key_cols, "_part").orderBy(order_col)
-    out = expanded.select("*", *build(spec))
+    out = expanded
+    for stage in (build if isinstance(build, list) else [build]):
+        out = out.select("*", *stage(spec))
     return out.where(F.col("_part") == F.col("_home")).drop("_home", "_part")

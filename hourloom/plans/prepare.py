@@ -1,9 +1,11 @@
 """The data plane as one plan: observations -> hourly grid -> features ->
 train-only parameters -> windows + labels + split, with audit and gates.
 
-Lineage is cut twice by writing tables to the checkpoint folder: after the
-hourly grid (read by three aggregates and the window pass) and after the
-windows (read by every model fit and evaluation).
+Lineage is cut by writing one table to the checkpoint folder right after the
+single window pass: every grid row with its filled features (read, column
+pruned, by the parameter fit and the audit) and the unscaled arrays of the
+complete windows (read by every model fit and evaluation, scaled on read by a
+map-only projection).  The small per-series parameter table is written too.
 """
 
 from __future__ import annotations
@@ -103,15 +105,24 @@ def prepare(obs: DataFrame, target: str, predictors: list[str], step: str | int
     gates = gates or Gates()
     # feature order: file order with the target in place (ingest), else target first
     value_cols = list(feature_order) if feature_order else [target] + [p for p in predictors if p != target]
-    hourly, bounds = reg.regularize(obs, target, predictors, step, align, ffill_limit, chunk_rows)
-    hourly = _persist(hourly, persist, "hourly")
+    # A1 + J1 + P8 (the fill runs in the window pass below)
+    grid_rows, bounds = reg.regularize(obs, target, predictors, step, align, 0, chunk_rows)
     bounds = bounds.cache()
     layout = feat.feature_layout(value_cols, target, current_name)
-    feats = feat.feature_frame(hourly, layout)
+    fill_idx = [i for i, c in enumerate(layout.value_cols) if c != target]
+    # W1 + W2-W4 + P11: one exchange on (series_id, chunk), two stacked Window operators;
+    # every grid row (filled) plus the unscaled arrays of complete windows, written once
+    rows = win.fill_and_window(feat.feature_frame(grid_rows, layout), len(layout.names), fill_idx,
+                               ffill_limit, window, horizon, chunk_rows)
+    rows = _persist(rows, persist, "hourly")
+    feats = rows.select(SERIES, "idx", "ts", "target", *[f"_f{i}" for i in range(len(layout.names))])
+    hourly = rows.select(SERIES, "idx", "ts",
+                         *[F.col(f"_f{i}").alias(c) for i, c in enumerate(layout.value_cols)])
     splits = feat.split_points(bounds, train_fraction, validation_fraction)
     params = _persist(feat.fit_params(feats, splits, layout, quantiles), persist, "params")
-    scaled = feat.apply_params(feats, params, layout)
-    windows = _persist(win.make_windows(scaled, window, horizon, chunk_rows), persist, "windows")
+    # J2 + F3-F6 + W5: map-only scaling of the collected arrays, applied on read
+    # (the arrays are written once, unscaled, in `rows`)
+    windows = win.scale_windows(rows, params, horizon)
     audit = reg.audit(hourly, bounds, target, step)
     counts = win.window_counts(windows)
     quality = quality_report(audit, params, counts, gates, window)
