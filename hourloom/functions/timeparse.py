@@ -59,16 +59,21 @@ def shape_regex(fmt: str) -> str:
 
 
 def _parse(text: Column, fmt: str) -> Column:
-    """One candidate -> TIMESTAMP_NTZ, independent of the session time zone
-    (the text is read as UTC wall clock, so daylight-saving gaps cannot move
-    it).  The cheap shape test avoids the parser (and its internal exception)
-    on text that cannot match."""
+    """One candidate as an instant, reading the text as UTC wall clock (so
+    the session time zone and its daylight-saving gaps cannot move it); see
+    ``as_wall_clock``.  The cheap shape test avoids the parser (and its
+    internal exception) on text that cannot match."""
     instant = F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(fmt + " Z"))
-    return F.when(text.rlike(shape_regex(fmt)), from_micros(F.unix_micros(instant)))
+    return F.when(text.rlike(shape_regex(fmt)), instant)
+
+
+def as_wall_clock(instant: Column) -> Column:
+    """Candidate instant -> TIMESTAMP_NTZ (converted once, for the winner)."""
+    return from_micros(F.unix_micros(instant))
 
 
 def candidate_columns(text: Column | str) -> list[Column]:
-    """The six candidates, in the reference's priority order."""
+    """The six candidates (UTC instants), in the reference's priority order."""
     t = F.regexp_replace(F.col(text) if isinstance(text, str) else text, r"^\s+|\s+$", "")
     cands = [_parse(t, fmt) for fmt in EXPLICIT_FORMATS]
     cands.append(F.coalesce(*[_parse(t, fmt) for fmt in GENERIC_MONTH_FIRST]))
@@ -96,5 +101,5 @@ def best_of_n_parse(df: DataFrame, text_col: str, series_col: str = "series_id",
     # only the winning candidate is evaluated per row (CASE evaluates one branch)
     fresh = candidate_columns(text_col)
     pick = F.coalesce(*[F.when(F.col("format_index") == i, c) for i, c in enumerate(fresh)])
-    rows = chosen.withColumn(out_col, pick).drop("format_index")
+    rows = chosen.withColumn(out_col, as_wall_clock(pick)).drop("format_index")
     return rows, report

@@ -10,6 +10,8 @@ the groups are unioned by name.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,20 +23,20 @@ def _first_lines(spark: SparkSession, pattern: str) -> dict[str, str]:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(pattern)
     fs = path.getFileSystem(conf)
-    statuses = fs.globStatus(path) or []
-    out = {}
-    for st in statuses:
-        if st.isDirectory():
-            continue
-        p = st.getPath()
+    files = [st.getPath() for st in (fs.globStatus(path) or []) if not st.isDirectory()]
+    bom = "﻿"
+
+    def first_line(p):
         stream = fs.open(p)
         try:
             reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-            line = reader.readLine() or ""
+            return p.toString(), (reader.readLine() or "").lstrip(bom)
         finally:
             stream.close()
-        out[p.toString()] = line.lstrip("﻿")
-    return out
+
+    # one short read per file (metadata-sized), issued concurrently
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        return dict(pool.map(first_line, files))
 
 
 def read_sensor_csv(spark: SparkSession, paths: str | list[str], series_from_file: bool = True,
