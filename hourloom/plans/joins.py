@@ -2,9 +2,10 @@
 
 Per-series parameter tables have one row per series (or per series and
 feature).  Their size grows with the number of series, not with rows, but it
-is still unbounded, so the broadcast hint is given only after counting.  Above
-the bound the plain equi-join runs as a shuffle join and AQE's skew-join
-splitting handles a hot series.
+is still unbounded, so the broadcast hint is given only after measuring the
+side: it is cached, counted, and its in-memory size read from the cached
+relation's statistics.  Above either bound the plain equi-join runs as a
+shuffle join, and AQE's skew-join splitting handles a hot series.
 """
 
 from __future__ import annotations
@@ -12,16 +13,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows a per-series side may have and still be broadcast (a few MB of
-# numeric columns at this row count).
+# Bounds for broadcasting a per-key side (rows, and bytes as cached).
 BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+
+
+def measured_size(df: DataFrame) -> int | None:
+    """Size in bytes the optimizer reports for ``df`` (exact for a cached,
+    materialised relation); ``None`` if unavailable."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - statistics are advisory
+        return None
+
+
+def broadcast_ok(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                 max_bytes: int | None = None) -> bool:
+    """Cache and measure ``small``; true when within both bounds."""
+    spark = small.sparkSession
+    if max_bytes is None:
+        max_bytes = int(spark.conf.get("hourloom.broadcast.maxBytes", str(BROADCAST_MAX_BYTES)))
+    n = small.count()
+    if n > max_rows:
+        return False
+    size = measured_size(small)
+    return size is None or size <= max_bytes
 
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+               max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int | None = None) -> DataFrame:
     """Equi-join ``big`` with a per-key side, broadcasting it when its counted
-    size is within ``max_rows``."""
+    rows and measured bytes are within bounds."""
     small = small.cache()  # counted once, then reused by the join
-    n = small.count()
-    side = F.broadcast(small) if n <= max_rows else small
+    side = F.broadcast(small) if broadcast_ok(small, max_rows, max_bytes) else small
     return big.join(side, on=on, how=how)

@@ -54,3 +54,14 @@ def test_no_window_over_a_whole_series(spark):
     for ln in plan.splitlines():
         if "Exchange hashpartitioning(series_id" in ln:
             assert "_part" in ln or ", ts" in ln or "_chunk" in ln or ln.count("#") == 1
+
+
+def test_broadcast_only_within_measured_bounds(spark):
+    from hourloom.plans.joins import join_small
+    small = spark.range(1000).select(F.col("id"), F.array(*[F.lit(1.0)] * 6).alias("a"))
+    big = spark.range(20000).select((F.col("id") % 1000).alias("id"))
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+    assert hinted(join_small(big, small, ["id"]))
+    assert not hinted(join_small(big, small, ["id"], max_bytes=1000))
+    assert not hinted(join_small(big, small, ["id"], max_rows=10))
+    assert join_small(big, small, ["id"], max_rows=10).count() == 20000
