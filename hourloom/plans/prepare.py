@@ -133,8 +133,7 @@ def prepare(obs: DataFrame, target: str, predictors: list[str], step: str | int
             if bad:
                 raise ValueError(f"data-quality gates failed for series {[r[0] for r in bad]}")
         elif on_fail == "exclude":
-            windows = windows.join(F.broadcast(failed) if failed.count() <= 1_000_000 else failed,
-                                   SERIES, "left_anti")
+            windows = join_small(windows, failed, [SERIES], how="left_anti")
         else:
             raise ValueError(f"unknown on_fail {on_fail!r}")
     return Prepared(hourly, bounds, params, windows, layout, audit, quality, window, horizon)
