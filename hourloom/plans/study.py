@@ -55,6 +55,16 @@ class StudyResult:
     failures: DataFrame
     statistics: DataFrame
     summary: DataFrame
+    history: DataFrame | None = None      # M8: (seed, model, iteration, loss)
+    convergence: DataFrame | None = None  # W6: best-so-far validation R2 per trial
+    tradeoff: DataFrame | None = None     # T2: size against validation R2, Pareto flag
+
+
+HISTORY_SCHEMA = "seed int, model string, iteration int, loss double"
+
+
+def _history_rows(seed: int, model_name: str, values: list[float]) -> list[tuple]:
+    return [(seed, model_name, i + 1, float(v)) for i, v in enumerate(values)]
 
 
 def _metrics(pred: DataFrame) -> dict:
@@ -162,10 +172,13 @@ def _one_seed_distill(spark, windows, params, cfg, seed, model_dir):
     s_size = md.save_model(student, f"{model_dir}/seed_{seed}/student")
     s_pred = md.score(student, soft.where(F.col("split") != "train"), params)
     s_m = _metrics(s_pred)
+    t_hist = md.history(teacher, soft.where(F.col("split") == "val"))
+    s_hist = md.history(student)
     rows.append(_fp32_row(cfg, cfg.teacher_name, "None", seed, t_m, md.param_count(teacher), t_size,
-                          len(md.history(teacher, soft.where(F.col("split") == "val"))), _spec_json(t_spec, md.TEACHER_SPACE), None))
+                          len(t_hist), _spec_json(t_spec, md.TEACHER_SPACE), None))
     rows.append(_fp32_row(cfg, cfg.student_name, cfg.teacher_name, seed, s_m, md.param_count(student), s_size,
-                          len(md.history(student)), _spec_json(s_spec, s_space), 0.0))
+                          len(s_hist), _spec_json(s_spec, s_space), 0.0))
+    rows[-1]["_history"] = _history_rows(seed, cfg.teacher_name, t_hist) + _history_rows(seed, cfg.student_name, s_hist)
     pframes = [
         ev.prediction_frame(t_pred, "y_raw", "predicted", "split", "FP32", cfg.teacher_name, "None", seed),
         ev.prediction_frame(s_pred, "y_raw", "predicted", "split", "FP32", cfg.student_name, cfg.teacher_name, seed)]
@@ -258,6 +271,7 @@ def run_baseline(prepared: Prepared, cfg: StudyConfig, kind: str = "linear", mod
             hist = md.history(model, windows.where(F.col("split") == "val"))
             results.append(_fp32_row(cfg, name, "None", seed, m, md.param_count(model), size, len(hist),
                                      _spec_json(spec, space), 0.0 if cfg.evaluate_int8 else None))
+            results[-1]["_history"] = _history_rows(seed, name, hist)
             preds.append(ev.prediction_frame(pred, "y_raw", "predicted", "split", "FP32", name, "None", seed))
             if cfg.evaluate_int8:
                 cfg_b = StudyConfig(**{**cfg.__dict__, "student_name": name})
@@ -277,7 +291,10 @@ def _collect(spark, cfg, results, preds, trials, failures) -> StudyResult:
     pred = ev.union_all(preds) if preds else None
     tri = ev.union_all(trials) if trials else None
     fail = spark.createDataFrame(failures, "seed int, error_type string, error string")
-    return StudyResult(res, pred, tri, fail, ev.seed_statistics(res), ev.seed_summary(res))
+    hist = spark.createDataFrame([h for r in results for h in r.get("_history", [])], HISTORY_SCHEMA)
+    conv = ev.best_so_far(tri, keys=["stage", "seed"]) if tri is not None else None
+    trade = ev.tradeoff(tri, keys=["stage", "seed"]) if tri is not None else None
+    return StudyResult(res, pred, tri, fail, ev.seed_statistics(res), ev.seed_summary(res), hist, conv, trade)
 
 
 def write_outputs(result: StudyResult, out_dir: str, fmt: str = "parquet") -> None:
@@ -299,3 +316,6 @@ def write_outputs(result: StudyResult, out_dir: str, fmt: str = "parquet") -> No
     w(result.failures, "failures")
     w(result.statistics, "statistics")
     w(result.summary, "summary")
+    w(result.history, "history")
+    w(result.convergence, "convergence")
+    w(result.tradeoff, "tradeoff")

@@ -76,6 +76,13 @@ def test_small_distillation_and_baseline_study(spark):
     spec = json.loads([x for x in rows if x.precision == "FP32" and x.model != "teacher"][0].specification)
     assert list(spec) == sorted(spec) and 0.25 <= spec["kd_alpha"] <= 1.0
     assert r.predictions.select("split").distinct().count() == 2
+    assert r.history.where(F.col("model") == "distilled student").count() > 0
+    assert r.convergence.count() == r.trials.where(F.col("validation_R2").isNotNull()).count()
+    assert r.tradeoff.where(F.col("pareto")).count() >= 1
+    out = tempfile.mkdtemp(prefix="hourloom-out-")
+    from hourloom.plans.study import write_outputs
+    write_outputs(r, out)
+    assert spark.read.parquet(f"{out}/predictions").select("seed").distinct().count() == 2
     b = run_baseline(p, StudyConfig(dataset="t", seeds=(3,), baseline_trials=2, parallelism=2, model_dir=d),
                      kind="decision_tree")
     assert b.results.count() == 2
