@@ -136,14 +136,20 @@ def _int8_parts(spark, sf_dir, src):
     cal_in = qz.calibrate(sample, F.col("hist"), prefix="in_")
     fs = forecasts(sample)
     cal_out = qz.calibrate(fs, F.col("predicted"), key_cols=["model"], prefix="out_", array=False)
-    ev_w = w.where(F.col("split") != "train").crossJoin(F.broadcast(cal_in))  # one-row side
-    deq = qz.fake_quant_array(F.col("hist"), F.col("in_scale"), F.col("in_zero_point"))
-    hits, total = qz.input_saturation_counts(F.col("hist"), F.col("in_scale"), F.col("in_zero_point"))
+    # the calibration is one row (input) and one row per model (output): read it
+    # once and pass it on as literals, so scoring plans do not re-run the sample
+    ci = cal_in.collect()[0]
+    co = {r["model"]: r for r in cal_out.collect()}
+    s_in, z_in = F.lit(ci["in_scale"]).cast("double"), F.lit(ci["in_zero_point"]).cast("double")
+    ev_w = w.where(F.col("split") != "train")
+    deq = qz.fake_quant_array(F.col("hist"), s_in, z_in)
+    hits, total = qz.input_saturation_counts(F.col("hist"), s_in, z_in)
     base = ev_w.select("series_id", "target_ts", "split", "y_raw", deq.alias("hist"),
                        hits.alias("in_hits"), total.alias("in_total"))
     fc = forecasts(base, extra=("in_hits", "in_total"))
-    fc = fc.join(F.broadcast(cal_out), "model")  # one row per model
-    code, deq_out = qz.fake_quant(F.col("predicted"), F.col("out_scale"), F.col("out_zero_point"))
+    by_model = lambda field: F.coalesce(*[F.when(F.col("model") == m, F.lit(r[field]).cast("double"))
+                                          for m, r in co.items()], F.lit(None).cast("double"))
+    code, deq_out = qz.fake_quant(F.col("predicted"), by_model("out_scale"), by_model("out_zero_point"))
     scored = fc.select("series_id", "target_ts", "split", "model", "observed", deq_out.alias("predicted"),
                        "in_hits", "in_total", qz.output_saturated(code).alias("out_sat"))
     return sample, cal_in, cal_out, scored
@@ -189,20 +195,29 @@ def results_table(spark, sf_dir, src: SeriesSource = EVENTS_BY_TYPE) -> DataFram
     keys = ["series_id", "model"]
 
     def rows(pred: DataFrame, precision: str, sat: bool) -> DataFrame:
-        val = ev.regression_metrics(pred.where(F.col("split") == "val"), keys).select(
-            *keys, F.col("R2").alias("validation_R2"), F.col("MAE_ugm3").alias("validation_MAE_ugm3"),
-            F.col("RMSE_ugm3").alias("validation_RMSE_ugm3"))
-        test = ev.regression_metrics(pred.where(F.col("split") == "test"), keys).drop("n")
-        out = val.join(test, keys, "full")
+        # one aggregate per (series, model, split): metrics and, for INT8, saturation
+        valid = pred.where(F.col("observed").isNotNull() & F.col("predicted").isNotNull())
+        aggs = ev.metric_columns("observed", "predicted")
         if sat:
-            out = out.join(qz.saturation_rates(pred.where(F.col("split") == "test"), keys), keys, "left")
+            aggs += [(F.sum("in_hits") / F.greatest(F.lit(1), F.sum("in_total"))).alias("isr"),
+                     (F.sum(F.col("out_sat").cast("long")) / F.greatest(F.lit(1), F.count(F.lit(1)))).alias("osr")]
+        m = valid.groupBy(*keys, "split").agg(*aggs)
+        # pivot validation / test on the small per-split table
+        pick = lambda split, c: F.max(F.when(F.col("split") == split, F.col(c)))
+        out = m.groupBy(*keys).agg(
+            pick("val", "R2").alias("validation_R2"), pick("val", "MAE_ugm3").alias("validation_MAE_ugm3"),
+            pick("val", "RMSE_ugm3").alias("validation_RMSE_ugm3"), pick("test", "R2").alias("R2"),
+            pick("test", "MAE_ugm3").alias("MAE_ugm3"), pick("test", "RMSE_ugm3").alias("RMSE_ugm3"),
+            pick("test", "MSE_ugm3_sq").alias("MSE_ugm3_sq"),
+            *([pick("test", "isr").alias("input_saturation_rate"),
+               pick("test", "osr").alias("output_saturation_rate")] if sat else []))
         rest = [c for c in out.columns if c not in keys]
         return out.select(F.lit(src.name).alias("dataset"), "model", F.lit("None").alias("teacher"),
                           F.col("series_id").alias("seed"), F.lit(precision).alias("precision"), *rest)
 
     r = ev.union_all([rows(fc, "FP32", False), rows(scored, "INT8", True)])
     r = r.withColumn("params", F.when(F.col("model") == "last", F.lit(1)).otherwise(F.lit(8)).cast("long"))
-    return ev.quantization_drop(r.drop("n"))
+    return ev.quantization_drop(r)
 
 
 def q_seed_statistics(src: SeriesSource = EVENTS_BY_TYPE):
