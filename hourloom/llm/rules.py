@@ -2,8 +2,8 @@
 
 Each document has a histogram of character classes and one of common words
 (fixed lists below, all other words in one more bin).  The references are the
-pooled histograms of all documents of a language that pass the base rules.  A
-document is rejected when it fails the base rules or when the Jensen-Shannon
+pooled histograms of all documents of a language that pass the base rules and
+are not full of symbols.  A document is rejected when it fails the base rules or when the Jensen-Shannon
 distance (base 2, 0 to 1) of a histogram to its reference is over its limit.
 Guards: a histogram is judged only over enough words, and only if enough
 documents made its reference.
@@ -28,9 +28,11 @@ from hourloom.llm.common import land, replaced, sized, texts
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Limits of the Jensen-Shannon distances, words needed to judge, documents behind a reference.
-MAX_CHAR_DISTANCE, CHAR_WORDS = 0.20, 50
-MAX_WORD_DISTANCE, COMMON_WORDS = 0.45, 80
+MAX_CHAR_DISTANCE, CHAR_WORDS = 0.18, 50
+MAX_WORD_DISTANCE, COMMON_WORDS = 0.33, 80
 REFERENCE_DOCS = 20
+#: A document with more than one symbol in so many words is left out of the references.
+SYMBOL_WORDS = 20
 
 # Common function words of English, German, French and Spanish.
 COMMON = (
@@ -109,7 +111,7 @@ def _failed(m: tuple) -> bool:
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per language: ``_c_lang`` and ``_c_ref``, the pooled class counts,
-    common-word counts and number of the documents that pass the base rules.
+    common-word counts and number of the documents that may make one.
     Tasks add up their own batches first, so what is shuffled is small."""
     rows = docs.select(_lang(lang_col).alias("_c_lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_c_text"))
 
@@ -118,7 +120,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         for b in sized(batches, "_c_text"):
             for lang, raw in zip(b.column("_c_lang").to_pylist(), texts(b, "_c_text"), strict=True):
                 m = measures(raw)
-                if not _failed(m):
+                if not _failed(m) and SYMBOL_WORDS * m[2] <= m[0]:
                     sums[lang] = sums.get(lang, 0) + np.array([*m[5], *m[6], 1], np.int64)
             if len(sums) > 1000:
                 yield _reference_rows(sums)
