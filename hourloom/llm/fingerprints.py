@@ -44,33 +44,36 @@ def words(text: Column) -> Column:
 def _shingle_hashes(wh: Column) -> Column:
     """63-bit hashes of the shingles, from the words' hashes."""
     n = F.size(wh)
+    positive = F.lit(2**63 - 1)
     many = F.transform(F.slice(wh, F.lit(1), F.greatest(n - (SHINGLE_WORDS - 1), F.lit(0))),
-                       lambda x, i: F.xxhash64(x, *[F.get(wh, i + j) for j in range(1, SHINGLE_WORDS)]))
-    few = F.array(F.xxhash64(wh))
-    none = F.array().cast("array<bigint>")
-    kept = F.when(n >= SHINGLE_WORDS, many).when(n > 0, few).otherwise(none)
-    return F.transform(kept, lambda h: h.bitwiseAND(F.lit(2**63 - 1)))
+                       lambda x, i: F.xxhash64(x, *[F.get(wh, i + j) for j in range(1, SHINGLE_WORDS)]).bitwiseAND(positive))
+    few = F.array(F.xxhash64(wh).bitwiseAND(positive))
+    return F.when(n >= SHINGLE_WORDS, many).when(n > 0, few).otherwise(F.array().cast("array<bigint>"))
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds ``out``: the packed fingerprint of column ``text`` (hex string)."""
     t = "_c_fp"
-    sentinels = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)),
-                            lambda b: F.shiftleft(b.cast("long"), _VALUE_BITS) + F.lit(_SENTINEL))
+    sentinels = F.array(*[F.lit((b << _VALUE_BITS) + _SENTINEL).cast("long") for b in range(BINS)])  # folded to one literal
     bin_of = lambda x: F.shiftright(x, _VALUE_BITS)
+    filled = lambda x: x.bitwiseAND(F.lit(_SENTINEL)) != _SENTINEL
     df = df.withColumn(t, F.transform(words(F.col(text)), lambda w: F.xxhash64(w)))
-    df = df.withColumn(t, F.array_sort(F.concat(_shingle_hashes(F.col(t)), sentinels)))
+    df = df.withColumn(t, F.sort_array(F.concat(_shingle_hashes(F.col(t)), sentinels)))
     s = F.col(t)
     df = df.withColumn(t, F.filter(s, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(s, i - 1)))))
-    df = df.withColumn(t, F.transform(s, lambda x: F.when(x.bitwiseAND(F.lit(_SENTINEL)) != _SENTINEL, x)))
-    df = df.withColumn("_c_full", F.filter(s, lambda x: x.isNotNull()))
-    probe = lambda i, j: F.pmod(F.xxhash64(i, F.lit(j)), F.lit(BINS)).cast("int")
+    df = df.withColumn("_c_full", F.filter(s, filled))
+
+    def probe(i: Column, j: int) -> Column:
+        x = F.get(s, F.pmod(F.xxhash64(i, F.lit(j)), F.lit(BINS)).cast("int"))
+        return F.when(filled(x), x)
+
     rest = lambda i: F.array_min(F.transform(F.col("_c_full"), lambda x: F.struct(
         F.xxhash64(i, F.lit(-1), bin_of(x)).alias("r"), x.alias("x"))))["x"]
-    dense = F.transform(s, lambda x, i: F.coalesce(x, *[F.get(s, probe(i, j)) for j in range(PROBES)], rest(i)))
-    df = df.withColumn(t, F.when(F.size("_c_full") > 0, dense).otherwise(F.transform(s, lambda x: F.lit(0).cast("long"))))
-    packed = F.array_join(F.transform(s, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit((1 << BITS) - 1)))), BITS // 4, "0")), "")
-    return df.withColumn(out, packed).drop(t, "_c_full")
+    digits = F.array(*[F.lit(format(i, f"0{BITS // 4}x")) for i in range(1 << BITS)])
+    value = lambda x, i: F.when(filled(x), x).otherwise(F.coalesce(*[probe(i, j) for j in range(PROBES)], rest(i)))
+    dense = F.transform(s, lambda x, i: F.get(digits, value(x, i).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")))
+    zeros = F.lit("0" * (BINS * BITS // 4))
+    return df.withColumn(out, F.when(F.size("_c_full") > 0, F.array_join(dense, "")).otherwise(zeros)).drop(t, "_c_full")
 
 
 def with_likeness(df: DataFrame, out: str, a: str, b: str, a_empty: Column, b_empty: Column) -> DataFrame:
