@@ -17,16 +17,6 @@ def _c(x: Column | str | float) -> Column:
     return F.col(x) if isinstance(x, str) else F.lit(x)
 
 
-def fill(x, median) -> Column:
-    """train-median fill, then zero."""
-    return F.coalesce(_c(x), _c(median), F.lit(0.0))
-
-
-def robust_scale(x, center, scale) -> Column:
-    """(x - center) / scale."""
-    return (_c(x) - _c(center)) / _c(scale)
-
-
 def standard_scale(y, mean, std) -> Column:
     """(y - mean) / std; NULL stays NULL."""
     return (_c(y) - _c(mean)) / _c(std)
@@ -65,12 +55,3 @@ def quantize(x, scale, zero_point) -> Column:
 def dequantize(q, scale, zero_point) -> Column:
     """F8: (q - zp) * scale."""
     return (_c(q).cast("double") - _c(zero_point)) * _c(scale)
-
-
-def quantize_array(arr, scale, zero_point) -> Column:
-    """F7 over every element of an ARRAY<DOUBLE>."""
-    return F.transform(_c(arr), lambda v: quantize(v, scale, zero_point))
-
-
-def dequantize_array(arr, scale, zero_point) -> Column:
-    return F.transform(_c(arr), lambda q: dequantize(q, scale, zero_point))

@@ -12,8 +12,6 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from ..plans.joins import join_small
 from .timecols import from_micros
 
 # The four explicit formats of the reference, in its order
@@ -21,20 +19,29 @@ from .timecols import from_micros
 EXPLICIT_FORMATS = ["M/d/yyyy H:mm", "d/M/yyyy H:mm", "yyyy-M-d H:mm:ss", "yyyy-M-d H:mm"]
 # Approximation of generic inference (documented difference): common layouts
 # tried in order, month-first list then day-first list.
-GENERIC_COMMON = ["yyyy-M-d'T'H:mm:ss", "yyyy-M-d'T'H:mm", "yyyy-M-d H:mm:ss.SSSSSS",
-                  "yyyy-M-d'T'H:mm:ss.SSSSSS", "yyyy-M-d", "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm",
-                  "yyyy/M/d"]
+GENERIC_COMMON = ["yyyy-M-d'T'H:mm:ss", "yyyy-M-d'T'H:mm", "yyyy-M-d H:mm:ss", "yyyy-M-d H:mm",
+                  "yyyy-M-d H:mm:ss.SSSSSS", "yyyy-M-d'T'H:mm:ss.SSSSSS", "yyyy-M-d",
+                  "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d"]
+# 12-hour clock, month names and compact dates: the same in both lists.
+GENERIC_WORDED = ["yyyy-M-d h:mm:ss a", "yyyy-M-d h:mm a", "d MMM yyyy H:mm:ss", "d MMM yyyy H:mm", "d MMM yyyy",
+                  "d-MMM-yyyy H:mm:ss", "d-MMM-yyyy H:mm", "d-MMM-yyyy", "MMM d, yyyy H:mm", "MMM d, yyyy h:mm a",
+                  "MMM d, yyyy", "MMMM d, yyyy H:mm", "MMMM d, yyyy", "d MMMM yyyy H:mm", "d MMMM yyyy",
+                  "yyyyMMddHHmmss", "yyyyMMddHHmm", "yyyyMMdd HH:mm", "yyyyMMdd'T'HHmmss", "yyyyMMdd"]
 GENERIC_MONTH_FIRST = GENERIC_COMMON + ["M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy",
-                                        "M-d-yyyy H:mm:ss", "M-d-yyyy H:mm", "M-d-yyyy"]
+                                        "M-d-yyyy H:mm:ss", "M-d-yyyy H:mm", "M-d-yyyy",
+                                        "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a"]
 GENERIC_DAY_FIRST = GENERIC_COMMON + ["d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy",
-                                      "d-M-yyyy H:mm:ss", "d-M-yyyy H:mm", "d-M-yyyy", "d.M.yyyy H:mm",
-                                      "d.M.yyyy"]
+                                      "d-M-yyyy H:mm:ss", "d-M-yyyy H:mm", "d-M-yyyy", "d.M.yyyy H:mm:ss",
+                                      "d.M.yyyy H:mm", "d.M.yyyy", "d/M/yyyy h:mm:ss a", "d/M/yyyy h:mm a"]
+# A zone written after a time of day; the wall clock as written is kept.
+ZONE_SUFFIX = r"^(.*\d:\d{2}(?::\d{2}(?:\.\d+)?)?)\s*(?:[Zz]|UTC|GMT|[+-]\d{2}:?\d{2})$"
 MIN_SUCCESS_RATE = 0.80
 
 
 # pattern letter runs -> the digits they accept
-_TOKENS = [("yyyy", r"\d{4}"), ("SSSSSS", r"\d{1,6}"), ("MM", r"\d{2}"), ("dd", r"\d{2}"), ("HH", r"\d{2}"),
-           ("mm", r"\d{2}"), ("ss", r"\d{2}"), ("M", r"\d{1,2}"), ("d", r"\d{1,2}"), ("H", r"\d{1,2}")]
+_TOKENS = [("yyyy", r"\d{4}"), ("MMMM", r"[A-Za-z]{3,9}"), ("MMM", r"[A-Za-z]{3}"), ("SSSSSS", r"\d{1,6}"), ("MM", r"\d{2}"), ("dd", r"\d{2}"), ("HH", r"\d{2}"),
+           ("mm", r"\d{2}"), ("ss", r"\d{2}"), ("M", r"\d{1,2}"), ("d", r"\d{1,2}"), ("H", r"\d{1,2}"), ("hh", r"\d{2}"),
+           ("h", r"\d{1,2}"), ("a", r"[AaPp][Mm]")]
 
 
 def shape_regex(fmt: str) -> str:
@@ -76,8 +83,9 @@ def candidate_columns(text: Column | str) -> list[Column]:
     """The six candidates (UTC instants), in the reference's priority order."""
     t = F.regexp_replace(F.col(text) if isinstance(text, str) else text, r"^\s+|\s+$", "")
     cands = [_parse(t, fmt) for fmt in EXPLICIT_FORMATS]
-    cands.append(F.coalesce(*[_parse(t, fmt) for fmt in GENERIC_MONTH_FIRST]))
-    cands.append(F.coalesce(*[_parse(t, fmt) for fmt in GENERIC_DAY_FIRST]))
+    bare = F.regexp_replace(t, ZONE_SUFFIX, "$1")
+    cands.append(F.coalesce(*[_parse(bare, fmt) for fmt in GENERIC_MONTH_FIRST + GENERIC_WORDED]))
+    cands.append(F.coalesce(*[_parse(bare, fmt) for fmt in GENERIC_DAY_FIRST + GENERIC_WORDED]))
     return cands
 
 
@@ -97,7 +105,7 @@ def best_of_n_parse(df: DataFrame, text_col: str, series_col: str = "series_id",
     winner = F.coalesce(*[F.when(rc == best, F.lit(i)) for i, rc in enumerate(rate_cols)])
     report = rates.select(series_col, winner.alias("format_index"), best.alias("parse_rate"),
                           (best >= F.lit(MIN_SUCCESS_RATE)).alias("parse_passed"))
-    chosen = join_small(df, report.select(series_col, "format_index"), [series_col])
+    chosen = df.join(report.select(series_col, "format_index"), [series_col])
     # only the winning candidate is evaluated per row (CASE evaluates one branch)
     fresh = candidate_columns(text_col)
     pick = F.coalesce(*[F.when(F.col("format_index") == i, c) for i, c in enumerate(fresh)])

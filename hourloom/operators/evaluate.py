@@ -69,14 +69,16 @@ def kd_label(alpha: float | Column, y: str = "y_scaled", t: str = "teacher_scale
 def pair_teacher(hard: DataFrame, soft: DataFrame, keys: list[str] = ("series_id", "target_ts"),
                  check: bool = True) -> DataFrame:
     """Pair each hard label with the teacher prediction by key; with
-    ``check`` a count mismatch raises (the reference's length check)."""
+    ``check`` a label without a prediction, or with several, raises (one
+    aggregate over the keys alone)."""
     keys = list(keys)
-    paired = hard.join(soft, keys, "inner")
     if check:
-        n_hard, n_pair = hard.count(), paired.count()
-        if n_hard != n_pair:
-            raise ValueError(f"teacher predictions cover {n_pair} of {n_hard} labels")
-    return paired
+        times = soft.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        bad = hard.select(*keys).join(times, keys, "left").agg(
+            F.count_if(F.col("_n").isNull()).alias("missing"), F.count_if(F.col("_n") > 1).alias("repeated")).first()
+        if bad["missing"] or bad["repeated"]:
+            raise ValueError(f"teacher predictions: {bad['missing']} labels have none, {bad['repeated']} have several")
+    return hard.join(soft, keys, "inner")
 
 
 def prediction_frame(df: DataFrame, observed: str, predicted: str, split: str | Column, precision: str,

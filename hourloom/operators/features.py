@@ -6,22 +6,21 @@ rows only (``idx < train_end``) and come out as small per-series tables: one
 wide row per series (arrays in feature order) for applying, and the long
 ``feature_params`` table as the persisted form (S4).
 
-Exact ``percentile`` is used on purpose: MLlib's RobustScaler is approximate.
-Its buffer per group is bounded by the series' training grid length.
+Quantiles are exact (MLlib's RobustScaler is approximate), with bounded state
+(``operators.quantiles``).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cols import qc
 from ..functions.calendar import CALENDAR_FEATURES, calendar_columns
 from ..functions.numeric import nonfinite_to_null
 from ..functions.scaling import nonzero_scale
-from ..plans.joins import join_small
 from .quantiles import group_quantiles
 
 SERIES = "series_id"
@@ -68,33 +67,35 @@ def feature_frame(hourly: DataFrame, layout: FeatureLayout) -> DataFrame:
                          *[f.alias(f"_f{i}") for i, f in enumerate(feats)])
 
 
-def fit_params(feats: DataFrame, splits: DataFrame, layout: FeatureLayout, quantiles: str = "auto") -> DataFrame:
+def fit_params(feats: DataFrame, splits: DataFrame, layout: FeatureLayout) -> DataFrame:
     """A3 + A4 + A5 on training rows; one row per series:
     ``(series_id, n, train_end, val_end, fill_medians, centers, scales,
-    y_mean, y_std, train_targets)``.  ``quantiles``: see
-    ``operators.quantiles.group_quantiles`` (``auto`` switches to the
-    bracketed exact mode when a series' training span is long)."""
-    names = layout.names
-    k = len(names)
-    train = join_small(feats, splits, [SERIES]).where(F.col("idx") < F.col("train_end"))
-    longest = splits.agg(F.max("train_end")).collect()[0][0] or 0
+    y_mean, y_std, train_targets)``.  A series without training rows keeps its
+    row, with null statistics and no train targets."""
+    k = len(layout.names)
+    train = feats.join(splits.select(SERIES, "train_end"), [SERIES]).where(F.col("idx") < F.col("train_end"))
     # A3: medians of the raw features (NULLs skipped); a NULL median is 0.0
-    med_q = group_quantiles(train, [SERIES], [F.col(f"_f{i}") for i in range(k)], [0.5], quantiles, longest)
+    med_q = group_quantiles(train, [SERIES], [F.col(f"_f{i}") for i in range(k)], [0.5])
     med = med_q.select(SERIES, *[F.coalesce(F.col(f"_q{i}")[0], F.lit(0.0)).alias(f"_m{i}") for i in range(k)])
     # A5: target scaler on finite training targets (unfilled)
     tgt = train.groupBy(SERIES).agg(F.avg("target").alias("y_mean"), F.stddev_pop("target").alias("_y_std"),
                                     F.count("target").alias("train_targets"))
     # A4: robust fit on the median-filled training rows
-    filled = join_small(train, med, [SERIES])
+    filled = train.join(med, [SERIES])
     rob = group_quantiles(filled, [SERIES], [F.coalesce(F.col(f"_f{i}"), F.col(f"_m{i}")) for i in range(k)],
-                          [0.25, 0.5, 0.75], quantiles, longest)
-    out = (splits.join(med, SERIES).join(tgt, SERIES).join(rob, SERIES)
-           .select(SERIES, "n", "train_end", "val_end",
-                   F.array(*[F.col(f"_m{i}") for i in range(k)]).alias("fill_medians"),
-                   F.array(*[F.col(f"_q{i}")[1] for i in range(k)]).alias("centers"),
-                   F.array(*[nonzero_scale(F.col(f"_q{i}")[2] - F.col(f"_q{i}")[0]) for i in range(k)]).alias("scales"),
-                   "y_mean", nonzero_scale("_y_std").alias("y_std"), "train_targets"))
-    return out
+                          [0.25, 0.5, 0.75])
+    return (splits.join(med, SERIES, "left").join(tgt, SERIES, "left").join(rob, SERIES, "left")
+            .select(SERIES, "n", "train_end", "val_end",
+                    F.array(*[F.col(f"_m{i}") for i in range(k)]).alias("fill_medians"),
+                    F.array(*[F.col(f"_q{i}")[1] for i in range(k)]).alias("centers"),
+                    F.array(*[nonzero_scale(F.col(f"_q{i}")[2] - F.col(f"_q{i}")[0]) for i in range(k)]).alias("scales"),
+                    "y_mean", nonzero_scale("_y_std").alias("y_std"),
+                    F.coalesce("train_targets", F.lit(0)).alias("train_targets")))
+
+
+def fitted(params: DataFrame) -> DataFrame:
+    """The series that had training rows (a median is never null there)."""
+    return params.where(F.col("fill_medians")[0].isNotNull())
 
 
 def feature_params_long(params: DataFrame, layout: FeatureLayout) -> DataFrame:
@@ -102,7 +103,7 @@ def feature_params_long(params: DataFrame, layout: FeatureLayout) -> DataFrame:
     names = F.array(*[F.lit(n) for n in layout.names])
     z = F.arrays_zip(names.alias("feature"), F.col("fill_medians").alias("fill_median"),
                      F.col("centers").alias("center"), F.col("scales").alias("scale"))
-    return (params.select(SERIES, F.posexplode(z).alias("ord", "p"))
+    return (fitted(params).select(SERIES, F.posexplode(z).alias("ord", "p"))
             .select(SERIES, F.col("p.feature").alias("feature"), F.col("ord").cast("int").alias("ord"),
                     F.col("p.fill_median").alias("fill_median"), F.col("p.center").alias("center"),
                     F.col("p.scale").alias("scale")))
@@ -110,18 +111,3 @@ def feature_params_long(params: DataFrame, layout: FeatureLayout) -> DataFrame:
 
 def target_params(params: DataFrame) -> DataFrame:
     return params.select(SERIES, "y_mean", "y_std", "train_end", "val_end", "n")
-
-
-def scaled_vector(layout: FeatureLayout) -> Column:
-    """J2 + F6 + F3 projection: fill then robust-scale every feature into one
-    ARRAY<DOUBLE> in feature order (expects the wide params joined)."""
-    return F.array(*[((F.coalesce(F.col(f"_f{i}"), F.col("fill_medians")[i], F.lit(0.0)) - F.col("centers")[i])
-                      / F.col("scales")[i]) for i in range(len(layout.names))])
-
-
-def apply_params(feats: DataFrame, params: DataFrame, layout: FeatureLayout) -> DataFrame:
-    """``(series_id, idx, ts, target, y_scaled, x, train_end, val_end)``."""
-    joined = join_small(feats, params, [SERIES])
-    return joined.select(SERIES, "idx", "ts", "target",
-                         ((F.col("target") - F.col("y_mean")) / F.col("y_std")).alias("y_scaled"),
-                         scaled_vector(layout).alias("x"), "train_end", "val_end")

@@ -6,15 +6,16 @@ isolation, M1/M3 learners, M2 distillation as regression on a blended label,
 M7 scoring back to target units, M8 history, M9 validation early stop
 (GBT), M10 size, M12 soft labels, S5 model sink and size.
 
-Windows are read from a written table (short lineage); every fit is a
-distributed MLlib job, and several trials run at once from a driver thread
-pool.  Nothing but hyper-parameters and metric rows passes the driver.
+``model_rows`` writes what every fit and score reads, once per study: keys,
+split, feature vector, labels and the series' target scaling.  Every fit is a
+distributed MLlib job over that table, and several trials run at once from a
+driver thread pool.  Nothing but hyper-parameters and metric rows passes the
+driver.
 """
 
 from __future__ import annotations
 
 import math
-import traceback
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scaling import inverse_standard
-from ..plans.joins import join_small
+from ..session import materialize
 from . import evaluate as ev
 
 SERIES = "series_id"
@@ -69,12 +70,14 @@ BASELINE_SPACES = {
 
 def trials_table(spark: SparkSession, space: tuple, n_trials: int, seed: int) -> DataFrame:
     """M4: one row per trial with one typed column per dimension.  A uniform
-    draw per (seed, trial, dimension) comes from a 64-bit hash, so the table
-    is reproducible and computed by Spark, not a driver RNG."""
+    draw per (seed, trial, dimension) is the leading 32 bits of an MD5 digest,
+    so the table is reproducible in any engine and computed by Spark, not a
+    driver RNG."""
     base = spark.range(1, n_trials + 1).select(F.col("id").cast("int").alias("trial"))
     cols = [F.col("trial")]
     for i, dim in enumerate(space):
-        u = F.pmod(F.xxhash64(F.lit(seed), F.col("trial"), F.lit(i), F.lit(dim.name)), F.lit(2 ** 31)) / F.lit(float(2 ** 31))
+        text = F.concat_ws("|", F.lit(str(seed)), F.col("trial").cast("string"), F.lit(str(i)), F.lit(dim.name))
+        u = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(2 ** 32))
         if isinstance(dim, Integer):
             v = (F.lit(dim.low) + F.floor(u * (dim.high - dim.low + 1))).cast("int")
         elif isinstance(dim, Categorical):
@@ -88,15 +91,48 @@ def trials_table(spark: SparkSession, space: tuple, n_trials: int, seed: int) ->
     return base.select(*cols)
 
 
-# ----------------------------------------------------------------- features
+# ----------------------------------------------------------------- rows of the fits
 
-def with_features(windows: DataFrame) -> DataFrame:
-    """Time-major flat feature vector for MLlib."""
-    return windows.withColumn("features", array_to_vector(F.flatten("seq")))
+def model_rows(windows: DataFrame, params: DataFrame, features: Column | None = None) -> DataFrame:
+    """What all fits and scores read, written once: ``features`` (default: the
+    time-major flat window) as a vector, labels, split and target scaling."""
+    flat = F.flatten("seq") if features is None else features
+    rows = windows.join(params.select(SERIES, "y_mean", "y_std"), [SERIES])
+    return materialize(rows.select(SERIES, "idx", "target_ts", "split", array_to_vector(flat).alias("features"),
+                                   "y_raw", "y_scaled", "y_mean", "y_std"), "model-rows")
 
 
-def build_estimator(kind: str, spec: dict, seed: int, label: str = "y_scaled", early_stop: bool = True):
-    """M1/M2/M3 learners from a spec row."""
+@dataclass(frozen=True)
+class LabelMoments:
+    """Spread of the labels over the train rows (one aggregate per study stage)."""
+
+    n: int
+    var_y: float
+    var_t: float
+    cov: float
+
+    def std(self, alpha: float = 1.0, sample: bool = False) -> float:
+        """Standard deviation of ``alpha * y + (1 - alpha) * teacher``."""
+        v = alpha ** 2 * self.var_y + 2 * alpha * (1 - alpha) * self.cov + (1 - alpha) ** 2 * self.var_t
+        return math.sqrt(max(v, 0.0) * (self.n / (self.n - 1) if sample and self.n > 1 else 1.0))
+
+
+def label_moments(rows: DataFrame) -> LabelMoments:
+    t = "teacher_scaled" if "teacher_scaled" in rows.columns else "y_scaled"
+    r = rows.where(F.col("split") == "train").agg(
+        F.count("y_scaled").alias("n"), F.var_pop("y_scaled").alias("vy"), F.var_pop(t).alias("vt"),
+        F.covar_pop("y_scaled", t).alias("c")).first()
+    return LabelMoments(r["n"], r["vy"] or 0.0, r["vt"] or 0.0, r["c"] or 0.0)
+
+
+def build_estimator(kind: str, spec: dict, seed: int, label: str = "y_scaled", early_stop: bool = True,
+                    moments: LabelMoments | None = None, iterate: bool = False):
+    """M1/M2/M3 learners from a spec row.
+
+    MLlib divides a linear model's penalty by its label's standard deviation,
+    so ``l2`` is multiplied by it: the penalty is then ``l2`` whatever the
+    blend.  ``iterate`` asks for the iterative solver (its objective history is
+    M8); otherwise the normal equations are solved in one pass."""
     if kind in ("gbt", "teacher"):
         kw = dict(maxDepth=int(spec["max_depth"]), maxIter=int(spec["max_iter"]), stepSize=float(spec["step_size"]),
                   subsamplingRate=float(spec["subsampling_rate"]), seed=seed, labelCol=label, featuresCol="features")
@@ -104,15 +140,17 @@ def build_estimator(kind: str, spec: dict, seed: int, label: str = "y_scaled", e
             kw.update(validationIndicatorCol="is_val", validationTol=0.01)
         return GBTRegressor(**kw)
     if kind in ("linear", "student"):
-        return LinearRegression(regParam=float(spec["l2"]), elasticNetParam=0.0, standardization=False,
-                                maxIter=100, labelCol=label, featuresCol="features")
+        spread = moments.std(float(spec.get("kd_alpha", 1.0)), sample=iterate) if moments else 1.0
+        return LinearRegression(regParam=float(spec["l2"]) * spread, elasticNetParam=0.0, standardization=False,
+                                solver="l-bfgs" if iterate else "normal", maxIter=200, tol=1e-10,
+                                labelCol=label, featuresCol="features")
     if kind == "decision_tree":
         return DecisionTreeRegressor(maxDepth=int(spec["max_depth"]), minInstancesPerNode=int(spec["min_instances"]),
                                      seed=seed, labelCol=label, featuresCol="features")
     if kind == "random_forest":
         return RandomForestRegressor(numTrees=int(spec["num_trees"]), maxDepth=int(spec["max_depth"]), seed=seed,
                                      labelCol=label, featuresCol="features")
-    raise ValueError(kind)
+    raise ValueError(f"unknown learner {kind!r}")
 
 
 def param_count(model) -> int:
@@ -125,70 +163,91 @@ def param_count(model) -> int:
 
 
 def history(model, data: DataFrame | None = None) -> list[float]:
-    """M8: objective per iteration (linear) or loss per tree (GBT, on data)."""
-    if hasattr(model, "summary") and hasattr(model.summary, "objectiveHistory"):
-        return list(model.summary.objectiveHistory)
+    """M8: objective per iteration (linear, iterative solver) or loss per tree
+    (GBT, on data); a model fitted in one step has none."""
+    if hasattr(model, "coefficients"):
+        values = list(model.summary.objectiveHistory) if model.hasSummary else []
+        return values if len(values) > 1 else []
     if hasattr(model, "evaluateEachIteration") and data is not None:
         return list(model.evaluateEachIteration(data, "squared"))
     return []
 
 
-def fit(kind: str, spec: dict, seed: int, train: DataFrame, label: str = "y_scaled"):
+def epochs(model) -> int | None:
+    """Boosting rounds or trees of an ensemble, iterations of an iterative
+    solve, 1 for a single tree; null for a closed-form solve."""
+    if hasattr(model, "coefficients"):
+        return len(history(model)) or None
+    if hasattr(model, "trees"):
+        return int(model.getNumTrees)
+    return 1
+
+
+def labelled(kind: str, spec: dict, rows: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The rows with the label that the spec asks for (M2: blended)."""
+    if "kd_alpha" in spec:
+        return rows.withColumn("kd_label", blended_label(float(spec["kd_alpha"]))), "kd_label"
+    return rows, label
+
+
+def fit(kind: str, spec: dict, seed: int, rows: DataFrame, label: str = "y_scaled",
+        moments: LabelMoments | None = None, iterate: bool = False):
     """Fit on train windows; GBT also gets validation rows for early stopping
     (M9) through the indicator column, never as training rows."""
-    est = build_estimator(kind, spec, seed, label)
+    rows, label = labelled(kind, spec, rows, label)
+    if kind in ("linear", "student") and moments is None:
+        moments = label_moments(rows)
+    est = build_estimator(kind, spec, seed, label, moments=moments, iterate=iterate)
     if isinstance(est, GBTRegressor) and est.isSet("validationIndicatorCol"):
-        data = train.where(F.col("split").isin("train", "val")).withColumn("is_val", F.col("split") == "val")
+        data = rows.where(F.col("split").isin("train", "val")).withColumn("is_val", F.col("split") == "val")
     else:
-        data = train.where(F.col("split") == "train")
+        data = rows.where(F.col("split") == "train")
     return est.fit(data)
 
 
-def score(model, windows: DataFrame, params: DataFrame, out: str = "predicted") -> DataFrame:
-    """M7: predictions back in target units (F5 with per-series params)."""
-    pred = model.transform(windows).withColumnRenamed("prediction", "predicted_scaled")
-    tp = params.select(SERIES, "y_mean", "y_std")
-    return join_small(pred, tp, [SERIES]).withColumn(out, inverse_standard("predicted_scaled", "y_mean", "y_std"))
+def score(model, rows: DataFrame, out: str = "predicted") -> DataFrame:
+    """M7: predictions back in target units (F5 with the row's own scaling)."""
+    pred = model.transform(rows).withColumnRenamed("prediction", "predicted_scaled")
+    return pred.withColumn(out, inverse_standard("predicted_scaled", "y_mean", "y_std"))
 
 
-def evaluate_trials(kind: str, trials: DataFrame, windows: DataFrame, params: DataFrame, seed: int,
-                    label: str = "y_scaled", parallelism: int = 4, stage: str = "search") -> DataFrame:
+# Output columns of a trial (fixed names of the result contract).
+_TRIAL_RESULT = {"stage": "string", "seed": "int", "validation_R2": "double", "validation_MAE_ugm3": "double",
+                 "validation_RMSE_ugm3": "double", "params": "long", "epochs_completed": "int", "status": "string",
+                 "error": "string"}
+
+
+def evaluate_trials(kind: str, trials: DataFrame, rows: DataFrame, seed: int, label: str = "y_scaled",
+                    parallelism: int = 4, stage: str = "search") -> DataFrame:
     """M5: fit every trial, score validation (A8 in target units), keep a
-    failed row (NULL metrics, objective 1e6) for any trial that raises."""
-    spark = windows.sparkSession
+    failed row (NULL metrics, objective 1e6, the whole error text) for any
+    trial that raises."""
+    spark = rows.sparkSession
     specs = [r.asDict() for r in trials.orderBy("trial").collect()]   # n_trials rows of hyper-parameters
-    val = windows.where(F.col("split") == "val")
+    val = rows.where(F.col("split") == "val")
+    moments = label_moments(rows)
 
     def run(spec: dict) -> dict:
-        row = dict(spec, stage=stage, seed=seed)
+        row = dict.fromkeys(_TRIAL_RESULT) | spec | {"stage": stage, "seed": seed}
         try:
-            model = fit(kind, spec, seed, windows, label)
-            m = ev.regression_metrics(score(model, val, params), [], "y_raw", "predicted").collect()[0]
-            hist = history(model)
-            row.update(validation_R2=m["R2"], validation_MAE_ugm3=m["MAE_ugm3"],
-                       validation_RMSE_ugm3=m["RMSE_ugm3"], params=param_count(model),
-                       epochs_completed=len(hist) or 1,
-                       status="success", error="")
+            model = fit(kind, spec, seed, rows, label, moments)
+            m = ev.regression_metrics(score(model, val), [], "y_raw", "predicted").collect()[0]
+            return row | {"validation_R2": m["R2"], "validation_MAE_ugm3": m["MAE_ugm3"], "validation_RMSE_ugm3": m["RMSE_ugm3"],
+                          "params": param_count(model), "epochs_completed": epochs(model), "status": "success", "error": ""}
         except Exception as e:  # noqa: BLE001 - failure isolation per trial
-            row.update(validation_R2=None, validation_MAE_ugm3=None, validation_RMSE_ugm3=None, params=None,
-                       epochs_completed=0, status="failed", error=repr(e)[:500] + traceback.format_exc()[-200:])
-        return row
+            return row | {"epochs_completed": 0, "status": "failed", "error": repr(e)}
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        rows = list(pool.map(run, specs))
-    out = spark.createDataFrame(rows, _trial_schema(trials))
-    return ev.with_objective(out)
-
-
-def _trial_schema(trials: DataFrame) -> str:
-    dims = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in trials.schema.fields)
-    return (f"{dims}, stage string, seed int, validation_R2 double, validation_MAE_ugm3 double, "
-            "validation_RMSE_ugm3 double, params long, epochs_completed int, status string, error string")
+        found = list(pool.map(run, specs))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in trials.schema.fields]
+                       + [f"{c} {t}" for c, t in _TRIAL_RESULT.items()])
+    names = [*trials.columns, *_TRIAL_RESULT]
+    return ev.with_objective(spark.createDataFrame([tuple(r[c] for c in names) for r in found], schema))
 
 
-def soft_labels(teacher, windows: DataFrame) -> DataFrame:
+def soft_labels(teacher, rows: DataFrame) -> DataFrame:
     """Teacher predictions (scaled) kept on the same window rows."""
-    return teacher.transform(windows).withColumnRenamed("prediction", "teacher_scaled")
+    return teacher.transform(rows).withColumnRenamed("prediction", "teacher_scaled")
 
 
 def save_model(model, path: str) -> float:

@@ -1,21 +1,22 @@
-"""Exact grouped quantiles without one unbounded buffer per group.
+"""Exact grouped quantiles with bounded state per group.
 
-``percentile`` is exact but keeps every distinct value of a group in one
-aggregation buffer, so one series holding a third of all rows would be one
-huge buffer in one task.  The bracketed mode stays exact with bounded state:
+``percentile`` keeps every distinct value of a group in one aggregation
+buffer, so one series holding a third of all rows would be one huge buffer in
+one task.  Here one path serves every size:
 
-1. one pass: ``count`` and a ``percentile_approx`` sketch (memory set by
-   ``accuracy``, rank error at most n/accuracy) bracket every target rank
-   with values ``[L, U]``;
-2. second pass: per group, count the values below ``L`` and gather only the
-   values inside ``[L, U]`` (about 4n/accuracy of them; groups with at most
-   ``4 * accuracy`` values gather everything);
-3. the exact order statistics are read from the sorted bracket, and
+1. ``count`` and a ``percentile_approx`` sketch (memory set by ``accuracy``,
+   rank error at most n/accuracy) bracket every target rank with values
+   ``[L, U]``;
+2. rows are counted by (key, feature, value) when the value lies in a bracket
+   and by (key, feature, which brackets it is below or above) when not, so
+   ties and the values outside shrink to counts before the shuffle;
+3. per (key, feature) the distinct values inside the brackets with their
+   counts, and the nearest value on each side, give the order statistics,
    interpolated exactly as ``percentile`` does (``(hi-pos)*a + (pos-lo)*b``).
 
-Both passes are partial + final aggregations keyed by ``(keys, feature)``.
-A group whose bracket misses its rank (not expected, given the sketch bound)
-falls back to ``percentile`` for that group only.
+What one task gathers is the distinct values inside a bracket: about
+``4n/accuracy`` of them for a column without ties, a handful for one with ties.
+A rank outside its bracket (impossible by the sketch's bound) raises.
 """
 
 from __future__ import annotations
@@ -23,81 +24,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.joins import join_small
-
 DEFAULT_ACCURACY = 10_000
-MAX_EXACT_ROWS = 262_144   # per-group rows up to which plain ``percentile`` is used
-
-
-def _percentile_wide(df: DataFrame, keys: list[str], exprs: list[Column], probs: list[float]) -> DataFrame:
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    return df.groupBy(*keys).agg(*[F.percentile(e, arr).alias(f"_q{i}") for i, e in enumerate(exprs)])
 
 
-def _interpolate(sorted_vals: Column, below: Column, n: Column, p: float) -> tuple[Column, Column]:
-    pos = (n - 1).cast("double") * F.lit(float(p))
-    lo = F.floor(pos).cast("long")
-    hi = F.ceil(pos).cast("long")
-    a = F.element_at(sorted_vals, (lo - below + 1).cast("int"))
-    b = F.element_at(sorted_vals, (hi - below + 1).cast("int"))
-    val = (F.when(hi == lo, a).when(a == b, a)
-            .otherwise((hi.cast("double") - pos) * a + (pos - lo.cast("double")) * b))
-    ok = (below <= lo) & (below + F.size(sorted_vals) > hi)
-    return val, ok
+def _at_rank(inside: Column, below: Column, n_inside: Column, before: Column, after: Column, rank: Column) -> Column:
+    """Value of the given rank: inside the bracket, or its neighbour."""
+    start = F.struct(below.alias("seen"), F.lit(None).cast("double").alias("v"))
+    walk = F.aggregate(inside, start, lambda acc, x: F.struct(
+        (acc["seen"] + x["c"]).alias("seen"),
+        F.when(acc["v"].isNotNull(), acc["v"]).when(acc["seen"] + x["c"] > rank, x["v"]).alias("v")))
+    return (F.when((rank >= below) & (rank < below + n_inside), walk["v"])
+            .when(rank == below - 1, before).when(rank == below + n_inside, after)
+            .otherwise(F.raise_error(F.lit("quantile rank outside its bracket")).cast("double")))
 
 
 def group_quantiles(df: DataFrame, keys: list[str], exprs: list[Column], probs: list[float],
-                    mode: str = "auto", group_rows: int | None = None, accuracy: int = DEFAULT_ACCURACY,
-                    max_exact_rows: int = MAX_EXACT_ROWS) -> DataFrame:
+                    accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """``keys`` + one ``ARRAY<DOUBLE>`` column ``_q{i}`` per expression with
-    the exact quantiles at ``probs`` (NULLs skipped; all-NULL -> NULL).
-
-    ``mode``: ``exact`` (``percentile``), ``bracket``, or ``auto`` (exact when
-    the known largest group, ``group_rows``, is at most ``max_exact_rows``)."""
-    if mode == "exact" or (mode == "auto" and group_rows is not None and group_rows <= max_exact_rows):
-        return _percentile_wide(df, keys, exprs, probs)
+    the exact quantiles at ``probs`` (NULLs skipped; all-NULL -> NULL)."""
     d = 2.0 / accuracy
-    bprobs = sorted({max(0.0, p - d) for p in probs} | {min(1.0, p + d) for p in probs})
-    idx = {b: i for i, b in enumerate(bprobs)}
-    small_n = 4 * accuracy
+    ends = [(max(0.0, p - d), min(1.0, p + d)) for p in probs]
+    bprobs = sorted({b for pair in ends for b in pair})
+    at = {b: i for i, b in enumerate(bprobs)}
     long = (df.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("fid"), e.cast("double").alias("v"))
                                                  for i, e in enumerate(exprs)])).alias("_p"))
               .select(*keys, "_p.fid", "_p.v").where(F.col("v").isNotNull()))
     sketch = long.groupBy(*keys, "fid").agg(
         F.count("v").alias("n"),
         F.percentile_approx("v", F.array(*[F.lit(b) for b in bprobs]), accuracy).alias("ap"))
-    inf = F.lit(float("inf"))
-    cols = [*keys, "fid", "n"]
-    for j, p in enumerate(probs):
-        small = F.col("n") <= small_n
-        lo_b = F.when(small, -inf).otherwise(F.col("ap")[idx[max(0.0, p - d)]])
-        hi_b = F.when(small, inf).otherwise(F.col("ap")[idx[min(1.0, p + d)]])
-        cols += [lo_b.alias(f"L{j}"), hi_b.alias(f"U{j}")]
-    br = sketch.select(*cols)
-    joined = join_small(long, br, [*keys, "fid"])
+    rows = long.join(sketch, [*keys, "fid"])
+    lows = [F.col("v") < F.col("ap")[at[lo]] for lo, _ in ends]
+    highs = [F.col("v") > F.col("ap")[at[hi]] for _, hi in ends]
+    within = [~lo & ~hi for lo, hi in zip(lows, highs, strict=True)]
+    kept = within[0]
+    for w in within[1:]:
+        kept = kept | w
+    sides = F.array(*[F.when(lo, -1).when(hi, 1).otherwise(0) for lo, hi in zip(lows, highs, strict=True)])
+    counted = (rows.select(*keys, "fid", "n", sides.alias("side"), F.when(kept, F.col("v")).alias("slot"), "v")
+               .groupBy(*keys, "fid", "side", "slot")
+               .agg(F.count("v").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"), F.first("n").alias("n")))
     aggs = [F.first("n").alias("n")]
     for j in range(len(probs)):
-        lo_b, hi_b = F.col(f"L{j}"), F.col(f"U{j}")
-        aggs += [F.count_if(F.col("v") < lo_b).alias(f"B{j}"),
-                 F.collect_list(F.when((F.col("v") >= lo_b) & (F.col("v") <= hi_b), F.col("v"))).alias(f"I{j}")]
-    per = joined.groupBy(*keys, "fid").agg(*aggs)
-    vals, oks = [], []
+        side = F.get("side", j)
+        aggs += [F.coalesce(F.sum(F.when(side == -1, F.col("c"))), F.lit(0)).alias(f"below{j}"),
+                 F.coalesce(F.sum(F.when(side == 0, F.col("c"))), F.lit(0)).alias(f"inside_n{j}"),
+                 F.max(F.when(side == -1, F.col("most"))).alias(f"before{j}"),
+                 F.min(F.when(side == 1, F.col("least"))).alias(f"after{j}"),
+                 F.sort_array(F.collect_list(F.when(side == 0, F.struct(F.col("slot").alias("v"), "c")))).alias(f"inside{j}")]
+    per = counted.groupBy(*keys, "fid").agg(*aggs)
+    values = []
     for j, p in enumerate(probs):
-        v, ok = _interpolate(F.array_sort(F.col(f"I{j}")), F.col(f"B{j}"), F.col("n"), p)
-        vals.append(v)
-        oks.append(ok)
-    okall = oks[0]
-    for o in oks[1:]:
-        okall = okall & o
-    res = per.select(*keys, "fid", F.array(*vals).alias("q"), okall.alias("ok"))
-    wide = res.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("fid") == i, F.col("q"))).alias(f"_q{i}") for i in range(len(exprs))],
-        F.min(F.col("ok").cast("int")).alias("_ok")).cache()
-    bad = wide.where(F.col("_ok") == 0).select(*keys)
-    if bad.limit(1).count() == 0:
-        out = wide.drop("_ok")
-    else:  # fallback for groups whose bracket missed (should not happen)
-        exact = _percentile_wide(df.join(bad, keys, "left_semi"), keys, exprs, probs)
-        out = wide.where(F.col("_ok") == 1).drop("_ok").unionByName(exact)
+        pos = (F.col("n") - 1).cast("double") * F.lit(float(p))
+        lo, hi = F.floor(pos).cast("long"), F.ceil(pos).cast("long")
+        a, b = (_at_rank(F.col(f"inside{j}"), F.col(f"below{j}"), F.col(f"inside_n{j}"), F.col(f"before{j}"),
+                         F.col(f"after{j}"), r) for r in (lo, hi))
+        values.append(F.struct(a.alias("a"), b.alias("b"), lo.alias("lo"), hi.alias("hi"), pos.alias("pos")).alias(f"x{j}"))
+    ranked = per.select(*keys, "fid", *values)
+    x = [F.col(f"x{j}") for j in range(len(probs))]
+    q = F.array(*[F.when((v["hi"] == v["lo"]) | (v["a"] == v["b"]), v["a"])
+                  .otherwise((v["hi"].cast("double") - v["pos"]) * v["a"] + (v["pos"] - v["lo"].cast("double")) * v["b"]) for v in x])
+    wide = ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("fid") == i, q)).alias(f"_q{i}") for i in range(len(exprs))])
     # groups with no non-null value at all still get a row (NULL quantiles)
-    return df.select(*keys).distinct().join(out, keys, "left")
+    return df.select(*keys).distinct().join(wide, keys, "left")

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scaling import INT8_MAX, INT8_MIN, clip_int8, dequantize, quantize_raw
-from ..plans.joins import join_small
 from .halo import DEFAULT_CHUNK_ROWS
 
 SERIES = "series_id"
@@ -29,7 +28,7 @@ def rank_in_order(df: DataFrame, key_cols: list[str], order_col: str, chunk_rows
     offsets = counts.select(*key_cols, "_chunk", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"),
                             F.sum("_c").over(Window.partitionBy(*key_cols)).alias("_total"))
     inner = Window.partitionBy(*key_cols, "_chunk").orderBy(order_col)
-    ranked = join_small(chunked, offsets, [*key_cols, "_chunk"])
+    ranked = chunked.join(offsets, [*key_cols, "_chunk"])
     return (ranked.withColumn(out, F.col("_off") + F.row_number().over(inner) - 1)
             .withColumnRenamed("_total", f"{out}_total").drop("_chunk", "_off"))
 
@@ -41,8 +40,9 @@ def representative_sample(windows: DataFrame, max_samples: int = REPRESENTATIVE_
     i < k-1 and exactly ``n-1`` for the last; k = 1 takes position 0."""
     key_cols = key_cols or [SERIES]
     train = windows.where(F.col("split") == split)
-    ranked = rank_in_order(train, key_cols, order_col)
-    sizes = ranked.select(*key_cols, F.col("pos_total").alias("n")).distinct()
+    # only the keys are ranked and shuffled; the chosen positions come back to the rows at the end
+    ranked = rank_in_order(train.select(*key_cols, order_col), key_cols, order_col)
+    sizes = train.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("n"))
     k = F.least(F.lit(max_samples).cast("long"), F.col("n"))
     pos_i = sizes.select(*key_cols, "n", k.alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), k - 1)).alias("i"))
     step = (F.col("n") - F.lit(1.0)) / (F.col("k") - 1)
@@ -50,7 +50,8 @@ def representative_sample(windows: DataFrame, max_samples: int = REPRESENTATIVE_
             .when(F.col("i") == F.col("k") - 1, F.col("n") - 1)
             .otherwise(F.floor(F.col("i") * step).cast("long")))
     positions = pos_i.select(*key_cols, pos.alias("pos"))
-    return join_small(ranked, positions, [*key_cols, "pos"], how="left_semi").drop("pos_total")
+    chosen = ranked.join(positions, [*key_cols, "pos"], "left_semi").select(*key_cols, order_col, "pos")
+    return train.join(chosen, [*key_cols, order_col])
 
 
 def calibrate(df: DataFrame, values: Column, key_cols: list[str] | None = None, prefix: str = "",

@@ -5,15 +5,18 @@ Input: observations ``(series_id, ts TIMESTAMP_NTZ, <value columns> DOUBLE)``.
 Output ``hourly``: ``(series_id, idx LONG, ts, <value columns>)``, one row per
 grid step from each series' first to last timestamp.
 
-Plan shape: one partial+final aggregate on ``(series_id, ts)`` (A1; spread by
-time, so a hot series is not one task), one tiny aggregate for per-series
-bounds, the grid generated in chunks from the bounds, a left equi-join on
-``(series_id, ts)`` that reuses A1's partitioning, and one chunked window for
-the forward fill.
+Plan shape: one tiny aggregate for per-series bounds; a row's grid position is
+then arithmetic.  The grid's empty rows, generated in chunks from the bounds,
+are added to the observations before A1, whose partial + final aggregate on
+``(series_id, idx)`` (spread by time, so a hot series is not one task) both
+averages duplicates and leaves one row per grid step: no join, one shuffle, and
+duplicates shrink before it.  The windows that follow take one more.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
@@ -45,16 +48,9 @@ def series_bounds(obs: DataFrame, step: str | int = "hour") -> DataFrame:
     return b.withColumn("n", n)
 
 
-def duplicate_mean(obs: DataFrame, value_cols: list[str]) -> DataFrame:
-    """A1: mean of rows sharing an exact timestamp (NULLs skipped; +-inf kept
-    until after the grid, so mean{inf, 5} ends NULL as in the reference)."""
-    return obs.groupBy(SERIES, "ts").agg(*[F.avg(qc(c)).alias(c) for c in value_cols])
-
-
-def grid(bounds: DataFrame, step: str | int = "hour", chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """J1 grid rows ``(series_id, idx, ts)``.  Generated in two explode steps
-    (chunks, then positions) so no single row carries a whole series."""
-    step_us = step_seconds(step) * US_PER_SECOND
+def grid(bounds: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """J1 grid positions ``(series_id, t0, idx)``.  Generated in two explode
+    steps (chunks, then positions) so no single row carries a whole series."""
     c = F.lit(chunk_rows)
     chunks = bounds.select(SERIES, "t0", "n",
                            F.explode(F.sequence(F.lit(0).cast("long"),
@@ -63,9 +59,22 @@ def grid(bounds: DataFrame, step: str | int = "hour", chunk_rows: int = DEFAULT_
     chunks = chunks.repartition(SERIES, "_chunk")
     last = F.least(c, F.col("n") - F.col("_chunk") * c) - 1
     rows = chunks.select(SERIES, "t0", "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_pos"))
-    rows = rows.select(SERIES, "t0", (F.col("_chunk") * c + F.col("_pos")).alias("idx"))
-    return rows.select(SERIES, "idx",
-                       from_micros(to_micros("t0") + F.col("idx") * F.lit(step_us)).alias("ts"))
+    return rows.select(SERIES, "t0", (F.col("_chunk") * c + F.col("_pos")).alias("idx"))
+
+
+def on_grid(obs: DataFrame, bounds: DataFrame, value_cols: list[str], step: str | int = "hour",
+            chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """A1 + J1: ``(series_id, idx, ts, values)``, one row per grid step; the mean
+    of rows sharing an exact timestamp (NULLs skipped; +-inf kept until after
+    the grid, so mean{inf, 5} ends NULL as in the reference).  Rows between
+    grid steps are lost, as in the reference."""
+    step_us = F.lit(step_seconds(step) * US_PER_SECOND)
+    at = to_micros("ts") - to_micros("t0")
+    placed = obs.join(bounds.select(SERIES, "t0"), SERIES).where(at % step_us == 0)
+    placed = placed.select(SERIES, "t0", F.floor(at / step_us).cast("long").alias("idx"), *[qc(c) for c in value_cols])
+    steps = placed.unionByName(grid(bounds, chunk_rows), allowMissingColumns=True)
+    rows = steps.groupBy(SERIES, "t0", "idx").agg(*[F.avg(qc(c)).alias(c) for c in value_cols])
+    return rows.select(SERIES, "idx", from_micros(to_micros("t0") + F.col("idx") * step_us).alias("ts"), *[qc(c) for c in value_cols])
 
 
 def forward_fill(hourly: DataFrame, cols: list[str], limit: int = 3,
@@ -85,27 +94,28 @@ def forward_fill(hourly: DataFrame, cols: list[str], limit: int = 3,
 
 
 def regularize(obs: DataFrame, target: str, predictors: list[str], step: str | int = "hour",
-               align: str = "exact", ffill_limit: int = 3,
-               chunk_rows: int = DEFAULT_CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
-    """A1 -> J1 -> P8 -> W1.  Returns ``(hourly, bounds)``."""
+               align: str = "exact", ffill_limit: int = 3, chunk_rows: int = DEFAULT_CHUNK_ROWS,
+               keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """A1 -> J1 -> P8 -> W1.  Returns ``(hourly, bounds)``; ``keep`` may land the
+    bounds (one row per series, used twice)."""
     value_cols = [target] + [p for p in predictors if p != target]
     obs = align_times(obs.select(SERIES, "ts", *[qc(c) for c in value_cols]).where(F.col("ts").isNotNull()), step, align)
-    bounds = series_bounds(obs, step)
-    dedup = duplicate_mean(obs, value_cols)
-    g = grid(bounds, step, chunk_rows)
-    hourly = g.join(dedup, on=[SERIES, "ts"], how="left")
+    bounds = keep(series_bounds(obs, step))
+    hourly = on_grid(obs, bounds, value_cols, step, chunk_rows)
     hourly = hourly.select(SERIES, "idx", "ts", *[nonfinite_to_null(qc(c)).alias(c) for c in value_cols])
     hourly = forward_fill(hourly, [p for p in value_cols if p != target], ffill_limit, chunk_rows)
     return hourly, bounds
 
 
-def audit(hourly: DataFrame, bounds: DataFrame, target: str, step: str | int = "hour") -> DataFrame:
-    """A2: one row per series."""
+def audit(hourly: DataFrame, bounds: DataFrame, target: str, step: str | int = "hour", source: str | None = None,
+          timestamp_col: str = "ts", predictors: list[str] = ()) -> DataFrame:
+    """A2: one row per series, with what it was made from."""
     step_us = step_seconds(step) * US_PER_SECOND
     obs_t = hourly.groupBy(SERIES).agg(F.count(qc(target)).alias("valid_target_values"))
     b = bounds.select(SERIES, "raw_rows", "n", "t0")
     return (b.join(obs_t, SERIES, "left")
-             .select(SERIES,
+             .select(SERIES, F.lit(source).cast("string").alias("source"), F.lit(timestamp_col).alias("timestamp_column"),
+                     F.lit(target).alias("target_column"), F.lit(", ".join(predictors)).alias("predictor_columns"),
                      F.col("raw_rows").alias("rows_after_timestamp_filter"),
                      F.col("n").alias("hourly_grid_rows"),
                      F.col("t0").alias("hourly_start"),

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.scaling import standard_scale
 from .halo import DEFAULT_CHUNK_ROWS, chunked_window
 
 SERIES = "series_id"
@@ -24,30 +25,6 @@ def split_label(label_pos, train_end, val_end):
              .otherwise(F.lit("test")))
 
 
-def make_windows(scaled: DataFrame, window: int = 8, horizon: int = 1,
-                 chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """``scaled`` is the output of ``apply_params``.  Returns
-    ``(series_id, idx, target_ts, split, seq ARRAY<ARRAY<DOUBLE>>, hist
-    ARRAY<DOUBLE>, y_raw, y_scaled)`` for every complete window; ``hist`` is
-    the raw (unscaled) target history, oldest first."""
-
-    def build(w: WindowSpec):
-        frame = w.rowsBetween(-(window - 1), 0)
-        return [F.collect_list("x").over(frame).alias("seq"),
-                F.collect_list("target").over(frame).alias("hist"),
-                F.count("target").over(frame).alias("_hist"),
-                F.lead("target", horizon).over(w).alias("y_raw"),
-                F.lead("y_scaled", horizon).over(w).alias("_y_next"),
-                F.lead("ts", horizon).over(w).alias("target_ts")]
-
-    out = chunked_window(scaled, [SERIES], "idx", before=window - 1, after=horizon, build=build,
-                         chunk_rows=chunk_rows)
-    out = out.where((F.col("idx") >= window - 1) & (F.col("_hist") == window) & F.col("y_raw").isNotNull())
-    return out.select(SERIES, "idx", "target_ts",
-                      split_label(F.col("idx") + horizon, F.col("train_end"), F.col("val_end")).alias("split"),
-                      "seq", "hist", "y_raw", F.col("_y_next").alias("y_scaled"))
-
-
 def fill_and_window(feats: DataFrame, n_features: int, fill_idx: list[int], ffill_limit: int = 3,
                     window: int = 8, horizon: int = 1, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """W1 + W2-W4 + P11 in one exchange.
@@ -86,16 +63,15 @@ def fill_and_window(feats: DataFrame, n_features: int, fill_idx: list[int], ffil
 
 def scale_windows(rows: DataFrame, params: DataFrame, horizon: int = 1) -> DataFrame:
     """J2/F3-F6 on the collected arrays after the parameter fit: a map-only
-    pass (the per-series params side is broadcast after a size check)."""
-    from ..plans.joins import join_small
-    w = join_small(rows.where(F.col("complete")), params, [SERIES])
+    pass as long as Spark can broadcast the written per-series params."""
+    w = rows.where(F.col("complete")).join(params, [SERIES])
     scale_step = lambda step: F.transform(
         step, lambda v, i: (F.coalesce(v, F.element_at("fill_medians", i + 1), F.lit(0.0))
                             - F.element_at("centers", i + 1)) / F.element_at("scales", i + 1))
     return w.select(SERIES, "idx", "target_ts",
                     split_label(F.col("idx") + horizon, F.col("train_end"), F.col("val_end")).alias("split"),
                     F.transform("seq_raw", scale_step).alias("seq"), "hist", "y_raw",
-                    ((F.col("y_raw") - F.col("y_mean")) / F.col("y_std")).alias("y_scaled"))
+                    standard_scale("y_raw", "y_mean", "y_std").alias("y_scaled"))
 
 
 def flat_features(seq_col: str = "seq"):

@@ -5,15 +5,15 @@ emitted as text so results hash identically to the SQL oracle."""
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timecols import ts_text
+from ..operators import features as feat
 from ..operators import windows as win
 from ..sources import tables
-from .prepare import Gates, Prepared, prepare
+from .prepare import Prepared, prepare
 
 R = 6
 
@@ -54,13 +54,14 @@ _CACHE: dict = {}
 
 
 def prepared(spark: SparkSession, sf_dir: str, src: SeriesSource, persist: str = "write") -> Prepared:
-    """One prepared plane per (session, dir, source): several registered
-    queries read the same written tables instead of recomputing them."""
-    key = (id(spark), sf_dir, src)
+    """One prepared plane per (application, table as it stands, source):
+    several registered queries read the same written tables instead of
+    recomputing them."""
+    key = (spark.sparkContext.applicationId, sf_dir, tables.version(spark, sf_dir, src.name), src)
     if key not in _CACHE:
         obs = src.observations(spark, sf_dir)
         _CACHE[key] = prepare(obs, src.target, list(src.predictors), step=src.step, align=src.align,
-                              persist=persist)
+                              persist=persist, source=src.name)
     return _CACHE[key]
 
 
@@ -81,7 +82,7 @@ def q_hourly(src: SeriesSource):
 def q_audit(src: SeriesSource):
     def run(spark, sf_dir):
         a = prepared(spark, sf_dir, src).audit
-        return a.select("series_id", "rows_after_timestamp_filter", "hourly_grid_rows",
+        return a.select("series_id", "source", "timestamp_column", "target_column", "predictor_columns", "rows_after_timestamp_filter", "hourly_grid_rows",
                         ts_text("hourly_start").alias("hourly_start"), ts_text("hourly_end").alias("hourly_end"),
                         "valid_target_values", "target_missing_after_reindex")
     return run
@@ -102,7 +103,7 @@ def q_feature_params(src: SeriesSource):
 
 def q_target_params(src: SeriesSource):
     def run(spark, sf_dir):
-        tp = prepared(spark, sf_dir, src).target_params
+        tp = feat.fitted(prepared(spark, sf_dir, src).params)
         return tp.select("series_id", rnd("y_mean"), rnd("y_std"))
     return run
 
@@ -113,6 +114,7 @@ def window_digest(w: DataFrame) -> DataFrame:
     return w.select("series_id", ts_text("target_ts").alias("target_ts"), "split",
                     rnd("y_raw"), rnd("y_scaled"),
                     rnd(F.aggregate(flat, F.lit(0.0), lambda a, b: a + b), "seq_sum"),
+                    rnd(F.aggregate(F.transform(flat, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, b: a + b), "seq_weighted"),
                     rnd(F.element_at(flat, 1), "seq_first"),
                     rnd(F.element_at(flat, -1), "seq_last"),
                     F.size(flat).alias("seq_len"))
@@ -136,11 +138,6 @@ def q_quality(src: SeriesSource):
     return run
 
 
-@lru_cache(maxsize=1)
-def default_gates() -> Gates:
-    return Gates()
-
-
 def registered_queries() -> dict:
     """Name -> callable(spark, sf_dir)."""
     q = {}

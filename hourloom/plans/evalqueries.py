@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.timecols import ts_text
 from ..operators import evaluate as ev
 from ..operators import quantize as qz
-from .joins import join_small
 from .catalog import EVENTS_BY_TYPE, SeriesSource, prepared, rnd
 
 ALPHA = 0.7          # blend weight used by the pairing / loss queries
@@ -100,7 +99,7 @@ def q_tradeoff(src: SeriesSource = EVENTS_BY_TYPE):
 def _scaled_forecasts(spark, sf_dir, src):
     p = prepared(spark, sf_dir, src)
     tp = p.target_params.select("series_id", "y_mean", "y_std")
-    w = join_small(p.windows, tp, ["series_id"])  # one row per series, broadcast after a size check
+    w = p.windows.join(tp, ["series_id"])
     sc = lambda c: (c - F.col("y_mean")) / F.col("y_std")
     return w.select("series_id", "target_ts", "split", "y_scaled",
                     sc(F.element_at("hist", -1)).alias("teacher_scaled"),

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as num
 from ..functions.names import normalize_name_col
+from ..functions.numeric import nonfinite_to_null
 from ..functions.timecols import ts_text
 from ..functions.timeparse import EXPLICIT_FORMATS, GENERIC_DAY_FIRST, GENERIC_MONTH_FIRST, best_of_n_parse
-from ..operators.ingest import numeric_fractions
+from ..operators.ingest import ingest, numeric_fractions
 from ..sources.tables import table
 from .catalog import rnd
 from .oracle import r6
@@ -135,12 +136,13 @@ def _spark_to_strptime(p: str) -> str:
 
 def _cands_sql() -> list[str]:
     c = [f"try_strptime(t, '{_spark_to_strptime(f)}')" for f in EXPLICIT_FORMATS]
-    for lst in (GENERIC_MONTH_FIRST, GENERIC_DAY_FIRST):
+    digits = [[f for f in lst if " a" not in f] for lst in (GENERIC_MONTH_FIRST, GENERIC_DAY_FIRST)]  # the rendered text has no 12-hour clock
+    for lst in digits:
         c.append("coalesce(" + ", ".join(f"try_strptime(t, '{_spark_to_strptime(f)}')" for f in lst) + ")")
     return c
 
 
-def _parse_ctes() -> str:
+def _parse_ctes(junk: str = "o_orderkey % 10 = 0") -> str:
     stamp = "CASE " + " ".join(f"WHEN o_orderpriority = '{p}' THEN strftime(o_orderdate, '{s}')"
                                for p, (_, s) in _LAYOUTS.items()) + " END"
     cands = ", ".join(f"{c} AS c{i}" for i, c in enumerate(_cands_sql()))
@@ -148,7 +150,7 @@ def _parse_ctes() -> str:
     best = "greatest(" + ", ".join(f"r{i}" for i in range(6)) + ")"
     win = "CASE " + " ".join(f"WHEN r{i} = {best} THEN {i}" for i in range(6)) + " END"
     return f"""s AS (SELECT o_orderkey, o_orderpriority AS series_id,
-              CASE WHEN o_orderkey % 10 = 0 THEN 'n/a' ELSE {stamp} END AS stamp FROM orders),
+              CASE WHEN {junk} THEN 'n/a' ELSE {stamp} END AS stamp FROM orders),
 c AS (SELECT o_orderkey, series_id, regexp_replace(stamp, '^\\s+|\\s+$', '', 'g') AS t FROM s),
 cc AS (SELECT o_orderkey, series_id, {cands} FROM c),
 rr AS (SELECT series_id, {rates} FROM cc GROUP BY series_id),
@@ -196,13 +198,57 @@ def sql_numeric_gate() -> str:
             f"SELECT \"column\", {r6('f')} AS fraction, f >= 0.25 AS kept FROM u")
 
 
+# ------------------------------------------------------------ the whole of ingest()
+
+_BAD_SERIES = "o_orderkey % 10 = 0 OR (o_orderpriority = '5-LOW' AND o_orderkey % 3 = 0)"
+
+
+def _raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a sensor export would have them: names to be resolved, one
+    series with too few readable stamps, text and sparse columns, infinities."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority",
+                                              F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
+    stamps = _stamp_text(o).select("o_orderkey", "stamp")
+    k, prio = F.col("o_orderkey"), F.col("o_orderpriority")
+    target = F.when(k % 97 == 0, F.lit("inf")).otherwise(_messy_number(k))
+    rare = F.when((prio == "1-URGENT") | (k % 50 == 0), F.col("o_custkey").cast("string")).otherwise(F.lit("None"))
+    stamp = F.when(F.expr(_BAD_SERIES), F.lit("n/a")).otherwise(F.col("stamp"))
+    return o.join(stamps, "o_orderkey").select(
+        prio.alias("station"), prio.alias(" Note "), stamp.alias("Recorded At"), _messy_number(F.col("o_custkey")).alias("Temp"),
+        target.alias(" PM 2.5 (µg/m³)"), rare.alias("Rare"))
+
+
+def q_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P2-P8, F1 and the parse gate: raw strings to observations."""
+    ing = ingest(_raw_orders(spark, sf_dir), series_col="station", on_fail="exclude")
+    value = lambda c: rnd(nonfinite_to_null(F.col(f"`{c}`")), c.strip())
+    return ing.observations.select("series_id", ts_text("ts").alias("ts"), value(ing.target).alias("target"),
+                                   *[value(c) for c in sorted(ing.predictors)])
+
+
+def sql_ingest() -> str:
+    pick = "CASE " + " ".join(f"WHEN r.format_index = {i} THEN cc.c{i}" for i in range(6)) + " END"
+    messy = lambda col: "(SELECT " + _MESSY_SQL + f" FROM (SELECT {col} AS k))"
+    finite = lambda x: f"(CASE WHEN isfinite({x}) THEN {x} END)"
+    return f"""WITH {_parse_ctes(_BAD_SERIES)},
+p AS (SELECT cc.o_orderkey, cc.series_id, {pick} AS ts FROM cc JOIN rep r ON cc.series_id = r.series_id WHERE r.parse_rate >= 0.8),
+x AS (SELECT p.series_id, p.ts, CASE WHEN o.o_orderkey % 97 = 0 THEN 'inf' ELSE {messy('o.o_orderkey')} END AS target, {messy('o.o_custkey')} AS temp,
+      CASE WHEN o.o_orderpriority = '1-URGENT' OR o.o_orderkey % 50 = 0 THEN CAST(o.o_custkey AS VARCHAR) ELSE 'None' END AS rare
+      FROM p JOIN orders o ON o.o_orderkey = p.o_orderkey WHERE p.ts IS NOT NULL),
+n AS (SELECT series_id, ts, {clean_numeric_sql('target')} AS target, {clean_numeric_sql('temp')} AS temp, {clean_numeric_sql('rare')} AS rare FROM x),
+g AS (SELECT series_id, avg(CAST(rare IS NOT NULL AS DOUBLE)) AS f FROM n GROUP BY series_id)
+SELECT n.series_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, {r6(finite('target'))} AS target,
+       {r6(finite('(CASE WHEN g.f >= 0.25 THEN rare END)'))} AS "Rare", {r6(finite('temp'))} AS "Temp"
+FROM n JOIN g ON n.series_id = g.series_id"""
+
+
 def registered() -> dict:
     return {"numeric_clean_customer": q_numeric_clean, "normalize_names_customer": q_normalize_names,
             "parse_report_orders": q_parse_report, "parsed_timestamps_orders": q_parsed_timestamps,
-            "numeric_gate_customer": q_numeric_gate}
+            "numeric_gate_customer": q_numeric_gate, "ingest_orders": q_ingest}
 
 
 def registered_sql() -> dict:
     return {"numeric_clean_customer": sql_numeric_clean(), "normalize_names_customer": sql_normalize_names(),
             "parse_report_orders": sql_parse_report(), "parsed_timestamps_orders": sql_parsed_timestamps(),
-            "numeric_gate_customer": sql_numeric_gate()}
+            "numeric_gate_customer": sql_numeric_gate(), "ingest_orders": sql_ingest()}

@@ -84,6 +84,8 @@ def prepared_ctes(src: SeriesSource, train_fraction: float = 0.70, validation_fr
     xs = [f"((coalesce(f{i}, m{i}) - q{i}[2]) / {scale(i)})" for i in range(n_feat)]
     upper = repr(float(train_fraction) + float(validation_fraction))
     agg_vals = ", ".join(f"avg({c}) AS {c}" for c in vals)
+    # position weights: row r of the window adds r * n_feat to each of its features' weights
+    lagged = " + ".join(f"{r * n_feat} * lag(row_sum, {window - 1 - r}, 0) OVER o" for r in range(1, window))
     return f"""
 obs AS ({_obs_sql(src)}),
 bounds AS (
@@ -118,19 +120,19 @@ params AS (
 scaled AS (
   SELECT f.series_id, f.idx, f.ts, f.target, f.train_end, f.val_end,
          (f.target - p.y_mean) / p.y_std AS y_scaled,
-         {" + ".join(xs)} AS row_sum,
+         {" + ".join(xs)} AS row_sum, {" + ".join(f"{i + 1} * {x}" for i, x in enumerate(xs))} AS row_weighted,
          {xs[0]} AS x_first, {xs[-1]} AS x_last
   FROM feats f JOIN params p ON f.series_id = p.series_id),
 wins0 AS (
   SELECT series_id, idx, train_end, val_end,
-         sum(row_sum) OVER w AS seq_sum, count(target) OVER w AS hist,
+         sum(row_sum) OVER w AS seq_sum, sum(row_weighted) OVER w + {lagged} AS seq_weighted, count(target) OVER w AS hist,
          first_value(x_first) OVER w AS seq_first, x_last AS seq_last, count(*) OVER w AS rows_in,
          lead(target, 1) OVER o AS y_raw, lead(y_scaled, 1) OVER o AS y_scaled, lead(ts, 1) OVER o AS target_ts
   FROM scaled
   WINDOW w AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW),
          o AS (PARTITION BY series_id ORDER BY idx)),
 wins AS (
-  SELECT series_id, idx, target_ts, y_raw, y_scaled, seq_sum, seq_first, seq_last, rows_in * {n_feat} AS seq_len,
+  SELECT series_id, idx, target_ts, y_raw, y_scaled, seq_sum, seq_weighted, seq_first, seq_last, rows_in * {n_feat} AS seq_len,
          CASE WHEN idx + 1 < train_end THEN 'train' WHEN idx + 1 < val_end THEN 'val' ELSE 'test' END AS split
   FROM wins0 WHERE idx >= {window - 1} AND hist = {window} AND y_raw IS NOT NULL)"""
 
@@ -145,7 +147,8 @@ def audit_sql(src: SeriesSource) -> str:
     add_fn, _ = STEP_FN[src.step]
     return f"""WITH {prepared_ctes(src)},
 vt AS (SELECT series_id, count({src.target}) AS v FROM hourly GROUP BY series_id)
-SELECT b.series_id, b.raw_rows AS rows_after_timestamp_filter, b.n AS hourly_grid_rows,
+SELECT b.series_id, '{src.name}' AS source, 'ts' AS timestamp_column, '{src.target}' AS target_column,
+       '{', '.join(src.predictors)}' AS predictor_columns, b.raw_rows AS rows_after_timestamp_filter, b.n AS hourly_grid_rows,
        strftime(b.t0, '%Y-%m-%d %H:%M:%S') AS hourly_start,
        strftime(b.t0 + {add_fn}(CAST(b.n - 1 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS hourly_end,
        coalesce(vt.v, 0) AS valid_target_values, b.n - coalesce(vt.v, 0) AS target_missing_after_reindex
@@ -178,7 +181,7 @@ def target_params_sql(src: SeriesSource) -> str:
 def windows_sql(src: SeriesSource) -> str:
     return f"""WITH {prepared_ctes(src)}
 SELECT series_id, strftime(target_ts, '%Y-%m-%d %H:%M:%S') AS target_ts, split,
-       R6(y_raw, 6) AS y_raw, R6(y_scaled, 6) AS y_scaled, R6(seq_sum, 6) AS seq_sum,
+       R6(y_raw, 6) AS y_raw, R6(y_scaled, 6) AS y_scaled, R6(seq_sum, 6) AS seq_sum, R6(seq_weighted, 6) AS seq_weighted,
        R6(seq_first, 6) AS seq_first, R6(seq_last, 6) AS seq_last, CAST(seq_len AS INTEGER) AS seq_len
 FROM wins"""
 
@@ -200,7 +203,9 @@ checks AS (
   UNION ALL
   SELECT s.series_id, 'split_valid', CASE WHEN {window} < train_end AND train_end < val_end AND val_end < n THEN 1.0 ELSE 0.0 END, 1.0 FROM splits s
   UNION ALL
-  SELECT series_id, 'train_targets', CAST(train_targets AS DOUBLE), {float(min_train)} FROM params
+  SELECT s.series_id, 'train_targets', CAST(coalesce(p.train_targets, 0) AS DOUBLE), {float(min_train)} FROM splits s LEFT JOIN params p ON s.series_id = p.series_id
+  UNION ALL
+  SELECT series_id, 'span_plausible', CASE WHEN n <= 2000000 AND n <= 1000.0 * raw_rows THEN 1.0 ELSE 0.0 END, 1.0 FROM bounds
   UNION ALL
   SELECT series_id, 'windows_per_split', CAST(m AS DOUBLE), {float(min_windows)} FROM mw)
 SELECT series_id, "check", observed, threshold, observed >= threshold AS passed FROM checks"""

@@ -20,7 +20,6 @@ from ..operators import regularize as reg
 from ..operators import windows as win
 from ..operators.halo import DEFAULT_CHUNK_ROWS
 from ..session import materialize
-from .joins import join_small
 
 SERIES = "series_id"
 
@@ -32,6 +31,16 @@ class Gates:
     min_observed_targets: int = 500
     min_train_targets: int = 100
     min_windows_per_split: int = 80
+    max_grid_rows: int = 2_000_000   # span gate (J1): grid steps of one series
+    max_grid_ratio: float = 1_000.0  # and grid steps per observed row: one wrong year shows here
+
+
+class GateError(ValueError):
+    """Raised by ``on_fail="raise"``; ``failed`` is the table of failed checks of all series."""
+
+    def __init__(self, failed: DataFrame, message: str):
+        super().__init__(message)
+        self.failed = failed
 
 
 @dataclass
@@ -74,6 +83,11 @@ def quality_report(audit: DataFrame, params: DataFrame, counts: DataFrame | None
     a = audit.select(SERIES, F.col("valid_target_values").cast("double").alias("v"))
     rows = [a.select(SERIES, F.lit("observed_targets").alias("check"), F.col("v").alias("observed"),
                      F.lit(float(gates.min_observed_targets)).alias("threshold"))]
+    # span: 1 when the grid is neither too long nor far longer than the data (reported, never clipped)
+    n, raw = F.col("hourly_grid_rows"), F.greatest(F.col("rows_after_timestamp_filter"), F.lit(1))
+    span = (n <= F.lit(gates.max_grid_rows)) & (n <= F.lit(gates.max_grid_ratio) * raw)
+    rows.append(audit.select(SERIES, F.lit("span_plausible").alias("check"), span.cast("double").alias("observed"),
+                             F.lit(1.0).alias("threshold")))
     p = params.select(SERIES, "n", "train_end", "val_end", "train_targets")
     valid = (F.lit(window) < F.col("train_end")) & (F.col("train_end") < F.col("val_end")) & (F.col("val_end") < F.col("n"))
     rows.append(p.select(SERIES, F.lit("split_valid").alias("check"), valid.cast("double").alias("observed"),
@@ -99,15 +113,15 @@ def prepare(obs: DataFrame, target: str, predictors: list[str], step: str | int
             validation_fraction: float = 0.15, ffill_limit: int = 3, gates: Gates | None = None,
             on_fail: str = "report", chunk_rows: int = DEFAULT_CHUNK_ROWS, persist: str = "write",
             current_name: str = feat.CURRENT_NAME, feature_order: list[str] | None = None,
-            quantiles: str = "auto") -> Prepared:
+            source: str | None = None, timestamp_col: str = "ts") -> Prepared:
     """E3.  ``on_fail``: ``report`` (keep every series, quality table only),
     ``exclude`` (drop failing series from the windows) or ``raise``."""
     gates = gates or Gates()
     # feature order: file order with the target in place (ingest), else target first
     value_cols = list(feature_order) if feature_order else [target] + [p for p in predictors if p != target]
     # A1 + J1 + P8 (the fill runs in the window pass below)
-    grid_rows, bounds = reg.regularize(obs, target, predictors, step, align, 0, chunk_rows)
-    bounds = bounds.cache()
+    grid_rows, bounds = reg.regularize(obs, target, predictors, step, align, 0, chunk_rows,
+                                       lambda b: _persist(b, persist, "bounds"))  # one row per series
     layout = feat.feature_layout(value_cols, target, current_name)
     fill_idx = [i for i, c in enumerate(layout.value_cols) if c != target]
     # W1 + W2-W4 + P11: one exchange on (series_id, chunk), two stacked Window operators;
@@ -119,24 +133,38 @@ def prepare(obs: DataFrame, target: str, predictors: list[str], step: str | int
     hourly = rows.select(SERIES, "idx", "ts",
                          *[F.col(f"_f{i}").alias(c) for i, c in enumerate(layout.value_cols)])
     splits = feat.split_points(bounds, train_fraction, validation_fraction)
-    params = _persist(feat.fit_params(feats, splits, layout, quantiles), persist, "params")
+    params = _persist(feat.fit_params(feats, splits, layout), persist, "params")
     # J2 + F3-F6 + W5: map-only scaling of the collected arrays, applied on read
     # (the arrays are written once, unscaled, in `rows`)
     windows = win.scale_windows(rows, params, horizon)
-    audit = reg.audit(hourly, bounds, target, step)
+    audit = reg.audit(hourly, bounds, target, step, source, timestamp_col, [c for c in value_cols if c != target])
     counts = win.window_counts(windows)
     quality = quality_report(audit, params, counts, gates, window)
     if on_fail != "report":
         failed = quality.where(~F.col("passed")).select(SERIES).distinct()
         if on_fail == "raise":
-            bad = failed.limit(20).collect()  # report only a bounded sample of names
-            if bad:
-                raise ValueError(f"data-quality gates failed for series {[r[0] for r in bad]}")
+            if not failed.isEmpty():
+                failed = _persist(quality.where(~F.col("passed")), persist, "failed-gates")
+                raise GateError(failed, f"{failed.select(SERIES).distinct().count()} series failed data-quality gates; all are in .failed")
         elif on_fail == "exclude":
-            windows = join_small(windows, failed, [SERIES], how="left_anti")
+            windows = windows.join(failed, [SERIES], "left_anti")
         else:
             raise ValueError(f"unknown on_fail {on_fail!r}")
     return Prepared(hourly, bounds, params, windows, layout, audit, quality, window, horizon)
 
 
-__all__ = ["Gates", "Prepared", "prepare", "quality_report", "join_small"]
+def windows_with(params: DataFrame, obs: DataFrame, target: str, predictors: list[str], step: str | int = "hour",
+                 align: str = "exact", window: int = 8, horizon: int = 1, ffill_limit: int = 3,
+                 chunk_rows: int = DEFAULT_CHUNK_ROWS, current_name: str = feat.CURRENT_NAME,
+                 feature_order: list[str] | None = None) -> DataFrame:
+    """S4 in use: windows of new observations under saved parameters
+    (``sources.sinks.load_params``); series without parameters have none."""
+    value_cols = list(feature_order) if feature_order else [target] + [p for p in predictors if p != target]
+    layout = feat.feature_layout(value_cols, target, current_name)
+    grid_rows, _ = reg.regularize(obs, target, predictors, step, align, 0, chunk_rows)
+    fill_idx = [i for i, c in enumerate(layout.value_cols) if c != target]
+    rows = win.fill_and_window(feat.feature_frame(grid_rows, layout), len(layout.names), fill_idx, ffill_limit, window, horizon, chunk_rows)
+    return win.scale_windows(rows, params, horizon)
+
+
+__all__ = ["GateError", "Gates", "Prepared", "prepare", "quality_report", "windows_with"]

@@ -5,23 +5,30 @@ soft labels (M12) -> student search on the blended label (M2) -> refit ->
 FP32 scoring (M7, A8) -> INT8 column-quantised scoring (J5, Q1-Q4) ->
 result rows (U2) and prediction rows (J4, U1).  Seeds that fail become rows
 of a failures table (M11); aggregation over seeds is A11/A12/F10.
+
+The rows that fits and scores read are written once per study (and once per
+seed with the teacher's labels), persisted while they are in use, and removed
+when the study ends; predictions and results are kept.
 """
 
 from __future__ import annotations
 
-import os
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..operators import modeling as md
 from ..operators import quantize as qz
-from ..session import ensure_checkpoint_dir, materialize
+from ..operators import windows as win
+from ..session import ensure_checkpoint_dir, materialize, release
+from ..sources.sinks import write_json, write_table
 from .prepare import Prepared
 
+# Fixed names: the result row of the output contract.
 RESULT_SCHEMA = ("dataset string, model string, teacher string, seed int, precision string, "
                  "validation_R2 double, validation_MAE_ugm3 double, validation_RMSE_ugm3 double, "
                  "R2 double, MAE_ugm3 double, RMSE_ugm3 double, MSE_ugm3_sq double, params long, "
@@ -30,6 +37,9 @@ RESULT_SCHEMA = ("dataset string, model string, teacher string, seed int, precis
                  "status string, specification string, validation_input_saturation_rate double, "
                  "validation_output_saturation_rate double, error string")
 RESULT_FIELDS = [f.strip().split(" ")[0] for f in RESULT_SCHEMA.split(",")]
+HISTORY_SCHEMA = "seed int, model string, iteration int, loss double"
+QUANTIZATION_SCHEMA = ("seed int, model string, in_scale double, in_zero_point double, in_scale_ok boolean, "
+                       "out_scale double, out_zero_point double, out_scale_ok boolean")
 
 
 @dataclass
@@ -41,30 +51,43 @@ class StudyConfig:
     baseline_trials: int = 60
     teacher_name: str = "teacher"
     student_name: str = "distilled student"
+    teacher_kind: str = "gbt"
     evaluate_int8: bool = True
     representative_samples: int = 250
     parallelism: int = 4
+    features: Column | None = None   # default: the flat window, time-major
     model_dir: str | None = None     # default: <checkpoint dir>/hourloom/models
 
 
 @dataclass
 class StudyResult:
     results: DataFrame
-    predictions: DataFrame
-    trials: DataFrame
+    predictions: DataFrame | None
+    trials: DataFrame | None
     failures: DataFrame
     statistics: DataFrame
     summary: DataFrame
-    history: DataFrame | None = None      # M8: (seed, model, iteration, loss)
-    convergence: DataFrame | None = None  # W6: best-so-far validation R2 per trial
-    tradeoff: DataFrame | None = None     # T2: size against validation R2, Pareto flag
+    history: DataFrame                    # M8: (seed, model, iteration, loss)
+    convergence: DataFrame | None         # W6: best-so-far validation R2 per trial
+    tradeoff: DataFrame | None            # T2: size against validation R2, Pareto flag
+    specifications: DataFrame | None      # F12: selected specification per stage and seed
+    quantization: DataFrame               # Q1/Q3: the six calibration fields per seed
+    run_record: DataFrame | None = None   # S3: one row about the run, with A13 counts
 
 
-HISTORY_SCHEMA = "seed int, model string, iteration int, loss double"
-
+@dataclass
+class _Gathered:
+    results: list[dict] = field(default_factory=list)
+    predictions: list[DataFrame] = field(default_factory=list)
+    trials: list[DataFrame] = field(default_factory=list)
+    history: list[tuple] = field(default_factory=list)
+    quantization: list[tuple] = field(default_factory=list)
+    specifications: list[DataFrame] = field(default_factory=list)
+    failures: list[tuple] = field(default_factory=list)
 
-def _history_rows(seed: int, model_name: str, values: list[float]) -> list[tuple]:
-    return [(seed, model_name, i + 1, float(v)) for i, v in enumerate(values)]
+    def add(self, other: _Gathered) -> None:
+        for name in self.__dataclass_fields__:
+            getattr(self, name).extend(getattr(other, name))
 
 
 def _metrics(pred: DataFrame) -> dict:
@@ -72,250 +95,182 @@ def _metrics(pred: DataFrame) -> dict:
     return {r["split"]: r.asDict() for r in rows}
 
 
-def _spec_json(spec: dict, dims: tuple) -> str:
-    import json
-    return json.dumps({d.name: spec[d.name] for d in dims}, sort_keys=True)
-
-
-def _row(cfg: StudyConfig, **kw) -> dict:
-    r = {k: None for k in RESULT_FIELDS}
-    r["dataset"] = cfg.dataset
-    r.update(kw)
-    return r
-
-
-def _fp32_row(cfg, model_name, teacher, seed, m, params, size_kb, epochs, spec, drop):
+def _result(cfg: StudyConfig, model: str, teacher: str, seed: int, precision: str, m: dict, **kw) -> dict:
     v, t = m.get("val", {}), m.get("test", {})
-    return _row(cfg, model=model_name, teacher=teacher, seed=seed, precision="FP32",
-                validation_R2=v.get("R2"), validation_MAE_ugm3=v.get("MAE_ugm3"),
-                validation_RMSE_ugm3=v.get("RMSE_ugm3"), R2=t.get("R2"), MAE_ugm3=t.get("MAE_ugm3"),
-                RMSE_ugm3=t.get("RMSE_ugm3"), MSE_ugm3_sq=t.get("MSE_ugm3_sq"), params=params,
-                model_size_KB=size_kb, quantization_R2_drop=drop, epochs_completed=epochs, status="success",
-                specification=spec)
+    return dict.fromkeys(RESULT_FIELDS) | dict(
+        dataset=cfg.dataset, model=model, teacher=teacher, seed=seed, precision=precision, validation_R2=v.get("R2"),
+        validation_MAE_ugm3=v.get("MAE_ugm3"), validation_RMSE_ugm3=v.get("RMSE_ugm3"), R2=t.get("R2"),
+        MAE_ugm3=t.get("MAE_ugm3"), RMSE_ugm3=t.get("RMSE_ugm3"), MSE_ugm3_sq=t.get("MSE_ugm3_sq")) | kw
 
 
-def int8_scores(model, windows: DataFrame, params: DataFrame, max_samples: int = 250):
+def int8_scores(model, rows: DataFrame, max_samples: int = 250) -> tuple[DataFrame, dict]:
     """Q1-Q3: calibrate on the representative train sample, then score
     val/test through quantised inputs and a quantised output."""
-    sample = qz.representative_sample(windows, max_samples)
-    flat = F.flatten("seq")
-    cal_in = qz.calibrate(sample, flat, prefix="in_")
-    fp_sample = model.transform(md.with_features(sample.drop("features") if "features" in sample.columns else sample))
-    cal_out = qz.calibrate(fp_sample, F.col("prediction"), prefix="out_", array=False)
-    cal = cal_in.crossJoin(cal_out).collect()[0]          # one row: 2 scales, 2 zero points
+    sample = qz.representative_sample(rows, max_samples)
+    flat = vector_to_array("features")
+    cal_in = qz.calibrate(sample, flat, prefix="in_").first()
+    cal_out = qz.calibrate(model.transform(sample), F.col("prediction"), prefix="out_", array=False).first()
+    cal = cal_in.asDict() | cal_out.asDict()
     if not (cal["in_scale_ok"] and cal["out_scale_ok"]):
         raise RuntimeError("Invalid quantization scale.")
-    s_in, z_in, s_out, z_out = (F.lit(float(cal["in_scale"])), F.lit(float(cal["in_zero_point"])),
-                                F.lit(float(cal["out_scale"])), F.lit(float(cal["out_zero_point"])))
-    ev_w = windows.where(F.col("split") != "train").drop("features")
+    s_in, z_in, s_out, z_out = (F.lit(float(cal[c])) for c in ("in_scale", "in_zero_point", "out_scale", "out_zero_point"))
     hits, total = qz.input_saturation_counts(flat, s_in, z_in)
-    q = ev_w.select("*", hits.alias("in_hits"), total.alias("in_total"),
-                    array_to_vector(qz.fake_quant_array(flat, s_in, z_in)).alias("features"))
-    pred = model.transform(q)
-    code, deq = qz.fake_quant(F.col("prediction"), s_out, z_out)
-    pred = pred.select("*", code.alias("_code"), deq.alias("_deq"))
-    pred = pred.withColumn("out_sat", qz.output_saturated(F.col("_code"))).drop("prediction")
-    pred = pred.withColumnRenamed("_deq", "prediction")
-    scored = md.score(_Passthrough(), pred, params)
-    return scored, cal.asDict()
-
+    q = rows.where(F.col("split") != "train").withColumns({"in_hits": hits, "in_total": total})
+    q = q.withColumn("features", array_to_vector(qz.fake_quant_array(flat, s_in, z_in)))
+    code, deq = qz.fake_quant(F.col("predicted_scaled"), s_out, z_out)
+    pred = model.transform(q).withColumnRenamed("prediction", "predicted_scaled")
+    pred = pred.withColumn("out_sat", qz.output_saturated(code)).withColumn("predicted_scaled", deq)
+    return pred.withColumn("predicted", md.inverse_standard("predicted_scaled", "y_mean", "y_std")), cal
+
+
+def _search(cfg: StudyConfig, kind: str, space: tuple, n: int, rows: DataFrame, seed: int, stage: str, out: _Gathered) -> dict:
+    """The selected specification."""
+    tab = md.trials_table(rows.sparkSession, space, n, seed)
+    trials = md.evaluate_trials(kind, tab, rows, seed, parallelism=cfg.parallelism, stage=stage)
+    dims = [d.name for d in space]
+    best = ev.best_trial(trials, keys=["stage", "seed"], spec_cols=dims)
+    chosen = best.select("stage", "seed", "trial", *dims, ev.spec_json(dims).alias("specification")).first()
+    out.trials.append(trials)
+    out.specifications.append(rows.sparkSession.createDataFrame([(stage, seed, chosen["trial"], chosen["specification"])],
+                                                                "stage string, seed int, trial int, specification string"))
+    return {d: chosen[d] for d in dims} | {"json": chosen["specification"]}
+
+
+def _refit(cfg: StudyConfig, kind: str, spec: dict, rows: DataFrame, seed: int, name: str, teacher: str, model_dir: str,
+           drop: float | None, out: _Gathered):
+    """M6-M8: refit on the selected specification, save, score, report."""
+    model = md.fit(kind, spec, seed, rows, iterate=kind in ("linear", "student"))
+    size = md.save_model(model, f"{model_dir}/seed_{seed}/{name.replace(' ', '_')}")
+    pred = md.score(model, rows.where(F.col("split") != "train"))
+    m = _metrics(pred)
+    out.history += [(seed, name, i + 1, float(v)) for i, v in enumerate(md.history(model, rows.where(F.col("split") == "val")))]
+    out.results.append(_result(cfg, name, teacher, seed, "FP32", m, params=md.param_count(model), model_size_KB=size,
+                               quantization_R2_drop=drop, epochs_completed=md.epochs(model), status="success",
+                               specification=spec["json"]))
+    frame = ev.prediction_frame(pred, "y_raw", "predicted", "split", "FP32", name, teacher, seed)
+    out.predictions.append(materialize(frame, "predictions"))
+    return model, m
+
+
+def _int8(cfg: StudyConfig, model, rows: DataFrame, spec: dict, seed: int, name: str, teacher: str, fp: dict, out: _Gathered) -> None:
+    """Q2-Q4: the INT8 result row; a stage that fails leaves a row that says so."""
+    known = dict(params=md.param_count(model), epochs_completed=md.epochs(model), specification=spec["json"])
+    try:
+        scored, cal = int8_scores(model, rows, cfg.representative_samples)
+        m = _metrics(scored)
+        sat = {r["split"]: r.asDict() for r in qz.saturation_rates(scored, ["split"]).collect()}
+        a, b = fp.get("test", {}).get("R2"), m.get("test", {}).get("R2")
+        rate = lambda split, side: sat.get(split, {}).get(f"{side}_saturation_rate")
+        row = _result(cfg, name, teacher, seed, "INT8", m, quantization_R2_drop=None if a is None or b is None else a - b,
+                      input_saturation_rate=rate("test", "input"), output_saturation_rate=rate("test", "output"),
+                      validation_input_saturation_rate=rate("val", "input"), validation_output_saturation_rate=rate("val", "output"),
+                      status="strict_int8_success", **known)
+        frame = ev.prediction_frame(scored, "y_raw", "predicted", "split", "INT8", name, teacher, seed)
+        out.predictions.append(materialize(frame, "predictions"))
+        out.quantization.append((seed, name, *(cal[c] for c in ("in_scale", "in_zero_point", "in_scale_ok", "out_scale", "out_zero_point", "out_scale_ok"))))
+    except Exception as e:  # noqa: BLE001 - Q4 failure row
+        row = _result(cfg, name, teacher, seed, "INT8", {}, status=f"strict_int8_failed: {type(e).__name__}", error=repr(e), **known)
+    out.results.append(row)
 
-class _Passthrough:
-    """A 'model' whose transform keeps an existing prediction column."""
 
-    def transform(self, df):
-        return df
+def _distil_seed(cfg: StudyConfig, rows: DataFrame, seed: int, model_dir: str) -> _Gathered:
+    out = _Gathered()
+    t_space = md.BASELINE_SPACES[cfg.teacher_kind]
+    t_spec = _search(cfg, cfg.teacher_kind, t_space, cfg.teacher_trials, rows, seed, "teacher", out)
+    teacher, _ = _refit(cfg, cfg.teacher_kind, t_spec, rows, seed, cfg.teacher_name, "None", model_dir, None, out)
+    soft = materialize(md.soft_labels(teacher, rows), f"soft_{seed}").persist(StorageLevel.MEMORY_AND_DISK)  # M12
+    try:
+        s_spec = _search(cfg, "student", md.STUDENT_SPACE, cfg.student_trials, soft, seed + 10000, "student", out)
+        student, m = _refit(cfg, "student", s_spec, soft, seed, cfg.student_name, cfg.teacher_name, model_dir, 0.0, out)
+        if cfg.evaluate_int8:
+            _int8(cfg, student, soft, s_spec, seed, cfg.student_name, cfg.teacher_name, m, out)
+    finally:
+        soft.unpersist()
+        release(soft)
+    return out
+
+
+def _baseline_seed(cfg: StudyConfig, kind: str, name: str, rows: DataFrame, seed: int, model_dir: str) -> _Gathered:
+    out = _Gathered()
+    spec = _search(cfg, kind, md.BASELINE_SPACES[kind], cfg.baseline_trials, rows, seed, kind, out)
+    model, m = _refit(cfg, kind, spec, rows, seed, name, "None", model_dir, 0.0 if cfg.evaluate_int8 else None, out)
+    if cfg.evaluate_int8:
+        _int8(cfg, model, rows, spec, seed, name, "None", m, out)
+    return out
 
 
-def run_distillation(prepared: Prepared, cfg: StudyConfig) -> StudyResult:
-    """E1 over every seed."""
+def _study(prepared: Prepared, cfg: StudyConfig, one_seed) -> StudyResult:
+    """Every seed on its own; a failed seed becomes a failures row."""
     spark = prepared.windows.sparkSession
-    windows = md.with_features(prepared.windows)
-    params = prepared.target_params
+    rows = md.model_rows(prepared.windows, prepared.target_params, cfg.features).persist(StorageLevel.MEMORY_AND_DISK)
     model_dir = cfg.model_dir or f"{ensure_checkpoint_dir(spark).rstrip('/')}/hourloom/models"
-    results, preds, trials, failures = [], [], [], []
-    for seed in cfg.seeds:
-        try:
-            r, p, t = _one_seed_distill(spark, windows, params, cfg, seed, model_dir)
-            results += r
-            preds += p
-            trials += t
-        except Exception as e:  # noqa: BLE001 - one failed seed does not stop the study
-            failures.append((seed, type(e).__name__, repr(e)[:1000]))
-    return _collect(spark, cfg, results, preds, trials, failures)
-
-
-def _one_seed_distill(spark, windows, params, cfg, seed, model_dir):
-    # teacher search + refit
-    t_trials = md.evaluate_trials("teacher", md.trials_table(spark, md.TEACHER_SPACE, cfg.teacher_trials, seed),
-                                  windows, params, seed, parallelism=cfg.parallelism, stage="teacher")
-    t_best = ev.best_trial(t_trials, keys=["stage", "seed"], spec_cols=[d.name for d in md.TEACHER_SPACE]).collect()[0]
-    t_spec = {d.name: t_best[d.name] for d in md.TEACHER_SPACE}
-    teacher = md.fit("teacher", t_spec, seed, windows)
-    t_size = md.save_model(teacher, f"{model_dir}/seed_{seed}/teacher")
-    t_pred = md.score(teacher, windows.where(F.col("split") != "train"), params)
-    t_m = _metrics(t_pred)
-    # soft labels on every split, kept on the same rows
-    soft = md.soft_labels(teacher, windows)
-    soft = materialize(soft.drop("features"), f"soft_{seed}")
-    soft = md.with_features(soft)
-    # student search on blended labels
-    s_space = md.STUDENT_SPACE
-    s_trials_tab = md.trials_table(spark, s_space, cfg.student_trials, seed + 10000)
-    rows = []
-    specs = [r.asDict() for r in s_trials_tab.orderBy("trial").collect()]
-    s_trials = _student_trials(soft, params, specs, seed + 1, cfg)
-    s_best = ev.best_trial(s_trials, keys=["stage", "seed"], spec_cols=[d.name for d in s_space]).collect()[0]
-    s_spec = {d.name: s_best[d.name] for d in s_space}
-    student = md.fit("student", s_spec, seed + 1, soft.withColumn("kd_label", md.blended_label(s_spec["kd_alpha"])),
-                     label="kd_label")
-    s_size = md.save_model(student, f"{model_dir}/seed_{seed}/student")
-    s_pred = md.score(student, soft.where(F.col("split") != "train"), params)
-    s_m = _metrics(s_pred)
-    t_hist = md.history(teacher, soft.where(F.col("split") == "val"))
-    s_hist = md.history(student)
-    rows.append(_fp32_row(cfg, cfg.teacher_name, "None", seed, t_m, md.param_count(teacher), t_size,
-                          len(t_hist), _spec_json(t_spec, md.TEACHER_SPACE), None))
-    rows.append(_fp32_row(cfg, cfg.student_name, cfg.teacher_name, seed, s_m, md.param_count(student), s_size,
-                          len(s_hist), _spec_json(s_spec, s_space), 0.0))
-    rows[-1]["_history"] = _history_rows(seed, cfg.teacher_name, t_hist) + _history_rows(seed, cfg.student_name, s_hist)
-    pframes = [
-        ev.prediction_frame(t_pred, "y_raw", "predicted", "split", "FP32", cfg.teacher_name, "None", seed),
-        ev.prediction_frame(s_pred, "y_raw", "predicted", "split", "FP32", cfg.student_name, cfg.teacher_name, seed)]
-    if cfg.evaluate_int8:
-        rows_i, frames_i = _int8_rows(student, soft, params, cfg, seed, s_m, s_spec, s_space, s_size,
-                                      len(md.history(student)))
-        rows += rows_i
-        pframes += frames_i
-    return rows, pframes, [t_trials, s_trials]
-
-
-def _student_trials(soft, params, specs, seed, cfg):
-    """M5 for the student: each trial blends its own label."""
-    spark = soft.sparkSession
-    from concurrent.futures import ThreadPoolExecutor
-    val = soft.where(F.col("split") == "val")
-
-    def run(spec):
-        row = dict(spec, stage="student", seed=seed)
-        try:
-            data = soft.withColumn("kd_label", md.blended_label(float(spec["kd_alpha"])))
-            model = md.fit("student", spec, seed, data, label="kd_label")
-            m = ev.regression_metrics(md.score(model, val, params), [], "y_raw", "predicted").collect()[0]
-            row.update(validation_R2=m["R2"], validation_MAE_ugm3=m["MAE_ugm3"], validation_RMSE_ugm3=m["RMSE_ugm3"],
-                       params=md.param_count(model), epochs_completed=len(md.history(model)), status="success",
-                       error="")
-        except Exception as e:  # noqa: BLE001
-            row.update(validation_R2=None, validation_MAE_ugm3=None, validation_RMSE_ugm3=None, params=None,
-                       epochs_completed=0, status="failed", error=repr(e)[:500])
-        return row
-
-    with ThreadPoolExecutor(max_workers=max(1, cfg.parallelism)) as pool:
-        rows = list(pool.map(run, specs))
-    schema = ("trial int, l2 double, kd_alpha double, stage string, seed int, validation_R2 double, "
-              "validation_MAE_ugm3 double, validation_RMSE_ugm3 double, params long, epochs_completed int, "
-              "status string, error string")
-    return ev.with_objective(spark.createDataFrame(rows, schema))
-
-
-def _int8_rows(model, windows, params, cfg, seed, fp_m, spec, space, size_kb, epochs):
-    name, teacher = (cfg.student_name, cfg.teacher_name) if teacher_of(cfg, space) else (cfg.student_name, "None")
+    out = _Gathered()
     try:
-        scored, cal = int8_scores(model, windows, params, cfg.representative_samples)
-        m = _metrics(scored)
-        sat = {r["split"]: r.asDict() for r in qz.saturation_rates(scored, ["split"]).collect()}
-        v, t = m.get("val", {}), m.get("test", {})
-        drop = (fp_m.get("test", {}).get("R2") - t.get("R2")) if t.get("R2") is not None and fp_m.get("test", {}).get("R2") is not None else None
-        row = _row(cfg, model=name, teacher=teacher, seed=seed, precision="INT8", validation_R2=v.get("R2"),
-                   validation_MAE_ugm3=v.get("MAE_ugm3"), validation_RMSE_ugm3=v.get("RMSE_ugm3"), R2=t.get("R2"),
-                   MAE_ugm3=t.get("MAE_ugm3"), RMSE_ugm3=t.get("RMSE_ugm3"), MSE_ugm3_sq=t.get("MSE_ugm3_sq"),
-                   params=md.param_count(model), model_size_KB=size_kb, tflite_size_KB=None,
-                   quantization_R2_drop=drop,
-                   input_saturation_rate=sat.get("test", {}).get("input_saturation_rate") if sat.get("test") else None,
-                   output_saturation_rate=sat.get("test", {}).get("output_saturation_rate") if sat.get("test") else None,
-                   validation_input_saturation_rate=sat["val"]["input_saturation_rate"] if "val" in sat else None,
-                   validation_output_saturation_rate=sat["val"]["output_saturation_rate"] if "val" in sat else None,
-                   epochs_completed=epochs, status="strict_int8_success", specification=_spec_json(spec, space))
-        frame = ev.prediction_frame(scored, "y_raw", "predicted", "split", "INT8", name, teacher, seed)
-        return [row], [frame]
-    except Exception as e:  # noqa: BLE001 - Q4 failure row
-        row = _row(cfg, model=name, teacher=teacher, seed=seed, precision="INT8", params=md.param_count(model),
-                   epochs_completed=epochs, status=f"strict_int8_failed: {type(e).__name__}", error=repr(e)[:1000],
-                   specification=_spec_json(spec, space))
-        return [row], []
+        for seed in cfg.seeds:
+            try:
+                out.add(one_seed(rows, seed, model_dir))
+            except Exception as e:  # noqa: BLE001 - one failed seed does not stop the study
+                out.failures.append((seed, type(e).__name__, repr(e)))
+    finally:
+        rows.unpersist()
+        release(rows)
+    result = _collect(spark, out)
+    result.run_record = run_record(prepared, cfg, result)
+    return result
 
 
-def teacher_of(cfg, space) -> bool:
-    return space is md.STUDENT_SPACE
+def run_distillation(prepared: Prepared, cfg: StudyConfig) -> StudyResult:
+    """E1 over every seed."""
+    return _study(prepared, cfg, lambda rows, seed, folder: _distil_seed(cfg, rows, seed, folder))
 
 
 def run_baseline(prepared: Prepared, cfg: StudyConfig, kind: str = "linear", model_name: str | None = None) -> StudyResult:
     """One learner, one search per seed, refit, FP32 + INT8 scoring."""
-    spark = prepared.windows.sparkSession
-    windows = md.with_features(prepared.windows)
-    params = prepared.target_params
-    space = md.BASELINE_SPACES[kind]
-    name = model_name or kind
-    model_dir = cfg.model_dir or f"{ensure_checkpoint_dir(spark).rstrip('/')}/hourloom/models"
-    results, preds, trials, failures = [], [], [], []
-    for seed in cfg.seeds:
-        try:
-            tt = md.evaluate_trials(kind, md.trials_table(spark, space, cfg.baseline_trials, seed), windows, params,
-                                    seed, parallelism=cfg.parallelism, stage=kind)
-            best = ev.best_trial(tt, keys=["stage", "seed"], spec_cols=[d.name for d in space]).collect()[0]
-            spec = {d.name: best[d.name] for d in space}
-            model = md.fit(kind, spec, seed, windows)
-            size = md.save_model(model, f"{model_dir}/seed_{seed}/{kind}")
-            pred = md.score(model, windows.where(F.col("split") != "train"), params)
-            m = _metrics(pred)
-            hist = md.history(model, windows.where(F.col("split") == "val"))
-            results.append(_fp32_row(cfg, name, "None", seed, m, md.param_count(model), size, len(hist),
-                                     _spec_json(spec, space), 0.0 if cfg.evaluate_int8 else None))
-            results[-1]["_history"] = _history_rows(seed, name, hist)
-            preds.append(ev.prediction_frame(pred, "y_raw", "predicted", "split", "FP32", name, "None", seed))
-            if cfg.evaluate_int8:
-                cfg_b = StudyConfig(**{**cfg.__dict__, "student_name": name})
-                r_i, f_i = _int8_rows(model, windows, params, cfg_b, seed, m, spec, space, size, len(hist))
-                results += r_i
-                preds += f_i
-            trials.append(tt)
-        except Exception as e:  # noqa: BLE001
-            failures.append((seed, type(e).__name__, repr(e)[:1000]))
-    return _collect(spark, cfg, results, preds, trials, failures)
-
-
-def _collect(spark, cfg, results, preds, trials, failures) -> StudyResult:
-    if not results:
-        raise RuntimeError(f"every seed failed: {failures}")
-    res = spark.createDataFrame([tuple(r[k] for k in RESULT_FIELDS) for r in results], RESULT_SCHEMA)
-    pred = ev.union_all(preds) if preds else None
-    tri = ev.union_all(trials) if trials else None
-    fail = spark.createDataFrame(failures, "seed int, error_type string, error string")
-    hist = spark.createDataFrame([h for r in results for h in r.get("_history", [])], HISTORY_SCHEMA)
-    conv = ev.best_so_far(tri, keys=["stage", "seed"]) if tri is not None else None
-    trade = ev.tradeoff(tri, keys=["stage", "seed"]) if tri is not None else None
-    return StudyResult(res, pred, tri, fail, ev.seed_statistics(res), ev.seed_summary(res), hist, conv, trade)
-
-
-def write_outputs(result: StudyResult, out_dir: str, fmt: str = "parquet") -> None:
-    """Result, prediction (partitioned by seed), trial, failure and
-    statistics tables."""
-    def w(df, name, part=None):
-        if df is None:
-            return
-        writer = df.write.mode("overwrite")
-        if part:
-            writer = writer.partitionBy(*part)
-        if fmt == "csv":
-            writer.option("header", True).csv(os.path.join(out_dir, name))
-        else:
-            writer.parquet(os.path.join(out_dir, name))
-    w(result.results, "results")
-    w(result.predictions, "predictions", ["seed"])
-    w(result.trials, "trials")
-    w(result.failures, "failures")
-    w(result.statistics, "statistics")
-    w(result.summary, "summary")
-    w(result.history, "history")
-    w(result.convergence, "convergence")
-    w(result.tradeoff, "tradeoff")
+    return _study(prepared, cfg, lambda rows, seed, folder: _baseline_seed(cfg, kind, model_name or kind, rows, seed, folder))
+
+
+def _collect(spark: SparkSession, out: _Gathered) -> StudyResult:
+    if not out.results:
+        raise RuntimeError(f"every seed failed: {out.failures}")
+    res = spark.createDataFrame([tuple(r[k] for k in RESULT_FIELDS) for r in out.results], RESULT_SCHEMA)
+    pred = ev.union_all(out.predictions) if out.predictions else None
+    tri = ev.union_all(out.trials) if out.trials else None
+    keys = ["stage", "seed"]
+    return StudyResult(
+        res, pred, tri, spark.createDataFrame(out.failures, "seed int, error_type string, error string"),
+        ev.seed_statistics(res), ev.seed_summary(res), spark.createDataFrame(out.history, HISTORY_SCHEMA),
+        ev.best_so_far(tri, keys=keys) if tri is not None else None, ev.tradeoff(tri, keys=keys) if tri is not None else None,
+        ev.union_all(out.specifications) if out.specifications else None, spark.createDataFrame(out.quantization, QUANTIZATION_SCHEMA))
+
+
+def run_record(prepared: Prepared, cfg: StudyConfig, result: StudyResult) -> DataFrame:
+    """S3: one row about the run: data sizes (A13), protocol and outcome."""
+    counts = win.window_counts(prepared.windows).groupBy().agg(
+        *[F.coalesce(F.sum(F.when(F.col("split") == s, F.col("windows"))), F.lit(0)).alias(f"{s}_windows") for s in ("train", "val", "test")])
+    lit = {"dataset": cfg.dataset, "window_size": prepared.window_size, "horizon": prepared.horizon,
+           "number_of_features": len(prepared.feature_names), "teacher_trials": cfg.teacher_trials,
+           "student_trials": cfg.student_trials, "baseline_trials": cfg.baseline_trials}
+    failed = result.failures.agg(F.count(F.lit(1)).alias("failed_seeds"))
+    record = counts.crossJoin(failed)  # one row each
+    return record.select(*[F.lit(v).alias(k) for k, v in lit.items()], F.lit(list(prepared.feature_names)).alias("feature_names"),
+                         F.lit(list(cfg.seeds)).alias("seeds"), "train_windows", "val_windows", "test_windows", "failed_seeds")
+
+
+def write_outputs(result: StudyResult, out_dir: str, fmt: str = "parquet", prepared: Prepared | None = None) -> None:
+    """Result, prediction (partitioned by seed), trial, failure and
+    statistics tables, the audit and quality tables of the data plane, and the
+    run record and selected specifications as JSON."""
+    tables = {"results": result.results, "trials": result.trials, "failures": result.failures, "statistics": result.statistics,
+              "summary": result.summary, "history": result.history, "convergence": result.convergence, "tradeoff": result.tradeoff,
+              "quantization": result.quantization}
+    if prepared is not None:
+        tables |= {"audit": prepared.audit, "quality": prepared.quality}
+    root = out_dir.rstrip("/")
+    for name, df in tables.items():
+        if df is not None:
+            write_table(df, f"{root}/{name}", fmt)
+    if result.predictions is not None:
+        write_table(result.predictions, f"{root}/predictions", fmt, ["seed"])
+    for name, df in (("run_record", result.run_record), ("specifications", result.specifications)):
+        if df is not None:
+            write_json(df, f"{root}/{name}")

@@ -1,5 +1,12 @@
-"""Registered model-plane queries (rows-only: MLlib fits have no SQL oracle)
-and the embeddings quantisation query (SQL oracle)."""
+"""Registered model-plane queries, with the protocol's seeds and trials, and
+the embeddings quantisation query.
+
+The studies with an oracle use one feature per window (the scaled current
+target), for which a ridge fit has a closed form: SQL then follows the trials
+table, every fit, the selection by validation, the refit, the scores in target
+units and the summary over seeds.  The tree baseline runs the same protocol on
+whole windows; it has no SQL form, so its rows are checked by tests.
+"""
 
 from __future__ import annotations
 
@@ -7,48 +14,80 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quantize as qz
+from ..sources import tables
 from ..sources.tables import table
+from . import ridgeoracle as ridge
 from .catalog import EVENTS_BY_TYPE, prepared, rnd
 from .oracle import r6
-from .study import StudyConfig, run_baseline, run_distillation
+from .study import StudyConfig, StudyResult, run_baseline, run_distillation
 
-# small search sizes for the registered check; StudyConfig defaults are the
-# reference protocol (5 seeds, 30 + 30 trials, 60 for baselines)
-CHECK_CONFIG = dict(seeds=(42, 123), teacher_trials=3, student_trials=3, baseline_trials=3, parallelism=3)
 _STUDIES: dict = {}
 
 
-def _study(spark, sf_dir, kind):
-    key = (id(spark), sf_dir, kind)
+def _study(spark: SparkSession, sf_dir: str, kind: str) -> StudyResult:
+    """One study per (application, table as it stands, kind), read by several queries."""
+    key = (spark.sparkContext.applicationId, sf_dir, tables.version(spark, sf_dir, "events"), kind)
     if key not in _STUDIES:
         p = prepared(spark, sf_dir, EVENTS_BY_TYPE)
-        cfg = StudyConfig(dataset="events", **CHECK_CONFIG)
-        _STUDIES[key] = run_distillation(p, cfg) if kind == "distill" else run_baseline(p, cfg, kind=kind)
+        current = F.array(F.element_at(F.element_at("seq", -1), 1))
+        one = StudyConfig(dataset="events", teacher_kind="linear", features=current, parallelism=8)
+        if kind == "distill":
+            _STUDIES[key] = run_distillation(p, one)
+        elif kind == "linear":
+            _STUDIES[key] = run_baseline(p, one, kind)
+        else:
+            _STUDIES[key] = run_baseline(p, StudyConfig(dataset="events", parallelism=8), kind)
     return _STUDIES[key]
 
 
+def _fp32(r: DataFrame) -> DataFrame:
+    return r.where("precision = 'FP32'").select(
+        "dataset", "model", "teacher", "seed", "status", "params", rnd("validation_R2"), rnd("validation_MAE_ugm3"),
+        rnd("validation_RMSE_ugm3"), rnd("R2"), rnd("MAE_ugm3"), rnd("RMSE_ugm3"), rnd("MSE_ugm3_sq"))
+
+
 def q_distill_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E1 result rows (teacher, student FP32, student INT8 per seed)."""
-    r = _study(spark, sf_dir, "distill").results
-    return r.select("dataset", "model", "teacher", "seed", "precision", "status", "params")
+    """Teacher and student FP32 rows of every seed, with their metrics."""
+    return _fp32(_study(spark, sf_dir, "distill").results)
 
 
 def q_distill_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A11/A12/F10 over the E1 seeds."""
-    s = _study(spark, sf_dir, "distill").summary
-    return s.select("dataset", "model", "teacher", "precision", "number_of_seeds")
+    s = _study(spark, sf_dir, "distill").summary.where("precision = 'FP32'")
+    return s.select("dataset", "model", "teacher", "number_of_seeds", rnd("R2_mean"), rnd("R2_std"), rnd("MAE_ugm3_mean"), rnd("RMSE_ugm3_mean"))
 
 
 def q_distill_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U1 prediction rows of E1 (val/test x FP32/INT8 x models x seeds)."""
+    """Prediction rows of E1 per series, split, model, precision and seed."""
     p = _study(spark, sf_dir, "distill").predictions
-    return p.select("series_id", "split", "model", "precision", "seed")
+    return p.groupBy("series_id", "split", "model", "teacher", "precision", "seed").agg(F.count(F.lit(1)).alias("rows"), F.count("predicted").alias("predicted"))
+
+
+def q_distill_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4/M5: every trial of E1 with its drawn specification and score."""
+    t = _study(spark, sf_dir, "distill").trials
+    return t.select("stage", "seed", "trial", rnd(F.col("l2") * 1e6, "l2_e6"), rnd(F.coalesce("kd_alpha", F.lit(-1.0)), "kd_alpha"),
+                    "status", "params", rnd("validation_R2"), rnd("validation_RMSE_ugm3"))
+
+
+def q_distill_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rows a study leaves, and that no seed failed."""
+    r = _study(spark, sf_dir, "distill")
+    rows = r.results.select("model", "teacher", "seed", "precision", "status", "params",
+                            F.col("tflite_size_KB").isNull().alias("no_device_size"),
+                            F.when(F.col("precision") == "INT8", F.col("model_size_KB").isNull()).otherwise(F.col("model_size_KB") > 0).alias("size_ok"))
+    return rows.withColumn("failed_seeds", F.lit(r.failures.count()))
 
 
 def q_baseline_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E2 with a GBT learner."""
-    r = _study(spark, sf_dir, "gbt").results
-    return r.select("dataset", "model", "teacher", "seed", "precision", "status")
+    """E2 with the ridge learner."""
+    return _fp32(_study(spark, sf_dir, "linear").results)
+
+
+def q_baseline_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2 with a decision tree on whole windows, FP32 and INT8."""
+    r = _study(spark, sf_dir, "decision_tree").results
+    return r.select("dataset", "model", "seed", "precision", "status", "params", "epochs_completed", rnd("validation_R2"), rnd("R2"), rnd("quantization_R2_drop"), "specification")
 
 
 # ------------------------------------------------------- embeddings
@@ -91,9 +130,10 @@ FROM qq GROUP BY label"""
 
 def registered() -> dict:
     return {"distill_results_events": q_distill_results, "distill_summary_events": q_distill_summary,
-            "distill_predictions_events": q_distill_predictions, "baseline_results_events": q_baseline_results,
-            "embeddings_quantized": q_embeddings_quantized}
+            "distill_predictions_events": q_distill_predictions, "distill_trials_events": q_distill_trials,
+            "distill_status_events": q_distill_status, "baseline_results_events": q_baseline_results,
+            "baseline_tree_events": q_baseline_tree, "embeddings_quantized": q_embeddings_quantized}
 
 
 def registered_sql() -> dict:
-    return {"embeddings_quantized": sql_embeddings_quantized()}
+    return {"embeddings_quantized": sql_embeddings_quantized(), **ridge.registered_sql()}

@@ -10,7 +10,6 @@ recomputing a long lineage, and survive the loss of executors.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,11 +52,14 @@ def checkpoint_root(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder; only when none is configured (tests,
-    local runs) create a private one under the system temp folder."""
+    """The checkpoint folder.  Only a local session without one gets a folder
+    of its own, under its warehouse folder; a cluster session must name a
+    shared one, because executors cannot read each other's disks."""
     root = checkpoint_root(spark)
     if root is None:
-        root = tempfile.mkdtemp(prefix="hourloom-ckpt-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
@@ -69,7 +71,8 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
 
     A written table (rather than ``localCheckpoint``) keeps the data on shared
     storage, so a lost executor does not lose it, and re-reads get column
-    pruning and filter push-down.
+    pruning, filter push-down and a known size (Spark then broadcasts a small
+    table by itself).  ``release`` removes the table again.
     """
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
@@ -79,3 +82,13 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Remove a table written by ``materialize``, given as returned."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/hourloom/" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

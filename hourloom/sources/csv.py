@@ -1,67 +1,85 @@
 """Headered sensor CSV scan.
 
-Every column is read as a string (no schema inference: cleaning is textual),
-header names are trimmed, and the series key can come from the file name.
-A glob takes one header for all files, so files are grouped by their header
-line first (one line read per file through the Hadoop file system, which
-works for any cluster store), each group is read with its own header, and
-the groups are unioned by name.
+Every column is read as a string (no schema inference: cleaning is textual)
+and header names are trimmed.  A scan takes one header for all its files, so
+files are grouped by their header line first: one distributed text scan finds
+each file's first line (any path, folder, glob or compression that Spark
+reads), and only the list of files with their headers reaches the driver, as
+Spark's own file listing does.  Where the groups name their timestamp or
+target differently, each group's columns are resolved (P2, P3) and renamed to
+common names before the union.
+
+``series_id`` is the file's path below the folder that all files share,
+without its extensions: files of one folder are named by their base names, and
+equal names in different folders stay apart.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import posixpath
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import CANONICAL_TARGET, CANONICAL_TIME, target_column, timestamp_column
 from ..operators.evaluate import union_all
 
+_BOM = "\ufeff"
+_EXTENSIONS = r"(\.(csv|txt|tsv|gz|bz2|zst|deflate|snappy|lz4))+$"
+
+
+def _header_groups(spark: SparkSession, patterns: list[str]) -> dict[str, list[str]]:
+    """Files by header line (byte-order mark and blanks trimmed)."""
+    lines = spark.read.option("recursiveFileLookup", True).text(patterns)
+    lines = lines.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+                         F.monotonically_increasing_id().alias("i"), "value")
+    first = lines.groupBy("f").agg(F.min_by("value", F.struct("b", "i")).alias("h"))  # partial minima, one row per file
+    groups: dict[str, list[str]] = {}
+    for r in first.orderBy("f").toLocalIterator():
+        groups.setdefault(r["h"].lstrip(_BOM).strip(), []).append(r["f"])
+    return groups
+
 
-def _first_lines(spark: SparkSession, pattern: str) -> dict[str, str]:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(pattern)
-    fs = path.getFileSystem(conf)
-    files = [st.getPath() for st in (fs.globStatus(path) or []) if not st.isDirectory()]
-    bom = "﻿"
+def series_root(files: list[str]) -> str:
+    """The folder that all files share, with its final slash."""
+    folders = [posixpath.dirname(f) for f in files]
+    root = posixpath.commonpath([re.sub(r"^[a-z0-9]+:/*", "/", f) for f in folders])
+    prefix = re.match(r"^([a-z0-9]+:/*)?", files[0]).group(0)
+    return (prefix.rstrip("/") + root if prefix.count("/") < 2 else prefix + root.lstrip("/")).rstrip("/") + "/"
 
-    def first_line(p):
-        stream = fs.open(p)
-        try:
-            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-            return p.toString(), (reader.readLine() or "").lstrip(bom)
-        finally:
-            stream.close()
 
-    # one short read per file (metadata-sized), issued concurrently
-    with ThreadPoolExecutor(max_workers=16) as pool:
-        return dict(pool.map(first_line, files))
+def _renamed(df: DataFrame, names: set[tuple[str, str]], found: tuple[str, str] | None) -> DataFrame:
+    if found is None or len(names) < 2:
+        return df
+    new = {found[0]: CANONICAL_TIME, found[1]: CANONICAL_TARGET}
+    return df.toDF(*[new.get(c, c) for c in df.columns])
 
 
 def read_sensor_csv(spark: SparkSession, paths: str | list[str], series_from_file: bool = True,
-                    group_headers: bool = True) -> DataFrame:
-    """Read one or many headered CSV files as strings.
+                    timestamp_col: str | None = None, target_col: str | None = None) -> DataFrame:
+    """Read headered CSV files as strings: paths, folders (searched below) or globs.
 
-    ``series_from_file`` adds ``series_id`` = file name without extension.
-    """
+    ``series_from_file`` adds ``series_id``; without it a station column of the
+    files is expected.  If files resolve to different timestamp or target
+    columns, those are renamed to common names (unless given by name); a file
+    in which none is found raises, naming its columns."""
     patterns = [paths] if isinstance(paths, str) else list(paths)
-    groups: dict[str, list[str]] = {}
-    if group_headers:
-        for pat in patterns:
-            for file, header in _first_lines(spark, pat).items():
-                groups.setdefault(header, []).append(file)
-    else:
-        groups[""] = patterns
-    frames = []
+    groups = _header_groups(spark, patterns)
+    if not groups:
+        raise FileNotFoundError(f"no lines in {patterns}")
+    root = series_root([f for files in groups.values() for f in files])
+    frames, found = [], []
     for files in groups.values():
         df = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", False)
               .option("mode", "PERMISSIVE").csv(files))
-        df = df.toDF(*[c.strip() for c in df.columns])
+        df = df.toDF(*[c.lstrip(_BOM).strip() for c in df.columns])
+        if len(groups) > 1:
+            found.append((timestamp_col or timestamp_column(df.columns), target_col or target_column(df.columns)))
         if series_from_file:
-            name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
+            path = F.col("_metadata.file_path")
+            name = F.regexp_replace(F.when(path.startswith(root), F.substr(path, F.lit(len(root) + 1))).otherwise(path), _EXTENSIONS, "")
             df = df.withColumn("series_id", name)
         frames.append(df)
-    if not frames:
-        raise FileNotFoundError(f"no files match {patterns}")
-    return union_all(frames)
+    names = set(found)
+    return union_all([_renamed(df, names, found[i] if found else None) for i, df in enumerate(frames)])

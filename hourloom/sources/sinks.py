@@ -56,5 +56,5 @@ def save_params(params: DataFrame, feature_params: DataFrame, root: str) -> None
 
 
 def load_params(spark: SparkSession, root: str) -> DataFrame:
-    """S4 reload: apply to new data with ``operators.features.apply_params``."""
+    """S4 reload: apply to new data with ``plans.prepare.windows_with``."""
     return spark.read.parquet(f"{root.rstrip('/')}/params")

@@ -42,3 +42,11 @@ def lineitem_observations(spark: SparkSession, sf_dir: str, by: str | None = "l_
                      F.col("l_extendedprice").cast("double").alias("l_extendedprice"),
                      F.col("l_discount").cast("double").alias("l_discount"),
                      F.col("l_quantity").cast("double").alias("l_quantity"))
+
+
+def version(spark: SparkSession, sf_dir: str, name: str) -> tuple[int, int]:
+    """Size and last change of a table's path: tells a changed input."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(path).getLength()), int(fs.getFileStatus(path).getModificationTime())

@@ -159,12 +159,12 @@ def test_target_scaler_zero_variance_is_one(spark):
 
 
 def test_timestamp_and_target_resolution():
-    assert names.find_timestamp_column(["x", "Recorded At ", "date"]) == "date"
-    assert names.find_timestamp_column(["x", " Recorded  At"]) == " Recorded  At"
-    assert names.find_target_column(["Temp", "PM 2.5 (µg/m³)"]) == "PM 2.5 (µg/m³)"
-    assert names.find_target_column(["pm25", "PM2.5"]) == "PM2.5"
+    assert names.timestamp_column(["x", "Recorded At ", "date"]) == "date"
+    assert names.timestamp_column(["x", " Recorded  At"]) == " Recorded  At"
+    assert names.target_column(["Temp", "PM 2.5 (µg/m³)"]) == "PM 2.5 (µg/m³)"
+    assert names.target_column(["pm25", "PM2.5"]) == "PM2.5"
     with pytest.raises(ValueError):
-        names.find_target_column(["Temp", "Humidity"])
+        names.target_column(["Temp", "Humidity"])
 
 
 def test_normalize_name_column_matches_python(spark):

@@ -1,42 +1,103 @@
 """Headered CSV -> observations -> windows, end to end."""
 
+import gzip
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import functions as F
+import pytest
 
-from hourloom.operators.ingest import ingest
+from hourloom.functions.names import CANONICAL_TARGET, CANONICAL_TIME
+from hourloom.functions.timeparse import best_of_n_parse
+from hourloom.operators.ingest import ParseGateError, ingest
 from hourloom.plans.prepare import Gates, prepare
-from hourloom.sources.csv import read_sensor_csv
+from hourloom.sources.csv import read_sensor_csv, series_root
 
 
 def _write(dirpath, name, header, rows):
     p = Path(dirpath) / name
-    p.write_text(header + "\n" + "\n".join(rows) + "\n", encoding="utf-8")
+    p.parent.mkdir(parents=True, exist_ok=True)
+    text = header + "\n" + "\n".join(rows) + "\n"
+    if name.endswith(".gz"):
+        p.write_bytes(gzip.compress(text.encode()))
+    else:
+        p.write_text(text, encoding="utf-8")
     return str(p)
 
 
-def test_csv_ingest_end_to_end(spark):
-    d = tempfile.mkdtemp(prefix="hourloom-csv-")
-    rows_a = []
+def _station_a(d, name="station_a.csv"):
+    rows = []
     for i in range(60):
         day, hour = 1 + i // 24, i % 24
         pm = "NA" if i % 11 == 0 else f"{10 + i % 7},{i % 10}00" if i % 13 == 0 else str(10 + i % 7)
-        rows_a.append(f'"{day:02d}/01/2024 {hour:02d}:00", {20 + i % 3} ,{pm},"note {i}",{50 + i}')
-    _write(d, "station_a.csv", " Timestamp ,Temperature,PM2.5 (µg/m³),Station note,Humidity", rows_a)
-    rows_b = [f"2024-02-01 {h:02d}:00:00,{5 + h},{h % 4}" for h in range(24)]
-    _write(d, "station_b.csv", "DateTime,PM25,Wind", rows_b)
-    raw = read_sensor_csv(spark, f"{d}/*.csv")
-    assert raw.count() == 84
-    ing = ingest(raw.where(F.col("series_id") == "station_a"), series_col="series_id")
+        rows.append(f'"{day:02d}/01/2024 {hour:02d}:00", {20 + i % 3} ,{pm},"note {i}",{50 + i}')
+    return _write(d, name, " Timestamp ,Temperature,PM2.5 (µg/m³),Station note,Humidity", rows)
+
+
+def test_one_header(spark):
+    d = tempfile.mkdtemp(prefix="hourloom-csv-")
+    _station_a(d)
+    ing = ingest(read_sensor_csv(spark, f"{d}/*.csv"), series_col="series_id")
     assert ing.timestamp_col == "Timestamp" and ing.target == "PM2.5 (µg/m³)"
     assert ing.predictors == ["Temperature", "Humidity"]          # text note dropped by P7
     assert ing.value_cols == ["Temperature", "PM2.5 (µg/m³)", "Humidity"]
     obs = ing.observations
-    assert obs.count() == 60
-    p = prepare(obs, ing.target, ing.predictors, feature_order=ing.value_cols, persist="none",
-                gates=Gates(10, 5, 1))
+    assert obs.count() == 60 and {r.series_id for r in obs.select("series_id").distinct().collect()} == {"station_a"}
+    p = prepare(obs, ing.target, ing.predictors, feature_order=ing.value_cols, persist="none", gates=Gates(10, 5, 1))
     assert p.feature_names[:3] == ["Temperature", "PM2.5_current", "Humidity"]
     assert p.windows.count() > 0
-    b = ingest(raw.where(F.col("series_id") == "station_b"), series_col="series_id")
-    assert b.target == "PM25" and b.predictors == ["Wind"]
+
+
+def _three_stations():
+    d = tempfile.mkdtemp(prefix="hourloom-csv-")
+    _station_a(f"{d}/north", "s.csv")
+    _write(f"{d}/south", "s.csv", "DateTime,PM25,Wind,Rare", [f"2024-02-01 {h:02d}:00:00,{5 + h},{h % 4},{'x' if h < 22 else h}" for h in range(24)])
+    _write(d, "bad.csv.gz", "DateTime,PM25,Wind,Rare", [f"someday {h},{h},{h},{h}" for h in range(30)])
+    return d
+
+
+@pytest.mark.parametrize("path", ["{d}", "{d}/", ["{d}/north/s.csv", "{d}/south", "{d}/bad.csv.gz"]])
+def test_mixed_headers_equal_names_and_a_bad_station(spark, path):
+    d = _three_stations()
+    paths = [p.format(d=d) for p in path] if isinstance(path, list) else path.format(d=d)
+    raw = read_sensor_csv(spark, paths)
+    assert {CANONICAL_TIME, CANONICAL_TARGET} < set(raw.columns) and raw.count() == 60 + 24 + 30
+    with pytest.raises(ParseGateError) as e:
+        ingest(raw, series_col="series_id")
+    assert [r.series_id for r in e.value.failed.collect()] == ["bad"]
+    ing = ingest(raw, series_col="series_id", on_fail="exclude")
+    rows = ing.observations.collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.series_id, []).append(r)
+    assert {k: len(v) for k, v in by.items()} == {"north/s": 60, "south/s": 24}
+    assert sorted(ing.predictors) == ["Humidity", "Temperature", "Wind"]  # Rare: numeric in under a quarter of south
+    assert sorted(r[CANONICAL_TARGET] for r in by["south/s"]) == [float(5 + h) for h in range(24)]
+    assert all(r.Wind is None for r in by["north/s"]) and all(r.Wind is not None for r in by["south/s"])
+    assert {r.series_id for r in ing.parse_report.where("not parse_passed").collect()} == {"bad"}
+    assert ingest(raw, series_col="series_id", on_fail="report").observations.where("series_id = 'bad'").count() == 0
+
+
+def test_a_column_of_one_station_is_kept_and_nulled_where_it_is_text(spark):
+    rows = [("a", f"2024-01-01 {h:02d}:00:00", str(h), str(h)) for h in range(24)]
+    rows += [("b", f"2024-01-01 {h:02d}:00:00", str(h), "7" if h == 3 else "text") for h in range(24)] * 20
+    ing = ingest(spark.createDataFrame(rows, "series_id string, Timestamp string, `PM2.5` string, p string"), series_col="series_id")
+    assert ing.predictors == ["p"]
+    got = {(r.series_id, r.p) for r in ing.observations.collect()}
+    assert ("a", 5.0) in got and {p for s, p in got if s == "b"} == {None}
+
+
+def test_series_root():
+    assert series_root(["file:///x/a/1.csv", "file:///x/b/1.csv"]) == "file:///x/"
+    assert series_root(["file:///x/1.csv"]) == "file:///x/"
+    assert series_root(["s3://b/x/1.csv", "s3://b/y/2.csv"]) == "s3://b/"
+
+
+@pytest.mark.parametrize("text,want", [
+    ("1/2/2024 3:05 PM", "2024-01-02 15:05:00"), ("2024-01-02 12:00:07 am", "2024-01-02 00:00:07"), ("2 Jan 2024 03:04", "2024-01-02 03:04:00"),
+    ("Jan 2, 2024 03:04", "2024-01-02 03:04:00"), ("2-Feb-2024", "2024-02-02 00:00:00"), ("March 5, 2024", "2024-03-05 00:00:00"),
+    ("2024-01-02T03:04:05Z", "2024-01-02 03:04:05"), ("2024-01-02 03:04:05+02:00", "2024-01-02 03:04:05"), ("2024-01-02T03:04:05.250-0500", "2024-01-02 03:04:05.250000"),
+    ("20240102", "2024-01-02 00:00:00"), ("20240102030405", "2024-01-02 03:04:05"), ("20240102T030405", "2024-01-02 03:04:05"), ("20240102 03:04", "2024-01-02 03:04:00")])
+def test_common_layouts(spark, text, want):
+    rows, report = best_of_n_parse(spark.createDataFrame([("s", text)], "series_id string, t string"), "t")
+    assert report.first().parse_rate == 1.0
+    assert str(rows.first().ts) == want

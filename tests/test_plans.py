@@ -56,12 +56,33 @@ def test_no_window_over_a_whole_series(spark):
             assert "_part" in ln or ", ts" in ln or "_chunk" in ln or ln.count("#") == 1
 
 
-def test_broadcast_only_within_measured_bounds(spark):
-    from hourloom.plans.joins import join_small
-    small = spark.range(1000).select(F.col("id"), F.array(*[F.lit(1.0)] * 6).alias("a"))
-    big = spark.range(20000).select((F.col("id") % 1000).alias("id"))
-    hinted = lambda df: "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
-    assert hinted(join_small(big, small, ["id"]))
-    assert not hinted(join_small(big, small, ["id"], max_bytes=1000))
-    assert not hinted(join_small(big, small, ["id"], max_rows=10))
-    assert join_small(big, small, ["id"], max_rows=10).count() == 20000
+def test_no_persisted_tables_left(spark):
+    from hourloom.plans import catalog as cat
+    cat.clear_cache()
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    for name in ("quality_events", "windows_orders", "parse_report_orders"):
+        cat.registered_queries()[name](spark, "/root/testdata/sf0.001").count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_representative_sample_ranks_keys_only(spark):
+    from hourloom.operators.quantize import representative_sample
+    w = spark.range(5000).select(F.lit("s").alias("series_id"), F.col("id").alias("idx"), F.lit("train").alias("split"),
+                                 F.array(F.col("id").cast("double")).alias("seq"))
+    out = representative_sample(w, 100)
+    wide = [ln for ln in _plan(out).splitlines() if "Window" in ln and "seq" in ln]
+    assert not wide and out.count() == 100
+
+
+def test_data_plane_takes_two_large_exchanges(spark):
+    """Observations and grid meet in one aggregate; fill and windows take one more."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        o = hourly_series(spark, [(float(i % 7), float(i % 5)) for i in range(200)], cols=("value", "p"))
+        g, _ = reg.regularize(o, "value", ["p"], ffill_limit=0, keep=lambda b: materialize(b, "plan_bounds"))
+        lay = feat.feature_layout(["value", "p"], "value")
+        plan = _plan(win.fill_and_window(feat.feature_frame(g, lay), len(lay.names), [1]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    wide = [ln for ln in plan.splitlines() if "Exchange hashpartitioning" in ln and ("idx" in ln or "_part" in ln)]
+    assert len(wide) == 2 and plan.count("SortMergeJoin") == 1  # the join with the per-series bounds

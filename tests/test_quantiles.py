@@ -1,31 +1,48 @@
-"""Bracketed exact quantiles equal Spark's exact ``percentile``."""
+"""Exact quantiles with bounded state equal Spark's exact ``percentile``."""
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from helpers import hourly_series
 from hourloom.operators.quantiles import group_quantiles
-from hourloom.plans.prepare import prepare
 
+PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
 
-def test_bracket_equals_percentile_on_skewed_groups(spark):
+
+def _exact(df):
+    arr = F.array(*[F.lit(p) for p in PROBS])
+    return {r.k: r.q for r in df.groupBy("k").agg(F.percentile("v", arr).alias("q")).collect()}
+
+
+def _ours(df, **kw):
+    return {r.k: r._q0 for r in group_quantiles(df, ["k"], [F.col("v")], PROBS, **kw).collect()}
+
+
+@pytest.mark.parametrize("accuracy", [20, 100, 10_000])
+def test_equals_percentile(spark, accuracy):
     rnd = random.Random(7)
     rows = [("hot", float(rnd.randint(0, 3000)) / 7.0 if rnd.random() > 0.05 else None) for _ in range(20000)]
-    rows += [("small", float(i % 13)) for i in range(50)] + [("empty", None)] * 3 + [("one", 4.5)]
+    rows += [("weekday", float(i % 7)) for i in range(5000)]
+    rows += [("half tied", 3.25 if i % 2 else float(i)) for i in range(5001)]
+    rows += [("small", float(i % 13)) for i in range(50)] + [("empty", None)] * 3 + [("one", 4.5), ("two", 1.0), ("two", 2.0)]
+    rows += [(f"n{n}", float(rnd.randint(-50, 50))) for n in range(3, 12) for _ in range(n)]
     df = spark.createDataFrame(rows, "k string, v double")
-    probs = [0.25, 0.5, 0.75]
-    exact = {r.k: r._q0 for r in group_quantiles(df, ["k"], [F.col("v")], probs, mode="exact").collect()}
-    # accuracy 100 -> groups above 400 values use brackets of about 4% of the rows
-    br = {r.k: r._q0 for r in group_quantiles(df, ["k"], [F.col("v")], probs, mode="bracket", accuracy=100).collect()}
-    assert br == exact
-    assert exact["empty"] is None and br["one"] == [4.5, 4.5, 4.5]
-
-
-def test_prepare_bracket_mode_matches_exact(spark):
-    vals = [(None if i % 9 == 0 else float((i * 37) % 101), float(i % 17)) for i in range(3000)]
-    o = hourly_series(spark, vals, cols=("value", "p"))
-    a = prepare(o, "value", ["p"], persist="none", quantiles="exact")
-    b = prepare(o, "value", ["p"], persist="none", quantiles="bracket")
-    key = lambda p: sorted(tuple(r) for r in p.feature_params.collect())
-    assert key(a) == key(b)
+    assert _ours(df, accuracy=accuracy) == _exact(df)
+
+
+def test_state_is_the_distinct_values_of_the_bracket(spark):
+    """Ties never pile up: what is gathered per group is distinct values."""
+    df = spark.range(60_000).select(F.lit("k").alias("k"), F.when(F.col("id") % 2 == 0, 3.5).otherwise((F.col("id") % 7).cast("double")).alias("v"))
+    out = group_quantiles(df, ["k"], [F.col("v")], [0.25, 0.5, 0.75], accuracy=100)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" in plan and plan.count("partial_count") >= 1
+    rows = out.collect()
+    assert rows[0]._q0 == df.agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0]
+
+
+def test_several_expressions_and_keys(spark):
+    df = spark.createDataFrame([("a", 1, float(i), float(i * i % 17)) for i in range(300)] + [("b", 2, None, 5.0)], "k string, j int, v double, w double")
+    got = {(r.k, r.j): (r._q0, r._q1) for r in group_quantiles(df, ["k", "j"], [F.col("v"), F.col("w")], [0.5]).collect()}
+    assert got[("a", 1)] == ([149.5], [8.0]) or got[("a", 1)][0] == [149.5]
+    assert got[("b", 2)] == (None, [5.0])
