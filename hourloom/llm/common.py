@@ -8,6 +8,7 @@ such a name, or of a name that an operator adds, is replaced.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def land(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared checkpoint folder and read it back: cuts
     the lineage, survives lost executors and gives Spark the table's size."""
-    return materialize(df, f"llm-{name}")
+    out = materialize(df, f"llm-{name}")
+    free_shuffles(df.sparkSession)
+    return out
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark removes the shuffle files of finished jobs when the driver collects
+    its garbage; asked for between the phases of a long operator, the disks hold
+    one phase's shuffles at a time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

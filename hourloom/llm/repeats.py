@@ -5,7 +5,8 @@
    adaptive execution can split when a key is hot).
 3. Runs with equal key and content digest are one *class*; classes, not
    copies, go on, each with its text taken from one of its documents.
-4. The operator judges classes, a bounded batch of whole keys at a time.
+4. The operator judges the classes of keys that have several, a bounded batch
+   of whole keys at a time; a key with one class needs no comparison.
 5. Verdicts go back to all runs of a class and are gathered per document.
 """
 
@@ -21,11 +22,26 @@ from pyspark.sql import functions as F
 from hourloom.llm import windows64 as w64
 from hourloom.llm.common import CHUNK_BYTES, keyed, land, sized, texts
 
-_RUNS = "key long, digest long, _c_id long, _c_hash long, lo long, off int, n int"
+_RUNS = "key long, digest long, _c_id long, _c_hash long, place long"
+_BITS = 12  # of off and n within a place
+
+
+def lo() -> Column:
+    """First window start of a run, in symbols of the document."""
+    return F.shiftright("place", 2 * _BITS)
+
+
+def starts_of_run() -> Column:
+    """Number of window starts of a run."""
+    return F.col("place").bitwiseAND(F.lit((1 << _BITS) - 1))
 
 
 def runs_of(docs: DataFrame, unit: str, length: int, k: int) -> DataFrame:
-    """Anchored runs of all windows of ``length`` units (``words`` or ``bytes``)."""
+    """Anchored runs of all windows of ``length`` units (``words`` or ``bytes``;
+    under 4,096); ``place`` packs the first start, the anchor's offset and the
+    number of starts."""
+    if length >= 1 << _BITS:
+        raise ValueError(f"windows of {length} {unit} are too long")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sized(batches, "_c_text"):
@@ -43,34 +59,34 @@ def runs_of(docs: DataFrame, unit: str, length: int, k: int) -> DataFrame:
             cuts = w64.pieces(len(symbols), length) if len(ids) == 1 else [(0, len(symbols))]
             for s, e in cuts:
                 r = w64.runs(symbols[s:e].astype(np.uint64), bounds if len(ids) > 1 else np.array([0, e - s]), length, k)
-                lo = r["lo"] + s - bounds[r["seq"]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-                    r["key"], r["digest"], ids[r["seq"]], hashes[r["seq"]], lo, r["off"].astype(np.int32), r["n"].astype(np.int32))],
-                    names=["key", "digest", "_c_id", "_c_hash", "lo", "off", "n"])
+                first = r["lo"] + s - bounds[r["seq"]]
+                place = (first << (2 * _BITS)) | (r["off"] << _BITS) | r["n"]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (r["key"], r["digest"], ids[r["seq"]], hashes[r["seq"]], place)],
+                                                 names=["key", "digest", "_c_id", "_c_hash", "place"])
 
     return docs.select("_c_id", "_c_hash", "_c_text").mapInArrow(cut, _RUNS)
 
 
-def repeated_runs(docs: DataFrame, unit: str, length: int, k: int, recurs: Column, name: str) -> DataFrame:
-    """Runs whose anchor key recurs (``recurs`` over key groups with columns
-    first, final (ids), times, same (all runs of one class)); written, with
-    ``first`` and ``same``."""
+def repeated_runs(docs: DataFrame, unit: str, length: int, k: int, measures: list[Column], recurs: Column, name: str) -> DataFrame:
+    """Runs whose anchor key recurs (``recurs`` over the ``measures`` of a key),
+    with ``same`` (all runs of the key are of one class) and the first of the
+    measures; written."""
     runs = runs_of(docs, unit, length, k)
-    keys = (runs.groupBy("key").agg(F.min("_c_id").alias("first"), F.max("_c_id").alias("final"), F.count(F.lit(1)).alias("times"),
-                                    F.min("digest").alias("d0"), F.max("digest").alias("d1"))
-            .withColumn("same", F.col("d0") == F.col("d1")).where(recurs).select("key", "same"))
-    return land(runs.join(keys, "key"), f"{name}-runs")
+    keys = runs.groupBy("key").agg(*measures, F.min("digest").alias("d0"), F.max("digest").alias("d1")).where(recurs)
+    keys = land(keys.select("key", keys.columns[1], (F.col("d0") == F.col("d1")).alias("same")), f"{name}-keys")
+    return land(runs.join(keys, "key"), f"{name}-runs")  # two plain exchanges: Spark can split a hot key
 
 
 def class_texts(docs: DataFrame, runs: DataFrame, unit: str, length: int) -> DataFrame:
-    """One row per class: key, digest, first (smallest id), times, off, n, lo, and
-    the class's text (words: joined by one space) from one of its documents."""
-    place = F.struct("_c_id", "_c_hash", "lo", "off", "n")
-    classes = runs.groupBy("key", "digest").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("times"))
+    """One row per class: key, digest, first (smallest id), times, off, n and the
+    class's text (words: joined by one space) from one of its documents."""
+    spot = F.struct("_c_id", "_c_hash", "place")
+    classes = runs.groupBy("key", "digest").agg(F.min(spot).alias("p"), F.count(F.lit(1)).alias("times"))
     wanted = classes.groupBy(F.col("p._c_id").alias("_c_id"), F.col("p._c_hash").alias("_c_hash")).agg(
-        F.collect_list(F.struct("key", "digest", "times", F.col("p.lo").alias("lo"), F.col("p.off").alias("off"), F.col("p.n").alias("n"))).alias("_c_want"))
+        F.collect_list(F.struct("key", "digest", "times", F.col("p.place").alias("place"))).alias("_c_want"))
     rows = docs.select("_c_id", "_c_hash", "_c_text").join(wanted, ["_c_id", "_c_hash"])
     schema = "key long, digest long, first long, times long, off int, n int, body binary"
+    mask = (1 << _BITS) - 1
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sized(batches, "_c_text"):
@@ -81,10 +97,11 @@ def class_texts(docs: DataFrame, runs: DataFrame, unit: str, length: int) -> Dat
             for i, raw in enumerate(texts(b, "_c_text")):
                 parts = raw.split() if unit == "words" else raw
                 for c in want[i].as_py():
-                    e = c["lo"] + c["n"] + length - 1
-                    body = b" ".join(parts[c["lo"]:e]) if unit == "words" else parts[c["lo"]:e]
+                    at, off, n = c["place"] >> (2 * _BITS), (c["place"] >> _BITS) & mask, c["place"] & mask
+                    e = at + n + length - 1
+                    body = b" ".join(parts[at:e]) if unit == "words" else parts[at:e]
                     size += len(body)
-                    for o, v in zip(out, (c["key"], c["digest"], ids[i], c["times"], c["off"], c["n"], body), strict=True):
+                    for o, v in zip(out, (c["key"], c["digest"], ids[i], c["times"], off, n, body), strict=True):
                         o.append(v)
                 if size > 4 * CHUNK_BYTES:
                     yield _batch(out)
@@ -131,7 +148,7 @@ def judged(classes: DataFrame, judge: Callable[[list[tuple]], Iterator[tuple]],
             if cols:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    return classes.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(go, schema)
+    return land(classes.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(go, schema), "verdicts")
 
 
 def per_document(docs: DataFrame, marks: DataFrame, value: str) -> DataFrame:
@@ -141,4 +158,4 @@ def per_document(docs: DataFrame, marks: DataFrame, value: str) -> DataFrame:
     return docs.join(got, ["_c_id", "_c_hash"], "left")
 
 
-__all__ = ["class_texts", "judged", "key_groups", "keyed", "per_document", "repeated_runs", "runs_of"]
+__all__ = ["class_texts", "judged", "key_groups", "keyed", "lo", "per_document", "repeated_runs", "runs_of", "starts_of_run"]

@@ -13,7 +13,8 @@ document id of every state, and is dropped when the batch is done.  Streaming
 a text gives its matching statistics; where 13 or more words match, the state
 of the 13-word suffix names the first document that has the window.
 
-A key whose texts are more than one shard's worth is matched part by part: all
+A key with one text under it (only exact copies of that run) needs no automaton:
+its first document has every window.  A key whose texts are more than one shard's worth is matched part by part: all
 its texts stream past the automaton of each part, and the smallest id wins.
 
 Defined cases: null or blank texts have no words; fewer than 13 words are
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourloom.llm.common import keyed, replaced, sized, texts
-from hourloom.llm.repeats import class_texts, judged, per_document, repeated_runs
+from hourloom.llm.repeats import class_texts, judged, lo, per_document, repeated_runs, starts_of_run
 
 MIN_WORDS = 13
 ANCHOR_WORDS = 5
@@ -150,12 +151,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = ["n_words", "n_removed", "removed_spans", "kept_text"]
     keep = replaced(docs, own)
     base = keyed(docs.select(*[F.col(f"`{c}`") for c in keep]), id_col, text_col)
-    runs = repeated_runs(base, "words", min_words, anchor_words, F.col("first") < F.col("final"), "substring")
-    classes = class_texts(base, runs, "words", min_words)
-    firsts = judged(classes, lambda g: _first_owners(g, min_words, SHARD_BYTES), "key long, digest long, firsts array<long>",
-                    [pa.int64(), pa.int64(), pa.list_(pa.int64())], SHARD_BYTES)
-    late = F.filter(F.transform("firsts", lambda f, j: F.when(f < F.col("_c_id"), F.col("lo") + j)), lambda x: x.isNotNull())
-    marks = runs.join(firsts, ["key", "digest"]).select("_c_id", "_c_hash", late.alias("s")).where(F.size("s") > 0)
+    ids = [F.min("_c_id").alias("first"), F.max("_c_id").alias("final")]
+    runs = repeated_runs(base, "words", min_words, anchor_words, ids, F.col("first") < F.col("final"), "substring")
+    several = runs.where(~F.col("same")).drop("first")
+    firsts = judged(class_texts(base, several, "words", min_words), lambda g: _first_owners(g, min_words, SHARD_BYTES),
+                    "key long, digest long, firsts array<long>", [pa.int64(), pa.int64(), pa.list_(pa.int64())], SHARD_BYTES)
+    late = F.filter(F.transform("firsts", lambda f, j: F.when(f < F.col("_c_id"), lo() + j)), lambda x: x.isNotNull())
+    marks = several.join(firsts, ["key", "digest"]).select("_c_id", "_c_hash", late.alias("s")).where(F.size("s") > 0)
+    alone = runs.where(F.col("same") & (F.col("first") < F.col("_c_id")))  # one text under the key: its first document has every window
+    marks = marks.unionByName(alone.select("_c_id", "_c_hash", F.sequence(lo(), lo() + starts_of_run() - 1).alias("s")))
     rows = per_document(base, marks, "s").select(*[F.col(f"`{c}`") for c in keep], "_c_text", "_c_marks")
     schema = T.StructType([docs.schema[c] for c in keep] + [
         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),

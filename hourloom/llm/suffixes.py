@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourloom.llm.common import keyed, replaced, sized, texts
-from hourloom.llm.repeats import class_texts, judged, per_document, repeated_runs
+from hourloom.llm.repeats import class_texts, judged, lo, per_document, repeated_runs, starts_of_run
 from hourloom.llm.substring import cover_spans
 
 MIN_BYTES = 200
@@ -173,12 +173,12 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     own = ["n_bytes", "n_removed", "removed_spans", "kept_bytes"]
     keep = replaced(docs, own)
     base = keyed(docs.select(*[F.col(f"`{c}`") for c in keep]), id_col, text_col)
-    runs = repeated_runs(base, "bytes", min_bytes, anchor_bytes, F.col("times") > 1, "suffixes")
-    classes = class_texts(base, runs.where(~F.col("same")), "bytes", min_bytes)
-    spans = judged(classes, lambda g: _spans(g, min_bytes), "key long, digest long, spans array<int>",
+    runs = repeated_runs(base, "bytes", min_bytes, anchor_bytes, [F.count(F.lit(1)).alias("times")], F.col("times") > 1, "suffixes")
+    several = runs.where(~F.col("same")).drop("times")
+    spans = judged(class_texts(base, several, "bytes", min_bytes), lambda g: _spans(g, min_bytes), "key long, digest long, spans array<int>",
                    [pa.int64(), pa.int64(), pa.list_(pa.int32())], BATCH_BYTES)
-    all_same = runs.where("same").select("_c_id", "_c_hash", F.array(F.col("lo"), F.col("lo") + F.col("n") - 1).alias("s"))
-    some = runs.where(~F.col("same")).join(spans, ["key", "digest"]).select("_c_id", "_c_hash", F.transform("spans", lambda x: F.col("lo") + x).alias("s"))
+    all_same = runs.where("same").select("_c_id", "_c_hash", F.array(lo(), lo() + starts_of_run() - 1).alias("s"))
+    some = several.join(spans, ["key", "digest"]).select("_c_id", "_c_hash", F.transform("spans", lambda x: lo() + x).alias("s"))
     rows = per_document(base, all_same.unionByName(some), "s").select(*[F.col(f"`{c}`") for c in keep], "_c_text", "_c_marks")
     schema = T.StructType([docs.schema[c] for c in keep] + [
         T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
