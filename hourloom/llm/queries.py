@@ -13,6 +13,7 @@ from hourloom.llm.mixing import mix_sources
 from hourloom.llm.ordinal import rate_documents
 from hourloom.llm.packing import pack
 from hourloom.llm.rules import judge_documents
+from hourloom.llm.rulesoracle import quality_rules_sql
 from hourloom.llm.sharding import shuffle_into_shards
 from hourloom.llm.simhash import near_duplicates
 from hourloom.llm.substring import remove_repeats
@@ -131,4 +132,4 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 
 def registered_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": _OP2}
+    return {"op2_substring_dedup": _OP2, "op9_quality_rules": quality_rules_sql()}
