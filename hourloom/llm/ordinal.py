@@ -5,9 +5,12 @@ over hashed text features is shared by all grades and ordered thresholds cut
 its score: P(grade <= k) = logistic(threshold_k - score).  The expected grade
 and the tail probability P(grade = 2) select documents.
 
-Features are the distinct lower-case words of the whole text and the distinct
-symbol remainders of its words (letters and digits taken away), hashed.  The
-model is fitted on a bounded sample of labelled rows (``SAMPLE`` at most in
+Features are hashed text: the distinct lower-case words of the whole text
+without outer punctuation, the distinct symbol remainders of its words, and a
+few tokens that state the text's shape (share of distinct words, of repeated
+lines, of words with symbols, and length).  The penalty is an absolute one in
+proportion to the square root of a feature's documents, about the noise of its
+gradient, so features that say nothing get no weight.  The model is fitted on a bounded sample of labelled rows (``SAMPLE`` at most in
 expectation, chosen by a hash of the id); features seen in fewer than ``MIN_DOCS``
 sampled documents carry no weight.  All documents are scored whole, map-only.
 
@@ -36,16 +39,26 @@ MIN_DOCS = 4
 GRADES = 3
 #: A document is kept when P(grade = 2) is at least this.
 KEEP_TAIL = 0.5
-ROUNDS, STEP, PENALTY = 150, 0.3, 0.02
+ROUNDS, STEP, ABSOLUTE_PENALTY, SQUARE_PENALTY = 300, 0.3, 0.15, 0.1
 
 _MASK = (1 << FEATURE_BITS) - 1
 _PLAIN = bytes([*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1), *range(0x80, 0x100)])
+_PUNCTUATION = b".,;:!?'\"()-"
+_OUTER = _PUNCTUATION + b"|#*$%&<>"
 
 
 def features(text: bytes) -> np.ndarray:
     """Hashed feature numbers of a text, distinct and sorted."""
-    words = set(text.lower().split())
-    names = words | {b"\x00" + s for w in words if (s := w.translate(None, _PLAIN))}
+    every = text.lower().split()
+    if not every:
+        return np.zeros(0, np.int64)
+    words, n = set(every), len(every)
+    names = {w.strip(_OUTER) for w in words} | {b"\x00" + s for w in words if (s := w.translate(None, _PLAIN))}
+    names.discard(b"")
+    lines = [x for x in text.split(b"\n") if x.strip()]
+    odd = sum(1 for w in every if w.translate(None, _PLAIN + _PUNCTUATION))
+    names |= {b"\x01u%d" % (20 * len(words) // n), b"\x01n%d" % n.bit_length(), b"\x01s%d" % (10 * odd // n),
+              b"\x01d%d" % (10 * (len(lines) - len(set(lines))) // len(lines))}
     h = xxhash.xxh64_intdigest
     return np.unique(np.fromiter((h(w) & _MASK for w in names), np.int64, len(names)))
 
@@ -68,7 +81,7 @@ class OrdinalModel:
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray) -> OrdinalModel:
-    """Full-batch AdaGrad on the penalised likelihood."""
+    """Full-batch proximal AdaGrad on the penalised likelihood."""
     weights, cuts = np.zeros(1 << FEATURE_BITS), np.array([-2.0, 0.0])  # first threshold, log of the gap
     if not rows:
         return OrdinalModel(weights, np.array([-2.0, -1.0]))
@@ -82,6 +95,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> OrdinalModel:
     flat, rows_of = place[flat][used], rows_of[used]
     n, w = len(rows), np.zeros(len(names))
     past_w, past_c = np.full(len(names), 1e-8), np.full(2, 1e-8)
+    absolute = ABSOLUTE_PENALTY * np.sqrt(times[names])
     for _ in range(ROUNDS):
         s = np.bincount(rows_of, weights=w[flat], minlength=n)
         t = np.array([cuts[0], cuts[0] + np.exp(cuts[1])])
@@ -89,14 +103,16 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> OrdinalModel:
         upper = np.where(grades == 0, sig[:, 0], np.where(grades == 1, sig[:, 1], 1.0))
         lower = np.where(grades == 0, 0.0, np.where(grades == 1, sig[:, 0], sig[:, 1]))
         p = np.maximum(upper - lower, 1e-9)
-        g = np.bincount(flat, weights=(1 - upper - lower)[rows_of], minlength=len(names)) + PENALTY * n / 100 * w
+        g = np.bincount(flat, weights=(1 - upper - lower)[rows_of], minlength=len(names)) + SQUARE_PENALTY * w
         up, low = -upper * (1 - upper) / p, lower * (1 - lower) / p
         g0 = np.where(grades == 0, up, 0).sum() + np.where(grades == 1, low, 0).sum()
         g1 = np.where(grades == 1, up, 0).sum() + np.where(grades == 2, low, 0).sum()
         gc = np.array([g0 + g1, g1 * np.exp(cuts[1])])
         past_w += g * g
         past_c += gc * gc
-        w -= STEP * g / np.sqrt(past_w)
+        rate = STEP / np.sqrt(past_w)
+        w = w - rate * g
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * absolute, 0)
         cuts = cuts - STEP * gc / np.sqrt(past_c)
     weights[names] = w
     return OrdinalModel(weights, np.array([cuts[0], cuts[0] + np.exp(cuts[1])]))

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hourloom.llm.common import LAST_ID, replaced, sized
 from hourloom.llm.tokens import loaded, strings
@@ -102,7 +103,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "d
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_c_part", F.spark_partition_id().cast("long"))
     schema = rows.select(*[F.col(f"`{c}`") for c in keep]).schema
     for name in own:
-        schema = schema.add(name, "array<int>" if name == "ids" else "long")
+        schema = schema.add(name, T.ArrayType(T.IntegerType()) if name == "ids" else T.LongType())
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = loaded(tokenizer)
