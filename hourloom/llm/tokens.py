@@ -34,8 +34,26 @@ from hourloom.session import ensure_checkpoint_dir
 #: Unicode white space beside space, \t, \n and \r: such texts are encoded whole.
 _ODD_BLANK = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+#: Blanks that need the pattern above; without them a text is split at its spaces and line ends.
+_RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
+_FIRST = "\x1f"  # marks a unit that is meant as it is; one without it, or a line end in front, has a space before it
+_BLANKS = ("", " ", "\t", "\n", "\r")
 #: Units kept per worker; the cache is emptied when it is full.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 1_000_000
+_JOINED = 2_000  # new units that are encoded as one text
+
+
+class _Numbers(dict):
+    """Numbers keys in order of arrival and remembers the new ones."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.fresh.append(key)
+        return n
 
 
 def tokenizer_digest(path: str) -> str:
@@ -62,40 +80,68 @@ class TextTokenizer:
         self.by_unit = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
                         and not spec.get("normalizer") and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or re.search(r"\s", t["content"])
                                                                    for t in spec.get("added_tokens", [])))
+        special = {t["id"]: t["content"] for t in spec.get("added_tokens", [])}
+        self.bytes_of = np.array([len(special[i].encode()) if i in special else len(self.library.id_to_token(i) or "")
+                                  for i in range(self.library.get_vocab_size())], np.int64)  # a byte-level token has a character per byte
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Numbers()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _learn(self, units: list[str]) -> None:
-        if len(self.index) + len(units) > CACHE_UNITS:
-            self._clear()
-        for s in range(0, len(units), 20_000):
-            part = units[s:s + 20_000]
-            for u, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids, i = e.ids, len(self.index)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                if i >= len(self.at):
-                    self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-                self.flat[self.used:self.used + len(ids)] = ids
-                self.at[i], self.size[i] = self.used, len(ids)
-                self.used += len(ids)
-                self.index[u] = i
+    def _store(self, numbers: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Keeps the ids of units, laid one after the other."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.size[numbers] = sizes
+        self.at[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+
+    def _learn(self) -> None:
+        """Encodes the fresh units.  Those that begin with a blank and end with
+        none follow one another in one text, whose ids are dealt back by the
+        units' byte lengths; the others are encoded one by one."""
+        keys, base = self.index.fresh, len(self.index) - len(self.index.fresh)
+        self.index.fresh = []
+        while len(self.index) > len(self.at):
+            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+        units = [k[1:] if k[0] == _FIRST else k if k[0] == "\n" else " " + k for k in keys]
+        joins = np.array([u[0] in " \n" and u[-1] not in " \n\t\r" for u in units], bool)
+        chain = np.flatnonzero(joins)
+        parts = [chain[s:s + _JOINED] for s in range(0, len(chain), _JOINED)]
+        texts = ["".join([units[i] for i in part]) for part in parts]
+        for part, e in zip(parts, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.cumsum(self.bytes_of[ids])
+            last = np.searchsorted(ends, np.cumsum([len(units[i].encode()) for i in part]), side="left") + 1
+            self._store(base + part, ids, np.diff(last, prepend=0))
+        rest = np.flatnonzero(~joins)
+        for i, e in zip(rest, self.library.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
+            self._store(base + np.array([i]), np.array(e.ids, np.uint32), np.array([len(e.ids)]))
 
     def _units(self, texts: list[str]) -> list[np.ndarray | None]:
         """Unit numbers of each text; None: to be encoded whole."""
-        split = [None if _ODD_BLANK.search(t) else _UNIT.findall(t) for t in texts] if self.by_unit else [None] * len(texts)
-        fresh = dict.fromkeys(u for s in split if s for u in s if u not in self.index)
-        if fresh:
-            if len(self.index) + len(fresh) > CACHE_UNITS:
-                fresh = dict.fromkeys(u for s in split if s for u in s)
-            self._learn(list(fresh))
-        get = self.index.__getitem__
-        return [None if s is None else np.fromiter(map(get, s), np.int64, len(s)) for s in split]
+        if not self.by_unit:
+            return [None] * len(texts)
+        if len(self.index) > CACHE_UNITS:
+            self._clear()
+        number = self.index.__getitem__
+        out: list[np.ndarray | None] = []
+        for t in texts:
+            if _ODD_BLANK.search(t):
+                out.append(None)
+            elif not t or t[0] in " \n" or t[-1] in " \n" or any(x in t for x in _RUNS):
+                s = [u[1:] if u[0] == " " and u[1:2] not in _BLANKS else u if u[0] == "\n" else _FIRST + u for u in _UNIT.findall(t)]
+                out.append(np.fromiter(map(number, s), np.int64, len(s)))
+            else:
+                s = t.replace("\n", " \n").split(" ")  # the pieces stand for their text with the space before it
+                s[0] = _FIRST + s[0]
+                out.append(np.fromiter(map(number, s), np.int64, len(s)))
+        self._learn()
+        return out
 
     def counts(self, texts: list[str]) -> list[int]:
         return [len(self.library.encode(t, add_special_tokens=False).ids) if u is None else int(self.size[u].sum())
@@ -108,9 +154,8 @@ class TextTokenizer:
                 out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32))
                 continue
             n = self.size[u]
-            total = int(n.sum())
             first = np.repeat(self.at[u] - (np.cumsum(n) - n), n)
-            out.append(self.flat[first + np.arange(total)])
+            out.append(self.flat[first + np.arange(len(first))])
         return out
 
 
