@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from hourloom.llm.common import CHUNK_BYTES, keyed, land, sized, texts
 
 _RUNS = "key long, digest long, _c_id long, _c_hash long, place long"
 _BITS = 12  # of off and n within a place
+#: Classes of one key that are compared in one task; a key with more is dealt out by its windows.
+HOT_CLASSES = 1_000
 
 
 def lo() -> Column:
@@ -77,45 +80,59 @@ def repeated_runs(docs: DataFrame, unit: str, length: int, k: int, measures: lis
     return land(runs.join(keys, "key"), f"{name}-runs")  # two plain exchanges: Spark can split a hot key
 
 
-def class_texts(docs: DataFrame, runs: DataFrame, unit: str, length: int) -> DataFrame:
-    """One row per class: key, digest, first (smallest id), times, off, n and the
-    class's text (words: joined by one space) from one of its documents."""
+def class_texts(docs: DataFrame, runs: DataFrame, unit: str, length: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """The classes of the runs, written, in two tables.
+
+    Keys with up to ``HOT_CLASSES`` classes: key, digest, first (smallest id),
+    times, off, n and the class's text (words: joined by one space) from one of
+    its documents.  Hot keys (a common phrase met by ever new neighbours): one
+    row per window, with its offset ``j`` in the run and a 128-bit hash of its
+    symbols (h1, h2), so that a hot key is dealt out by its windows."""
     spot = F.struct("_c_id", "_c_hash", "place")
-    classes = runs.groupBy("key", "digest").agg(F.min(spot).alias("p"), F.count(F.lit(1)).alias("times"))
-    wanted = classes.groupBy(F.col("p._c_id").alias("_c_id"), F.col("p._c_hash").alias("_c_hash")).agg(
-        F.collect_list(F.struct("key", "digest", "times", F.col("p.place").alias("place"))).alias("_c_want"))
+    classes = land(runs.groupBy("key", "digest").agg(F.min(spot).alias("p"), F.count(F.lit(1)).alias("times")), f"{name}-classes")
+    hot = classes.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_CLASSES).select("key", F.lit(True).alias("hot"))
+    wanted = classes.join(hot, "key", "left").groupBy(F.col("p._c_id").alias("_c_id"), F.col("p._c_hash").alias("_c_hash")).agg(
+        F.collect_list(F.struct("key", "digest", "times", F.col("p.place").alias("place"), F.coalesce("hot", F.lit(False)).alias("hot"))).alias("_c_want"))
     rows = docs.select("_c_id", "_c_hash", "_c_text").join(wanted, ["_c_id", "_c_hash"])
-    schema = "key long, digest long, first long, times long, off int, n int, body binary"
     mask = (1 << _BITS) - 1
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sized(batches, "_c_text"):
             ids = b.column("_c_id").to_numpy(zero_copy_only=False)
             want = b.column("_c_want")
-            out: list[list] = [[] for _ in range(7)]
+            out: list[tuple] = []
             size = 0
             for i, raw in enumerate(texts(b, "_c_text")):
                 parts = raw.split() if unit == "words" else raw
+                first = int(ids[i])
                 for c in want[i].as_py():
                     at, off, n = c["place"] >> (2 * _BITS), (c["place"] >> _BITS) & mask, c["place"] & mask
-                    e = at + n + length - 1
-                    body = b" ".join(parts[at:e]) if unit == "words" else parts[at:e]
-                    size += len(body)
-                    for o, v in zip(out, (c["key"], c["digest"], ids[i], c["times"], off, n, body), strict=True):
-                        o.append(v)
-                if size > 4 * CHUNK_BYTES:
-                    yield _batch(out)
-                    out, size = [[] for _ in range(7)], 0
-            if out[0]:
+                    for j, (s, e) in enumerate(zip(range(at, at + n), range(at + length, at + n + length), strict=True)) if c["hot"] else ((None, (at, at + n + length - 1)),):
+                        body = b" ".join(parts[s:e]) if unit == "words" else parts[s:e]
+                        h1, h2 = (None, None) if j is None else _hash128(body)
+                        out.append((c["key"], c["digest"], first, c["times"], off, n, body if j is None else None, j, h1, h2))
+                        size += len(body) if j is None else 64
+                    if size > 4 * CHUNK_BYTES:
+                        yield _batch(out)
+                        out, size = [], 0
+            if out:
                 yield _batch(out)
 
-    return rows.mapInArrow(fetch, schema)
+    schema = "key long, digest long, first long, times long, off int, n int, body binary, j int, h1 long, h2 long"
+    found = land(rows.mapInArrow(fetch, schema), f"{name}-texts")
+    return (found.where("body is not null").select("key", "digest", "first", "times", "off", "n", "body"),
+            found.where("body is null").select("key", "digest", "first", "times", "j", "h1", "h2"))
+
+
+def _hash128(body: bytes) -> tuple[int, int]:
+    h = xxhash.xxh3_128_digest(body)
+    return int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)
 
 
-def _batch(cols: list[list]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    names = ["key", "digest", "first", "times", "off", "n", "body"]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = {"key": pa.int64(), "digest": pa.int64(), "first": pa.int64(), "times": pa.int64(), "off": pa.int32(), "n": pa.int32(),
+             "body": pa.binary(), "j": pa.int32(), "h1": pa.int64(), "h2": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), names.values(), strict=True)], names=list(names))
 
 
 def key_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]:

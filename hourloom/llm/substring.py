@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourloom.llm.common import keyed, replaced, sized, texts
+from hourloom.llm.common import keyed, land, replaced, sized, texts
 from hourloom.llm.repeats import class_texts, judged, lo, per_document, repeated_runs, starts_of_run
 
 MIN_WORDS = 13
@@ -154,10 +154,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids = [F.min("_c_id").alias("first"), F.max("_c_id").alias("final")]
     runs = repeated_runs(base, "words", min_words, anchor_words, ids, F.col("first") < F.col("final"), "substring")
     several = runs.where(~F.col("same")).drop("first")
-    firsts = judged(class_texts(base, several, "words", min_words), lambda g: _first_owners(g, min_words, SHARD_BYTES),
+    cold, hot = class_texts(base, several, "words", min_words, "substring")
+    firsts = judged(cold, lambda g: _first_owners(g, min_words, SHARD_BYTES),
                     "key long, digest long, firsts array<long>", [pa.int64(), pa.int64(), pa.list_(pa.int64())], SHARD_BYTES)
     late = F.filter(F.transform("firsts", lambda f, j: F.when(f < F.col("_c_id"), lo() + j)), lambda x: x.isNotNull())
     marks = several.join(firsts, ["key", "digest"]).select("_c_id", "_c_hash", late.alias("s")).where(F.size("s") > 0)
+    first = hot.groupBy("h1", "h2").agg(F.min("first").alias("f"))
+    first = land(hot.join(first, ["h1", "h2"]).select("key", "digest", "j", "f"), "substring-hot")
+    hot_marks = several.join(first, ["key", "digest"]).where(F.col("f") < F.col("_c_id"))
+    marks = marks.unionByName(hot_marks.select("_c_id", "_c_hash", F.array(lo() + F.col("j")).alias("s")))
     alone = runs.where(F.col("same") & (F.col("first") < F.col("_c_id")))  # one text under the key: its first document has every window
     marks = marks.unionByName(alone.select("_c_id", "_c_hash", F.sequence(lo(), lo() + starts_of_run() - 1).alias("s")))
     rows = per_document(base, marks, "s").select(*[F.col(f"`{c}`") for c in keep], "_c_text", "_c_marks")

@@ -157,3 +157,13 @@ def test_components_of_a_path_and_a_star(spark):
 def test_empty_tables(none):
     assert remove_repeats(none).collect() == remove_repeated_bytes(none).collect() == []
     assert simhash.near_duplicates(none).collect() == simhash.one_per_group(none).collect() == []
+
+
+@pytest.mark.parametrize("limit", [0, 3])
+def test_hot_keys_are_dealt_out_by_their_windows(odd, monkeypatch, limit):
+    from hourloom.llm import repeats
+    monkeypatch.setattr(repeats, "HOT_CLASSES", limit)
+    got = rows(remove_repeats(odd).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)))
+    assert got == sorted(brute.substring(PAIRS), key=repr)
+    got = rows(remove_repeated_bytes(odd).select("doc_id", "n_bytes", "n_removed", F.size("removed_spans"), F.sha2("kept_bytes", 256)))
+    assert got == sorted(brute.suffixes(PAIRS), key=repr)
