@@ -28,7 +28,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import replaced, sized
+from hourloom.llm.common import land, replaced, sized
 from hourloom.session import ensure_checkpoint_dir
 
 #: Unicode white space beside space, \t, \n and \r: such texts are encoded whole.
@@ -213,6 +213,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, text
             yield pa.RecordBatch.from_arrays([b.column("_c_digest"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["digest", "version", "n_tokens"])
 
     misses.select("_c_digest", "_c_text").mapInArrow(encode, "digest string, version string, n_tokens long").write.mode("append").parquet(cache)
-    counts = _cached(docs, cache, version).withColumnRenamed("digest", "_c_digest").withColumnRenamed("n_tokens", "_c_n")
+    counts = land(_cached(docs, cache, version).withColumnRenamed("digest", "_c_digest").withColumnRenamed("n_tokens", "_c_n"), "token-counts")
+    # a plain table, so that the join's exchanges can be split where one text is very frequent
     return (rows.select(*[F.col(f"`{c}`") for c in keep], F.octet_length("_c_text").cast("long").alias("n_bytes"), "_c_digest")
             .join(counts, "_c_digest").select(*[F.col(f"`{c}`") for c in keep], "n_bytes", F.col("_c_n").alias("n_tokens")))
