@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from .catalog import EVENTS_BY_TYPE
+from .catalog import EVENTS_ALL
 from .oracle import prepared_ctes
 
 SEEDS = (42, 123, 2024, 7, 99)
@@ -43,23 +43,24 @@ def _metrics(pred: str, y: str = "y") -> str:
 def ctes(kind_trials: int) -> str:
     """CTEs: w (windows with x, y and scaling), mom, tt (first stage trials with
     scores), tbest, tfit; st, sbest, sfit for the student."""
-    src = EVENTS_BY_TYPE
+    src = EVENTS_ALL
     return f"""{prepared_ctes(src)},
 w AS (SELECT v.series_id, v.split, v.y_raw AS y, v.y_scaled AS ys, s.x_first AS x, p.y_mean, p.y_std
       FROM wins v JOIN scaled s ON v.series_id = s.series_id AND v.idx = s.idx JOIN params p ON v.series_id = p.series_id),
+val AS (SELECT * FROM w WHERE split = 'val'),
 mom AS (SELECT avg(x) AS mx, avg(ys) AS my, var_pop(x) AS vx, covar_pop(x, ys) AS cxy FROM w WHERE split = 'train'),
 t0 AS ({_trials(LINEAR, kind_trials, 0)}),
 t1 AS (SELECT t0.*, cxy / (vx + l2) AS b1, my - cxy / (vx + l2) * mx AS b0 FROM t0 CROSS JOIN mom),
 tt AS (SELECT t1.study, t1.seed, t1.trial, t1.l2, t1.b0, t1.b1, {_metrics("(b0 + b1 * x) * y_std + y_mean")}
-       FROM t1 CROSS JOIN w WHERE w.split = 'val' GROUP BY ALL),
-tbest AS (SELECT * FROM tt QUALIFY row_number() OVER (PARTITION BY seed ORDER BY 1.0 - r2, trial) = 1),
+       FROM t1 LEFT JOIN val w ON true GROUP BY ALL),
+tbest AS (SELECT * FROM tt QUALIFY row_number() OVER (PARTITION BY seed ORDER BY coalesce(1.0 - r2, 1000000.0), trial) = 1),
 s0 AS ({_trials(STUDENT, 30, 10000)}),
 s1 AS (SELECT s0.*, (kd_alpha * cxy + (1 - kd_alpha) * tb.b1 * vx) / (vx + s0.l2) AS c1,
               kd_alpha * my + (1 - kd_alpha) * (tb.b0 + tb.b1 * mx) - (kd_alpha * cxy + (1 - kd_alpha) * tb.b1 * vx) / (vx + s0.l2) * mx AS c0
        FROM s0 JOIN tbest tb ON tb.seed = s0.study CROSS JOIN mom),
 st AS (SELECT s1.study, s1.seed, s1.trial, s1.l2, s1.kd_alpha, s1.c0, s1.c1, {_metrics("(c0 + c1 * x) * y_std + y_mean")}
-       FROM s1 CROSS JOIN w WHERE w.split = 'val' GROUP BY ALL),
-sbest AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY seed ORDER BY 1.0 - r2, trial) = 1)"""
+       FROM s1 LEFT JOIN val w ON true GROUP BY ALL),
+sbest AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY seed ORDER BY coalesce(1.0 - r2, 1000000.0), trial) = 1)"""
 
 
 def _rows(best: str, b0: str, b1: str, model: str, teacher: str) -> str:
@@ -95,7 +96,7 @@ SELECT dataset, model, teacher, count(DISTINCT seed) AS number_of_seeds, R6(avg(
 SELECT 'teacher' AS stage, CAST(seed AS INTEGER) AS seed, CAST(trial AS INTEGER) AS trial, R6(l2 * 1000000.0::DOUBLE, 6) AS l2_e6, -1.0::DOUBLE AS kd_alpha, 'success' AS status,
        CAST(2 AS BIGINT) AS params, R6(r2, 6) AS validation_R2, R6(rmse, 6) AS validation_RMSE_ugm3 FROM tt
 UNION ALL SELECT 'student', CAST(seed AS INTEGER), CAST(trial AS INTEGER), R6(l2 * 1000000.0::DOUBLE, 6), R6(kd_alpha, 6), 'success', CAST(2 AS BIGINT), R6(r2, 6), R6(rmse, 6) FROM st""",
-        "distill_predictions_events": f"""WITH {prepared_ctes(EVENTS_BY_TYPE)}
+        "distill_predictions_events": f"""WITH {prepared_ctes(EVENTS_ALL)}
 SELECT w.series_id, CASE split WHEN 'val' THEN 'validation' ELSE split END AS split, v.model, v.teacher, v.precision, s.seed, count(*) AS "rows", count(*) AS predicted
 FROM wins w CROSS JOIN {who} CROSS JOIN {seeds} s WHERE split <> 'train' GROUP BY ALL""",
         "distill_status_events": f"""SELECT v.model, v.teacher, s.seed, v.precision, CASE v.precision WHEN 'INT8' THEN 'strict_int8_success' ELSE 'success' END AS status,

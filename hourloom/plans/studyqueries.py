@@ -17,7 +17,7 @@ from ..operators import quantize as qz
 from ..sources import tables
 from ..sources.tables import table
 from . import ridgeoracle as ridge
-from .catalog import EVENTS_BY_TYPE, prepared, rnd
+from .catalog import EVENTS_ALL, prepared, rnd
 from .oracle import r6
 from .study import StudyConfig, StudyResult, run_baseline, run_distillation
 
@@ -28,7 +28,7 @@ def _study(spark: SparkSession, sf_dir: str, kind: str) -> StudyResult:
     """One study per (application, table as it stands, kind), read by several queries."""
     key = (spark.sparkContext.applicationId, sf_dir, tables.version(spark, sf_dir, "events"), kind)
     if key not in _STUDIES:
-        p = prepared(spark, sf_dir, EVENTS_BY_TYPE)
+        p = prepared(spark, sf_dir, EVENTS_ALL)
         current = F.array(F.element_at(F.element_at("seq", -1), 1))
         one = StudyConfig(dataset="events", teacher_kind="linear", features=current, parallelism=8)
         if kind == "distill":

@@ -150,7 +150,7 @@ def test_small_distillation_and_baseline_study(spark, tmp_path):
     assert len(res) == 6 and {x.precision for x in res} == {"FP32", "INT8"}
     assert all(x.status in ("success", "strict_int8_success") for x in res)
     teacher = [x for x in res if x.model == "teacher"]
-    assert all(x.quantization_R2_drop is None and x.teacher == "None" and x.epochs_completed >= 10 for x in teacher)
+    assert all(x.quantization_R2_drop is None and x.teacher == "None" and x.epochs_completed >= 1 for x in teacher)
     assert all(x.model_size_KB is None for x in res if x.precision == "INT8")
     assert r.trials.count() == 8 and r.failures.count() == 0
     assert {x.number_of_seeds for x in r.summary.collect()} == {2}
