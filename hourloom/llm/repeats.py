@@ -91,6 +91,7 @@ def class_texts(docs: DataFrame, runs: DataFrame, unit: str, length: int, name:
     spot = F.struct("_c_id", "_c_hash", "place")
     classes = land(runs.groupBy("key", "digest").agg(F.min(spot).alias("p"), F.count(F.lit(1)).alias("times")), f"{name}-classes")
     hot = classes.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_CLASSES).select("key", F.lit(True).alias("hot"))
+    hot = land(hot, f"{name}-hot-keys")  # at most one row per HOT_CLASSES classes
     wanted = classes.join(hot, "key", "left").groupBy(F.col("p._c_id").alias("_c_id"), F.col("p._c_hash").alias("_c_hash")).agg(
         F.collect_list(F.struct("key", "digest", "times", F.col("p.place").alias("place"), F.coalesce("hot", F.lit(False)).alias("hot"))).alias("_c_want"))
     rows = docs.select("_c_id", "_c_hash", "_c_text").join(wanted, ["_c_id", "_c_hash"])

@@ -164,8 +164,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hashed = land(with_simhash(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])], ), text_col, shingle_words), "simhash")
     nodes = hashed.groupBy(F.col("_c_fp").alias("fp")).agg(F.min(id_col).alias("low"))
     found = components(land(links(nodes.select("fp"), max_bits).distinct(), "simhash-links"), "simhash-components")
-    roots = nodes.join(found, nodes.fp == found.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    names = roots.groupBy("root").agg(F.min("low").alias("component_id"))
+    roots = land(nodes.join(found, nodes.fp == found.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    names = land(roots.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-components")  # plain tables: a hot root can be split
     ids = land(roots.join(names, "root").select(F.col("fp").alias("_c_fp"), "component_id", _hex("root").alias("component_fingerprint")), "simhash-names")
     return hashed.join(ids, "_c_fp").select(*[F.col(f"`{c}`") for c in keep], _hex("_c_fp").alias("fingerprint"), "component_id", "component_fingerprint")
 
