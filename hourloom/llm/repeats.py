@@ -80,19 +80,23 @@ def repeated_runs(docs: DataFrame, unit: str, length: int, k: int, measures: lis
     return land(runs.join(keys, "key"), f"{name}-runs")  # two plain exchanges: Spark can split a hot key
 
 
-def class_texts(docs: DataFrame, runs: DataFrame, unit: str, length: int, name: str) -> tuple[DataFrame, DataFrame]:
+def class_texts(docs: DataFrame, runs: DataFrame, unit: str, length: int, name: str, deal_hot: bool = True) -> tuple[DataFrame, DataFrame]:
     """The classes of the runs, written, in two tables.
 
     Keys with up to ``HOT_CLASSES`` classes: key, digest, first (smallest id),
     times, off, n and the class's text (words: joined by one space) from one of
     its documents.  Hot keys (a common phrase met by ever new neighbours): one
     row per window, with its offset ``j`` in the run and a 128-bit hash of its
-    symbols (h1, h2), so that a hot key is dealt out by its windows."""
+    symbols (h1, h2), so that a hot key is dealt out by its windows.  Without
+    ``deal_hot`` the second table is empty."""
     spot = F.struct("_c_id", "_c_hash", "place")
     classes = land(runs.groupBy("key", "digest").agg(F.min(spot).alias("p"), F.count(F.lit(1)).alias("times")), f"{name}-classes")
     hot = classes.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_CLASSES).select("key", F.lit(True).alias("hot"))
-    hot = land(hot, f"{name}-hot-keys")  # at most one row per HOT_CLASSES classes
-    wanted = classes.join(hot, "key", "left").groupBy(F.col("p._c_id").alias("_c_id"), F.col("p._c_hash").alias("_c_hash")).agg(
+    if deal_hot:  # at most one row per HOT_CLASSES classes
+        classes = classes.join(land(hot, f"{name}-hot-keys"), "key", "left")
+    else:
+        classes = classes.withColumn("hot", F.lit(False))
+    wanted = classes.groupBy(F.col("p._c_id").alias("_c_id"), F.col("p._c_hash").alias("_c_hash")).agg(
         F.collect_list(F.struct("key", "digest", "times", F.col("p.place").alias("place"), F.coalesce("hot", F.lit(False)).alias("hot"))).alias("_c_want"))
     rows = docs.select("_c_id", "_c_hash", "_c_text").join(wanted, ["_c_id", "_c_hash"])
     mask = (1 << _BITS) - 1

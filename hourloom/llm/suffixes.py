@@ -17,8 +17,8 @@ so that anchors fall on multiples of the period.  Within it:
 
 Memory per task: the batch, its sample ranks and one bucket's keys, whatever
 the length of the matches.  A key whose runs are all alike (one class, many
-copies) has nothing to sort: all its suffixes tie by construction.  A hot key,
-with ever new classes, is dealt out by its 200-byte strings.
+copies) has nothing to sort: all its suffixes tie by construction.  The classes
+of one key are sorted together, in one task.
 
 Defined cases: null is empty; a text under 200 bytes is kept whole; repeated
 rows are places of their own, so both lose their repeated bytes.
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourloom.llm.common import keyed, land, replaced, sized, texts
+from hourloom.llm.common import keyed, replaced, sized, texts
 from hourloom.llm.repeats import class_texts, judged, lo, per_document, repeated_runs, starts_of_run
 from hourloom.llm.substring import cover_spans
 
@@ -176,16 +176,11 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     base = keyed(docs.select(*[F.col(f"`{c}`") for c in keep]), id_col, text_col)
     runs = repeated_runs(base, "bytes", min_bytes, anchor_bytes, [F.count(F.lit(1)).alias("times")], F.col("times") > 1, "suffixes")
     several = runs.where(~F.col("same")).drop("times")
-    cold, hot = class_texts(base, several, "bytes", min_bytes, "suffixes")
-    spans = judged(cold, lambda g: _spans(g, min_bytes), "key long, digest long, spans array<int>",
+    classes, _ = class_texts(base, several, "bytes", min_bytes, "suffixes", deal_hot=False)
+    spans = judged(classes, lambda g: _spans(g, min_bytes), "key long, digest long, spans array<int>",
                    [pa.int64(), pa.int64(), pa.list_(pa.int32())], BATCH_BYTES)
     all_same = runs.where("same").select("_c_id", "_c_hash", F.array(lo(), lo() + starts_of_run() - 1).alias("s"))
     some = several.join(spans, ["key", "digest"]).select("_c_id", "_c_hash", F.transform("spans", lambda x: lo() + x).alias("s"))
-    # suffixes of a hot key: those alike in 200 bytes are one bucket of their own, and need no order
-    again = hot.groupBy("h1", "h2").agg(F.sum("times").alias("t")).where("t > 1")
-    again = land(hot.join(again, ["h1", "h2"]).select("key", "digest", "j"), "suffixes-hot")
-    at = lo() + F.col("j")
-    some = some.unionByName(several.join(again, ["key", "digest"]).select("_c_id", "_c_hash", F.array(at, at).alias("s")))
     rows = per_document(base, all_same.unionByName(some), "s").select(*[F.col(f"`{c}`") for c in keep], "_c_text", "_c_marks")
     schema = T.StructType([docs.schema[c] for c in keep] + [
         T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
