@@ -128,6 +128,22 @@ def test_sharding_order_is_uniform(spark):
     assert abs(np.mean(np.diff(ids) == 1)) < 0.01
 
 
+def test_sharding_query_shuffles_the_texts(spark, sf, monkeypatch):
+    taken = []
+    monkeypatch.setattr(q, "shuffle_into_shards", lambda docs, *a: taken.append(docs) or sharding.shuffle_into_shards(docs, *a))
+    q.op3_sharding(spark, sf).collect()
+    assert set(taken[0].columns) == set(q.documents(spark, sf).columns)
+
+
+def test_sharding_buckets_are_bounded_by_bytes(spark):
+    df = spark.range(600).select(F.col("id").alias("doc_id"), F.repeat(F.lit("long "), 2000).alias("text"))
+    out = sharding.shuffle_into_shards(df, 4, bucket_bytes=50_000)
+    rows = out.collect()
+    check_shards(rows, 600, 4)
+    assert {(r.doc_id, r.text) for r in rows} == {(i, "long " * 2000) for i in range(600)}
+    assert max(Counter(r.bucket for r in rows).values()) < 25
+
+
 def test_write_shards(spark, odd, tmp_path):
     sharding.write_shards(odd, f"file://{tmp_path}/s", 3)
     assert spark.read.parquet(f"file://{tmp_path}/s").count() == len(PAIRS)
