@@ -98,7 +98,7 @@ def class_texts(docs: DataFrame, runs: DataFrame, unit: str, length: int, name:
         classes = classes.withColumn("hot", F.lit(False))
     wanted = classes.groupBy(F.col("p._c_id").alias("_c_id"), F.col("p._c_hash").alias("_c_hash")).agg(
         F.collect_list(F.struct("key", "digest", "times", F.col("p.place").alias("place"), F.coalesce("hot", F.lit(False)).alias("hot"))).alias("_c_want"))
-    rows = docs.select("_c_id", "_c_hash", "_c_text").join(wanted, ["_c_id", "_c_hash"])
+    rows = docs.select("_c_id", "_c_hash", "_c_text").dropDuplicates(["_c_id", "_c_hash"]).join(wanted, ["_c_id", "_c_hash"])  # repeated rows: one text
     mask = (1 << _BITS) - 1
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +174,10 @@ def judged(classes: DataFrame, judge: Callable[[list[tuple]], Iterator[tuple]],
 
 
 def per_document(docs: DataFrame, marks: DataFrame, value: str) -> DataFrame:
-    """Documents with the gathered lists ``value`` of their marks (bounded by the
-    document's own length); none: null."""
-    got = marks.groupBy("_c_id", "_c_hash").agg(F.flatten(F.collect_list(value)).alias("_c_marks"))
+    """Documents with the gathered lists ``value`` of their marks; none: null.
+    Repeated rows bring the same lists, which are gathered once, so the marks
+    are bounded by the document's own length."""
+    got = marks.groupBy("_c_id", "_c_hash").agg(F.flatten(F.collect_set(value)).alias("_c_marks"))
     return docs.join(got, ["_c_id", "_c_hash"], "left")
 
 

@@ -167,3 +167,35 @@ def test_hot_keys_are_dealt_out_by_their_windows(odd, monkeypatch, limit):
     assert got == sorted(brute.substring(PAIRS), key=repr)
     got = rows(remove_repeated_bytes(odd).select("doc_id", "n_bytes", "n_removed", F.size("removed_spans"), F.sha2("kept_bytes", 256)))
     assert got == sorted(brute.suffixes(PAIRS), key=repr)
+
+
+def test_marks_of_repeated_rows_are_gathered_once(spark):
+    from hourloom.llm.repeats import per_document
+    docs = spark.range(3000).select(F.lit(1).alias("_c_id"), F.lit(2).alias("_c_hash"))
+    marks = spark.range(6000).select(F.lit(1).alias("_c_id"), F.lit(2).alias("_c_hash"), F.array(F.col("id") % 2 * 9, F.lit(5)).alias("s"))
+    got = per_document(docs, marks, "s").select(F.array_sort("_c_marks").alias("m")).collect()
+    assert len(got) == 3000 and {tuple(r.m) for r in got} == {(0, 5, 5, 9)}
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_class_texts_of_repeated_rows_are_fetched_once(spark, monkeypatch, limit):
+    from hourloom.llm import repeats
+    monkeypatch.setattr(repeats, "HOT_CLASSES", limit)
+    docs = repeats.keyed(spark.createDataFrame([(1, prose(1, 60))] * 2000 + [(2, prose(1, 60) + " other end")], "doc_id long, text string"))
+    runs = repeats.runs_of(docs, "words", 13, 5)
+    for df, names in zip(repeats.class_texts(docs, runs, "words", 13, "test"), (["key", "digest"], ["key", "digest", "j"]), strict=True):
+        assert df.count() == df.select(names).distinct().count()
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_some_thousand_repeated_rows(spark, monkeypatch, limit):
+    from hourloom.llm import repeats
+    monkeypatch.setattr(repeats, "HOT_CLASSES", limit)
+    same = prose(1, 80)
+    pairs = [(1, same), (2, same + " other end")] + [(7, same)] * 2000 + [(None, same)] * 2000
+    df = spark.createDataFrame(pairs, "doc_id long, text string")
+    some = [(1, same), (2, same + " other end"), (7, same), (7, same), (None, same), (None, same)]
+    got = rows(remove_repeats(df).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)))
+    assert len(got) == 4002 and set(got) == set(brute.substring(some))
+    got = rows(remove_repeated_bytes(df).select("doc_id", "n_bytes", "n_removed", F.size("removed_spans"), F.sha2("kept_bytes", 256)))
+    assert len(got) == 4002 and set(got) == set(brute.suffixes(some))
