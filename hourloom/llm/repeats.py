@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from hourloom.llm.common import CHUNK_BYTES, keyed, land, sized, texts
 
 _RUNS = "key long, digest long, _c_id long, _c_hash long, place long"
 _BITS = 12  # of off and n within a place
-#: Classes of one key that are compared in one task; a key with more is dealt out by its windows.
+#: Classes of one key that are compared in one task; a key with more is dealt out by its windows (words) or cut up (bytes).
 HOT_CLASSES = 1_000
 
 
@@ -129,6 +130,48 @@ def class_texts(docs: DataFrame, runs: DataFrame, unit: str, length: int, name:
             found.where("body is null").select("key", "digest", "first", "times", "j", "h1", "h2"))
 
 
+def cut_hot(classes: DataFrame, length: int, width: int, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """The classes of keys with up to ``HOT_CLASSES`` classes, and the parts of
+    the others (none: None), written.
+
+    A part holds the consecutive window starts of a class (columns ``of_key``,
+    ``of_digest``, first start ``j``) whose distance to the anchor lies in one
+    range of ``width``.  All windows of such a range have ``length - width + 1``
+    bytes in common (the core); key, range and core make the part's key, so
+    equal windows still meet and unlike neighbours part.  With a width of 1 the
+    core is the window, and a key has one class."""
+    hot = classes.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_CLASSES).select("key", F.lit(True).alias("hot"))
+    hot = land(hot, f"{name}-hot-keys")  # at most one row per HOT_CLASSES classes
+    if hot.isEmpty():
+        return classes, None
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sized(batches, "body"):
+            out: list[tuple] = []
+            for key, digest, times, off, n, body in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                for r in range((off - n + 1) // width, off // width + 1):
+                    s, e = max(0, off - (r + 1) * width + 1), min(n - 1, off - r * width)
+                    part = body[s:e + length]
+                    core = body[off - r * width:off - (r + 1) * width + 1 + length]
+                    own = struct.pack("<qi", key, r)
+                    out.append((key, digest, s, _hash128(own + core)[0], _hash128(struct.pack("<ii", off - s, e - s + 1) + part)[0], times, off - s, e - s + 1, part))
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)],
+                                             names=["of_key", "of_digest", "j", "key", "digest", "times", "off", "n", "body"])
+
+    marked = classes.join(hot, "key", "left")
+    parts = marked.where("hot").select("key", "digest", "times", "off", "n", "body").mapInArrow(
+        cut, "of_key long, of_digest long, j int, key long, digest long, times long, off int, n int, body binary")
+    return marked.where(F.col("hot").isNull()).drop("hot"), land(parts, f"{name}-parts")
+
+
+def classes_of_parts(parts: DataFrame, name: str) -> DataFrame:
+    """Parts alike are one class; columns as of ``class_texts``, without its ``first``
+    (0)."""
+    found = parts.groupBy("key", "digest").agg(F.sum("times").alias("times"), F.first("off").alias("off"), F.first("n").alias("n"), F.first("body").alias("body"))
+    return land(found.select("key", "digest", F.lit(0).cast("long").alias("first"), "times", "off", "n", "body"), f"{name}-part-classes")
+
+
 def _hash128(body: bytes) -> tuple[int, int]:
     h = xxhash.xxh3_128_digest(body)
     return int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)
@@ -181,4 +224,4 @@ def per_document(docs: DataFrame, marks: DataFrame, value: str) -> DataFrame:
     return docs.join(got, ["_c_id", "_c_hash"], "left")
 
 
-__all__ = ["class_texts", "judged", "key_groups", "keyed", "lo", "per_document", "repeated_runs", "runs_of", "starts_of_run"]
+__all__ = ["class_texts", "classes_of_parts", "cut_hot", "judged", "key_groups", "keyed", "lo", "per_document", "repeated_runs", "runs_of", "starts_of_run"]

@@ -17,8 +17,12 @@ so that anchors fall on multiples of the period.  Within it:
 
 Memory per task: the batch, its sample ranks and one bucket's keys, whatever
 the length of the matches.  A key whose runs are all alike (one class, many
-copies) has nothing to sort: all its suffixes tie by construction.  The classes
-of one key are sorted together, in one task.
+copies) has nothing to sort: all its suffixes tie by construction.  A key with
+more than ``HOT_CLASSES`` classes (a frequent passage met by ever new
+neighbours) is cut up by content before it is sorted (``cut_hot``): first by
+ranges of 13 distances to the anchor and the bytes that all windows of a range
+share; parts that still have too many classes, into single windows.  So a batch
+is ``BATCH_BYTES`` and at most one key of ``HOT_CLASSES`` classes more.
 
 Defined cases: null is empty; a text under 200 bytes is kept whole; repeated
 rows are places of their own, so both lose their repeated bytes.
@@ -27,6 +31,8 @@ rows are places of their own, so both lose their repeated bytes.
 from __future__ import annotations
 
 import functools
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourloom.llm.common import keyed, replaced, sized, texts
-from hourloom.llm.repeats import class_texts, judged, lo, per_document, repeated_runs, starts_of_run
+from hourloom.llm.common import keyed, land, replaced, sized, texts
+from hourloom.llm.repeats import class_texts, classes_of_parts, cut_hot, judged, lo, per_document, repeated_runs, starts_of_run
 from hourloom.llm.substring import cover_spans
 
 MIN_BYTES = 200
@@ -167,6 +173,30 @@ def _spans(group: list[tuple], length: int) -> Iterator[tuple]:
             yield row[0], row[1], edges.tolist()
 
 
+def _judge(group: list[tuple], length: int) -> Iterator[tuple]:
+    """As ``_spans``; a key with one class has nothing to sort."""
+    times = Counter(row[0] for row in group)
+    for row in group:
+        if times[row[0]] == 1 and row[3] > 1:
+            yield row[0], row[1], [0, row[5] - 1]
+    several = [row for row in group if times[row[0]] > 1]
+    if several:
+        yield from _spans(several, length)
+
+
+def verdicts(classes: DataFrame, length: int, widths: list[int]) -> DataFrame:
+    """(key, digest, spans of repeated starts) of the classes; those of hot keys
+    from their parts, ever narrower."""
+    cold, parts = cut_hot(classes, length, widths[0], "suffixes") if widths else (classes, None)
+    found = judged(cold, lambda g: _judge(g, length), "key long, digest long, spans array<int>", [pa.int64(), pa.int64(), pa.list_(pa.int32())], BATCH_BYTES)
+    if parts is None:
+        return found
+    inner = verdicts(classes_of_parts(parts, "suffixes"), length, widths[1:])
+    back = parts.select("of_key", "of_digest", "j", "key", "digest").join(inner, ["key", "digest"])
+    back = back.groupBy(F.col("of_key").alias("key"), F.col("of_digest").alias("digest")).agg(F.flatten(F.collect_list(F.transform("spans", lambda x: x + F.col("j")))).alias("spans"))
+    return land(found.unionByName(back), "verdicts")
+
+
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES,
                           anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
     """The operator: input rows plus ``n_bytes``, ``n_removed``, ``removed_spans``
@@ -177,8 +207,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     runs = repeated_runs(base, "bytes", min_bytes, anchor_bytes, [F.count(F.lit(1)).alias("times")], F.col("times") > 1, "suffixes")
     several = runs.where(~F.col("same")).drop("times")
     classes, _ = class_texts(base, several, "bytes", min_bytes, "suffixes", deal_hot=False)
-    spans = judged(classes, lambda g: _spans(g, min_bytes), "key long, digest long, spans array<int>",
-                   [pa.int64(), pa.int64(), pa.list_(pa.int32())], BATCH_BYTES)
+    spans = verdicts(classes, min_bytes, [math.isqrt(min_bytes - anchor_bytes) + 1, 1])
     all_same = runs.where("same").select("_c_id", "_c_hash", F.array(lo(), lo() + starts_of_run() - 1).alias("s"))
     some = several.join(spans, ["key", "digest"]).select("_c_id", "_c_hash", F.transform("spans", lambda x: lo() + x).alias("s"))
     rows = per_document(base, all_same.unionByName(some), "s").select(*[F.col(f"`{c}`") for c in keep], "_c_text", "_c_marks")

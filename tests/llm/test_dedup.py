@@ -199,3 +199,19 @@ def test_some_thousand_repeated_rows(spark, monkeypatch, limit):
     assert len(got) == 4002 and set(got) == set(brute.substring(some))
     got = rows(remove_repeated_bytes(df).select("doc_id", "n_bytes", "n_removed", F.size("removed_spans"), F.sha2("kept_bytes", 256)))
     assert len(got) == 4002 and set(got) == set(brute.suffixes(some))
+
+
+def test_suffix_hot_key_is_cut_up_before_it_is_sorted(spark, monkeypatch):
+    from hourloom.llm import repeats
+    monkeypatch.setattr(repeats, "HOT_CLASSES", 5)
+    seen = []
+
+    def watched(classes, *a):
+        seen.append(max((r["count"] for r in classes.groupBy("key").count().collect()), default=0))
+        return repeats.judged(classes, *a)
+    monkeypatch.setattr(suffixes, "judged", watched)
+    passage = prose(2, 90)
+    pairs = [(i, prose(50 + i, 30) + " " + passage + " " + prose(150 + i % 20, 30)) for i in range(60)]
+    got = rows(remove_repeated_bytes(spark.createDataFrame(pairs, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", F.size("removed_spans"), F.sha2("kept_bytes", 256)))
+    assert got == sorted(brute.suffixes(pairs), key=repr)
+    assert len(seen) == 3 and max(seen) <= 5
