@@ -121,7 +121,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> OrdinalModel:
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text",
                     held_out: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
     """Features and grades of about ``sample`` labelled documents (or, held out,
-    of about as many others)."""
+    of about as many others); of rows with one id, the one with the smallest
+    text hash."""
     rated = labels.select(F.col(id_col).alias("_c_id"), grade(F.col("quality"), F.col("toxic")).alias("_c_grade"))
     rated = rated.where(F.col("_c_id").isNotNull() & F.col("_c_grade").isNotNull()).groupBy("_c_id").agg(F.min("_c_grade").alias("_c_grade"))
     n = rated.count()
@@ -129,6 +130,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id
     spot = F.pmod(F.xxhash64("_c_id", F.lit(5)), F.lit(1_000_000)) / 1e6
     picked = rated.where((spot >= 0.5) & (spot < 0.5 + share) if held_out else spot < share)
     rows = docs.select(F.col(id_col).alias("_c_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_c_text")).join(picked, "_c_id")
+    one = F.min(F.struct(F.xxhash64("_c_text").alias("_c_hash"), "_c_text")).alias("_c_one")
+    rows = rows.groupBy("_c_id", "_c_grade").agg(one).select("_c_id", "_c_grade", F.col("_c_one._c_text").alias("_c_text"))  # one row per id
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sized(batches, "_c_text"):

@@ -150,3 +150,11 @@ def test_pipeline_query_and_odd_rows(spark, odd, none, sf):
     for docs in (odd, none):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, docs, sf).collect()
+
+
+def test_sample_has_one_row_per_id(spark):
+    from hourloom.llm.ordinal import labelled_sample
+    df = spark.createDataFrame([(1, "same text")] * 500 + [(1, "other text"), (2, "two words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    found, grades = labelled_sample(df, labels)
+    assert len(found) == len(grades) == 2
