@@ -3,7 +3,8 @@ to target weights, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's documents.  All but the last
-return the columns of ``documents``; the last returns one row per packed piece.
+return the columns of ``documents``; the last returns one row per packed piece,
+with its token ids.
 
 Defined cases are those of the operators; a document whose text is repeated
 whole elsewhere stays as an empty document; a document taken in two epochs
@@ -52,8 +53,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pack(docs.select("doc_id", "text"), q.tokenizer_path(), q.WINDOW, with_ids=False)
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    out = pack(docs.select("doc_id", "text"), q.tokenizer_path(), q.WINDOW)
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")
 
 
 STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", simhash_near_dedup), ("substring dedup", substring_dedup),

@@ -92,10 +92,10 @@ def candidates(docs: list[np.ndarray], ends: np.ndarray, blank: np.ndarray) -> t
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
          with_ids: bool = True) -> DataFrame:
     """The operator: one row per piece, with the documents' other columns plus
-    ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``,
-    ``offset`` and, unless left out, ``ids`` (the piece's token ids)."""
-    own = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
-    keep = [c for c in replaced(docs, own) if c != text_col]
+    ``start``, ``length``, ``doc_tokens``, ``sequence_id``, ``offset``, ``ids``
+    (the piece's token ids, unless left out) and ``ids_crc32``, derived from them."""
+    own = ["start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+    keep = [c for c in replaced(docs, [*own, "ids_crc32"]) if c != text_col]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_c_text"))
     rows = rows.withColumn("_c_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))).withColumn("_c_hash", F.xxhash64("_c_text"))
     rows = rows.withColumn("_c_row", F.monotonically_increasing_id())  # parts equal rows
@@ -122,11 +122,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "d
             doc = np.searchsorted(bounds, s, side="right") - 1
             seq = np.searchsorted(cuts, s, side="right") - 1
             stream = np.concatenate(held)
-            crcs = np.array([ids_crc32(stream[i:j]) for i, j in zip(s.tolist(), e.tolist(), strict=True)], np.int64)
             table = pa.Table.from_batches(kept).take(pa.array(doc)).combine_chunks()
-            cols = [s - bounds[doc], e - s, crcs, np.diff(bounds)[doc], (part << _SEQUENCE_BITS) + done + seq, s - cuts[seq]]
-            if with_ids:
-                cols.append(pa.ListArray.from_arrays(pa.array(np.append(s, e[-1]).astype(np.int32)), pa.array(stream.astype(np.int32))))
+            cols = [s - bounds[doc], e - s, np.diff(bounds)[doc], (part << _SEQUENCE_BITS) + done + seq, s - cuts[seq]]
+            cols.append(pa.ListArray.from_arrays(pa.array(np.append(s, e[-1]).astype(np.int32)), pa.array(stream.astype(np.int32))))
             done += len(cuts) - 1
             arrays = [table.column(c).combine_chunks() for c in keep]
             return pa.RecordBatch.from_arrays([*arrays, *(x if isinstance(x, pa.Array) else pa.array(x) for x in cols)], names=[*keep, *own])
@@ -143,7 +141,21 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "d
         if held:
             yield solve()
 
-    return rows.mapInArrow(go, schema)
+    out = with_crc32(rows.mapInArrow(go, schema))
+    return out if with_ids else out.drop("ids")
+
+
+def with_crc32(pieces: DataFrame) -> DataFrame:
+    """The pieces plus ``ids_crc32``, derived from their ``ids``."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("ids")
+            at, stream = ids.offsets.to_pylist(), ids.values.to_numpy(zero_copy_only=False)
+            crcs = [ids_crc32(stream[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(crcs, pa.int64())], names=[*b.schema.names, "ids_crc32"])
+
+    return pieces.mapInArrow(go, T.StructType([*pieces.schema.fields, T.StructField("ids_crc32", T.LongType())]))
 
 
 def ids_crc32(ids: np.ndarray) -> int:

@@ -81,7 +81,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pack(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path(), WINDOW, with_ids=False)
+    out = pack(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path(), WINDOW)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -131,3 +131,21 @@ def test_cuts_are_optimal(seed):
     cuts = packing.choose_cuts(pos, pen, 40)
     cost = sum(40 - (pos[b] - pos[a]) + pen[b] for a, b in zip(cuts, cuts[1:], strict=False))
     assert cuts[0] == 0 and cuts[-1] == len(pos) - 1 and cost == brute_cost(pos.tolist(), pen.tolist(), 40)
+
+
+def test_pipeline_keeps_the_packed_ids(spark, sf, table, library):
+    import corpus_pipeline
+    rows = corpus_pipeline.packing(spark, q.documents(spark, sf), sf).collect()
+    text = dict(table)
+    for r in rows:
+        assert r.ids == [*ids_of(library, text[r.doc_id]), 0][r.start:r.start + r.length]
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+    assert len({r.doc_id for r in rows}) == len(table)
+
+
+def test_packing_query_takes_the_ids(spark, sf, monkeypatch):
+    from hourloom.llm import packing
+    taken = []
+    monkeypatch.setattr(q, "pack", lambda *a, **k: taken.append(packing.pack(*a, **k)) or taken[0])
+    q.op6_packing(spark, sf)
+    assert {"ids", "ids_crc32"} < set(taken[0].columns)
