@@ -16,6 +16,8 @@ of the 13-word suffix names the first document that has the window.
 A key with one text under it (only exact copies of that run) needs no automaton:
 its first document has every window.  A key whose texts are more than one shard's worth is matched part by part: all
 its texts stream past the automaton of each part, and the smallest id wins.
+A key with over ``HOT_CLASSES`` texts builds no automaton: its windows are decided
+by 128-bit hashes of their words, and equal digests count as equal texts.
 
 Defined cases: null or blank texts have no words; fewer than 13 words are
 kept; rows with equal id never remove from one another; a null id counts as

@@ -9,8 +9,9 @@ with equal anchor keys, at equal distance from the anchor.  About 2/(L-k+2) of
 the positions become runs; each window start is in exactly one run.
 
 All hashing is vectorised: polynomial prefix hashes modulo 2**64 over a chunk
-of documents, finished with a bit mixer.  Hashes only choose candidates; the
-operators compare the symbols themselves afterwards.
+of documents, finished with a bit mixer.  Keys choose candidates, whose symbols
+the operators compare afterwards, except where runs are alike in key and digest
+(taken as copies) and in the hot keys of the word operator (128-bit hashes).
 """
 
 from __future__ import annotations
