@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, with production parameters, and
+"""Registered queries of the operators, with production parameters, and
 their DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from hourloom.llm.fingerprints import with_fingerprint, with_likeness, with_next
 from hourloom.llm.mixing import mix_sources
 from hourloom.llm.ordinal import rate_documents
 from hourloom.llm.packing import pack
+from hourloom.llm.projections import near_vectors
+from hourloom.llm.repair import damaged, digest_lines, repair_conversations
 from hourloom.llm.rules import judge_documents
 from hourloom.llm.rulesoracle import quality_rules_sql
 from hourloom.llm.sharding import shuffle_into_shards
@@ -19,6 +21,8 @@ from hourloom.llm.simhash import near_duplicates
 from hourloom.llm.substring import remove_repeats
 from hourloom.llm.suffixes import remove_repeated_bytes
 from hourloom.llm.tokens import count_tokens
+from hourloom.llm.trie import prefix_trie, rebuilt
+from hourloom.llm.turns import conversation_key
 
 TOKENIZER = "byte_bpe_50k.json"
 WINDOW = 1024
@@ -106,6 +110,35 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
+def repair_table(rows: DataFrame) -> DataFrame:
+    """Repair of the damaged table, one row per conversation of the original."""
+    found = repair_conversations(damaged(rows))
+    convs = rows.groupBy(F.col("conv_id")).agg(F.count(F.lit(1)).alias("n")).select("conv_id", conversation_key(F.col("conv_id")).alias("_c_conv"))
+    audit = F.sort_array(F.collect_list(F.struct("_c_block", "audit")))  # as long as the column that is asked for
+    audits = found.edits.groupBy("_c_conv").agg(F.array_join(F.transform(audit, lambda x: x["audit"]), "").alias("audit"))
+    out = convs.join(found.report, "_c_conv", "left").join(audits, "_c_conv", "left").join(digest_lines(found.lines), "_c_conv", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_table(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return near_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
+def trie_table(rows: DataFrame) -> DataFrame:
+    """Prefix trie of the rebuilt conversations."""
+    return prefix_trie(*rebuilt(rows))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_table(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -114,7 +147,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered_queries() -> dict:
     found = [op1_fingerprints, op2_substring_dedup, op3_sharding, op4_token_counts, op5_suffix_dedup, op6_packing, op7_simhash, op8_classifier,
-             op9_quality_rules, op10_mixing, pipeline]
+             op9_quality_rules, op10_mixing, op11_conversation_repair, op12_embedding_near_dedup, op13_prefix_trie, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -131,5 +164,18 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+#: op12: cosines of all pairs; components by the least reachable id.
+_OP12 = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+low AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+deg AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM low LEFT JOIN deg USING (vec_id)
+"""
+
+
 def registered_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": _OP2, "op9_quality_rules": quality_rules_sql()}
+    return {"op2_substring_dedup": _OP2, "op9_quality_rules": quality_rules_sql(), "op12_embedding_near_dedup": _OP12}
