@@ -8,8 +8,10 @@ such a name, or of a name that an operator adds, is replaced.
 
 from __future__ import annotations
 
+import functools
 import gc
-from collections.abc import Iterator
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +85,34 @@ def replaced(docs: DataFrame, names: list[str]) -> list[str]:
     return [c for c in docs.columns if c not in names and not c.startswith("_c_")]
 
 
+def columns(docs: DataFrame) -> list[Column]:
+    """All columns, whatever their names hold."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def plain_columns(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Runs an operator on input columns renamed by position, and names them
+    back: names with dots or spaces, or like an operator's own, do no harm.  Of
+    an input column named like one that the operator adds, the operator's stays."""
+    signature = inspect.signature(operator)
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **named) -> DataFrame:
+        given = signature.bind(docs, *args, **named)
+        given.apply_defaults()
+        plain = {c: f"_p{i}" for i, c in enumerate(docs.columns)}
+        for name, value in given.arguments.items():
+            if name.endswith("_col"):
+                given.arguments[name] = plain[value]
+        given.arguments[next(iter(given.arguments))] = docs.toDF(*plain.values())
+        out = operator(*given.args, **given.kwargs)
+        names = {p: c for c, p in plain.items()}
+        added = {c for c in out.columns if c not in names}
+        return out.select(*[F.col(c).alias(names.get(c, c)) for c in out.columns if names.get(c) not in added])
+
+    return run
+
+
 def id_bounds(df: DataFrame, col: str, blocks: int) -> list[int]:
     """Sorted distinct split points of a long column, at most ``blocks - 1``
     (one small aggregate with bounded state)."""

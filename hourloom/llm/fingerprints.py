@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import block_of, id_bounds, replaced, shuffle_partitions
+from hourloom.llm.common import block_of, id_bounds, plain_columns, replaced, shuffle_partitions
 
 SHINGLE_WORDS = 5
 BIN_BITS = 8
@@ -90,6 +90,7 @@ def with_likeness(df: DataFrame, out: str, a: str, b: str, a_empty: Column, b_em
     return df.withColumn(out, F.when(a_empty & b_empty, 1.0).when(a_empty | b_empty, 0.0).otherwise(est)).drop("_c_x", "_c_y")
 
 
+@plain_columns
 def fingerprint_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The operator: documents plus ``fingerprint``; map-only."""
     return with_fingerprint(docs, text_col, "fingerprint").select(*replaced(docs, ["fingerprint"]), "fingerprint")

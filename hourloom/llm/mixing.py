@@ -103,29 +103,29 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, Mapping[str, float]], sha
     budgets = leaf_budgets(leaves, weights, F.lit(float(total) * share), epochs)
     some = F.col("tokens") > 0
     ends = land(budgets.select(*[F.col(c).alias(names[c]) for c in LEVELS],
-                               F.when(some, F.floor(F.try_divide("budget", "tokens"))).otherwise(F.lit(0)).cast("int").alias("full"),
-                               F.when(some, F.try_mod("budget", "tokens")).otherwise(F.lit(0)).alias("part")), "mix-budgets")
+                               F.when(some, F.floor(F.try_divide("budget", "tokens"))).otherwise(F.lit(0)).cast("int").alias("_c_full"),
+                               F.when(some, F.try_mod("budget", "tokens")).otherwise(F.lit(0)).alias("_c_part")), "mix-budgets")
     # the hash range in which a leaf's last epoch ends, in ever finer ranges; one small sum per (leaf, range)
-    ends = ends.withColumns({"base": F.lit(0).cast("long"), "last": F.lit(0).cast("long")})
+    ends = ends.withColumns({"_c_base": F.lit(0).cast("long"), "_c_last": F.lit(0).cast("long")})
     for shift in SHIFTS:
-        near = narrow.join(ends.where(F.col("part") > 0), keys).where(_range("_c_place", shift + RANGE_BITS) == F.col("last"))
-        sums = near.groupBy(*keys, "part", "base", _range("_c_place", shift).alias("r")).agg(F.sum("_c_tokens").alias("t"))
+        near = narrow.join(ends.where(F.col("_c_part") > 0), keys).where(_range("_c_place", shift + RANGE_BITS) == F.col("_c_last"))
+        sums = near.groupBy(*keys, "_c_part", "_c_base", _range("_c_place", shift).alias("r")).agg(F.sum("_c_tokens").alias("t"))
         up = Window.partitionBy(*keys).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-        b = F.col("base") + F.coalesce(F.sum("t").over(up), F.lit(0))
-        at = sums.withColumn("b", b).where((F.col("b") <= F.col("part")) & (F.col("b") + F.col("t") > F.col("part")))
-        at = at.groupBy(*keys).agg(F.min(F.struct("r", "b")).alias("e")).select(*keys, F.col("e.r").alias("last"), F.col("e.b").alias("base"))
-        ends = land(ends.select(*keys, "full", "part").join(at, keys, "left"), f"mix-ends-{shift}")
+        b = F.col("_c_base") + F.coalesce(F.sum("t").over(up), F.lit(0))
+        at = sums.withColumn("b", b).where((F.col("b") <= F.col("_c_part")) & (F.col("b") + F.col("t") > F.col("_c_part")))
+        at = at.groupBy(*keys).agg(F.min(F.struct("r", "b")).alias("e")).select(*keys, F.col("e.r").alias("_c_last"), F.col("e.b").alias("_c_base"))
+        ends = land(ends.select(*keys, "_c_full", "_c_part").join(at, keys, "left"), f"mix-ends-{shift}")
     # order the rows of that range only; the cut is the last place within the budget
     spot = _unsigned("_c_place")
-    edge = narrow.join(ends, keys).where(_range("_c_place", SHIFTS[-1]) == F.col("last"))
-    edge = edge.groupBy(*keys, "_c_place").agg(F.sum("_c_tokens").alias("t"), F.first("base").alias("base"), F.first("part").alias("part"))
-    run = F.col("base") + F.sum("t").over(Window.partitionBy(*keys).orderBy(spot))
-    cut = edge.withColumn("r", run).where(F.col("r") <= F.col("part")).groupBy(*keys).agg(F.max(spot).alias("cut"))
+    edge = narrow.join(ends, keys).where(_range("_c_place", SHIFTS[-1]) == F.col("_c_last"))
+    edge = edge.groupBy(*keys, "_c_place").agg(F.sum("_c_tokens").alias("t"), F.first("_c_base").alias("_c_base"), F.first("_c_part").alias("_c_part"))
+    run = F.col("_c_base") + F.sum("t").over(Window.partitionBy(*keys).orderBy(spot))
+    cut = edge.withColumn("r", run).where(F.col("r") <= F.col("_c_part")).groupBy(*keys).agg(F.max(spot).alias("_c_cut"))
     ends = land(ends.join(cut, keys, "left"), "mix-cuts")
     # one map-only pass: how often is the row taken?
     here = _range("_c_place", SHIFTS[-1])
-    inside = (here < F.col("last")) | ((here == F.col("last")) & (spot <= F.col("cut")))
-    copies = F.col("full") + F.coalesce(inside, F.lit(False)).cast("int")
+    inside = (here < F.col("_c_last")) | ((here == F.col("_c_last")) & (spot <= F.col("_c_cut")))
+    copies = F.col("_c_full") + F.coalesce(inside, F.lit(False)).cast("int")
     out = rows.join(ends, keys).withColumn("_c_copies", copies).where(F.col("_c_copies") > 0)
     return out.select(*[F.col(f"`{c}`") for c in replaced(docs, ["domain", "n_tokens", "epoch"])], F.col("_c_domain").alias("domain"),
                       F.col("_c_tokens").alias("n_tokens"), F.explode(F.sequence(F.lit(0), F.col("_c_copies") - 1)).alias("epoch"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import replaced, sized, texts
+from hourloom.llm.common import plain_columns, replaced, sized, texts
 
 #: Bound of the labelled sample; feature space; least documents of a feature.
 SAMPLE = 6_000
@@ -148,9 +148,14 @@ def rate_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_
                    keep_tail: float = KEEP_TAIL) -> DataFrame:
     """The operator: input rows without the text plus ``score``, ``expected_grade``,
     ``tail_probability`` and ``kept``."""
+    return score_documents(docs, fit(*labelled_sample(docs, labels, sample, id_col, text_col)), text_col, keep_tail)
+
+
+@plain_columns
+def score_documents(docs: DataFrame, model: OrdinalModel, text_col: str = "text", keep_tail: float = KEEP_TAIL) -> DataFrame:
+    """``rate_documents`` with a model that is there already."""
     own = ["score", "expected_grade", "tail_probability", "kept"]
     keep = [c for c in replaced(docs, own) if c != text_col]
-    model = fit(*labelled_sample(docs, labels, sample, id_col, text_col))
     sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))  # 1 MB, whatever the input
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_c_text"))
     schema = rows.select(*[F.col(f"`{c}`") for c in keep]).schema.add("score", "double").add("expected_grade", "double").add("tail_probability", "double").add("kept", "boolean")

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import land, replaced
+from hourloom.llm.common import land, plain_columns, replaced
 from hourloom.llm.simhash import components
 
 COSINE = 0.9
@@ -236,6 +236,7 @@ def _lists(sketches: DataFrame, long: DataFrame, tables: range) -> DataFrame:
     return lists.repartition(*_KEY).sortWithinPartitions(*_KEY, "value", "node").drop("value")
 
 
+@plain_columns
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """The operator: input rows without the vector plus ``n_links``,
     ``component_id`` (smallest id reachable over links) and ``kept``."""

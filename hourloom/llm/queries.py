@@ -3,7 +3,6 @@ their DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +35,6 @@ MIX_WEIGHTS = {
 MIX_SHARE, MIX_EPOCHS = 0.6, 2
 
 
-def tokenizer_path() -> str:
-    return public_tokenizers.path(TOKENIZER)
-
-
 def domain_of(source: Column) -> Column:
     """Domain of a source, by its number (a source without one: ``web``)."""
     number = F.regexp_extract(F.coalesce(source, F.lit("")), r"(\d+)$", 1)
@@ -75,7 +70,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = count_tokens(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path())
+    out = count_tokens(documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER)
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
@@ -85,7 +80,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pack(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path(), WINDOW)
+    out = pack(documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER, WINDOW)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

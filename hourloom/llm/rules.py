@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import land, replaced, sized, texts
+from hourloom.llm.common import land, plain_columns, replaced, sized, texts
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -141,6 +141,7 @@ def _lang(col: str):
     return F.coalesce(F.col(col).cast("string"), F.lit("(null)"))
 
 
+@plain_columns
 def judge_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The operator: input rows plus the base counts, ``base_failed``,
     ``char_distance``, ``word_distance`` (null: not judged) and ``kept``.

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import land, replaced, sized, texts
+from hourloom.llm.common import land, plain_columns, replaced, sized, texts
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -154,6 +154,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         mark = now
 
 
+@plain_columns
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS,
                     max_bits: int = MAX_BITS) -> DataFrame:
     """The operator: input rows without the text plus ``fingerprint`` (16 hex
@@ -174,6 +175,7 @@ def _hex(col: str) -> Column:
     return F.lower(F.lpad(F.hex(col), 16, "0"))
 
 
+@plain_columns
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, that with the
     smallest id (of rows alike in id, the one with the smallest text hash)."""

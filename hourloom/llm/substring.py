@@ -26,7 +26,6 @@ the largest; repeated rows (same id, same text) get the same verdict.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourloom.llm.common import keyed, land, replaced, sized, texts
+from hourloom.llm.common import keyed, land, plain_columns, replaced, sized, texts
 from hourloom.llm.repeats import class_texts, judged, lo, per_document, repeated_runs, starts_of_run
 
 MIN_WORDS = 13
@@ -146,6 +145,7 @@ def _first_owners(group: list[tuple], least: int, shard_bytes: int) -> Iterator[
         yield row[0], row[1], firsts
 
 
+@plain_columns
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
                    anchor_words: int = ANCHOR_WORDS) -> DataFrame:
     """The operator: input rows plus ``n_words``, ``n_removed``, ``removed_spans``
@@ -203,7 +203,3 @@ def cover_spans(starts: list[int], length: int) -> list[list[int]]:
         else:
             spans.append([s, s + length])
     return spans
-
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourloom.llm.common import keyed, land, replaced, sized, texts
+from hourloom.llm.common import keyed, land, plain_columns, replaced, sized, texts
 from hourloom.llm.repeats import class_texts, classes_of_parts, cut_hot, judged, lo, per_document, repeated_runs, starts_of_run
 from hourloom.llm.substring import cover_spans
 
@@ -197,6 +197,7 @@ def verdicts(classes: DataFrame, length: int, widths: list[int]) -> DataFrame:
     return land(found.unionByName(back), "verdicts")
 
 
+@plain_columns
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES,
                           anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
     """The operator: input rows plus ``n_bytes``, ``n_removed``, ``removed_spans``
@@ -249,4 +250,4 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-__all__ = ["cover_spans", "remove_repeated_bytes"]
+__all__ = ["remove_repeated_bytes"]

@@ -8,8 +8,8 @@ function of the window's content alone, so equal windows always lie in runs
 with equal anchor keys, at equal distance from the anchor.  About 2/(L-k+2) of
 the positions become runs; each window start is in exactly one run.
 
-All hashing is vectorised: polynomial prefix hashes modulo 2**64 over a chunk
-of documents, finished with a bit mixer.  Keys choose candidates, whose symbols
+Words become symbols by XXH3; runs of symbols are hashed by polynomial prefix
+sums modulo 2**64 over a chunk of documents, finished with a bit mixer.  Keys choose candidates, whose symbols
 the operators compare afterwards, except where runs are alike in key and digest
 (taken as copies) and in the hot keys of the word operator (128-bit hashes).
 """
@@ -17,6 +17,7 @@ the operators compare afterwards, except where runs are alike in key and digest
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _B1 = np.uint64(0x9E3779B97F4A7C15 | 1)
 _B2 = np.uint64(0xD6E8FEB86659FD93 | 1)
@@ -73,10 +74,14 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One 64-bit symbol per word."""
-    h = Prefix(data.astype(np.uint64), _B1).slices(starts, ends)
-    with np.errstate(over="ignore"):
-        return mix(h + (ends - starts).astype(np.uint64) * _B2)
+    """One 64-bit symbol per word: XXH3 of its bytes, as a polynomial over the
+    letters would give unlike long words the same symbol."""
+    out, raw = np.zeros(len(starts), np.uint64), data.data
+    for s in range(0, len(starts), 1 << 16):
+        e = min(s + (1 << 16), len(starts))
+        words = bytes(raw[starts[s]:ends[e - 1]]).split()
+        out[s:e] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, e - s)
+    return out
 
 
 def runs(symbols: np.ndarray, bounds: np.ndarray, length: int, k: int) -> dict[str, np.ndarray]:
@@ -114,7 +119,8 @@ def runs(symbols: np.ndarray, bounds: np.ndarray, length: int, k: int) -> dict[s
     lo, a = start[lead], anchor[lead]
     second = Prefix(symbols, _B2)
     with np.errstate(over="ignore"):
-        digest = mix(second.slices(lo, lo + n + length - 1) + mix(((a - lo) * 65536 + n).astype(np.uint64)))
+        # two polynomials, mixed one into the other: what makes one collide does not make both
+        digest = mix(second.slices(lo, lo + n + length - 1) + mix(first.slices(lo, lo + n + length - 1) + mix(((a - lo) * 65536 + n).astype(np.uint64))))
     return {"seq": seq[lead], "lo": lo, "n": n, "off": a - lo, "key": grams[a].view(np.int64), "digest": digest.view(np.int64)}
 
 

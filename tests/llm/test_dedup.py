@@ -215,3 +215,22 @@ def test_suffix_hot_key_is_cut_up_before_it_is_sorted(spark, monkeypatch):
     got = rows(remove_repeated_bytes(spark.createDataFrame(pairs, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", F.size("removed_spans"), F.sha2("kept_bytes", 256)))
     assert got == sorted(brute.suffixes(pairs), key=repr)
     assert len(seen) == 3 and max(seen) <= 5
+
+
+def test_substring_tells_words_apart_that_polynomials_confuse(spark):
+    """A Thue-Morse word and its complement collide under polynomial hashes modulo 2**64."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    pairs = [(1, f"a b c d e f {one} g h i j k l"), (2, f"a b c d e f {two} g h i j k l"), (3, f"a b c d e f {one} g h i j k l")]
+    out = remove_repeats(spark.createDataFrame(pairs, "doc_id long, text string"))
+    got = rows(out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)))
+    assert got == sorted(brute.substring(pairs), key=repr)
+
+
+def test_texts_over_a_piece(spark):
+    """One text of more than a MiB, a passage of which is in another."""
+    long = prose(31, 260_000, 5_000)
+    assert len(long) > 1 << 20
+    pairs = [(1, long[:600_000]), (2, prose(32, 40) + " " + long + " " + prose(33, 40)), (3, prose(34, 60))]
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    assert rows(remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256))) == sorted(brute.substring(pairs), key=repr)

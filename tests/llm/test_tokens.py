@@ -105,6 +105,23 @@ def test_packing_query(spark, sf, table, library):
     assert check_pieces(q.op6_packing(spark, sf).collect(), table, library) < 0.02
 
 
+def test_few_cuts_fall_inside_sentences(spark, table, library):
+    """A cut inside a sentence is the exception, though padding stays small."""
+    from hourloom.llm.tokens import loaded
+    ends, blank = packing.sentence_flags(loaded(PATH))
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    inside = cuts = 0
+    for r in packing.pack(docs, PATH).collect():
+        stop = r.start + r.length
+        if stop < r.doc_tokens:
+            ids = [*ids_of(library, dict(table)[r.doc_id] or ""), 0]
+            cuts += 1
+            inside += not (ends[ids[stop - 1]] and blank[ids[stop]])
+        else:
+            cuts += 1
+    assert inside < 0.15 * cuts
+
+
 def test_packing_odd_rows(odd, none, library):
     out = packing.pack(odd, PATH)
     rows = out.collect()
