@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.llm import queries as q
+from hourloom.llm.common import columns
 from hourloom.llm.mixing import mix_sources
 from hourloom.llm.packing import pack
 from hourloom.llm.rules import judge_documents
@@ -31,11 +32,11 @@ MIX_SHARE = 0.8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return judge_documents(docs).where("kept").select(*docs.columns)
+    return judge_documents(docs).where("kept").select(*columns(docs))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_per_group(docs).select(*docs.columns)
+    return one_per_group(docs).select(*columns(docs))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,16 +45,16 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*columns(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = mix_sources(docs, q.MIX_WEIGHTS, MIX_SHARE, 1, domain=q.domain_of(F.col("source")))
-    return out.select(*docs.columns)
+    return out.select(*columns(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pack(docs.select("doc_id", "text"), q.tokenizer_path(), q.WINDOW)
+    out = pack(docs.select("doc_id", "text"), q.TOKENIZER, q.WINDOW)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")
 
 
