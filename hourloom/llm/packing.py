@@ -14,13 +14,15 @@ is kept in a monotone queue, so every candidate enters and leaves it once.
 The stream is solved in blocks that end with a document, so memory is bounded;
 a block's last window is the only one without a choice.
 
+A cut inside a sentence costs more than most paddings, so sentences are cut
+only where no boundary lies near (some long documents have none for pages).
+
 Defined cases: a null or empty text is the end id alone; repeated rows are
 packed each; null ids come last; an empty table gives no piece.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import deque
 from collections.abc import Iterator
 
@@ -30,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourloom.llm.common import LAST_ID, replaced, sized
+from hourloom.llm.common import LAST_ID, plain_columns, replaced, sized
 from hourloom.llm.tokens import loaded, strings
 
 WINDOW = 1024
-SENTENCE_PENALTY, INSIDE_PENALTY = 2, 12
+SENTENCE_PENALTY, INSIDE_PENALTY = 2, 96
 INSIDE_STEP = 16
 #: Tokens of a block of whole documents that is solved at once.
 BLOCK_TOKENS = 400_000
@@ -89,12 +91,13 @@ def candidates(docs: list[np.ndarray], ends: np.ndarray, blank: np.ndarray) -> t
     return at, pen[at]
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
-         with_ids: bool = True) -> DataFrame:
+@plain_columns
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The operator: one row per piece, with the documents' other columns plus
     ``start``, ``length``, ``doc_tokens``, ``sequence_id``, ``offset``, ``ids``
-    (the piece's token ids, unless left out) and ``ids_crc32``, derived from them."""
-    own = ["start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+    (the piece's token ids) and ``ids_crc32`` (CRC-32 of them as little-endian
+    unsigned 32-bit numbers, taken by Spark from the same bytes)."""
+    own = ["start", "length", "doc_tokens", "sequence_id", "offset", "ids", "_c_bytes"]
     keep = [c for c in replaced(docs, [*own, "ids_crc32"]) if c != text_col]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_c_text"))
     rows = rows.withColumn("_c_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))).withColumn("_c_hash", F.xxhash64("_c_text"))
@@ -103,7 +106,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "d
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_c_part", F.spark_partition_id().cast("long"))
     schema = rows.select(*[F.col(f"`{c}`") for c in keep]).schema
     for name in own:
-        schema = schema.add(name, T.ArrayType(T.IntegerType()) if name == "ids" else T.LongType())
+        schema = schema.add(name, T.ArrayType(T.IntegerType()) if name == "ids" else T.BinaryType() if name == "_c_bytes" else T.LongType())
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = loaded(tokenizer)
@@ -124,7 +127,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "d
             stream = np.concatenate(held)
             table = pa.Table.from_batches(kept).take(pa.array(doc)).combine_chunks()
             cols = [s - bounds[doc], e - s, np.diff(bounds)[doc], (part << _SEQUENCE_BITS) + done + seq, s - cuts[seq]]
-            cols.append(pa.ListArray.from_arrays(pa.array(np.append(s, e[-1]).astype(np.int32)), pa.array(stream.astype(np.int32))))
+            ends_at, raw = np.append(s, e[-1]).astype(np.int32), stream.astype("<i4")
+            cols.append(pa.ListArray.from_arrays(pa.array(ends_at), pa.array(raw)))
+            cols.append(pa.BinaryArray.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(ends_at * np.int32(4)), pa.py_buffer(raw)]))
             done += len(cuts) - 1
             arrays = [table.column(c).combine_chunks() for c in keep]
             return pa.RecordBatch.from_arrays([*arrays, *(x if isinstance(x, pa.Array) else pa.array(x) for x in cols)], names=[*keep, *own])
@@ -141,23 +146,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "d
         if held:
             yield solve()
 
-    out = with_crc32(rows.mapInArrow(go, schema))
-    return out if with_ids else out.drop("ids")
-
-
-def with_crc32(pieces: DataFrame) -> DataFrame:
-    """The pieces plus ``ids_crc32``, derived from their ``ids``."""
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column("ids")
-            at, stream = ids.offsets.to_pylist(), ids.values.to_numpy(zero_copy_only=False)
-            crcs = [ids_crc32(stream[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(crcs, pa.int64())], names=[*b.schema.names, "ids_crc32"])
-
-    return pieces.mapInArrow(go, T.StructType([*pieces.schema.fields, T.StructField("ids_crc32", T.LongType())]))
-
-
-def ids_crc32(ids: np.ndarray) -> int:
-    """CRC-32 of ids as little-endian unsigned 32-bit numbers."""
-    return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
+    return rows.mapInArrow(go, schema).withColumn("ids_crc32", F.crc32("_c_bytes")).drop("_c_bytes")

@@ -38,8 +38,9 @@ _UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 _RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 _FIRST = "\x1f"  # marks a unit that is meant as it is; one without it, or a line end in front, has a space before it
 _BLANKS = ("", " ", "\t", "\n", "\r")
-#: Units kept per worker; the cache is emptied when it is full.
-CACHE_UNITS = 1_000_000
+#: Units kept per worker, and the characters of the longest that is kept (a longer one is encoded with its text): some
+#: 80 MB at most, as the cache is emptied when it is full.
+CACHE_UNITS, UNIT_CHARS = 300_000, 64
 _JOINED = 2_000  # new units that are encoded as one text
 
 
@@ -56,11 +57,21 @@ class _Numbers(dict):
         return n
 
 
-def tokenizer_digest(path: str) -> str:
+def resolved(tokenizer: str) -> str:
+    """File of a tokenizer given by path, or by the name of a public one, which
+    is looked up where it is used (executors may keep it elsewhere)."""
+    if "/" in tokenizer:
+        return tokenizer
+    import public_tokenizers
+
+    return public_tokenizers.path(tokenizer)
+
+
+def tokenizer_digest(tokenizer: str) -> str:
     """Names the tokenizer: its file's content and the library's version."""
     import tokenizers
 
-    with open(path, "rb") as f:
+    with open(resolved(tokenizer), "rb") as f:
         return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()
 
 
@@ -122,24 +133,30 @@ class TextTokenizer:
         for i, e in zip(rest, self.library.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
             self._store(base + np.array([i]), np.array(e.ids, np.uint32), np.array([len(e.ids)]))
 
+    def _numbers(self, units: list[str]) -> np.ndarray | None:
+        if max(map(len, units)) > UNIT_CHARS:
+            return None
+        return np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+
     def _units(self, texts: list[str]) -> list[np.ndarray | None]:
         """Unit numbers of each text; None: to be encoded whole."""
         if not self.by_unit:
             return [None] * len(texts)
         if len(self.index) > CACHE_UNITS:
             self._clear()
-        number = self.index.__getitem__
         out: list[np.ndarray | None] = []
         for t in texts:
             if _ODD_BLANK.search(t):
                 out.append(None)
-            elif not t or t[0] in " \n" or t[-1] in " \n" or any(x in t for x in _RUNS):
+            elif not t:
+                out.append(np.zeros(0, np.int64))
+            elif t[0] in " \n" or t[-1] in " \n" or any(x in t for x in _RUNS):
                 s = [u[1:] if u[0] == " " and u[1:2] not in _BLANKS else u if u[0] == "\n" else _FIRST + u for u in _UNIT.findall(t)]
-                out.append(np.fromiter(map(number, s), np.int64, len(s)))
+                out.append(self._numbers(s))
             else:
                 s = t.replace("\n", " \n").split(" ")  # the pieces stand for their text with the space before it
                 s[0] = _FIRST + s[0]
-                out.append(np.fromiter(map(number, s), np.int64, len(s)))
+                out.append(self._numbers(s))
         self._learn()
         return out
 
@@ -162,11 +179,11 @@ class TextTokenizer:
 _LOADED: dict[str, TextTokenizer] = {}
 
 
-def loaded(path: str) -> TextTokenizer:
-    """The worker's tokenizer for a path."""
-    if path not in _LOADED:
-        _LOADED[path] = TextTokenizer(path)
-    return _LOADED[path]
+def loaded(tokenizer: str) -> TextTokenizer:
+    """The worker's tokenizer."""
+    if tokenizer not in _LOADED:
+        _LOADED[tokenizer] = TextTokenizer(resolved(tokenizer))
+    return _LOADED[tokenizer]
 
 
 def strings(batch: pa.RecordBatch, col: str) -> list[str]:
