@@ -9,8 +9,9 @@ M7 scoring back to target units, M8 history, M9 validation early stop
 ``model_rows`` writes what every fit and score reads, once per study: keys,
 split, feature vector, labels and the series' target scaling.  Every fit is a
 distributed MLlib job over that table, and several trials run at once from a
-driver thread pool.  Nothing but hyper-parameters and metric rows passes the
-driver.
+driver thread pool; the trials of a linear learner are solved together from
+the moments of the train rows (``gram``).  Nothing but hyper-parameters,
+moments of the features and metric rows passes the driver.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.scaling import inverse_standard
 from ..session import materialize
 from . import evaluate as ev
+from . import gram
 
 SERIES = "series_id"
 
@@ -218,19 +220,25 @@ _TRIAL_RESULT = {"stage": "string", "seed": "int", "validation_R2": "double", "v
 
 
 def evaluate_trials(kind: str, trials: DataFrame, rows: DataFrame, seed: int, label: str = "y_scaled",
-                    parallelism: int = 4, stage: str = "search") -> DataFrame:
+                    parallelism: int = 4, stage: str = "search", moments: gram.Gramian | None = None) -> DataFrame:
     """M5: fit every trial, score validation (A8 in target units), keep a
     failed row (NULL metrics, objective 1e6, the whole error text) for any
-    trial that raises."""
+    trial that raises.  Linear learners: one pass for the moments (none if
+    given) and one for all trials' scores."""
     spark = rows.sparkSession
     specs = [r.asDict() for r in trials.orderBy("trial").collect()]   # n_trials rows of hyper-parameters
+    if kind in ("linear", "student"):
+        moments = moments or gram.gramian(rows, (label, "teacher_scaled") if any("kd_alpha" in s for s in specs) else (label,))
+        found = [dict.fromkeys(_TRIAL_RESULT) | {k: r[k] for k in trials.columns} | {"stage": stage, "seed": seed, "status": r["status"], "error": r["error"]}
+                 | ({"validation_R2": r["R2"], "validation_MAE_ugm3": r["MAE_ugm3"], "validation_RMSE_ugm3": r["RMSE_ugm3"], "params": moments.width + 1}
+                    if r["status"] == "success" else {"epochs_completed": 0}) for r in gram.search(specs, rows, moments, label)]
+        return _trial_rows(spark, trials, found)
     val = rows.where(F.col("split") == "val")
-    moments = label_moments(rows)
 
     def run(spec: dict) -> dict:
         row = dict.fromkeys(_TRIAL_RESULT) | spec | {"stage": stage, "seed": seed}
         try:
-            model = fit(kind, spec, seed, rows, label, moments)
+            model = fit(kind, spec, seed, rows, label)
             m = ev.regression_metrics(score(model, val), [], "y_raw", "predicted").collect()[0]
             return row | {"validation_R2": m["R2"], "validation_MAE_ugm3": m["MAE_ugm3"], "validation_RMSE_ugm3": m["RMSE_ugm3"],
                           "params": param_count(model), "epochs_completed": epochs(model), "status": "success", "error": ""}
@@ -239,6 +247,11 @@ def evaluate_trials(kind: str, trials: DataFrame, rows: DataFrame, seed: int, la
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         found = list(pool.map(run, specs))
+    return _trial_rows(spark, trials, found)
+
+
+def _trial_rows(spark: SparkSession, trials: DataFrame, found: list[dict]) -> DataFrame:
+    """The trials with their results and objectives."""
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in trials.schema.fields]
                        + [f"{c} {t}" for c, t in _TRIAL_RESULT.items()])
     names = [*trials.columns, *_TRIAL_RESULT]

@@ -24,6 +24,7 @@ from ..operators import evaluate as ev
 from ..operators import modeling as md
 from ..operators import quantize as qz
 from ..operators import windows as win
+from ..operators.gram import Gramian, gramian
 from ..session import ensure_checkpoint_dir, materialize, release
 from ..sources.sinks import write_json, write_table
 from .prepare import Prepared
@@ -123,10 +124,30 @@ def int8_scores(model, rows: DataFrame, max_samples: int = 250) -> tuple[DataFra
     return pred.withColumn("predicted", md.inverse_standard("predicted_scaled", "y_mean", "y_std")), cal
 
 
-def _search(cfg: StudyConfig, kind: str, space: tuple, n: int, rows: DataFrame, seed: int, stage: str, out: _Gathered) -> dict:
+class _Moments:
+    """The study's moments of features and labels: one pass, when first asked for."""
+
+    def __init__(self, rows: DataFrame):
+        self._rows, self._found = rows, None
+
+    def of(self, kind: str, teacher=None, soft: DataFrame | None = None) -> Gramian | None:
+        """For a linear learner; with a teacher, its soft labels are one more
+        label (of a linear teacher without a pass, else one pass over ``soft``)."""
+        if kind not in ("linear", "student"):
+            return None
+        if teacher is not None and not hasattr(teacher, "coefficients"):
+            return gramian(soft, ("y_scaled", "teacher_scaled"))
+        self._found = self._found or gramian(self._rows)
+        if teacher is None:
+            return self._found
+        return self._found.with_linear_label("teacher_scaled", teacher.coefficients.toArray(), float(teacher.intercept))
+
+
+def _search(cfg: StudyConfig, kind: str, space: tuple, n: int, rows: DataFrame, seed: int, stage: str, out: _Gathered,
+            moments: Gramian | None = None) -> dict:
     """The selected specification."""
     tab = md.trials_table(rows.sparkSession, space, n, seed)
-    trials = md.evaluate_trials(kind, tab, rows, seed, parallelism=cfg.parallelism, stage=stage)
+    trials = md.evaluate_trials(kind, tab, rows, seed, parallelism=cfg.parallelism, stage=stage, moments=moments)
     dims = [d.name for d in space]
     best = ev.best_trial(trials, keys=["stage", "seed"], spec_cols=dims)
     chosen = best.select("stage", "seed", "trial", *dims, ev.spec_json(dims).alias("specification")).first()
@@ -173,14 +194,15 @@ def _int8(cfg: StudyConfig, model, rows: DataFrame, spec: dict, seed: int, name:
     out.results.append(row)
 
 
-def _distil_seed(cfg: StudyConfig, rows: DataFrame, seed: int, model_dir: str) -> _Gathered:
+def _distil_seed(cfg: StudyConfig, rows: DataFrame, seed: int, model_dir: str, moments: _Moments) -> _Gathered:
     out = _Gathered()
     t_space = md.BASELINE_SPACES[cfg.teacher_kind]
-    t_spec = _search(cfg, cfg.teacher_kind, t_space, cfg.teacher_trials, rows, seed, "teacher", out)
+    t_spec = _search(cfg, cfg.teacher_kind, t_space, cfg.teacher_trials, rows, seed, "teacher", out, moments.of(cfg.teacher_kind))
     teacher, _ = _refit(cfg, cfg.teacher_kind, t_spec, rows, seed, cfg.teacher_name, "None", model_dir, None, out)
     soft = materialize(md.soft_labels(teacher, rows), f"soft_{seed}").persist(StorageLevel.MEMORY_AND_DISK)  # M12
     try:
-        s_spec = _search(cfg, "student", md.STUDENT_SPACE, cfg.student_trials, soft, seed + 10000, "student", out)
+        s_spec = _search(cfg, "student", md.STUDENT_SPACE, cfg.student_trials, soft, seed + 10000, "student", out,
+                         moments.of("student", teacher, soft))
         student, m = _refit(cfg, "student", s_spec, soft, seed, cfg.student_name, cfg.teacher_name, model_dir, 0.0, out)
         if cfg.evaluate_int8:
             _int8(cfg, student, soft, s_spec, seed, cfg.student_name, cfg.teacher_name, m, out)
@@ -190,9 +212,9 @@ def _distil_seed(cfg: StudyConfig, rows: DataFrame, seed: int, model_dir: str) -
     return out
 
 
-def _baseline_seed(cfg: StudyConfig, kind: str, name: str, rows: DataFrame, seed: int, model_dir: str) -> _Gathered:
+def _baseline_seed(cfg: StudyConfig, kind: str, name: str, rows: DataFrame, seed: int, model_dir: str, moments: _Moments) -> _Gathered:
     out = _Gathered()
-    spec = _search(cfg, kind, md.BASELINE_SPACES[kind], cfg.baseline_trials, rows, seed, kind, out)
+    spec = _search(cfg, kind, md.BASELINE_SPACES[kind], cfg.baseline_trials, rows, seed, kind, out, moments.of(kind))
     model, m = _refit(cfg, kind, spec, rows, seed, name, "None", model_dir, 0.0 if cfg.evaluate_int8 else None, out)
     if cfg.evaluate_int8:
         _int8(cfg, model, rows, spec, seed, name, "None", m, out)
@@ -204,11 +226,11 @@ def _study(prepared: Prepared, cfg: StudyConfig, one_seed) -> StudyResult:
     spark = prepared.windows.sparkSession
     rows = md.model_rows(prepared.windows, prepared.target_params, cfg.features).persist(StorageLevel.MEMORY_AND_DISK)
     model_dir = cfg.model_dir or f"{ensure_checkpoint_dir(spark).rstrip('/')}/hourloom/models"
-    out = _Gathered()
+    out, moments = _Gathered(), _Moments(rows)
     try:
         for seed in cfg.seeds:
             try:
-                out.add(one_seed(rows, seed, model_dir))
+                out.add(one_seed(rows, seed, model_dir, moments))
             except Exception as e:  # noqa: BLE001 - one failed seed does not stop the study
                 out.failures.append((seed, type(e).__name__, repr(e)))
     finally:
@@ -221,12 +243,12 @@ def _study(prepared: Prepared, cfg: StudyConfig, one_seed) -> StudyResult:
 
 def run_distillation(prepared: Prepared, cfg: StudyConfig) -> StudyResult:
     """E1 over every seed."""
-    return _study(prepared, cfg, lambda rows, seed, folder: _distil_seed(cfg, rows, seed, folder))
+    return _study(prepared, cfg, lambda rows, seed, folder, moments: _distil_seed(cfg, rows, seed, folder, moments))
 
 
 def run_baseline(prepared: Prepared, cfg: StudyConfig, kind: str = "linear", model_name: str | None = None) -> StudyResult:
     """One learner, one search per seed, refit, FP32 + INT8 scoring."""
-    return _study(prepared, cfg, lambda rows, seed, folder: _baseline_seed(cfg, kind, model_name or kind, rows, seed, folder))
+    return _study(prepared, cfg, lambda rows, seed, folder, moments: _baseline_seed(cfg, kind, model_name or kind, rows, seed, folder, moments))
 
 
 def _collect(spark: SparkSession, out: _Gathered) -> StudyResult:

@@ -49,11 +49,27 @@ def test_scaling_windows_is_map_only(spark):
 
 
 def test_no_window_over_a_whole_series(spark):
+    """Rows are exchanged by (series, time) in some form; by the series alone only its one-row bounds are."""
     rows, _ = _rows(spark)
-    plan = _plan(rows)
-    for ln in plan.splitlines():
+    for ln in _plan(rows).splitlines():
         if "Exchange hashpartitioning(series_id" in ln:
-            assert "_part" in ln or ", ts" in ln or "_chunk" in ln or ln.count("#") == 1
+            keys = {k.split("#")[0].strip() for k in ln.split("hashpartitioning(")[1].split(")")[0].split(",")[:-1]}
+            assert keys & {"_part", "ts", "_chunk", "idx"} or keys == {"series_id"}, ln
+
+
+def test_timestamp_parse_stays_compiled(spark):
+    """Some forty formats, and no generated method outgrows what the JVM compiles."""
+    from hourloom.functions.timeparse import best_of_n_parse
+    raw = spark.range(100).select(F.lit("s").alias("series_id"), F.concat(F.lit("2024-01-01 "), F.col("id").cast("string"), F.lit(":00")).alias("t"))
+    rows, report = best_of_n_parse(raw, "t")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan shows its stages only as it runs
+    try:
+        for df in (rows.select("series_id", "ts"), report.select("*")):
+            stages = df._jdf.queryExecution().debug().codegenToSeq()
+            sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.length())]
+            assert sizes and all(0 < x < 64_000 for x in sizes)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
 def test_no_persisted_tables_left(spark):
