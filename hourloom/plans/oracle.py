@@ -121,7 +121,7 @@ scaled AS (
   SELECT f.series_id, f.idx, f.ts, f.target, f.train_end, f.val_end,
          (f.target - p.y_mean) / p.y_std AS y_scaled,
          {" + ".join(xs)} AS row_sum, {" + ".join(f"{i + 1} * {x}" for i, x in enumerate(xs))} AS row_weighted,
-         {xs[0]} AS x_first, {xs[-1]} AS x_last
+         {xs[0]} AS x_first, {xs[-1]} AS x_last, [{", ".join(xs)}] AS xs
   FROM feats f JOIN params p ON f.series_id = p.series_id),
 wins0 AS (
   SELECT series_id, idx, train_end, val_end,

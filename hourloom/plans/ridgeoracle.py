@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from .catalog import EVENTS_ALL
+from .catalog import EVENTS_ALL, EVENTS_BY_TYPE
 from .oracle import prepared_ctes
 
 SEEDS = (42, 123, 2024, 7, 99)
@@ -80,12 +80,23 @@ _FP32 = """SELECT dataset, model, teacher, seed, 'success' AS status, CAST(2 AS
 R6(vmae, 6) AS validation_MAE_ugm3, R6(vrmse, 6) AS validation_RMSE_ugm3, R6(r2, 6) AS R2, R6(mae, 6) AS MAE_ugm3, R6(rmse, 6) AS RMSE_ugm3, R6(mse, 6) AS MSE_ugm3_sq FROM res"""
 
 
+def moments_sql(window: int = 8) -> str:
+    """Covariances of whole train windows (features time-major, then the label)."""
+    return f"""WITH {prepared_ctes(EVENTS_BY_TYPE)},
+flat AS (SELECT series_id, idx, flatten(list(xs) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)) AS x FROM scaled),
+z AS (SELECT row_number() OVER () AS r, list_append(x, y_scaled) AS z FROM flat JOIN wins USING (series_id, idx) WHERE split = 'train'),
+u AS (SELECT r, unnest(range(len(z))) AS i, unnest(z) AS v FROM z)
+SELECT a.i AS i, b.i AS j, count(*) AS train_windows, R6(avg(a.v), 6) AS mean_i, R6(covar_pop(a.v, b.v), 6) AS covariance
+FROM u a JOIN u b ON a.r = b.r AND a.i <= b.i GROUP BY a.i, b.i"""
+
+
 def registered_sql() -> dict[str, str]:
     distil = _results([_rows("tbest", "b0", "b1", "teacher", "None"), _rows("sbest", "c0", "c1", "distilled student", "teacher")])
     linear = _results([_rows("tbest", "b0", "b1", "linear", "None")])
     who = "(VALUES ('teacher', 'None', 'FP32'), ('distilled student', 'teacher', 'FP32'), ('distilled student', 'teacher', 'INT8')) v(model, teacher, precision)"
     seeds = f"(SELECT CAST(unnest([{', '.join(map(str, SEEDS))}]) AS INTEGER) AS seed)"
     return {
+        "ridge_moments_events": moments_sql(),
         "distill_results_events": f"WITH {ctes(30)},\n{distil}\n{_FP32}",
         "baseline_results_events": f"WITH {ctes(60)},\n{linear}\n{_FP32}",
         "distill_summary_events": f"""WITH {ctes(30)},

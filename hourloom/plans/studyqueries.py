@@ -13,11 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import modeling as md
 from ..operators import quantize as qz
+from ..operators.gram import gramian
+from ..session import release
 from ..sources import tables
 from ..sources.tables import table
 from . import ridgeoracle as ridge
-from .catalog import EVENTS_ALL, prepared, rnd
+from .catalog import EVENTS_ALL, EVENTS_BY_TYPE, prepared, rnd
 from .oracle import r6
 from .study import StudyConfig, StudyResult, run_baseline, run_distillation
 
@@ -31,7 +34,12 @@ def _study(spark: SparkSession, sf_dir: str, kind: str) -> StudyResult:
         p = prepared(spark, sf_dir, EVENTS_ALL)
         current = F.array(F.element_at(F.element_at("seq", -1), 1))
         one = StudyConfig(dataset="events", teacher_kind="linear", features=current, parallelism=8)
-        if kind == "distill":
+        whole = StudyConfig(dataset="events", teacher_kind="linear", parallelism=8)
+        if kind == "distill windows":
+            _STUDIES[key] = run_distillation(prepared(spark, sf_dir, EVENTS_BY_TYPE), whole)
+        elif kind == "linear windows":
+            _STUDIES[key] = run_baseline(prepared(spark, sf_dir, EVENTS_BY_TYPE), whole, "linear")
+        elif kind == "distill":
             _STUDIES[key] = run_distillation(p, one)
         elif kind == "linear":
             _STUDIES[key] = run_baseline(p, one, kind)
@@ -90,6 +98,33 @@ def q_baseline_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("dataset", "model", "seed", "precision", "status", "params", "epochs_completed", rnd("validation_R2"), rnd("R2"), rnd("quantization_R2_drop"), "specification")
 
 
+def _whole(r: DataFrame) -> DataFrame:
+    return r.select("dataset", "model", "teacher", "seed", "precision", "status", "params", rnd("validation_R2"), rnd("R2"), rnd("MAE_ugm3"), rnd("RMSE_ugm3"),
+                    rnd("quantization_R2_drop"), rnd("input_saturation_rate"), rnd("output_saturation_rate"), "specification")
+
+
+def q_distill_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 on whole windows of the series by type, FP32 and INT8 (linear teacher)."""
+    return _whole(_study(spark, sf_dir, "distill windows").results)
+
+
+def q_baseline_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2 with the ridge learner on whole windows of the series by type."""
+    return _whole(_study(spark, sf_dir, "linear windows").results)
+
+
+def q_ridge_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The moments that ridge searches on whole windows are solved from."""
+    p = prepared(spark, sf_dir, EVENTS_BY_TYPE)
+    rows = md.model_rows(p.windows, p.target_params)
+    g = gramian(rows)
+    release(rows)
+    k = len(g.mean)
+    found = [(i, j, g.n, float(g.mean[i]), float(g.cov[i, j])) for i in range(k) for j in range(i, k)]  # features squared, whatever the rows
+    out = spark.createDataFrame(found, "i long, j long, train_windows long, mean_i double, covariance double")
+    return out.select("i", "j", "train_windows", rnd("mean_i"), rnd("covariance"))
+
+
 # ------------------------------------------------------- embeddings
 
 def q_embeddings_quantized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +167,8 @@ def registered() -> dict:
     return {"distill_results_events": q_distill_results, "distill_summary_events": q_distill_summary,
             "distill_predictions_events": q_distill_predictions, "distill_trials_events": q_distill_trials,
             "distill_status_events": q_distill_status, "baseline_results_events": q_baseline_results,
-            "baseline_tree_events": q_baseline_tree, "embeddings_quantized": q_embeddings_quantized}
+            "baseline_tree_events": q_baseline_tree,
+            "distill_windows_events": q_distill_windows, "baseline_windows_events": q_baseline_windows, "ridge_moments_events": q_ridge_moments, "embeddings_quantized": q_embeddings_quantized}
 
 
 def registered_sql() -> dict:
