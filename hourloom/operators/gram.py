@@ -71,6 +71,26 @@ class Gramian:
         return b, float(self.mean[d:] @ pick - self.mean[:d] @ b)
 
 
+    def descent(self, l2: float, blend: Mapping[str, float], most: int = 200, tol: float = 1e-10) -> list[float]:
+        """M8: the objective (half the mean squared error plus the penalty) at
+        the start and after each conjugate-gradient step of the same problem,
+        until the gradient has shrunk by ``tol``; no pass over rows."""
+        d = self.width
+        pick = np.array([blend.get(name, 0.0) for name in self.labels])
+        a = self.cov[:d, :d] + l2 * np.eye(d)
+        c = self.cov[:d, d:] @ pick
+        b, r = np.zeros(d), c.copy()
+        way, floor, start = r.copy(), float(r @ r) * tol * tol, 0.5 * float(pick @ self.cov[d:, d:] @ pick)
+        out = [start]
+        while len(out) <= most and (now := float(r @ r)) > floor:
+            ahead = a @ way
+            step = now / float(way @ ahead)
+            b, r = b + step * way, r - step * ahead
+            way = r + way * (float(r @ r) / now)
+            out.append(start + 0.5 * float(b @ (a @ b)) - float(b @ c))
+        return out
+
+
 def gramian(rows: DataFrame, labels: tuple[str, ...] = ("y_scaled",), features: str = "features") -> Gramian:
     """Moments of features and labels over the train rows, one pass.  Rows with
     a null label are left out; a task's sums are taken about its own means."""
@@ -139,18 +159,21 @@ def score_trials(rows: DataFrame, coefficients: np.ndarray, intercepts: np.ndarr
     return out.select("i", r2.alias("R2"), (F.col("sae") / F.col("n")).alias("MAE_ugm3"), F.sqrt(F.col("sse") / F.col("n")).alias("RMSE_ugm3"))
 
 
+def blend_of(spec: Mapping, label: str = "y_scaled") -> dict[str, float]:
+    """Weights of the labels that a spec is fitted to (M2: blended)."""
+    if "kd_alpha" not in spec:
+        return {label: 1.0}
+    a = float(spec["kd_alpha"])
+    return {"y_scaled": a, "teacher_scaled": 1 - a}
+
+
 def search(specs: list[dict], rows: DataFrame, moments: Gramian, label: str = "y_scaled") -> list[dict]:
     """Metrics of every spec (``l2``; with ``kd_alpha``: of the blended label),
     or the error of a spec that cannot be solved."""
     found, solved = [dict(s) for s in specs], []
     for i, spec in enumerate(specs):
         try:
-            if "kd_alpha" in spec:
-                a = float(spec["kd_alpha"])
-                blend = {"y_scaled": a, "teacher_scaled": 1 - a}
-            else:
-                blend = {label: 1.0}
-            solved.append((i, *moments.ridge(float(spec["l2"]), blend)))
+            solved.append((i, *moments.ridge(float(spec["l2"]), blend_of(spec, label))))
         except Exception as e:  # noqa: BLE001 - failure isolation per trial
             found[i] |= {"status": "failed", "error": repr(e)}
     if solved:

@@ -24,7 +24,7 @@ from ..operators import evaluate as ev
 from ..operators import modeling as md
 from ..operators import quantize as qz
 from ..operators import windows as win
-from ..operators.gram import Gramian, gramian
+from ..operators.gram import Gramian, blend_of, gramian
 from ..session import ensure_checkpoint_dir, materialize, release
 from ..sources.sinks import write_json, write_table
 from .prepare import Prepared
@@ -158,24 +158,28 @@ def _search(cfg: StudyConfig, kind: str, space: tuple, n: int, rows: DataFrame,
 
 
 def _refit(cfg: StudyConfig, kind: str, spec: dict, rows: DataFrame, seed: int, name: str, teacher: str, model_dir: str,
-           drop: float | None, out: _Gathered):
-    """M6-M8: refit on the selected specification, save, score, report."""
-    model = md.fit(kind, spec, seed, rows, iterate=kind in ("linear", "student"))
+           drop: float | None, out: _Gathered, moments: Gramian | None = None):
+    """M6-M8: refit on the selected specification, save, score, report.  A
+    linear learner is solved at once; its history is that of conjugate gradients
+    on the same moments."""
+    model = md.fit(kind, spec, seed, rows)
+    losses = moments.descent(float(spec["l2"]), blend_of(spec)) if moments else md.history(model, rows.where(F.col("split") == "val"))
+    rounds = len(losses) if moments else md.epochs(model)
     size = md.save_model(model, f"{model_dir}/seed_{seed}/{name.replace(' ', '_')}")
     pred = md.score(model, rows.where(F.col("split") != "train"))
     m = _metrics(pred)
-    out.history += [(seed, name, i + 1, float(v)) for i, v in enumerate(md.history(model, rows.where(F.col("split") == "val")))]
+    out.history += [(seed, name, i + 1, float(v)) for i, v in enumerate(losses)]
     out.results.append(_result(cfg, name, teacher, seed, "FP32", m, params=md.param_count(model), model_size_KB=size,
-                               quantization_R2_drop=drop, epochs_completed=md.epochs(model), status="success",
+                               quantization_R2_drop=drop, epochs_completed=rounds, status="success",
                                specification=spec["json"]))
     frame = ev.prediction_frame(pred, "y_raw", "predicted", "split", "FP32", name, teacher, seed)
     out.predictions.append(materialize(frame, "predictions"))
-    return model, m
+    return model, m | {"epochs": rounds}
 
 
 def _int8(cfg: StudyConfig, model, rows: DataFrame, spec: dict, seed: int, name: str, teacher: str, fp: dict, out: _Gathered) -> None:
     """Q2-Q4: the INT8 result row; a stage that fails leaves a row that says so."""
-    known = dict(params=md.param_count(model), epochs_completed=md.epochs(model), specification=spec["json"])
+    known = dict(params=md.param_count(model), epochs_completed=fp.get("epochs"), specification=spec["json"])
     try:
         scored, cal = int8_scores(model, rows, cfg.representative_samples)
         m = _metrics(scored)
@@ -197,13 +201,15 @@ def _int8(cfg: StudyConfig, model, rows: DataFrame, spec: dict, seed: int, name:
 def _distil_seed(cfg: StudyConfig, rows: DataFrame, seed: int, model_dir: str, moments: _Moments) -> _Gathered:
     out = _Gathered()
     t_space = md.BASELINE_SPACES[cfg.teacher_kind]
-    t_spec = _search(cfg, cfg.teacher_kind, t_space, cfg.teacher_trials, rows, seed, "teacher", out, moments.of(cfg.teacher_kind))
-    teacher, _ = _refit(cfg, cfg.teacher_kind, t_spec, rows, seed, cfg.teacher_name, "None", model_dir, None, out)
+    given = moments.of(cfg.teacher_kind)
+    t_spec = _search(cfg, cfg.teacher_kind, t_space, cfg.teacher_trials, rows, seed, "teacher", out, given)
+    teacher, _ = _refit(cfg, cfg.teacher_kind, t_spec, rows, seed, cfg.teacher_name, "None", model_dir, None, out, given)
     soft = materialize(md.soft_labels(teacher, rows), f"soft_{seed}").persist(StorageLevel.MEMORY_AND_DISK)  # M12
     try:
+        both = moments.of("student", teacher, soft)
         s_spec = _search(cfg, "student", md.STUDENT_SPACE, cfg.student_trials, soft, seed + 10000, "student", out,
-                         moments.of("student", teacher, soft))
-        student, m = _refit(cfg, "student", s_spec, soft, seed, cfg.student_name, cfg.teacher_name, model_dir, 0.0, out)
+                         both)
+        student, m = _refit(cfg, "student", s_spec, soft, seed, cfg.student_name, cfg.teacher_name, model_dir, 0.0, out, both)
         if cfg.evaluate_int8:
             _int8(cfg, student, soft, s_spec, seed, cfg.student_name, cfg.teacher_name, m, out)
     finally:
@@ -214,8 +220,9 @@ def _distil_seed(cfg: StudyConfig, rows: DataFrame, seed: int, model_dir: str, m
 
 def _baseline_seed(cfg: StudyConfig, kind: str, name: str, rows: DataFrame, seed: int, model_dir: str, moments: _Moments) -> _Gathered:
     out = _Gathered()
-    spec = _search(cfg, kind, md.BASELINE_SPACES[kind], cfg.baseline_trials, rows, seed, kind, out, moments.of(kind))
-    model, m = _refit(cfg, kind, spec, rows, seed, name, "None", model_dir, 0.0 if cfg.evaluate_int8 else None, out)
+    given = moments.of(kind)
+    spec = _search(cfg, kind, md.BASELINE_SPACES[kind], cfg.baseline_trials, rows, seed, kind, out, given)
+    model, m = _refit(cfg, kind, spec, rows, seed, name, "None", model_dir, 0.0 if cfg.evaluate_int8 else None, out, given)
     if cfg.evaluate_int8:
         _int8(cfg, model, rows, spec, seed, name, "None", m, out)
     return out

@@ -66,6 +66,16 @@ def test_jobs_of_a_search_do_not_depend_on_its_trials(spark, rows):
     assert 0 < jobs(3) == jobs(60) < 20
 
 
+def test_descent_ends_at_the_solution(rows):
+    g = gram.gramian(rows, ("y_scaled", "teacher_scaled"))
+    blend = gram.blend_of({"kd_alpha": 0.4})
+    steps = g.descent(1e-2, blend)
+    b, _ = g.ridge(1e-2, blend)
+    d, w = g.width, np.array([0.4, 0.6])
+    best = 0.5 * w @ g.cov[d:, d:] @ w + 0.5 * b @ (g.cov[:d, :d] + 1e-2 * np.eye(d)) @ b - b @ (g.cov[:d, d:] @ w)
+    assert len(steps) > 3 and abs(steps[-1] - best) < 1e-10 and all(x >= y - 1e-12 for x, y in zip(steps, steps[1:], strict=False))
+
+
 def test_no_train_rows_and_bad_penalties(rows):
     with pytest.raises(ValueError, match="no train rows"):
         gram.gramian(rows.where("split <> 'train'"))
