@@ -95,13 +95,15 @@ def forward_fill(hourly: DataFrame, cols: list[str], limit: int = 3,
 
 def regularize(obs: DataFrame, target: str, predictors: list[str], step: str | int = "hour",
                align: str = "exact", ffill_limit: int = 3, chunk_rows: int = DEFAULT_CHUNK_ROWS,
-               keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+               keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+               admitted: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """A1 -> J1 -> P8 -> W1.  Returns ``(hourly, bounds)``; ``keep`` may land the
-    bounds (one row per series, used twice)."""
+    bounds (one row per series, used twice), and ``admitted`` says which of them
+    get a grid: rows of the others meet none, and no grid row is made for them."""
     value_cols = [target] + [p for p in predictors if p != target]
     obs = align_times(obs.select(SERIES, "ts", *[qc(c) for c in value_cols]).where(F.col("ts").isNotNull()), step, align)
     bounds = keep(series_bounds(obs, step))
-    hourly = on_grid(obs, bounds, value_cols, step, chunk_rows)
+    hourly = on_grid(obs, admitted(bounds), value_cols, step, chunk_rows)
     hourly = hourly.select(SERIES, "idx", "ts", *[nonfinite_to_null(qc(c)).alias(c) for c in value_cols])
     hourly = forward_fill(hourly, [p for p in value_cols if p != target], ffill_limit, chunk_rows)
     return hourly, bounds

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import features as feat
@@ -77,15 +77,20 @@ def _persist(df: DataFrame, how: str, name: str) -> DataFrame:
     return df
 
 
+def span_plausible(gates: Gates, n: Column, raw_rows: Column) -> Column:
+    """Is the grid neither too long nor far longer than the data?  Known from
+    the bounds alone, before any grid row is made."""
+    return (n <= F.lit(gates.max_grid_rows)) & (n <= F.lit(gates.max_grid_ratio) * F.greatest(raw_rows, F.lit(1)))
+
+
 def quality_report(audit: DataFrame, params: DataFrame, counts: DataFrame | None, gates: Gates,
                    window: int) -> DataFrame:
     """P12 as a table ``(series_id, check, observed, threshold, passed)``."""
     a = audit.select(SERIES, F.col("valid_target_values").cast("double").alias("v"))
     rows = [a.select(SERIES, F.lit("observed_targets").alias("check"), F.col("v").alias("observed"),
                      F.lit(float(gates.min_observed_targets)).alias("threshold"))]
-    # span: 1 when the grid is neither too long nor far longer than the data (reported, never clipped)
-    n, raw = F.col("hourly_grid_rows"), F.greatest(F.col("rows_after_timestamp_filter"), F.lit(1))
-    span = (n <= F.lit(gates.max_grid_rows)) & (n <= F.lit(gates.max_grid_ratio) * raw)
+    # span: 1 when plausible (reported, never clipped)
+    span = span_plausible(gates, F.col("hourly_grid_rows"), F.col("rows_after_timestamp_filter"))
     rows.append(audit.select(SERIES, F.lit("span_plausible").alias("check"), span.cast("double").alias("observed"),
                              F.lit(1.0).alias("threshold")))
     p = params.select(SERIES, "n", "train_end", "val_end", "train_targets")
@@ -115,13 +120,31 @@ def prepare(obs: DataFrame, target: str, predictors: list[str], step: str | int
             current_name: str = feat.CURRENT_NAME, feature_order: list[str] | None = None,
             source: str | None = None, timestamp_col: str = "ts") -> Prepared:
     """E3.  ``on_fail``: ``report`` (keep every series, quality table only),
-    ``exclude`` (drop failing series from the windows) or ``raise``."""
+    ``exclude`` (drop failing series from the windows) or ``raise``.
+
+    Unless series are only reported, the span is judged on the bounds, one row
+    per series: an implausible one (a single wrong year would stretch it over
+    millennia) gets no grid, no parameters and no windows; its row in the
+    quality table stays, its other checks count nothing observed."""
+    if on_fail not in ("report", "exclude", "raise"):
+        raise ValueError(f"unknown on_fail {on_fail!r}")
     gates = gates or Gates()
+    spans = span_plausible(gates, F.col("n"), F.col("raw_rows"))
+
+    def admitted(bounds: DataFrame) -> DataFrame:
+        if on_fail == "report":
+            return bounds
+        if on_fail == "raise":
+            far = bounds.where(~spans).select(SERIES, F.lit("span_plausible").alias("check"), F.lit(0.0).alias("observed"), F.lit(1.0).alias("threshold"), F.lit(False).alias("passed"))
+            if not far.isEmpty():
+                raise GateError(far, f"{far.count()} series span implausibly many steps; all are in .failed")
+        return bounds.where(spans)
+
     # feature order: file order with the target in place (ingest), else target first
     value_cols = list(feature_order) if feature_order else [target] + [p for p in predictors if p != target]
     # A1 + J1 + P8 (the fill runs in the window pass below)
     grid_rows, bounds = reg.regularize(obs, target, predictors, step, align, 0, chunk_rows,
-                                       lambda b: _persist(b, persist, "bounds"))  # one row per series
+                                       lambda b: _persist(b, persist, "bounds"), admitted)  # one row per series
     layout = feat.feature_layout(value_cols, target, current_name)
     fill_idx = [i for i, c in enumerate(layout.value_cols) if c != target]
     # W1 + W2-W4 + P11: one exchange on (series_id, chunk), two stacked Window operators;
@@ -146,10 +169,8 @@ def prepare(obs: DataFrame, target: str, predictors: list[str], step: str | int
             if not failed.isEmpty():
                 failed = _persist(quality.where(~F.col("passed")), persist, "failed-gates")
                 raise GateError(failed, f"{failed.select(SERIES).distinct().count()} series failed data-quality gates; all are in .failed")
-        elif on_fail == "exclude":
-            windows = windows.join(failed, [SERIES], "left_anti")
         else:
-            raise ValueError(f"unknown on_fail {on_fail!r}")
+            windows = windows.join(failed, [SERIES], "left_anti")
     return Prepared(hourly, bounds, params, windows, layout, audit, quality, window, horizon)
 
 

@@ -4,7 +4,7 @@ fitted parameters write/reload (S4).  Model files and their size (S5) live in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,19 +22,40 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
         w.format(fmt).save(path)
 
 
+def _has_floats(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_floats(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _has_floats(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _has_floats(kind.keyType) or _has_floats(kind.valueType)
+    return isinstance(kind, (T.DoubleType, T.FloatType))
+
+
+def _finite(c: Column, kind: T.DataType) -> Column:
+    """The value with every non-finite number in it, at any depth, as null.  A
+    map key cannot be null: a non-finite one becomes its name as text."""
+    if not _has_floats(kind):
+        return c
+    if isinstance(kind, T.StructType):
+        parts = [_finite(c.getField(f.name) if "." not in f.name else c[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(c.isNotNull(), F.struct(*parts))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _finite(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        if _has_floats(kind.valueType):
+            c = F.transform_values(c, lambda _, v: _finite(v, kind.valueType))
+        if isinstance(kind.keyType, (T.DoubleType, T.FloatType)):
+            c = F.transform_keys(c, lambda k, _: k.cast("string"))
+        return c
+    return nonfinite_to_null(c.cast("double"))
+
+
 def json_safe(df: DataFrame) -> DataFrame:
-    """S3 (value side): NaN and +-inf become NULL in every DOUBLE/FLOAT
-    column, including inside arrays, so JSON never carries ``"NaN"``."""
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(nonfinite_to_null(c.cast("double")).alias(f.name))
-        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.DoubleType, T.FloatType)):
-            cols.append(F.transform(c, lambda x: nonfinite_to_null(x.cast("double"))).alias(f.name))
-        else:
-            cols.append(c)
-    return df.select(*cols)
+    """S3 (value side): NaN and +-inf become NULL wherever they stand, in
+    columns, structs, arrays and maps of any nesting, so JSON never carries
+    ``"NaN"``."""
+    return df.select(*[_finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -61,6 +61,32 @@ def test_json_safe_nulls_non_finite(spark):
     assert json_safe(df).collect()[0].x is None
 
 
+def test_json_safe_at_any_depth(spark):
+    nan, inf = float("nan"), float("inf")
+    row = ({"a": {"b": [nan, 1.0]}, "n": 1}, [[1.0, inf], None], {"k": {"v": [-inf, 2.5]}}, [{"x": nan, "s": "t"}], None, {"m": {"deep": nan}})
+    df = spark.createDataFrame([row], "s struct<a: struct<b: array<double>>, n: int>, aa array<array<float>>, m map<string, struct<v: array<double>>>, "
+                                      "ls array<struct<x: double, s: string>>, z struct<x: double>, mm map<string, map<string, double>>")
+    got = json.loads(to_json_text(df).collect()[0].json)
+    assert got == {"s": {"a": {"b": [None, 1.0]}, "n": 1}, "aa": [[1.0, None], None], "m": {"k": {"v": [None, 2.5]}}, "ls": [{"x": None, "s": "t"}],
+                   "z": None, "mm": {"m": {"deep": None}}}
+
+
+def test_a_wrong_year_makes_no_grid(spark):
+    """One stamp of the year 9999 would be 70 million grid rows."""
+    far = hourly_series(spark, [(1.0, 2.0)] * 50, cols=("value", "p"), series="far")
+    last = F.lit("9999-12-31 23:00:00").cast("timestamp_ntz")
+    o = _series(spark, 300).unionByName(far).unionByName(far.limit(1).withColumn("ts", last))
+    p = prepare(o, "value", ["p"], gates=Gates(50, 20, 10), on_fail="exclude")
+    assert p.hourly.where("series_id = 'far'").count() == 0 and p.hourly.where("series_id = 's'").count() == 300
+    checks = {(r.series_id, r.check): r.passed for r in p.quality.collect()}
+    assert checks["far", "span_plausible"] is False and checks["s", "span_plausible"] is True
+    assert {c for s, c in checks if s == "far"} == {c for s, c in checks if s == "s"}
+    assert p.windows.select("series_id").distinct().collect()[0].series_id == "s"
+    with pytest.raises(GateError, match="span") as e:
+        prepare(o, "value", ["p"], gates=Gates(50, 20, 10), on_fail="raise")
+    assert [(r.series_id, r.check) for r in e.value.failed.collect()] == [("far", "span_plausible")]
+
+
 def test_one_row_series_keeps_its_checks(spark):
     o = _series(spark, 200).unionByName(hourly_series(spark, [(1.0, 2.0)], cols=("value", "p"), series="lone"))
     rep = prepare(o, "value", ["p"], persist="none")
