@@ -23,6 +23,7 @@ packed each; null ids come last; an empty table gives no piece.
 
 from __future__ import annotations
 
+import functools
 from collections import deque
 from collections.abc import Iterator
 
@@ -69,6 +70,7 @@ def choose_cuts(positions: np.ndarray, penalties: np.ndarray, window: int) -> li
     return out[::-1]
 
 
+@functools.lru_cache(maxsize=2)
 def sentence_flags(tok) -> tuple[np.ndarray, np.ndarray]:
     """Per id: does it end a sentence; does it begin with a blank?"""
     size = tok.library.get_vocab_size()
