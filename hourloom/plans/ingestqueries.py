@@ -93,7 +93,7 @@ def sql_normalize_names() -> str:
 
 # ------------------------------------------------------------ P4
 
-# per order priority: a strftime-style layout used to render o_orderdate
+# Per order priority, the layout in which o_orderdate is rendered.
 _LAYOUTS = {"1-URGENT": ("MM/dd/yyyy HH:mm", "%m/%d/%Y %H:%M"),
             "2-HIGH": ("dd/MM/yyyy HH:mm", "%d/%m/%Y %H:%M"),
             "3-MEDIUM": ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"),
