@@ -117,10 +117,12 @@ def q_ridge_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The moments that ridge searches on whole windows are solved from."""
     p = prepared(spark, sf_dir, EVENTS_BY_TYPE)
     rows = md.model_rows(p.windows, p.target_params)
-    g = gramian(rows)
+    found = []
+    if not rows.where("split = 'train'").isEmpty():
+        g = gramian(rows)
+        k = len(g.mean)
+        found = [(i, j, g.n, float(g.mean[i]), float(g.cov[i, j])) for i in range(k) for j in range(i, k)]  # features squared, whatever the rows
     release(rows)
-    k = len(g.mean)
-    found = [(i, j, g.n, float(g.mean[i]), float(g.cov[i, j])) for i in range(k) for j in range(i, k)]  # features squared, whatever the rows
     out = spark.createDataFrame(found, "i long, j long, train_windows long, mean_i double, covariance double")
     return out.select("i", "j", "train_windows", rnd("mean_i"), rnd("covariance"))
 

@@ -4,6 +4,7 @@ multi-series == per-series, partition-count invariance."""
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import hourly_series
@@ -59,7 +60,9 @@ def test_no_leakage_params_ignore_val_and_test(spark):
     other = prepare(hourly_series(spark, changed, cols=("value", "p")), "value", ["p"], persist="none")
     key = lambda p: sorted(tuple(r) for r in p.feature_params.collect())
     assert key(base) == key(other)
-    assert base.target_params.collect() == other.target_params.collect()
+    a, b = base.target_params.first(), other.target_params.first()
+    assert a[:1] == b[:1] and a[3:] == b[3:]
+    assert a[1:3] == pytest.approx(b[1:3], rel=1e-12)  # sums of the same rows, in whatever order their tasks end
 
 
 def test_inverse_of_scale_is_identity(spark):
