@@ -10,7 +10,8 @@ M7 scoring back to target units, M8 history, M9 validation early stop
 split, feature vector, labels and the series' target scaling.  Every fit is a
 distributed MLlib job over that table, and several trials run at once from a
 driver thread pool; the trials of a linear learner are solved together from
-the moments of the train rows (``gram``).  Nothing but hyper-parameters,
+the moments of the train rows (``gram``), and trials of a boosted learner that
+differ in rounds share a fit (``boost``).  Nothing but hyper-parameters,
 moments of the features and metric rows passes the driver.
 """
 
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scaling import inverse_standard
 from ..session import materialize
+from . import boost, gram
 from . import evaluate as ev
-from . import gram
 
 SERIES = "series_id"
 
@@ -58,9 +59,10 @@ class Real:
 
 
 # MLlib search spaces (our choice of MLlib parameters; the l2 and kd_alpha
-# ranges are the flagship's student ranges).
-TEACHER_SPACE = (Integer("max_depth", 2, 6), Integer("max_iter", 10, 60),
-                 Real("step_size", 0.02, 0.3, "log-uniform"), Real("subsampling_rate", 0.5, 1.0))
+# ranges are the flagship's student ranges).  A boosted learner's rounds are free
+# and the rest is drawn from few values, so that trials share fits (``boost``).
+TEACHER_SPACE = (Integer("max_depth", 2, 4), Integer("max_iter", 10, 40),
+                 Categorical("step_size", (0.05, 0.1, 0.2)), Categorical("subsampling_rate", (0.75, 1.0)))
 STUDENT_SPACE = (Real("l2", 1e-8, 5e-4, "log-uniform"), Real("kd_alpha", 0.25, 1.0))
 BASELINE_SPACES = {
     "linear": (Real("l2", 1e-7, 1e-3, "log-uniform"),),
@@ -193,13 +195,13 @@ def labelled(kind: str, spec: dict, rows: DataFrame, label: str) -> tuple[DataFr
 
 
 def fit(kind: str, spec: dict, seed: int, rows: DataFrame, label: str = "y_scaled",
-        moments: LabelMoments | None = None, iterate: bool = False):
+        moments: LabelMoments | None = None, iterate: bool = False, early_stop: bool = True):
     """Fit on train windows; GBT also gets validation rows for early stopping
     (M9) through the indicator column, never as training rows."""
     rows, label = labelled(kind, spec, rows, label)
     if kind in ("linear", "student") and moments is None:
         moments = label_moments(rows)
-    est = build_estimator(kind, spec, seed, label, moments=moments, iterate=iterate)
+    est = build_estimator(kind, spec, seed, label, early_stop=early_stop, moments=moments, iterate=iterate)
     if isinstance(est, GBTRegressor) and est.isSet("validationIndicatorCol"):
         data = rows.where(F.col("split").isin("train", "val")).withColumn("is_val", F.col("split") == "val")
     else:
@@ -224,7 +226,8 @@ def evaluate_trials(kind: str, trials: DataFrame, rows: DataFrame, seed: int, la
     """M5: fit every trial, score validation (A8 in target units), keep a
     failed row (NULL metrics, objective 1e6, the whole error text) for any
     trial that raises.  Linear learners: one pass for the moments (none if
-    given) and one for all trials' scores."""
+    given) and one for all trials' scores.  Boosted learners: a fit and a pass of
+    scores per family of trials that differ in rounds alone."""
     spark = rows.sparkSession
     specs = [r.asDict() for r in trials.orderBy("trial").collect()]   # n_trials rows of hyper-parameters
     if kind in ("linear", "student"):
@@ -233,6 +236,15 @@ def evaluate_trials(kind: str, trials: DataFrame, rows: DataFrame, seed: int, la
                  | ({"validation_R2": r["R2"], "validation_MAE_ugm3": r["MAE_ugm3"], "validation_RMSE_ugm3": r["RMSE_ugm3"], "params": moments.width + 1}
                     if r["status"] == "success" else {"epochs_completed": 0}) for r in gram.search(specs, rows, moments, label)]
         return _trial_rows(spark, trials, found)
+    if kind in ("gbt", "teacher"):
+        def longest(spec: dict, early_stop: bool):
+            return fit(kind, spec, seed, rows, label, early_stop=early_stop)
+
+        found = [dict.fromkeys(_TRIAL_RESULT) | {k: r[k] for k in trials.columns} | {"stage": stage, "seed": seed, "status": r["status"], "error": r["error"]}
+                 | ({"validation_R2": r.get("R2"), "validation_MAE_ugm3": r.get("MAE_ugm3"), "validation_RMSE_ugm3": r.get("RMSE_ugm3"),
+                     "params": r["nodes"], "epochs_completed": r["rounds"]} if r["status"] == "success" else {"epochs_completed": 0})
+                 for r in boost.search(specs, rows, longest, parallelism)]
+        return _trial_rows(spark, trials, found)
     val = rows.where(F.col("split") == "val")
 
     def run(spec: dict) -> dict:

@@ -18,6 +18,8 @@ SEEDS = (42, 123, 2024, 7, 99)
 LINEAR = (("l2", 1e-7, 1e-3, True),)
 STUDENT = (("l2", 1e-8, 5e-4, True), ("kd_alpha", 0.25, 1.0, False))
 
+BOOSTED = (("max_depth", (2, 3, 4)), ("max_iter", tuple(range(10, 41))), ("step_size", (0.05, 0.1, 0.2)), ("subsampling_rate", (0.75, 1.0)))
+
 
 def _draw(i: int, dim: tuple) -> str:
     name, low, high, log = dim
@@ -27,6 +29,20 @@ def _draw(i: int, dim: tuple) -> str:
     return f"({low!r}::DOUBLE + {u} * {high - low!r}::DOUBLE) AS {name}"
 
 
+def _choice(i: int, name: str, values: tuple) -> str:
+    """Draw of a whole number or of one of some values."""
+    u = f"(CAST('0x' || substr(md5(seed || '|' || trial || '|{i}|{name}'), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE)"
+    kind = "INTEGER" if isinstance(values[0], int) else "DOUBLE"
+    listed = ", ".join(f"{v!r}::{kind}" for v in values)
+    return f"([{listed}])[1 + CAST(floor({u} * {len(values)}) AS INTEGER)] AS {name}"
+
+
+def boosted_trials_sql() -> str:
+    draws = ", ".join(_choice(i, name, values) for i, (name, values) in enumerate(BOOSTED))
+    return (f"SELECT CAST(seed AS INTEGER) AS seed, CAST(trial AS INTEGER) AS trial, {draws}, 'success' AS status, true AS within_rounds, true AS scored "
+            f"FROM (SELECT unnest([{', '.join(map(str, SEEDS))}]) AS seed) CROSS JOIN (SELECT unnest(range(1, 31)) AS trial)")
+
+
 def _trials(space: tuple, n: int, shift: int) -> str:
     draws = ", ".join(_draw(i, d) for i, d in enumerate(space))
     seeds = ", ".join(str(x + shift) for x in SEEDS)
@@ -97,6 +113,7 @@ def registered_sql() -> dict[str, str]:
     seeds = f"(SELECT CAST(unnest([{', '.join(map(str, SEEDS))}]) AS INTEGER) AS seed)"
     return {
         "ridge_moments_events": moments_sql(),
+        "boosted_trials_events": boosted_trials_sql(),
         "distill_results_events": f"WITH {ctes(30)},\n{distil}\n{_FP32}",
         "baseline_results_events": f"WITH {ctes(60)},\n{linear}\n{_FP32}",
         "distill_summary_events": f"""WITH {ctes(30)},

@@ -37,6 +37,8 @@ def _study(spark: SparkSession, sf_dir: str, kind: str) -> StudyResult:
         whole = StudyConfig(dataset="events", teacher_kind="linear", parallelism=8)
         if kind == "distill windows":
             _STUDIES[key] = run_distillation(prepared(spark, sf_dir, EVENTS_BY_TYPE), whole)
+        elif kind == "distill boosted":
+            _STUDIES[key] = run_distillation(prepared(spark, sf_dir, EVENTS_BY_TYPE), StudyConfig(dataset="events", parallelism=8))
         elif kind == "linear windows":
             _STUDIES[key] = run_baseline(prepared(spark, sf_dir, EVENTS_BY_TYPE), whole, "linear")
         elif kind == "distill":
@@ -108,6 +110,19 @@ def q_distill_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole(_study(spark, sf_dir, "distill windows").results)
 
 
+def q_distill_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 with its default teacher, boosted trees, on whole windows of the series by type."""
+    return _whole(_study(spark, sf_dir, "distill boosted").results)
+
+
+def q_boosted_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4/M5: every teacher trial of the boosted E1 (whole numbers and choices
+    drawn), how it ended, and that early stopping kept within its rounds."""
+    t = _study(spark, sf_dir, "distill boosted").trials.where("stage = 'teacher'")
+    return t.select("seed", "trial", "max_depth", "max_iter", "step_size", "subsampling_rate", "status",
+                    F.col("epochs_completed").between(F.lit(1), F.col("max_iter")).alias("within_rounds"), F.col("validation_R2").isNotNull().alias("scored"))
+
+
 def q_baseline_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E2 with the ridge learner on whole windows of the series by type."""
     return _whole(_study(spark, sf_dir, "linear windows").results)
@@ -170,7 +185,8 @@ def registered() -> dict:
             "distill_predictions_events": q_distill_predictions, "distill_trials_events": q_distill_trials,
             "distill_status_events": q_distill_status, "baseline_results_events": q_baseline_results,
             "baseline_tree_events": q_baseline_tree,
-            "distill_windows_events": q_distill_windows, "baseline_windows_events": q_baseline_windows, "ridge_moments_events": q_ridge_moments, "embeddings_quantized": q_embeddings_quantized}
+            "distill_windows_events": q_distill_windows, "baseline_windows_events": q_baseline_windows,
+            "distill_boosted_events": q_distill_boosted, "boosted_trials_events": q_boosted_trials, "ridge_moments_events": q_ridge_moments, "embeddings_quantized": q_embeddings_quantized}
 
 
 def registered_sql() -> dict:
