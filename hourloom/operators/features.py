@@ -21,7 +21,7 @@ from ..functions.cols import qc
 from ..functions.calendar import CALENDAR_FEATURES, calendar_columns
 from ..functions.numeric import nonfinite_to_null
 from ..functions.scaling import nonzero_scale
-from .quantiles import group_quantiles
+from .quantiles import filled_quartiles
 
 SERIES = "series_id"
 CURRENT_NAME = "PM2.5_current"
@@ -74,21 +74,16 @@ def fit_params(feats: DataFrame, splits: DataFrame, layout: FeatureLayout) -> Da
     row, with null statistics and no train targets."""
     k = len(layout.names)
     train = feats.join(splits.select(SERIES, "train_end"), [SERIES]).where(F.col("idx") < F.col("train_end"))
-    # A3: medians of the raw features (NULLs skipped); a NULL median is 0.0
-    med_q = group_quantiles(train, [SERIES], [F.col(f"_f{i}") for i in range(k)], [0.5])
-    med = med_q.select(SERIES, *[F.coalesce(F.col(f"_q{i}")[0], F.lit(0.0)).alias(f"_m{i}") for i in range(k)])
+    # A3: medians of the raw features (NULLs skipped; 0.0 if none); A4: quartiles of the median-filled ones
+    rob = filled_quartiles(train, [SERIES], [F.col(f"_f{i}") for i in range(k)])
     # A5: target scaler on finite training targets (unfilled)
     tgt = train.groupBy(SERIES).agg(F.avg("target").alias("y_mean"), F.stddev_pop("target").alias("_y_std"),
                                     F.count("target").alias("train_targets"))
-    # A4: robust fit on the median-filled training rows
-    filled = train.join(med, [SERIES])
-    rob = group_quantiles(filled, [SERIES], [F.coalesce(F.col(f"_f{i}"), F.col(f"_m{i}")) for i in range(k)],
-                          [0.25, 0.5, 0.75])
-    return (splits.join(med, SERIES, "left").join(tgt, SERIES, "left").join(rob, SERIES, "left")
+    return (splits.join(tgt, SERIES, "left").join(rob, SERIES, "left")
             .select(SERIES, "n", "train_end", "val_end",
                     F.array(*[F.col(f"_m{i}") for i in range(k)]).alias("fill_medians"),
-                    F.array(*[F.col(f"_q{i}")[1] for i in range(k)]).alias("centers"),
-                    F.array(*[nonzero_scale(F.col(f"_q{i}")[2] - F.col(f"_q{i}")[0]) for i in range(k)]).alias("scales"),
+                    F.array(*[F.col(f"_m{i}") for i in range(k)]).alias("centers"),
+                    F.array(*[nonzero_scale(F.col(f"_hi{i}") - F.col(f"_lo{i}")) for i in range(k)]).alias("scales"),
                     "y_mean", nonzero_scale("_y_std").alias("y_std"),
                     F.coalesce("train_targets", F.lit(0)).alias("train_targets")))
 
