@@ -101,3 +101,41 @@ def test_common_layouts(spark, text, want):
     rows, report = best_of_n_parse(spark.createDataFrame([("s", text)], "series_id string, t string"), "t")
     assert report.first().parse_rate == 1.0
     assert str(rows.first().ts) == want
+
+
+def test_header_is_read_from_a_files_head_alone(spark, tmp_path):
+    """What is read of a file does not grow with it; compressed files alike."""
+    import bz2
+    import gzip
+    import io
+
+    import zstandard
+
+    from hourloom.sources import csv as src
+
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            got = super().read(n)
+            self.taken += len(got)
+            return got
+
+    body = b"time, PM2.5 \r\n" + b"2024-01-01 00:00:00,1.5\r\n" * 200_000
+    big = Counted(body)
+    assert src.first_line(big) == "time, PM2.5 " and big.taken == 1 << 16
+    assert [src.first_line(io.BytesIO(x), 3) for x in (b"", b"\n\n", b"abcdefg", b"abcdef\rgh", "é;ü\n".encode())] == [None, "", "abcdefg", "abcdef", "é;ü"]
+
+    (tmp_path / "big.csv").write_bytes(body)
+    (tmp_path / "a b.csv").write_bytes(b"\xef\xbb\xbftime, PM2.5 ")
+    (tmp_path / "empty.csv").write_bytes(b"")
+    (tmp_path / "g.csv.gz").write_bytes(gzip.compress(body[:400]))
+    (tmp_path / "n.csv.bz2").write_bytes(bz2.compress(b"station,time\nx,2024-01-01 00:00:00\n"))
+    (tmp_path / "z.csv.zst").write_bytes(zstandard.ZstdCompressor().compress(body[:400]))
+    groups = src._header_groups(spark, [str(tmp_path)])
+    named = {h: sorted(f.rsplit("/", 1)[1].replace("%20", " ") for f in files) for h, files in groups.items()}
+    assert named == {"time, PM2.5": ["a b.csv", "big.csv", "g.csv.gz", "z.csv.zst"], "station,time": ["n.csv.bz2"]}
+    scanned = {r.f.rsplit("/", 1)[1].replace("%20", " "): r.h for r in src._scanned(spark, [str(tmp_path / "big.csv"), str(tmp_path / "g.csv.gz")]).collect()}
+    assert scanned == {"big.csv": "time, PM2.5 ", "g.csv.gz": "time, PM2.5 "}
+    plan = spark.read.format("binaryFile").load(str(tmp_path)).select("path")._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[1]
