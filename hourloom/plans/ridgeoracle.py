@@ -61,7 +61,7 @@ def ctes(kind_trials: int) -> str:
     scores), tbest, tfit; st, sbest, sfit for the student."""
     src = EVENTS_ALL
     return f"""{prepared_ctes(src)},
-w AS (SELECT v.series_id, v.split, v.y_raw AS y, v.y_scaled AS ys, s.x_first AS x, p.y_mean, p.y_std
+w AS (SELECT v.series_id, v.idx, v.split, v.y_raw AS y, v.y_scaled AS ys, s.x_first AS x, p.y_mean, p.y_std
       FROM wins v JOIN scaled s ON v.series_id = s.series_id AND v.idx = s.idx JOIN params p ON v.series_id = p.series_id),
 val AS (SELECT * FROM w WHERE split = 'val'),
 mom AS (SELECT avg(x) AS mx, avg(ys) AS my, var_pop(x) AS vx, covar_pop(x, ys) AS cxy FROM w WHERE split = 'train'),
@@ -96,6 +96,56 @@ _FP32 = """SELECT dataset, model, teacher, seed, 'success' AS status, CAST(2 AS
 R6(vmae, 6) AS validation_MAE_ugm3, R6(vrmse, 6) AS validation_RMSE_ugm3, R6(r2, 6) AS R2, R6(mae, 6) AS MAE_ugm3, R6(rmse, 6) AS RMSE_ugm3, R6(mse, 6) AS MSE_ugm3_sq FROM res"""
 
 
+def _code(x: str, s: str, z: str) -> str:
+    """Unclipped 8-bit code."""
+    return f"round_even(({x}) / {s} + {z}, 0)"
+
+
+def _affine(s: str, lo: str) -> str:
+    return f"CASE WHEN {s} > 0 THEN least(greatest(round_even(-128.0 - {lo} / {s}, 0), -128.0), 127.0) END"
+
+
+def int8_sql(samples: int = 250) -> str:
+    """The fitted student through 8-bit inputs and outputs: calibration on the
+    evenly spaced train windows, then scores, drop and saturation rates."""
+    clip = "least(greatest({}, -128.0), 127.0)"
+    rates = ", ".join(f"max({a}) FILTER (split = '{s}') AS {s}_{a}" for s in ("val", "test") for a in ("r2", "mae", "rmse", "isr", "osr"))
+    return f"""WITH {ctes(30)},
+tw AS (SELECT series_id, x, row_number() OVER (PARTITION BY series_id ORDER BY idx) - 1 AS pos,
+              count(*) OVER (PARTITION BY series_id) AS n FROM w WHERE split = 'train'),
+pi AS (SELECT series_id, n, least({samples}, n) AS k, unnest(range(0, least({samples}, n))) AS i FROM (SELECT DISTINCT series_id, n FROM tw)),
+ps AS (SELECT series_id, CASE WHEN k = 1 THEN 0 WHEN i = k - 1 THEN n - 1
+              ELSE CAST(floor(i * ((n - 1.0::DOUBLE) / (k - 1))) AS BIGINT) END AS pos FROM pi),
+samp AS (SELECT x FROM tw SEMI JOIN ps ON tw.series_id = ps.series_id AND tw.pos = ps.pos),
+ci0 AS (SELECT (greatest(max(x), 0.0) - least(min(x), 0.0)) / 255.0 AS si, least(min(x), 0.0) AS lo FROM samp),
+ci AS (SELECT si, {_affine("si", "lo")} AS zi FROM ci0),
+co0 AS (SELECT study, (greatest(max(c0 + c1 * x), 0.0) - least(min(c0 + c1 * x), 0.0)) / 255.0 AS so, least(min(c0 + c1 * x), 0.0) AS lo
+        FROM sbest CROSS JOIN samp GROUP BY study),
+co AS (SELECT study, so, {_affine("so", "lo")} AS zo FROM co0),
+q0 AS (SELECT b.study, w.split, w.y, w.y_mean, w.y_std, so, zo, c0, c1, c0 + c1 * w.x AS fp, si, zi, {_code("w.x", "si", "zi")} AS raw
+       FROM sbest b JOIN co USING (study) CROSS JOIN ci CROSS JOIN w WHERE w.split <> 'train'),
+q1 AS (SELECT *, {clip.format(_code(f"c0 + c1 * (({clip.format('raw')} - zi) * si)", "so", "zo"))} AS code FROM q0),
+q2 AS (SELECT study, split, {_metrics("(code - zo) * so * y_std + y_mean")}, 1.0 - sum((y - (fp * y_std + y_mean)) * (y - (fp * y_std + y_mean))) / (count(*) * var_pop(y)) AS fp_r2,
+              sum(CASE WHEN raw < -128 OR raw > 127 THEN 1 ELSE 0 END) / count(*) AS isr, sum(CASE WHEN code <= -128 OR code >= 127 THEN 1 ELSE 0 END) / count(*) AS osr
+       FROM q1 GROUP BY study, split),
+q3 AS (SELECT study, {rates}, max(fp_r2) FILTER (split = 'test') AS fp_r2 FROM q2 GROUP BY study)
+SELECT 'events' AS dataset, 'distilled student' AS model, 'teacher' AS teacher, CAST(b.study AS INTEGER) AS seed, 'strict_int8_success' AS status,
+       R6(val_r2, 6) AS validation_R2, R6(val_mae, 6) AS validation_MAE_ugm3, R6(val_rmse, 6) AS validation_RMSE_ugm3, R6(test_r2, 6) AS R2, R6(test_mae, 6) AS MAE_ugm3,
+       R6(test_rmse, 6) AS RMSE_ugm3, R6(fp_r2 - test_r2, 6) AS quantization_R2_drop, R6(val_isr, 6) AS validation_input_saturation_rate,
+       R6(val_osr, 6) AS validation_output_saturation_rate, R6(test_isr, 6) AS input_saturation_rate, R6(test_osr, 6) AS output_saturation_rate,
+       R6(si, 6) AS in_scale, zi AS in_zero_point, R6(so, 6) AS out_scale, zo AS out_zero_point
+FROM sbest b JOIN co USING (study) CROSS JOIN ci LEFT JOIN q3 ON b.study = q3.study"""
+
+
+def specifications_sql() -> str:
+    """the selected specification that each result row carries."""
+    spec = "R6(l2 * 1000000.0::DOUBLE, 6) AS l2_e6"
+    return f"""WITH {ctes(30)}
+SELECT 'teacher' AS model, 'FP32' AS precision, CAST(study AS INTEGER) AS seed, 'l2' AS dimensions, {spec}, NULL::DOUBLE AS kd_alpha FROM tbest
+UNION ALL SELECT 'distilled student', v.precision, CAST(study AS INTEGER), 'kd_alpha,l2', {spec.replace(" AS l2_e6", "")}, R6(kd_alpha, 6)
+FROM sbest CROSS JOIN (VALUES ('FP32'), ('INT8')) v(precision)"""
+
+
 def moments_sql(window: int = 8) -> str:
     """Covariances of whole train windows (features time-major, then the label)."""
     return f"""WITH {prepared_ctes(EVENTS_BY_TYPE)},
@@ -114,6 +164,8 @@ def registered_sql() -> dict[str, str]:
     return {
         "ridge_moments_events": moments_sql(),
         "boosted_trials_events": boosted_trials_sql(),
+        "distill_int8_events": int8_sql(),
+        "distill_specifications_events": specifications_sql(),
         "distill_results_events": f"WITH {ctes(30)},\n{distil}\n{_FP32}",
         "baseline_results_events": f"WITH {ctes(60)},\n{linear}\n{_FP32}",
         "distill_summary_events": f"""WITH {ctes(30)},

@@ -89,6 +89,26 @@ def q_distill_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("failed_seeds", F.lit(r.failures.count()))
 
 
+def q_distill_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1-Q4: the student of every seed through 8-bit inputs and outputs: its
+    calibration, scores, drop against FP32 and saturation rates."""
+    r = _study(spark, sf_dir, "distill")
+    rates = [rnd(f"{v}{side}_saturation_rate") for v in ("validation_", "") for side in ("input", "output")]
+    rows = r.results.where("precision = 'INT8'").select(
+        "dataset", "model", "teacher", "seed", "status", rnd("validation_R2"), rnd("validation_MAE_ugm3"), rnd("validation_RMSE_ugm3"), rnd("R2"),
+        rnd("MAE_ugm3"), rnd("RMSE_ugm3"), rnd("quantization_R2_drop"), *rates)
+    cal = r.quantization.select("seed", "model", rnd("in_scale"), "in_zero_point", rnd("out_scale"), "out_zero_point")
+    return rows.join(cal, ["seed", "model"])
+
+
+def q_distill_specifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the selected specification that each result row carries, read back
+    from its JSON: the dimensions in order and their values."""
+    r, spec = _study(spark, sf_dir, "distill").results, F.col("specification")
+    return r.select("model", "precision", "seed", F.array_join(F.json_object_keys(spec), ",").alias("dimensions"),
+                    rnd(F.get_json_object(spec, "$.l2").cast("double") * 1e6, "l2_e6"), rnd(F.get_json_object(spec, "$.kd_alpha").cast("double"), "kd_alpha"))
+
+
 def q_baseline_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E2 with the ridge learner."""
     return _fp32(_study(spark, sf_dir, "linear").results)
@@ -183,7 +203,7 @@ FROM qq GROUP BY label"""
 def registered() -> dict:
     return {"distill_results_events": q_distill_results, "distill_summary_events": q_distill_summary,
             "distill_predictions_events": q_distill_predictions, "distill_trials_events": q_distill_trials,
-            "distill_status_events": q_distill_status, "baseline_results_events": q_baseline_results,
+            "distill_status_events": q_distill_status, "distill_int8_events": q_distill_int8, "distill_specifications_events": q_distill_specifications, "baseline_results_events": q_baseline_results,
             "baseline_tree_events": q_baseline_tree,
             "distill_windows_events": q_distill_windows, "baseline_windows_events": q_baseline_windows,
             "distill_boosted_events": q_distill_boosted, "boosted_trials_events": q_boosted_trials, "ridge_moments_events": q_ridge_moments, "embeddings_quantized": q_embeddings_quantized}
