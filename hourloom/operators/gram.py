@@ -15,6 +15,7 @@ and with the penalty as ``modeling.build_estimator`` passes it:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import cached_property
@@ -26,6 +27,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class LabelMoments:
+    """Spread of the labels over the train rows (one aggregate per study stage)."""
+
+    n: int
+    var_y: float
+    var_t: float
+    cov: float
+
+    def std(self, alpha: float = 1.0, sample: bool = False) -> float:
+        """Standard deviation of ``alpha * y + (1 - alpha) * teacher``."""
+        v = alpha ** 2 * self.var_y + 2 * alpha * (1 - alpha) * self.cov + (1 - alpha) ** 2 * self.var_t
+        return math.sqrt(max(v, 0.0) * (self.n / (self.n - 1) if sample and self.n > 1 else 1.0))
+
+
 @dataclass(frozen=True)
 class Gramian:
     """Moments over ``n`` rows: of the features first, then of the labels."""
@@ -70,6 +86,10 @@ class Gramian:
         b = v @ (gain * (v.T @ (self.cov[:d, d:] @ pick)))
         return b, float(self.mean[d:] @ pick - self.mean[:d] @ b)
 
+    def label_moments(self) -> LabelMoments:
+        """Spread of the target and, if they are among the labels, the soft labels."""
+        d, t = self.width, len(self.labels) - 1
+        return LabelMoments(self.n, float(self.cov[d, d]), float(self.cov[d + t, d + t]), float(self.cov[d, d + t]))
 
     def descent(self, l2: float, blend: Mapping[str, float], most: int = 200, tol: float = 1e-10) -> list[float]:
         """M8: the objective (half the mean squared error plus the penalty) at

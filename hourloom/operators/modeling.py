@@ -31,6 +31,7 @@ from ..functions.scaling import inverse_standard
 from ..session import materialize
 from . import boost, gram
 from . import evaluate as ev
+from .gram import LabelMoments
 
 SERIES = "series_id"
 
@@ -106,21 +107,6 @@ def model_rows(windows: DataFrame, params: DataFrame, features: Column | None =
                                    "y_raw", "y_scaled", "y_mean", "y_std"), "model-rows")
 
 
-@dataclass(frozen=True)
-class LabelMoments:
-    """Spread of the labels over the train rows (one aggregate per study stage)."""
-
-    n: int
-    var_y: float
-    var_t: float
-    cov: float
-
-    def std(self, alpha: float = 1.0, sample: bool = False) -> float:
-        """Standard deviation of ``alpha * y + (1 - alpha) * teacher``."""
-        v = alpha ** 2 * self.var_y + 2 * alpha * (1 - alpha) * self.cov + (1 - alpha) ** 2 * self.var_t
-        return math.sqrt(max(v, 0.0) * (self.n / (self.n - 1) if sample and self.n > 1 else 1.0))
-
-
 def label_moments(rows: DataFrame) -> LabelMoments:
     t = "teacher_scaled" if "teacher_scaled" in rows.columns else "y_scaled"
     r = rows.where(F.col("split") == "train").agg(

@@ -146,6 +146,16 @@ UNION ALL SELECT 'distilled student', v.precision, CAST(study AS INTEGER), 'kd_a
 FROM sbest CROSS JOIN (VALUES ('FP32'), ('INT8')) v(precision)"""
 
 
+def rerun_sql() -> str:
+    """Predictions by seed after two seeds were written again, one unit higher."""
+    part = "SELECT CAST(b.study AS INTEGER) AS seed, '{m}' AS model, w.y, ({a} + {b} * w.x) * y_std + y_mean AS p FROM {t} b CROSS JOIN w WHERE split <> 'train'"
+    both = " UNION ALL ".join(part.format(m=m, a=a, b=b, t=t) for m, a, b, t in (("teacher", "b0", "b1", "tbest"), ("distilled student", "c0", "c1", "sbest")))
+    return f"""WITH {ctes(30)},
+p AS ({both})
+SELECT seed, model, count(*) AS "rows", R6(avg(p + CASE WHEN seed IN (7, 42) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS mean_predicted, R6(avg(y), 6) AS mean_observed
+FROM p GROUP BY seed, model"""
+
+
 def moments_sql(window: int = 8) -> str:
     """Covariances of whole train windows (features time-major, then the label)."""
     return f"""WITH {prepared_ctes(EVENTS_BY_TYPE)},
@@ -164,6 +174,7 @@ def registered_sql() -> dict[str, str]:
     return {
         "ridge_moments_events": moments_sql(),
         "boosted_trials_events": boosted_trials_sql(),
+        "sink_rerun_events": rerun_sql(),
         "distill_int8_events": int8_sql(),
         "distill_specifications_events": specifications_sql(),
         "distill_results_events": f"WITH {ctes(30)},\n{distil}\n{_FP32}",

@@ -13,7 +13,9 @@ when the study ends; predictions and results are kept.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from threading import Lock
 
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -26,7 +28,7 @@ from ..operators import quantize as qz
 from ..operators import windows as win
 from ..operators.gram import Gramian, blend_of, gramian
 from ..session import ensure_checkpoint_dir, materialize, release
-from ..sources.sinks import write_json, write_table
+from ..sources.sinks import read_groups, write_groups, write_json, write_table
 from .prepare import Prepared
 
 # Fixed names: the result row of the output contract.
@@ -39,6 +41,8 @@ RESULT_SCHEMA = ("dataset string, model string, teacher string, seed int, precis
                  "validation_output_saturation_rate double, error string")
 RESULT_FIELDS = [f.strip().split(" ")[0] for f in RESULT_SCHEMA.split(",")]
 HISTORY_SCHEMA = "seed int, model string, iteration int, loss double"
+#: A student's search has the seed of its study plus this.
+STUDENT_SHIFT = 10000
 QUANTIZATION_SCHEMA = ("seed int, model string, in_scale double, in_zero_point double, in_scale_ok boolean, "
                        "out_scale double, out_zero_point double, out_scale_ok boolean")
 
@@ -73,6 +77,7 @@ class StudyResult:
     tradeoff: DataFrame | None            # T2: size against validation R2, Pareto flag
     specifications: DataFrame | None      # F12: selected specification per stage and seed
     quantization: DataFrame               # Q1/Q3: the six calibration fields per seed
+    seeds: tuple = ()                     # the seeds that were run, failed ones too
     run_record: DataFrame | None = None   # S3: one row about the run, with A13 counts
 
 
@@ -96,6 +101,12 @@ def _metrics(pred: DataFrame) -> dict:
     return {r["split"]: r.asDict() for r in rows}
 
 
+def _frame_metrics(frame: DataFrame) -> dict:
+    """The same of written prediction rows, whose scores need not be made again."""
+    named = frame.withColumn("split", F.when(F.col("split") == "validation", "val").otherwise(F.col("split")))
+    return {r["split"]: r.asDict() for r in ev.regression_metrics(named, ["split"], "observed", "predicted").collect()}  # <= 2 rows
+
+
 def _result(cfg: StudyConfig, model: str, teacher: str, seed: int, precision: str, m: dict, **kw) -> dict:
     v, t = m.get("val", {}), m.get("test", {})
     return dict.fromkeys(RESULT_FIELDS) | dict(
@@ -104,14 +115,14 @@ def _result(cfg: StudyConfig, model: str, teacher: str, seed: int, precision: st
         MAE_ugm3=t.get("MAE_ugm3"), RMSE_ugm3=t.get("RMSE_ugm3"), MSE_ugm3_sq=t.get("MSE_ugm3_sq")) | kw
 
 
-def int8_scores(model, rows: DataFrame, max_samples: int = 250) -> tuple[DataFrame, dict]:
-    """Q1-Q3: calibrate on the representative train sample, then score
-    val/test through quantised inputs and a quantised output."""
-    sample = qz.representative_sample(rows, max_samples)
+def int8_scores(model, rows: DataFrame, max_samples: int = 250, sample: DataFrame | None = None) -> tuple[DataFrame, dict]:
+    """Q1-Q3: calibrate on the representative train sample (drawn here if not
+    given), then score val/test through quantised inputs and a quantised output."""
+    sample = qz.representative_sample(rows, max_samples) if sample is None else sample
     flat = vector_to_array("features")
-    cal_in = qz.calibrate(sample, flat, prefix="in_").first()
-    cal_out = qz.calibrate(model.transform(sample), F.col("prediction"), prefix="out_", array=False).first()
-    cal = cal_in.asDict() | cal_out.asDict()
+    seen = model.transform(sample)
+    both = qz.calibrate(seen, flat, prefix="in_").crossJoin(qz.calibrate(seen, F.col("prediction"), prefix="out_", array=False))  # one row each
+    cal = both.first().asDict()
     if not (cal["in_scale_ok"] and cal["out_scale_ok"]):
         raise RuntimeError("Invalid quantization scale.")
     s_in, z_in, s_out, z_out = (F.lit(float(cal[c])) for c in ("in_scale", "in_zero_point", "out_scale", "out_zero_point"))
@@ -124,11 +135,23 @@ def int8_scores(model, rows: DataFrame, max_samples: int = 250) -> tuple[DataFra
     return pred.withColumn("predicted", md.inverse_standard("predicted_scaled", "y_mean", "y_std")), cal
 
 
-class _Moments:
-    """The study's moments of features and labels: one pass, when first asked for."""
+class _Shared:
+    """What all seeds of a study use alike, made when first asked for: the
+    moments of features and labels (one pass) and the calibration sample."""
+
+    def __init__(self, rows: DataFrame, samples: int):
+        self._rows, self._samples, self._found, self._sample, self._lock = rows, samples, None, None, Lock()
 
-    def __init__(self, rows: DataFrame):
-        self._rows, self._found = rows, None
+    def sample(self) -> DataFrame:
+        """The representative train windows' features, written once."""
+        with self._lock:
+            if self._sample is None:
+                self._sample = materialize(qz.representative_sample(self._rows, self._samples).select("features"), "calibration")
+            return self._sample
+
+    def release(self) -> None:
+        if self._sample is not None:
+            release(self._sample)
 
     def of(self, kind: str, teacher=None, soft: DataFrame | None = None) -> Gramian | None:
         """For a linear learner; with a teacher, its soft labels are one more
@@ -137,7 +160,8 @@ class _Moments:
             return None
         if teacher is not None and not hasattr(teacher, "coefficients"):
             return gramian(soft, ("y_scaled", "teacher_scaled"))
-        self._found = self._found or gramian(self._rows)
+        with self._lock:
+            self._found = self._found or gramian(self._rows)
         if teacher is None:
             return self._found
         return self._found.with_linear_label("teacher_scaled", teacher.coefficients.toArray(), float(teacher.intercept))
@@ -162,26 +186,27 @@ def _refit(cfg: StudyConfig, kind: str, spec: dict, rows: DataFrame, seed: int,
     """M6-M8: refit on the selected specification, save, score, report.  A
     linear learner is solved at once; its history is that of conjugate gradients
     on the same moments."""
-    model = md.fit(kind, spec, seed, rows)
+    model = md.fit(kind, spec, seed, rows, moments=moments and moments.label_moments())
     losses = moments.descent(float(spec["l2"]), blend_of(spec)) if moments else md.history(model, rows.where(F.col("split") == "val"))
     rounds = len(losses) if moments else md.epochs(model)
     size = md.save_model(model, f"{model_dir}/seed_{seed}/{name.replace(' ', '_')}")
     pred = md.score(model, rows.where(F.col("split") != "train"))
-    m = _metrics(pred)
+    frame = ev.prediction_frame(pred, "y_raw", "predicted", "split", "FP32", name, teacher, seed)
+    out.predictions.append(materialize(frame, "predictions"))
+    m = _frame_metrics(out.predictions[-1])
     out.history += [(seed, name, i + 1, float(v)) for i, v in enumerate(losses)]
     out.results.append(_result(cfg, name, teacher, seed, "FP32", m, params=md.param_count(model), model_size_KB=size,
                                quantization_R2_drop=drop, epochs_completed=rounds, status="success",
                                specification=spec["json"]))
-    frame = ev.prediction_frame(pred, "y_raw", "predicted", "split", "FP32", name, teacher, seed)
-    out.predictions.append(materialize(frame, "predictions"))
     return model, m | {"epochs": rounds}
 
 
-def _int8(cfg: StudyConfig, model, rows: DataFrame, spec: dict, seed: int, name: str, teacher: str, fp: dict, out: _Gathered) -> None:
+def _int8(cfg: StudyConfig, model, rows: DataFrame, spec: dict, seed: int, name: str, teacher: str, fp: dict, out: _Gathered,
+          shared: _Shared) -> None:
     """Q2-Q4: the INT8 result row; a stage that fails leaves a row that says so."""
     known = dict(params=md.param_count(model), epochs_completed=fp.get("epochs"), specification=spec["json"])
     try:
-        scored, cal = int8_scores(model, rows, cfg.representative_samples)
+        scored, cal = int8_scores(model, rows, cfg.representative_samples, shared.sample())
         m = _metrics(scored)
         sat = {r["split"]: r.asDict() for r in qz.saturation_rates(scored, ["split"]).collect()}
         a, b = fp.get("test", {}).get("R2"), m.get("test", {}).get("R2")
@@ -198,64 +223,76 @@ def _int8(cfg: StudyConfig, model, rows: DataFrame, spec: dict, seed: int, name:
     out.results.append(row)
 
 
-def _distil_seed(cfg: StudyConfig, rows: DataFrame, seed: int, model_dir: str, moments: _Moments) -> _Gathered:
+def _distil_seed(cfg: StudyConfig, rows: DataFrame, seed: int, model_dir: str, shared: _Shared) -> _Gathered:
     out = _Gathered()
     t_space = md.BASELINE_SPACES[cfg.teacher_kind]
-    given = moments.of(cfg.teacher_kind)
+    given = shared.of(cfg.teacher_kind)
     t_spec = _search(cfg, cfg.teacher_kind, t_space, cfg.teacher_trials, rows, seed, "teacher", out, given)
     teacher, _ = _refit(cfg, cfg.teacher_kind, t_spec, rows, seed, cfg.teacher_name, "None", model_dir, None, out, given)
-    soft = materialize(md.soft_labels(teacher, rows), f"soft_{seed}").persist(StorageLevel.MEMORY_AND_DISK)  # M12
+    soft = md.soft_labels(teacher, rows)  # M12; of a linear teacher one product a row, so they are not written
+    landed = None if given else materialize(soft, f"soft_{seed}").persist(StorageLevel.MEMORY_AND_DISK)
+    soft = soft if landed is None else landed
     try:
-        both = moments.of("student", teacher, soft)
-        s_spec = _search(cfg, "student", md.STUDENT_SPACE, cfg.student_trials, soft, seed + 10000, "student", out,
+        both = shared.of("student", teacher, soft)
+        s_spec = _search(cfg, "student", md.STUDENT_SPACE, cfg.student_trials, soft, seed + STUDENT_SHIFT, "student", out,
                          both)
         student, m = _refit(cfg, "student", s_spec, soft, seed, cfg.student_name, cfg.teacher_name, model_dir, 0.0, out, both)
         if cfg.evaluate_int8:
-            _int8(cfg, student, soft, s_spec, seed, cfg.student_name, cfg.teacher_name, m, out)
+            _int8(cfg, student, soft, s_spec, seed, cfg.student_name, cfg.teacher_name, m, out, shared)
     finally:
-        soft.unpersist()
-        release(soft)
+        if landed is not None:
+            landed.unpersist()
+            release(landed)
     return out
 
 
-def _baseline_seed(cfg: StudyConfig, kind: str, name: str, rows: DataFrame, seed: int, model_dir: str, moments: _Moments) -> _Gathered:
+def _baseline_seed(cfg: StudyConfig, kind: str, name: str, rows: DataFrame, seed: int, model_dir: str, shared: _Shared) -> _Gathered:
     out = _Gathered()
-    given = moments.of(kind)
+    given = shared.of(kind)
     spec = _search(cfg, kind, md.BASELINE_SPACES[kind], cfg.baseline_trials, rows, seed, kind, out, given)
     model, m = _refit(cfg, kind, spec, rows, seed, name, "None", model_dir, 0.0 if cfg.evaluate_int8 else None, out, given)
     if cfg.evaluate_int8:
-        _int8(cfg, model, rows, spec, seed, name, "None", m, out)
+        _int8(cfg, model, rows, spec, seed, name, "None", m, out, shared)
     return out
 
 
-def _study(prepared: Prepared, cfg: StudyConfig, one_seed) -> StudyResult:
-    """Every seed on its own; a failed seed becomes a failures row."""
+def _study(prepared: Prepared, cfg: StudyConfig, kind: str, one_seed) -> StudyResult:
+    """Every seed on its own; a failed seed becomes a failures row.  Seeds
+    of linear learners, whose jobs are few and short, run side by side; those of
+    the others one after the other, as their trials run side by side."""
     spark = prepared.windows.sparkSession
     rows = md.model_rows(prepared.windows, prepared.target_params, cfg.features).persist(StorageLevel.MEMORY_AND_DISK)
     model_dir = cfg.model_dir or f"{ensure_checkpoint_dir(spark).rstrip('/')}/hourloom/models"
-    out, moments = _Gathered(), _Moments(rows)
+    out, shared = _Gathered(), _Shared(rows, cfg.representative_samples)
+
+    def run(seed: int) -> _Gathered:
+        try:
+            return one_seed(rows, seed, model_dir, shared)
+        except Exception as e:  # noqa: BLE001 - one failed seed does not stop the study
+            return _Gathered(failures=[(seed, type(e).__name__, repr(e))])
+
     try:
-        for seed in cfg.seeds:
-            try:
-                out.add(one_seed(rows, seed, model_dir, moments))
-            except Exception as e:  # noqa: BLE001 - one failed seed does not stop the study
-                out.failures.append((seed, type(e).__name__, repr(e)))
+        with ThreadPoolExecutor(max(1, cfg.parallelism) if kind == "linear" else 1) as pool:
+            for found in pool.map(run, cfg.seeds):
+                out.add(found)
     finally:
         rows.unpersist()
         release(rows)
+        shared.release()
     result = _collect(spark, out)
+    result.seeds = tuple(cfg.seeds)
     result.run_record = run_record(prepared, cfg, result)
     return result
 
 
 def run_distillation(prepared: Prepared, cfg: StudyConfig) -> StudyResult:
     """E1 over every seed."""
-    return _study(prepared, cfg, lambda rows, seed, folder, moments: _distil_seed(cfg, rows, seed, folder, moments))
+    return _study(prepared, cfg, cfg.teacher_kind, lambda rows, seed, folder, shared: _distil_seed(cfg, rows, seed, folder, shared))
 
 
 def run_baseline(prepared: Prepared, cfg: StudyConfig, kind: str = "linear", model_name: str | None = None) -> StudyResult:
     """One learner, one search per seed, refit, FP32 + INT8 scoring."""
-    return _study(prepared, cfg, lambda rows, seed, folder, moments: _baseline_seed(cfg, kind, model_name or kind, rows, seed, folder, moments))
+    return _study(prepared, cfg, kind, lambda rows, seed, folder, shared: _baseline_seed(cfg, kind, model_name or kind, rows, seed, folder, shared))
 
 
 def _collect(spark: SparkSession, out: _Gathered) -> StudyResult:
@@ -286,20 +323,26 @@ def run_record(prepared: Prepared, cfg: StudyConfig, result: StudyResult) -> Dat
 
 
 def write_outputs(result: StudyResult, out_dir: str, fmt: str = "parquet", prepared: Prepared | None = None) -> None:
-    """Result, prediction (partitioned by seed), trial, failure and
-    statistics tables, the audit and quality tables of the data plane, and the
-    run record and selected specifications as JSON."""
-    tables = {"results": result.results, "trials": result.trials, "failures": result.failures, "statistics": result.statistics,
-              "summary": result.summary, "history": result.history, "convergence": result.convergence, "tradeoff": result.tradeoff,
-              "quantization": result.quantization}
+    """Result, prediction, trial, failure and history tables kept by
+    seed, so that a later run of some seeds replaces those and no others; the
+    statistics and summary of all seeds now in the result table; the audit and
+    quality tables of the data plane; the run record and selected specifications
+    as JSON."""
+    root, seeds = out_dir.rstrip("/"), result.seeds
+    spark = result.results.sparkSession
+    searched = [*seeds, *(s + STUDENT_SHIFT for s in seeds)]
+    kept = {"results": (result.results, seeds), "failures": (result.failures, seeds), "history": (result.history, seeds),
+            "quantization": (result.quantization, seeds), "predictions": (result.predictions, seeds), "trials": (result.trials, searched),
+            "convergence": (result.convergence, searched), "tradeoff": (result.tradeoff, searched)}
+    for name, (df, groups) in kept.items():
+        if df is not None:
+            write_groups(df, f"{root}/{name}", groups, fmt=fmt)
+    everything = read_groups(spark, f"{root}/results", result.results.schema, fmt)
+    tables = {"statistics": ev.seed_statistics(everything), "summary": ev.seed_summary(everything)}
     if prepared is not None:
         tables |= {"audit": prepared.audit, "quality": prepared.quality}
-    root = out_dir.rstrip("/")
     for name, df in tables.items():
-        if df is not None:
-            write_table(df, f"{root}/{name}", fmt)
-    if result.predictions is not None:
-        write_table(result.predictions, f"{root}/predictions", fmt, ["seed"])
+        write_table(df, f"{root}/{name}", fmt)
     for name, df in (("run_record", result.run_record), ("specifications", result.specifications)):
         if df is not None:
             write_json(df, f"{root}/{name}")

@@ -10,14 +10,17 @@ whole windows; it has no SQL form, so its rows are checked by tests.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import modeling as md
 from ..operators import quantize as qz
 from ..operators.gram import gramian
-from ..session import release
+from ..session import ensure_checkpoint_dir, materialize, release, remove
 from ..sources import tables
+from ..sources.sinks import read_groups, write_groups
 from ..sources.tables import table
 from . import ridgeoracle as ridge
 from .catalog import EVENTS_ALL, EVENTS_BY_TYPE, prepared, rnd
@@ -109,6 +112,29 @@ def q_distill_specifications(spark: SparkSession, sf_dir: str) -> DataFrame:
                     rnd(F.get_json_object(spec, "$.l2").cast("double") * 1e6, "l2_e6"), rnd(F.get_json_object(spec, "$.kd_alpha").cast("double"), "kd_alpha"))
 
 
+#: Seeds that ``q_sink_rerun`` writes a second time.
+RERUN_SEEDS = (7, 42)
+
+
+def q_sink_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1's predictions written by seed, two seeds then written again
+    with other values (one unit higher) in other files; what is read back holds
+    every seed once.  FP32 rows, per seed and model."""
+    p = _study(spark, sf_dir, "distill").predictions.where("precision = 'FP32'")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hourloom/rerun-{uuid.uuid4().hex[:12]}"
+    try:
+        write_groups(p, path, StudyConfig.seeds)
+        again = p.where(F.col("seed").isin(*RERUN_SEEDS)).withColumn("predicted", F.col("predicted") + 1.0)
+        for _ in range(2):  # a rerun of a rerun changes nothing
+            write_groups(again, path, RERUN_SEEDS)
+        back = read_groups(spark, path, p.schema)
+        found = back.groupBy("seed", "model").agg(F.count(F.lit(1)).alias("rows"), rnd(F.avg("predicted"), "mean_predicted"),
+                                                  rnd(F.avg("observed"), "mean_observed"))
+        return materialize(found, "rerun-read")  # a row per seed and model
+    finally:
+        remove(spark, path)
+
+
 def q_baseline_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E2 with the ridge learner."""
     return _fp32(_study(spark, sf_dir, "linear").results)
@@ -203,7 +229,8 @@ FROM qq GROUP BY label"""
 def registered() -> dict:
     return {"distill_results_events": q_distill_results, "distill_summary_events": q_distill_summary,
             "distill_predictions_events": q_distill_predictions, "distill_trials_events": q_distill_trials,
-            "distill_status_events": q_distill_status, "distill_int8_events": q_distill_int8, "distill_specifications_events": q_distill_specifications, "baseline_results_events": q_baseline_results,
+            "distill_status_events": q_distill_status, "distill_int8_events": q_distill_int8, "distill_specifications_events": q_distill_specifications,
+            "sink_rerun_events": q_sink_rerun, "baseline_results_events": q_baseline_results,
             "baseline_tree_events": q_baseline_tree,
             "distill_windows_events": q_distill_windows, "baseline_windows_events": q_baseline_windows,
             "distill_boosted_events": q_distill_boosted, "boosted_trials_events": q_boosted_trials, "ridge_moments_events": q_ridge_moments, "embeddings_quantized": q_embeddings_quantized}

@@ -86,9 +86,29 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
 
 def release(df: DataFrame) -> None:
     """Remove a table written by ``materialize``, given as returned."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/hourloom/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            remove(df.sparkSession, folder)
+
+
+def _at(spark: SparkSession, path: str):
+    """(file system, path) of a name in whatever store it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder, if it is there."""
+    fs, at = _at(spark, path)
+    fs.delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _at(spark, path)
+    return fs.exists(at)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    fs, at = _at(spark, old)
+    if not fs.rename(at, _at(spark, new)[1]):
+        raise OSError(f"cannot rename {old} to {new}")

@@ -194,6 +194,13 @@ def test_small_distillation_and_baseline_study(spark, tmp_path):
     record = spark.read.json(f"{out}/run_record").first()
     assert record.train_windows == p.windows.where("split = 'train'").count() and record.failed_seeds == 0
     assert spark.read.json(f"{out}/specifications").count() == 4 and spark.read.parquet(f"{out}/quantization").count() == 2
+    one = run_distillation(p, StudyConfig(dataset="t", seeds=(2,), teacher_trials=1, student_trials=1, parallelism=2, teacher_kind="linear",
+                                          model_dir=f"{tmp_path}/m"))
+    write_outputs(one, out, prepared=p)  # seed 2 again, with fewer trials and a linear teacher
+    per_seed = {x.seed: x.n for x in spark.read.parquet(f"{out}/trials").groupBy("seed").agg(F.count("*").alias("n")).collect()}
+    assert per_seed == {1: 2, 10001: 2, 2: 1, 10002: 1}
+    assert spark.read.parquet(f"{out}/results").count() == 6
+    assert {x.number_of_seeds for x in spark.read.parquet(f"{out}/summary").collect()} == {2}
     b = run_baseline(p, StudyConfig(dataset="t", seeds=(3,), baseline_trials=2, parallelism=2, model_dir=f"{tmp_path}/m"), kind="decision_tree")
     assert b.results.count() == 2
 
