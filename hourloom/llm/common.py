@@ -113,14 +113,13 @@ def plain_columns(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame
     return run
 
 
-def id_bounds(df: DataFrame, col: str, blocks: int) -> list[int]:
-    """Sorted distinct split points of a long column, at most ``blocks - 1``
-    (one small aggregate with bounded state)."""
+def id_steps(df: DataFrame, col: str, blocks: int) -> list[int]:
+    """Split points of a long column, at most ``blocks - 1`` (one small aggregate
+    with bounded state); a value that fills several steps comes several times."""
     if blocks < 2:
         return []
     at = [i / blocks for i in range(1, blocks)]
-    got = df.agg(F.percentile_approx(col, at, max(10_000, 20 * blocks)).alias("b")).first()["b"]
-    return sorted(set(got or []))
+    return df.agg(F.percentile_approx(col, at, max(10_000, 20 * blocks)).alias("b")).first()["b"] or []
 
 
 def block_of(col: str, bounds: list[int]) -> Column:

@@ -20,10 +20,12 @@ is alike (1.0) to another such and 0.0 to the rest.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import block_of, id_bounds, plain_columns, replaced, shuffle_partitions
+from hourloom.llm.common import block_of, id_steps, plain_columns, replaced, shuffle_partitions
 
 SHINGLE_WORDS = 5
 BIN_BITS = 8
@@ -96,26 +98,36 @@ def fingerprint_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return with_fingerprint(docs, text_col, "fingerprint").select(*replaced(docs, ["fingerprint"]), "fingerprint")
 
 
-def with_next(df: DataFrame, id_col: str, order: list[str], carry: list[str]) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, order: list[str], carry: list[str], tie: Column | None = None) -> DataFrame:
     """Adds ``_c_next_<c>`` for each carried column: its value in the row that
-    follows in descending order of ``id_col`` (then ``order``); the last row is
-    followed by the first.
+    follows in descending order of ``id_col`` (then ``tie``, a hash as a long,
+    then ``order``); the last row is followed by the first.
 
     Rows are dealt to blocks of neighbouring ids, and the head of each block is
     also sent to the block before it in this order, so every block is a window
     of its own and no task sees the whole table.  The head table has one row
-    per block.  Rows of one id stay together.
+    per block.  An id that fills several blocks' worth of rows (the null id, say)
+    is split by ranges of ``tie``; rows alike in id and tie stay together.
     """
-    ids = df.select(F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("_c_id"))
-    bounds = id_bounds(ids, "_c_id", 2 * shuffle_partitions(df.sparkSession))
-    heads = ids.withColumn("_c_block", block_of("_c_id", bounds)).groupBy("_c_block").agg(F.max("_c_id").alias("_c_id"))
+    tie = F.lit(0).cast("long") if tie is None else tie
+    df = df.withColumns({"_c_id": F.coalesce(F.col(id_col), F.lit(-(2**63))), "_c_tie": tie})
+    ids = df.select("_c_id", "_c_tie")
+    steps = id_steps(ids, "_c_id", 2 * shuffle_partitions(df.sparkSession))
+    bounds = sorted(set(steps))
+    parts = {b: n for b, n in Counter(steps).items() if n > 1}  # ids that fill several steps, at most half as many as steps
+    base, width = block_of("_c_id", bounds), max(parts.values(), default=0) + 1
+    n = F.coalesce(F.get(F.array(*[F.lit(parts.get(b, 0)) for b in bounds], F.lit(0)), base), F.lit(0))
+    hot = (n > 0) & (F.col("_c_id") == F.get(F.array(*[F.lit(b).cast("long") for b in bounds], F.lit(None).cast("long")), base))
+    part = F.least(F.floor((F.col("_c_tie") / F.lit(2.0**64) + 0.5) * n).cast("int"), n - 1)  # 0 holds the smallest ties
+    block = (base * width + F.when(hot, n - part).otherwise(0)).cast("int")  # the order goes from the highest block to the lowest
+    heads = ids.withColumn("_c_block", block).groupBy("_c_block").agg(F.max(F.struct("_c_id", F.bitwise_not("_c_tie").alias("t"))).alias("f"))
     up = Window.orderBy("_c_block")  # one row per block
     goes = F.coalesce(F.lead("_c_block").over(up), F.first("_c_block").over(up))
-    df = df.withColumn("_c_id", F.coalesce(F.col(id_col), F.lit(-(2**63)))).withColumn("_c_block", block_of("_c_id", bounds))
-    df = df.join(F.broadcast(heads.select("_c_id", goes.alias("_c_goes"))), "_c_id", "left")  # one row per block
+    heads = heads.select(F.col("f._c_id").alias("_c_id"), F.bitwise_not("f.t").alias("_c_tie"), goes.alias("_c_goes"))
+    df = df.withColumn("_c_block", block).join(F.broadcast(heads), ["_c_id", "_c_tie"], "left")  # one row per block
     places = F.filter(F.array(F.struct(F.col("_c_block").alias("b"), F.lit(0).alias("h")),
                               F.struct(F.col("_c_goes").alias("b"), F.lit(1).alias("h"))), lambda p: p["b"].isNotNull())
     df = df.withColumn("_c_place", F.explode(places)).withColumns({"_c_b": F.col("_c_place.b"), "_c_h": F.col("_c_place.h")})
-    w = Window.partitionBy("_c_b").orderBy(F.col("_c_h"), F.col("_c_id").desc(), *order)
+    w = Window.partitionBy("_c_b").orderBy(F.col("_c_h"), F.col("_c_id").desc(), "_c_tie", *order)
     df = df.withColumns({f"_c_next_{c}": F.lead(c).over(w) for c in carry})
-    return df.where(F.col("_c_h") == 0).drop("_c_place", "_c_b", "_c_h", "_c_goes", "_c_block", "_c_id")
+    return df.where(F.col("_c_h") == 0).drop("_c_place", "_c_b", "_c_h", "_c_goes", "_c_block", "_c_id", "_c_tie")

@@ -46,7 +46,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("_c_text"))
     docs = docs.withColumn("_c_none", F.trim(F.translate("_c_text", "\t\n\x0b\x0c\r", "     ")) == "")
     docs = with_fingerprint(docs, "_c_text", "fingerprint")
-    docs = with_next(docs, "doc_id", [F.xxhash64("_c_text")], ["_c_text", "fingerprint", "_c_none"])
+    docs = with_next(docs, "doc_id", [], ["_c_text", "fingerprint", "_c_none"], tie=F.xxhash64("_c_text"))
     docs = docs.withColumn("n_chars", F.length("_c_text").cast("long")).withColumn("_c_cut", F.floor(F.col("n_chars") / 3).cast("int"))
     edited = F.concat(F.substr("_c_text", F.lit(1), F.col("n_chars").cast("int") - F.col("_c_cut")), F.substr("_c_next__c_text", F.lit(1), F.col("_c_cut")))
     docs = docs.withColumn("_c_edited", edited).withColumn("edited_sha256", F.sha2("_c_edited", 256))

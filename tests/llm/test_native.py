@@ -81,6 +81,25 @@ def test_next_row_over_blocks(spark):
     assert one[0]._c_next_text == one[0].text
 
 
+def test_next_row_splits_a_hot_id(spark):
+    ids = [None] * 400 + [7] * 300 + list(range(500)) + [2**63 - 1] * 50
+    df = spark.createDataFrame([(i, f"t{k // 2}") for k, i in enumerate(ids)], "doc_id long, text string")  # every text twice
+    tie = F.xxhash64("text")
+    df = df.withColumn("h", tie)
+    out = fingerprints.with_next(df, "doc_id", [], ["doc_id", "text"], tie=tie)
+    got = out.collect()
+    order = sorted(got, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))
+    assert len(got) == len(ids) and out.columns == ["doc_id", "text", "h", "_c_next_doc_id", "_c_next_text"]
+    for k, r in enumerate(order):
+        if k + 1 < len(order) and (order[k + 1].doc_id, order[k + 1].text) == (r.doc_id, r.text):
+            continue  # twins: one is followed by the other, the other by what comes next
+        pair = {(x._c_next_doc_id, x._c_next_text) for x in order[max(0, k - 1):k + 1] if (x.doc_id, x.text) == (r.doc_id, r.text)}
+        follow = order[(k + 1) % len(order)]
+        assert (follow.doc_id, follow.text) in pair
+    share = out.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count")).first()[0]
+    assert share <= 0.3 * len(ids)  # the null id's rows, a third of all, lie in several tasks
+
+
 def test_fingerprints_of_nothing(none):
     assert fingerprints.fingerprint_documents(none).collect() == []
     assert fingerprints.with_next(none, "doc_id", [F.col("text")], ["text"]).collect() == []
