@@ -16,6 +16,7 @@ the winner (ties -> earliest candidate) is projected back row by row.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,12 +127,18 @@ def candidates(df: DataFrame, text: Column) -> tuple[DataFrame, list[Column]]:
     return _read(df, text), found
 
 
-def best_of_n_parse(df: DataFrame, text_col: str, series_col: str = "series_id",
-                    out_col: str = "ts") -> tuple[DataFrame, DataFrame]:
+def best_of_n_parse(df: DataFrame, text_col: str, series_col: str = "series_id", out_col: str = "ts",
+                    keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Add ``out_col`` parsed with the per-series best candidate.
 
     Returns (rows, report) where report has one row per series with the
-    winning candidate index and its success rate (gate: >= 0.80).
+    winning candidate index and its success rate (gate: >= 0.80).  ``keep`` may
+    land the report (one row per series), which the rows are joined with.
+
+    The parsed time leaves a generator of one element: a filter on it stays
+    above it.  Over a plain projection Spark rewrites such a filter in terms of
+    the raw text, each field's reading written out wherever it is used, and
+    reads every text hundreds of times.
     """
     text = qc(text_col)
     read, cands = candidates(df.select(series_col, text.alias("_tp_in")), F.col("_tp_in"))
@@ -141,9 +148,9 @@ def best_of_n_parse(df: DataFrame, text_col: str, series_col: str = "series_id",
     best = F.greatest(*rate_cols)
     # first candidate whose rate equals the max -> ties go to the earliest
     winner = F.coalesce(*[F.when(rc == best, F.lit(i)) for i, rc in enumerate(rate_cols)])
-    report = rates.select(series_col, winner.alias("format_index"), best.alias("parse_rate"),
-                          (best >= F.lit(MIN_SUCCESS_RATE)).alias("parse_passed"))
+    report = keep(rates.select(series_col, winner.alias("format_index"), best.alias("parse_rate"),
+                               (best >= F.lit(MIN_SUCCESS_RATE)).alias("parse_passed")))
     chosen = df.join(report.select(series_col, F.col("format_index").alias("_tp_pick")), [series_col])
     read, cands = candidates(chosen, text)
     pick = F.coalesce(*[F.when(F.col("_tp_pick") == i, c) for i, c in enumerate(cands)])
-    return read.withColumn(out_col, pick).drop("_tp_pick", *_OWN), report
+    return read.withColumn(out_col, F.explode(F.array(pick))).drop("_tp_pick", *_OWN), report

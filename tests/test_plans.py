@@ -72,6 +72,17 @@ def test_timestamp_parse_stays_compiled(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_a_filter_on_the_parsed_time_reads_each_text_once(spark):
+    """Fields are read once a pass (rates, rows); a filter on the time is not written out over the raw text."""
+    from hourloom.functions.timeparse import best_of_n_parse
+    raw = spark.createDataFrame([("a", f"2024-01-{d:02d} 03:00") for d in range(1, 20)] + [("a", "n/a"), ("b", "13/02/2024 04:00"), (None, "2024-01-01 00:00")],
+                                "series_id string, t string")
+    found = best_of_n_parse(raw, "t")[0].where(F.col("ts").isNotNull())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 4 and plan.count("try_make_timestamp_ntz") == 4
+    assert sorted(r.t for r in found.collect() if str(r.ts)[:4] == "2024") == sorted([f"2024-01-{d:02d} 03:00" for d in range(1, 20)] + ["13/02/2024 04:00"])
+
+
 def test_no_persisted_tables_left(spark):
     from hourloom.plans import catalog as cat
     cat.clear_cache()
