@@ -83,6 +83,18 @@ def test_a_filter_on_the_parsed_time_reads_each_text_once(spark):
     assert sorted(r.t for r in found.collect() if str(r.ts)[:4] == "2024") == sorted([f"2024-01-{d:02d} 03:00" for d in range(1, 20)] + ["13/02/2024 04:00"])
 
 
+def test_ingest_reads_its_texts_once(spark):
+    """Times and numbers are landed: counts, gates and observations read no text again."""
+    from hourloom.operators.ingest import ingest
+    raw = spark.createDataFrame([("s", f"2024-01-01 {h:02d}:00", f"{h},500", "x" if h % 2 else str(h)) for h in range(20)], "station string, Timestamp string, `PM2.5` string, p string")
+    ing = ingest(raw, series_col="station")
+    for df in (ing.observations, ing.column_report, ing.parse_report):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "RLIKE" not in plan and "regexp" not in plan
+    assert [r[2:] for r in ing.observations.orderBy("ts").collect()] == [(float(h * 1000 + 500), None if h % 2 else float(h)) for h in range(20)]
+    assert {(r.column, r.fraction, r.kept) for r in ing.column_report.collect()} == {("PM2.5", 1.0, True), ("p", 0.5, True)}
+
+
 def test_no_persisted_tables_left(spark):
     from hourloom.plans import catalog as cat
     cat.clear_cache()
