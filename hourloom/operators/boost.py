@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import nullcontext
 from dataclasses import dataclass
 
 from pyspark.ml.functions import vector_to_array
@@ -81,9 +82,10 @@ def families(specs: list[dict]) -> dict[tuple, list[int]]:
     return found
 
 
-def search(specs: list[dict], rows: DataFrame, fit_longest, parallelism: int = 4) -> list[dict]:
+def search(specs: list[dict], rows: DataFrame, fit_longest, parallelism: int = 4, pool: ThreadPoolExecutor | None = None) -> list[dict]:
     """Metrics of every spec, one fit per family by ``fit_longest(spec,
-    early_stop)``.  A family whose fit fails gives its error to each of its
+    early_stop)``, ``parallelism`` at once or as many as a pool that searches
+    share has threads.  A family whose fit fails gives its error to each of its
     trials (failure isolation); without validation rows there is no early
     stop, and the trials have no scores."""
     val = rows.where((F.col("split") == "val") & F.col("y_raw").isNotNull())
@@ -101,6 +103,6 @@ def search(specs: list[dict], rows: DataFrame, fit_longest, parallelism: int = 4
         except Exception as e:  # noqa: BLE001 - failure isolation per family of trials
             return {i: {"status": "failed", "error": repr(e)} for i in members}
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        found = {i: r for part in pool.map(run, families(specs).values()) for i, r in part.items()}
+    with nullcontext(pool) if pool else ThreadPoolExecutor(max_workers=max(1, parallelism)) as workers:
+        found = {i: r for part in workers.map(run, families(specs).values()) for i, r in part.items()}
     return [specs[i] | found[i] for i in range(len(specs))]

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import nullcontext
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector
@@ -208,12 +209,14 @@ _TRIAL_RESULT = {"stage": "string", "seed": "int", "validation_R2": "double", "v
 
 
 def evaluate_trials(kind: str, trials: DataFrame, rows: DataFrame, seed: int, label: str = "y_scaled",
-                    parallelism: int = 4, stage: str = "search", moments: gram.Gramian | None = None) -> DataFrame:
+                    parallelism: int = 4, stage: str = "search", moments: gram.Gramian | None = None,
+                    pool: ThreadPoolExecutor | None = None) -> DataFrame:
     """M5: fit every trial, score validation (A8 in target units), keep a
     failed row (NULL metrics, objective 1e6, the whole error text) for any
     trial that raises.  Linear learners: one pass for the moments (none if
     given) and one for all trials' scores.  Boosted learners: a fit and a pass of
-    scores per family of trials that differ in rounds alone."""
+    scores per family of trials that differ in rounds alone.  ``pool`` (default:
+    one of ``parallelism`` threads) runs the fits and may serve several searches."""
     spark = rows.sparkSession
     specs = [r.asDict() for r in trials.orderBy("trial").collect()]   # n_trials rows of hyper-parameters
     if kind in ("linear", "student"):
@@ -229,7 +232,7 @@ def evaluate_trials(kind: str, trials: DataFrame, rows: DataFrame, seed: int, la
         found = [dict.fromkeys(_TRIAL_RESULT) | {k: r[k] for k in trials.columns} | {"stage": stage, "seed": seed, "status": r["status"], "error": r["error"]}
                  | ({"validation_R2": r.get("R2"), "validation_MAE_ugm3": r.get("MAE_ugm3"), "validation_RMSE_ugm3": r.get("RMSE_ugm3"),
                      "params": r["nodes"], "epochs_completed": r["rounds"]} if r["status"] == "success" else {"epochs_completed": 0})
-                 for r in boost.search(specs, rows, longest, parallelism)]
+                 for r in boost.search(specs, rows, longest, parallelism, pool)]
         return _trial_rows(spark, trials, found)
     val = rows.where(F.col("split") == "val")
 
@@ -243,8 +246,8 @@ def evaluate_trials(kind: str, trials: DataFrame, rows: DataFrame, seed: int, la
         except Exception as e:  # noqa: BLE001 - failure isolation per trial
             return row | {"epochs_completed": 0, "status": "failed", "error": repr(e)}
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        found = list(pool.map(run, specs))
+    with nullcontext(pool) if pool else ThreadPoolExecutor(max_workers=max(1, parallelism)) as workers:
+        found = list(workers.map(run, specs))
     return _trial_rows(spark, trials, found)
 
 

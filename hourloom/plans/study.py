@@ -137,9 +137,12 @@ def int8_scores(model, rows: DataFrame, max_samples: int = 250, sample: DataFram
 
 class _Shared:
     """What all seeds of a study use alike, made when first asked for: the
-    moments of features and labels (one pass) and the calibration sample."""
+    moments of features and labels (one pass) and the calibration sample; and
+    the threads that fit the trials of every seed, so that as many run at once
+    (and keep their rows in memory) as in the search of a single seed."""
 
-    def __init__(self, rows: DataFrame, samples: int):
+    def __init__(self, rows: DataFrame, samples: int, parallelism: int = 4):
+        self.fits = ThreadPoolExecutor(max(1, parallelism))
         self._rows, self._samples, self._found, self._sample, self._lock = rows, samples, None, None, Lock()
 
     def sample(self) -> DataFrame:
@@ -150,6 +153,7 @@ class _Shared:
             return self._sample
 
     def release(self) -> None:
+        self.fits.shutdown()
         if self._sample is not None:
             release(self._sample)
 
@@ -168,10 +172,10 @@ class _Shared:
 
 
 def _search(cfg: StudyConfig, kind: str, space: tuple, n: int, rows: DataFrame, seed: int, stage: str, out: _Gathered,
-            moments: Gramian | None = None) -> dict:
+            shared: _Shared, moments: Gramian | None = None) -> dict:
     """The selected specification."""
     tab = md.trials_table(rows.sparkSession, space, n, seed)
-    trials = md.evaluate_trials(kind, tab, rows, seed, parallelism=cfg.parallelism, stage=stage, moments=moments)
+    trials = md.evaluate_trials(kind, tab, rows, seed, parallelism=cfg.parallelism, stage=stage, moments=moments, pool=shared.fits)
     dims = [d.name for d in space]
     best = ev.best_trial(trials, keys=["stage", "seed"], spec_cols=dims)
     chosen = best.select("stage", "seed", "trial", *dims, ev.spec_json(dims).alias("specification")).first()
@@ -227,7 +231,7 @@ def _distil_seed(cfg: StudyConfig, rows: DataFrame, seed: int, model_dir: str, s
     out = _Gathered()
     t_space = md.BASELINE_SPACES[cfg.teacher_kind]
     given = shared.of(cfg.teacher_kind)
-    t_spec = _search(cfg, cfg.teacher_kind, t_space, cfg.teacher_trials, rows, seed, "teacher", out, given)
+    t_spec = _search(cfg, cfg.teacher_kind, t_space, cfg.teacher_trials, rows, seed, "teacher", out, shared, given)
     teacher, _ = _refit(cfg, cfg.teacher_kind, t_spec, rows, seed, cfg.teacher_name, "None", model_dir, None, out, given)
     soft = md.soft_labels(teacher, rows)  # M12; of a linear teacher one product a row, so they are not written
     landed = None if given else materialize(soft, f"soft_{seed}").persist(StorageLevel.MEMORY_AND_DISK)
@@ -235,7 +239,7 @@ def _distil_seed(cfg: StudyConfig, rows: DataFrame, seed: int, model_dir: str, s
     try:
         both = shared.of("student", teacher, soft)
         s_spec = _search(cfg, "student", md.STUDENT_SPACE, cfg.student_trials, soft, seed + STUDENT_SHIFT, "student", out,
-                         both)
+                         shared, both)
         student, m = _refit(cfg, "student", s_spec, soft, seed, cfg.student_name, cfg.teacher_name, model_dir, 0.0, out, both)
         if cfg.evaluate_int8:
             _int8(cfg, student, soft, s_spec, seed, cfg.student_name, cfg.teacher_name, m, out, shared)
@@ -249,7 +253,7 @@ def _distil_seed(cfg: StudyConfig, rows: DataFrame, seed: int, model_dir: str, s
 def _baseline_seed(cfg: StudyConfig, kind: str, name: str, rows: DataFrame, seed: int, model_dir: str, shared: _Shared) -> _Gathered:
     out = _Gathered()
     given = shared.of(kind)
-    spec = _search(cfg, kind, md.BASELINE_SPACES[kind], cfg.baseline_trials, rows, seed, kind, out, given)
+    spec = _search(cfg, kind, md.BASELINE_SPACES[kind], cfg.baseline_trials, rows, seed, kind, out, shared, given)
     model, m = _refit(cfg, kind, spec, rows, seed, name, "None", model_dir, 0.0 if cfg.evaluate_int8 else None, out, given)
     if cfg.evaluate_int8:
         _int8(cfg, model, rows, spec, seed, name, "None", m, out, shared)
@@ -258,12 +262,13 @@ def _baseline_seed(cfg: StudyConfig, kind: str, name: str, rows: DataFrame, seed
 
 def _study(prepared: Prepared, cfg: StudyConfig, kind: str, one_seed) -> StudyResult:
     """Every seed on its own; a failed seed becomes a failures row.  Seeds
-    of linear learners, whose jobs are few and short, run side by side; those of
-    the others one after the other, as their trials run side by side."""
+    run side by side: most jobs of a seed follow each other and are short, and
+    would leave the cluster idle.  The trials of all seeds that are fitted one by
+    one share ``cfg.parallelism`` threads."""
     spark = prepared.windows.sparkSession
     rows = md.model_rows(prepared.windows, prepared.target_params, cfg.features).persist(StorageLevel.MEMORY_AND_DISK)
     model_dir = cfg.model_dir or f"{ensure_checkpoint_dir(spark).rstrip('/')}/hourloom/models"
-    out, shared = _Gathered(), _Shared(rows, cfg.representative_samples)
+    out, shared = _Gathered(), _Shared(rows, cfg.representative_samples, cfg.parallelism)
 
     def run(seed: int) -> _Gathered:
         try:
@@ -272,7 +277,7 @@ def _study(prepared: Prepared, cfg: StudyConfig, kind: str, one_seed) -> StudyRe
             return _Gathered(failures=[(seed, type(e).__name__, repr(e))])
 
     try:
-        with ThreadPoolExecutor(max(1, cfg.parallelism) if kind == "linear" else 1) as pool:
+        with ThreadPoolExecutor(max(1, cfg.parallelism)) as pool:
             for found in pool.map(run, cfg.seeds):
                 out.add(found)
     finally:

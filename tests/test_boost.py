@@ -11,6 +11,7 @@ from hourloom.operators import boost
 from hourloom.operators import evaluate as ev
 from hourloom.operators import modeling as md
 from hourloom.plans.prepare import Gates, prepare
+from hourloom.session import materialize
 
 BASE = {"max_depth": 3, "step_size": 0.2, "subsampling_rate": 0.75}
 
@@ -82,3 +83,33 @@ def test_no_validation_rows(spark, rows):
     trials = spark.createDataFrame([(1, 2, 3, 0.1, 1.0)], "trial int, max_depth int, max_iter int, step_size double, subsampling_rate double")
     got = md.evaluate_trials("gbt", trials, rows.where(F.col("split") != "val"), 7).first()
     assert (got.status, got.epochs_completed, got.validation_R2) == ("success", 3, None)
+
+
+def test_seeds_run_side_by_side_on_shared_fit_threads(spark, monkeypatch):
+    """The seeds of a boosted study wait for each other here; their fits stay within the study's parallelism."""
+    from threading import Barrier, Lock
+    from types import SimpleNamespace
+
+    from hourloom.plans import study
+    monkeypatch.setattr(md, "model_rows", lambda windows, params, features: materialize(windows, "side-by-side"))
+    monkeypatch.setattr(study, "run_record", lambda prepared, cfg, result: None)
+    seeds_meet, fits_meet = Barrier(3), Barrier(3)  # six fits, three at once
+    lock, busy = Lock(), [0]
+
+    def one_seed(rows, seed, folder, shared):
+        seeds_meet.wait(30)
+
+        def work(_):
+            with lock:
+                busy.append(busy[-1] + 1)
+            fits_meet.wait(30)
+            with lock:
+                busy.append(busy[-1] - 1)
+        list(shared.fits.map(work, range(2)))
+        return study._Gathered(results=[dict.fromkeys(study.RESULT_FIELDS) | {"model": "m", "seed": seed, "status": "success"}])
+
+    rows = spark.range(3).withColumn("split", F.lit("train"))
+    prepared = SimpleNamespace(windows=rows, target_params=None)
+    result = study._study(prepared, study.StudyConfig(seeds=(1, 2, 3), parallelism=3), "gbt", one_seed)
+    assert result.failures.count() == 0 and [r.seed for r in result.results.select("seed").collect()] == [1, 2, 3]
+    assert max(busy) == 3
